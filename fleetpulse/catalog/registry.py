@@ -77,7 +77,7 @@ def oracle(name: str) -> str | None:
     body = f"SELECT * FROM ({e.sql}) AS result"
     if e.floats:
         picks = ", ".join(
-            f'round(CAST("{c}" AS DOUBLE) + {_nudge(e.digits):.12f}, {e.digits}) AS "{c}"' for c in e.floats
+            f'round(CAST("{c}" AS DOUBLE) + {_nudge(e.digits):.16f}::DOUBLE, {e.digits}) AS "{c}"' for c in e.floats
         )
         body = f"SELECT * REPLACE ({picks}) FROM ({e.sql}) AS result"
     return _with_views(body)
