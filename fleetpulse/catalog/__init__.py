@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 from types import ModuleType
 
-MODULES = ["telemetry", "failure_queries", "feature_queries", "evaluation_queries"]
+MODULES = ["telemetry", "failure_queries", "feature_queries", "evaluation_queries", "model_queries"]
 
 
 def load() -> ModuleType:
