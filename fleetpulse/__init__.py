@@ -9,3 +9,10 @@ Sub-packages:
 * ``streaming``  - the day-by-day incremental state and its checks
 * ``catalog``    - the registered queries and their SQL counterparts
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run in tasks travel with the job, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -15,7 +15,7 @@ from fleetpulse.operators import models as M
 from fleetpulse.operators import pairs as PR
 from fleetpulse.operators.evaluate import precision_recall_points
 from fleetpulse.operators.stats import ks_two_sample
-from fleetpulse.session import new_table_path
+from fleetpulse.session import new_table_path, staged
 from fleetpulse.sources.sinks import overwrite
 
 FEATURES = [*S.DEVICE_DAILY, "offline_pct"]
@@ -23,10 +23,9 @@ IDS = ["seq_id"]
 
 
 def days(t: Inputs) -> DataFrame:
-    """Labelled device days. Repeated fits read them, so they are kept for the session."""
-    return t.device_day.withColumn("label", binary_label("milestone_name").cast("double")).select(
-        "seq_id", "mac", "day_0", "label", *FEATURES
-    )
+    """Labelled device days, written once per query since fits read them repeatedly."""
+    rows = t.device_day.withColumn("label", binary_label("milestone_name").cast("double"))
+    return staged(rows.select("seq_id", "mac", "day_0", "label", *FEATURES), "device-days")
 
 
 def halves(t: Inputs) -> tuple[DataFrame, DataFrame]:
@@ -241,6 +240,6 @@ def _(t: Inputs) -> DataFrame:
 
 @query("st5_score_shift_between_halves")
 def _(t: Inputs) -> DataFrame:
-    train, _ = halves(t)
-    scores = logistic().fit(train).score(days(t)).withColumn("late", (F.col("day_0") >= F.lit(DAY)).cast("int"))
+    train, test = halves(t)
+    scores = logistic().fit(train).score(train.unionByName(test)).withColumn("late", (F.col("day_0") >= F.lit(DAY)).cast("int"))
     return ks_two_sample(scores, "late", 1, ["score"])

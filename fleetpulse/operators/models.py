@@ -29,6 +29,7 @@ from fleetpulse.operators.folds import day_splits, gap_hold_out, gap_schedule
 from fleetpulse.operators.pairs import silhouettes
 from fleetpulse.operators.prep import balance
 from fleetpulse.operators.ranking import hash_sample
+from fleetpulse.session import staged
 
 LABEL = "label"
 SEED = 42
@@ -184,6 +185,7 @@ def fold_scores(splits: DataFrame, make: Maker) -> DataFrame:
 
     ``splits`` has ``split`` and ``role``; models of different splits share nothing.
     """
+    splits = staged(splits, "splits")
     numbers = sorted(r[0] for r in splits.select("split").distinct().collect())
     out = None
     for s in numbers:
@@ -196,6 +198,7 @@ def fold_scores(splits: DataFrame, make: Maker) -> DataFrame:
 
 def top_metrics_cv(scores: DataFrame, row_id: str, ratio: float) -> DataFrame:
     """(precision, recall, f1): top-share metrics averaged over splits."""
+    scores = staged(scores, "scores")
     numbers = sorted(r[0] for r in scores.select("split").distinct().collect())
     parts = [top_metrics(scores.where(F.col("split") == s), "score", LABEL, row_id, ratio) for s in numbers]
     out = parts[0]
@@ -215,15 +218,12 @@ def grid_search(
     ids: Sequence[str], day: str = "day_0", k: int = 5, balanced: bool = True,
 ) -> DataFrame:
     """(params, mean_auc, std_auc, best): every combination on the same day-disjoint splits."""
-    splits = day_splits(df, LABEL, ids, day, k, balanced).persist()
-    try:
-        results = []
-        for combo in grid(params):
-            scores = fold_scores(splits, lambda: make(**combo))
-            auc = auc_over_folds(scores, "score", LABEL, "split").first()
-            results.append((json.dumps(combo, sort_keys=True), auc["mean_auc"], auc["std_auc"]))
-    finally:
-        splits.unpersist()
+    splits = staged(day_splits(df, LABEL, ids, day, k, balanced), "splits")
+    results = []
+    for combo in grid(params):
+        scores = fold_scores(splits, lambda: make(**combo))
+        auc = auc_over_folds(scores, "score", LABEL, "split").first()
+        results.append((json.dumps(combo, sort_keys=True), auc["mean_auc"], auc["std_auc"]))
     top = max(results, key=lambda r: -1.0 if r[1] is None else r[1])[0]
     data = [(p, m, s, p == top) for p, m, s in results]
     return df.sparkSession.createDataFrame(data, "params string, mean_auc double, std_auc double, best boolean")
@@ -233,11 +233,12 @@ def compare_models(
     df: DataFrame, makers: Mapping[str, Maker], ids: Sequence[str], levels: Sequence[float], day: str = "day_0", k: int = 5
 ) -> DataFrame:
     """(model, auc, level, recall, threshold): several classifiers on the same splits, from pooled scores."""
-    splits = day_splits(df, LABEL, ids, day, k).persist()
+    splits = staged(day_splits(df, LABEL, ids, day, k), "splits")
     out = None
     for name, make in makers.items():
         scores = fold_scores(splits, make).select(F.lit(name).alias("model"), LABEL, "score")
         out = scores if out is None else out.unionByName(scores)
+    out = staged(out, "scores")
     return recall_at_precision(out, "score", LABEL, levels, ["model"]).join(pr_auc(out, "score", LABEL, ["model"]), "model")
 
 
@@ -246,8 +247,8 @@ def hold_out_metrics(
 ) -> DataFrame:
     """Top-share metrics on the last days, trained on days that end a gap before them; both
     parts balanced by drawing negatives with replacement."""
-    parts = gap_hold_out(df, hold_days, gap_days)
-    train = balance(parts.where("role = 'train'").drop("role"), LABEL, ids)
+    parts = staged(gap_hold_out(df, hold_days, gap_days), "parts")
+    train = staged(balance(parts.where("role = 'train'").drop("role"), LABEL, ids), "train")
     held = balance(parts.where("role = 'hold_out'").drop("role"), LABEL, ids, seed=1)
     # a negative drawn twice needs its own row number for the tie order
     return top_metrics(
@@ -260,7 +261,8 @@ def gap_study(df: DataFrame, make: Maker, gaps: Sequence[int], ratio_testing: fl
 
     One fit per training window; all gaps are scored with it.
     """
-    schedule = gap_schedule(df, gaps, ratio_testing)
+    df = staged(df, "rows")
+    schedule = staged(gap_schedule(df, gaps, ratio_testing), "schedule")
     rounds = sorted(r[0] for r in schedule.select("round").distinct().collect())
     out = None
     for i in rounds:
@@ -270,17 +272,18 @@ def gap_study(df: DataFrame, make: Maker, gaps: Sequence[int], ratio_testing: fl
         fitted = make().fit(df.join(days, "day_0", "left_semi"))
         one = fitted.score(df.join(tests, "day_0")).select("gap", LABEL, "score")
         out = one if out is None else out.unionByName(one)
-    return pr_auc(out, "score", LABEL, ["gap"])
+    return pr_auc(staged(out, "scores"), "score", LABEL, ["gap"])
 
 
 def weekday_study(df: DataFrame, make: Maker, ids: Sequence[str], k: int = 3) -> DataFrame:
     """(weekday, auc): trained and tested on the same weekday only."""
+    df = staged(df, "rows")
     out = None
     for w in range(7):
         part = df.where(F.weekday("day_0") == w)
         one = fold_scores(day_splits(part, LABEL, ids, k=k), make).select(F.lit(w).alias("weekday"), LABEL, "score")
         out = one if out is None else out.unionByName(one)
-    return pr_auc(out, "score", LABEL, ["weekday"])
+    return pr_auc(staged(out, "scores"), "score", LABEL, ["weekday"])
 
 
 # ---- projections ----------------------------------------------------------------------------
@@ -397,9 +400,9 @@ def silhouette_by_k(df: DataFrame, row_id: str, vec: str, ks: Sequence[int], sam
     out = None
     for k in ks:
         model = k_means(df, vec, k, seed)
-        marked = clustered(model, df, vec)
+        marked = clustered(model, df, vec).select(row_id, vec, "cluster")
         if sample is not None:
-            marked = hash_sample(marked, [row_id], F.lit(sample), seed)
+            marked = staged(hash_sample(marked, [row_id], F.lit(sample), seed), "sample")
         mean = silhouettes(marked, row_id, vec, "cluster").agg(F.avg("silhouette").alias("silhouette"))
         one = mean.select(F.lit(k).alias("k"), F.lit(float(model.summary.trainingCost)).alias("sse"), "silhouette")
         out = one if out is None else out.unionByName(one)
@@ -415,7 +418,7 @@ def silhouette_by_variance(
     out = None
     for share in shares:
         n = components_for(table, share)
-        low = project(prepared, model, "_v", n).select(row_id, "pca")
+        low = staged(project(prepared, model, "_v", n).select(row_id, "pca"), "projected")
         one = silhouette_by_k(low, row_id, "pca", ks, sample)
         one = one.select(F.lit(float(share)).alias("retained"), F.lit(n).alias("components"), "k", "sse", "silhouette")
         out = one if out is None else out.unionByName(one)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.scalars import cosine_distance, euclidean, hash_bucket, hash_number, stable_hash
 from fleetpulse.operators.ranking import hash_sample
+from fleetpulse.session import staged
 
 BLOCK_ROWS = 1024
 
@@ -381,7 +382,9 @@ def repeated_energy_test(
         else:
             size = F.least(F.lit(sample_size), nx, ny)
             sample = hash_sample(x, [row_id], size, seed).unionByName(hash_sample(y, [row_id], size, seed))
-        stats = energy_statistics(sample, row_id, vec, grp, replicates, seed, block_rows)
+        # drawn once: the statistic reads the sample several times
+        drawn = staged(sample.select(row_id, vec, grp), "sample")
+        stats = energy_statistics(drawn, row_id, vec, grp, replicates, seed, block_rows)
         one = permutation_outcome(stats, alpha).withColumn("repeat", F.lit(q))
         out = one if out is None else out.unionByName(one)
     return out
