@@ -86,10 +86,10 @@ def day_differences_by_pivot(
     level: Sequence[str] = S.LEVEL_MEASURES,
 ) -> DataFrame:
     """The same for one day, from the two days of the rolling buffer."""
-    marked = daily.withColumn("d", F.datediff(F.lit(day_0), "day_0")).where(F.col("d").between(0, 1))
+    marked = daily.withColumn("_off", F.datediff(F.lit(day_0), "day_0")).where(F.col("_off").between(0, 1))
     wide = marked.groupBy("mac").agg(
-        F.max(F.when(F.col("d") == 0, 1)).alias("_today"),
-        *[F.expr(f"max(CASE WHEN d = {v} THEN `{m}` END) AS `{v}_{m}`") for m in [*diff, *level] for v in (0, 1)],
+        F.max(F.when(F.col("_off") == 0, 1)).alias("_today"),
+        *[F.expr(f"max(CASE WHEN _off = {v} THEN `{m}` END) AS `{v}_{m}`") for m in [*diff, *level] for v in (0, 1)],
     )
     # a device seen only yesterday has no row today
     return wide.where("_today = 1").select(
@@ -138,10 +138,10 @@ def history_by_day(diffs: DataFrame, measures: Sequence[str] = S.DAILY_MEASURES)
 
 def history_pivot(diffs: DataFrame, day_0: date, measures: Sequence[str] = S.DAILY_MEASURES) -> DataFrame:
     """The same for one day, as a pivot of the five-day buffer by day offset."""
-    marked = diffs.withColumn("d", F.datediff(F.lit(day_0), "day_0")).where(F.col("d").between(0, 4))
+    marked = diffs.withColumn("_off", F.datediff(F.lit(day_0), "day_0")).where(F.col("_off").between(0, 4))
     return marked.groupBy("mac").agg(
         *[
-            F.expr(f"max(CASE WHEN d = {k - 1} THEN `{m}` END) AS `{m}_{k}d`")
+            F.expr(f"max(CASE WHEN _off = {k - 1} THEN `{m}` END) AS `{m}_{k}d`")
             for m in measures
             for k in S.HISTORY_DAYS
         ]
