@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.operators.ranking import running_totals, top_by_score
+from fleetpulse.session import staged
 
 GRID_POINTS = 100
 
@@ -79,8 +80,8 @@ def cumulative_hits(df: DataFrame, score: str, label: str, by: Sequence[str] = (
     """Distinct scores with true and false positives at or above them (``tp``, ``fp``),
     their own counts (``p``, ``n``) and the class totals (``pos``, ``neg``)."""
     by = list(by)
-    counts = score_counts(df, score, label, by)
-    run = running_totals(counts, "score", ["p", "n"], by=by, descending=True)
+    counts = staged(score_counts(df, score, label, by), "counts")
+    run = running_totals(counts, "score", ["p", "n"], by=by, descending=True, stage=False)
     run = run.withColumnsRenamed({"cum_p": "tp", "cum_n": "fp"})
     totals = counts.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
     if by:

@@ -14,8 +14,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.scalars import hash_bucket, stable_hash
+from fleetpulse.session import staged
 
-RANGE_BUCKETS = 128
+#: the order is cut into at most CUTS_PER_LEVEL ** 2 ranges
+CUTS_PER_LEVEL = 12
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -25,30 +27,46 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
+def _range_slot(order: str, per_level: int) -> Column:
+    """How many of the sorted ``_bounds`` lie below the value, searched in two levels."""
+    m = per_level
+    below = lambda b: b < F.col(order)
+    coarse = F.size(F.filter("_coarse", below))
+    fine = F.size(F.filter(F.slice("_bounds", coarse * m + 1, F.lit(m)), below))
+    return coarse * m + fine
+
+
 def running_totals(
     df: DataFrame,
     order: str,
     sums: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-    buckets: int = RANGE_BUCKETS,
+    per_level: int = CUTS_PER_LEVEL,
+    stage: bool = True,
 ) -> DataFrame:
     """Inclusive running totals ``cum_<s>`` along ``order`` inside each ``by`` group.
 
-    ``df`` holds one row per (by, order) value, i.e. it is already aggregated. The order is
-    cut at approximate quantiles into ``buckets`` ranges; offsets of the ranges come from a
-    table of at most ``buckets + 1`` rows per group, so a group of any size is spread
-    over many tasks. The result is exact whatever the quality of the cut points.
+    ``df`` holds one row per (by, order) value, i.e. it is already aggregated; it is read
+    three times and therefore written once (``stage=False`` if the caller did). The order is
+    cut at approximate quantiles into about ``per_level`` squared ranges; offsets of the
+    ranges come from a table of at most that many rows per group, so a group of any size is
+    spread over many tasks. The result is exact whatever the quality of the cut points.
     """
     by = list(by)
-    cuts = [(i + 1) / buckets for i in range(buckets - 1)]
-    bounds = df.groupBy(*by).agg(F.percentile_approx(order, cuts, 20 * buckets).alias("_bounds"))
+    m = per_level
+    df = staged(df, "counts") if stage else df
+    cuts = [(i + 1) / (m * m) for i in range(m * m - 1)]
+    bounds = df.groupBy(*by).agg(F.percentile_approx(order, cuts, 10 * m * m).alias("_bounds"))
     if by:
         marked = df.join(bounds, by)
     else:
         marked = df.withColumn("_bounds", bounds.scalar())
-    slot = F.size(F.filter(F.array_distinct("_bounds"), lambda b: b < F.col(order)))
-    marked = marked.withColumn("_slot", -slot if descending else slot).drop("_bounds")
+    # every m-th bound starts the next block of the fine search
+    every = F.transform(F.sequence(F.lit(m), F.lit(m * (m - 1)), F.lit(m)), lambda k: F.element_at("_bounds", k))
+    slot = _range_slot(order, m)
+    marked = marked.withColumn("_coarse", every).withColumn("_slot", -slot if descending else slot)
+    marked = marked.drop("_bounds", "_coarse")
 
     totals = marked.groupBy(*by, "_slot").agg(*[F.sum(s).alias(f"_tot_{s}") for s in sums])
     before = W.partitionBy(*by).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
@@ -121,14 +139,17 @@ def top_by_score(df: DataFrame, score: str, row_id: str, k: Column) -> DataFrame
     return df.where((F.col(score) > cut) | ((F.col(score) == cut) & (F.col(row_id) <= last)))
 
 
-def exact_percentiles(counts: DataFrame, points: Sequence[float], by: Sequence[str] = ("column",)) -> DataFrame:
+def exact_percentiles(
+    counts: DataFrame, points: Sequence[float], by: Sequence[str] = ("column",), stage: bool = True
+) -> DataFrame:
     """(by..., p, percentile): exact linearly interpolated percentiles from value counts.
 
     The built-in ``percentile`` keeps every distinct value of a group in one task; this one
     finds the two order statistics around each position from running counts.
     """
     by = list(by)
-    run = running_totals(counts, "value", ["n"], by=by)
+    counts = staged(counts, "counts") if stage else counts
+    run = running_totals(counts, "value", ["n"], by=by, stage=False)
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     spots = total.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in points])))
     spots = spots.withColumn("pos", F.col("p") * (F.col("total") - 1))

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetpulse.operators.ranking import average_ranks, value_counts
+from fleetpulse.session import staged
 
 
 def near_zero_variance(
@@ -161,6 +162,7 @@ def rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
         df.select(F.explode(entries).alias("e")).select("e.*").dropna()
         .groupBy("k", "x", "y").agg(F.count("*").alias("w"))
     )
+    cells = staged(cells, "cells")
 
     def ranks(v: str) -> DataFrame:
         counts = cells.groupBy("k", F.col(v).alias("value")).agg(F.sum("w").alias("n"))
