@@ -1,6 +1,9 @@
 """The tables the operators take, projected from the TPC-H-like test tables.
 
-The projections are set out in ``FIXTURES.md``; ``sql_views`` holds the same ones in SQL.
+They follow ``FIXTURES.md`` with these differences: a device is offline in an hour with an
+error of at least 200, sessions are one user's day, accounts hold several devices, node types
+come from the account balance, and hardware addresses carry a colon to be removed.
+``sql_views`` holds the same projections in SQL.
 """
 
 from __future__ import annotations
