@@ -17,6 +17,7 @@ from fleetpulse.operators.groups import (
     unavailability_wide,
 )
 from fleetpulse.operators.windows import device_window_stats, spread, with_hour_window
+from fleetpulse.session import staged
 from fleetpulse.sources.tables import health_hours
 
 DEVICE_KEYS = [
@@ -56,9 +57,13 @@ def device_vector(
 
     ``as_of`` bounds the offline history; by default it is the processed day (or all of the
     history when every day is processed).
+
+    The device table and the outliers are written once: the hourly rows are read both for
+    the group statistics and for the join back, and from files the optimizer knows the two
+    tables' sizes when it decides on a broadcast.
     """
-    static = device_static(nodes, history)
-    outliers = outlier_devices(health, static, as_of or day)
+    static = staged(device_static(nodes, history), "device-static")
+    outliers = staged(outlier_devices(health, static, as_of or day), "outliers")
     enriched = enrich_hours(health_hours(health, day), static, outliers)
     rows = window_rows(standardise_to_group(enriched))
     return spread(rows, DEVICE_KEYS, "hour_window", S.WINDOWS, STATS)
