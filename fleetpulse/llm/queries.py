@@ -69,7 +69,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return backoff.backoff_scores(docs).select(
-        F.col("id").alias("doc_id"), "n_words", "n_backed", F.round("log_score", 6).alias("log_score"),
+        F.col("id").alias("doc_id"), "n_words", "n_backed", F.round("log_score", 3).alias("log_score"),
         F.round("mean_log_score", 6).alias("mean_log_score"))
 
 

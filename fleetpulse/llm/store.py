@@ -52,10 +52,10 @@ def prefix_sums(
     keys = [*group, *bucket]
     before = Window.partitionBy(*group).orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        df.groupBy(*keys).agg(F.sum(value).alias("__sum"))
-        .select(*keys, F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__offset"),
-                F.sum("__sum").over(Window.partitionBy(*group)).alias(total))
+        df.groupBy(*keys).agg(F.sum(value).alias("__bucket_sum"))
+        .select(*keys, F.coalesce(F.sum("__bucket_sum").over(before), F.lit(0)).alias("__bucket_offset"),
+                F.sum("__bucket_sum").over(Window.partitionBy(*group)).alias(total))
     )
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    running = df.withColumn("__before", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return running.join(offsets, keys).withColumn(out, F.col("__offset") + F.col("__before")).drop("__offset", "__before")
+    running = df.withColumn("__in_bucket", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    return running.join(offsets, keys).withColumn(out, F.col("__bucket_offset") + F.col("__in_bucket")).drop("__bucket_offset", "__in_bucket")
