@@ -267,7 +267,8 @@ def _(t: Inputs) -> DataFrame:
     return PR.energy_statistics(t.samples, "id", "v", "grp", 0, block_rows=BLOCK)
 
 
-REPLICATES = 19
+REPLICATES = 99
+ALPHA = 1
 _REPS = f"""WITH d AS (SELECT a.id AS i, b.id AS j, {_DIST} AS x FROM samples a, samples b),
  bits AS (SELECT id, 0 AS r, grp = 'X' AS b FROM samples
   UNION ALL SELECT id, CAST(r AS INTEGER), row_number() OVER (PARTITION BY r ORDER BY md5(CAST(r AS VARCHAR) || ':' || CAST(id AS VARCHAR))) <= (SELECT n1 FROM {_SIZES})
@@ -288,11 +289,11 @@ def _(t: Inputs) -> DataFrame:
     return PR.energy_statistics(t.samples, "id", "v", "grp", REPLICATES, block_rows=BLOCK)
 
 
-@query("st7_energy_test", f"""{_REPS} SELECT observed, quantile_cont(energy, 0.95) AS "limit", CAST(count(CASE WHEN energy > observed THEN 1 END) AS DOUBLE) / count(*) AS p_value,
- CAST(count(CASE WHEN energy > observed THEN 1 END) AS DOUBLE) / count(*) < 0.05 AS reject
+@query("st7_energy_test", f"""{_REPS} SELECT observed, quantile_cont(energy, 0.99) AS "limit", CAST(count(CASE WHEN energy > observed THEN 1 END) AS DOUBLE) / count(*) AS p_value,
+ CAST(count(CASE WHEN energy > observed THEN 1 END) AS DOUBLE) / count(*) < 0.01 AS reject
  FROM e, (SELECT energy AS observed FROM e WHERE r = 0) o WHERE r > 0 GROUP BY observed""", ["observed", "limit", "p_value"])
 def _(t: Inputs) -> DataFrame:
-    return PR.energy_test(t.samples, "id", "v", "grp", REPLICATES, 5, block_rows=BLOCK)
+    return PR.energy_test(t.samples, "id", "v", "grp", REPLICATES, ALPHA, block_rows=BLOCK)
 
 
 @query("snk9_energy_from_stored_distances", f"{_REPS} SELECT r, energy FROM e", ["energy"])
@@ -304,12 +305,18 @@ def _(t: Inputs) -> DataFrame:
 
 @query("st8_repeated_energy_test")
 def _(t: Inputs) -> DataFrame:
-    return PR.repeated_energy_test(t.samples, "id", "v", "grp", REPLICATES, 5, repeats=2, sample_size=10000, block_rows=BLOCK)
+    return PR.repeated_energy_test(t.samples, "id", "v", "grp", REPLICATES, ALPHA, block_rows=BLOCK)
 
 
 @query("st8_same_population_control")
 def _(t: Inputs) -> DataFrame:
-    return PR.repeated_energy_test(t.samples, "id", "v", "grp", REPLICATES, 5, repeats=2, similar=True, block_rows=BLOCK)
+    return PR.repeated_energy_test(t.samples, "id", "v", "grp", REPLICATES, ALPHA, similar=True, block_rows=BLOCK)
+
+
+@query("st8_summary_of_repeats")
+def _(t: Inputs) -> DataFrame:
+    tests = PR.repeated_energy_test(t.samples, "id", "v", "grp", REPLICATES, ALPHA, similar=True, block_rows=BLOCK)
+    return PR.repeated_summary(tests, ALPHA)
 
 
 _METRIC_SQL = {

@@ -303,9 +303,14 @@ def _(t: Inputs) -> DataFrame:
     return t.spark.read.schema(S.RUN_LOG).parquet(path).select("is_error", "log_text", "is_done")
 
 
-@query("snk6_empty_clone", "SELECT mac, day_0, offline_pct FROM device_day WHERE 1 = 0")
+@query("snk6_empty_clone", f"SELECT mac, day_0, offline_pct FROM device_day WHERE day_0 = {D0}", ["offline_pct"])
 def _(t: Inputs) -> DataFrame:
-    return sinks.empty_like(t.device_day.select("mac", "day_0", "offline_pct"))
+    # the clone is created from the query's schema and then takes a day of its rows
+    path = new_table_path(t.spark, "clone")
+    rows = t.device_day.select("mac", "day_0", "offline_pct")
+    sinks.overwrite(sinks.empty_like(rows), path)
+    rows.where(F.col("day_0") == F.lit(DAY)).write.mode("append").parquet(path)
+    return t.spark.read.parquet(path)
 
 
 # ---- run control ----------------------------------------------------------------------------

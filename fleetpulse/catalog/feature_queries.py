@@ -265,9 +265,19 @@ def _(t: Inputs) -> DataFrame:
     return SC.strong_pairs(t.wide, NUM)
 
 
-@query("st2_correlated_groups")
+_STRONG = "(" + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS c, "
+    + (f"count(CASE WHEN {a} = {b} THEN NULL ELSE 1 END) = 0" if a in b or b in a else "false") + " AS same FROM wide"
+    for a, b in _pairs(NUM)
+) + ")"
+
+
+@query("st2_correlated_groups", f"""SELECT kind, min(head) AS head, member FROM (
+ SELECT CASE WHEN same THEN 'identical' ELSE 'correlated' END AS kind, a AS head, b AS member FROM {_STRONG} WHERE abs(c) > 0.9
+ UNION ALL SELECT CASE WHEN same THEN 'identical' ELSE 'correlated' END, b, a FROM {_STRONG} WHERE abs(c) > 0.9)
+ GROUP BY kind, member HAVING min(head) < member""")
 def _(t: Inputs) -> DataFrame:
-    return SC.group_pairs(SC.strong_pairs(t.wide, NUM), NUM)
+    return SC.group_pairs(SC.strong_pairs(t.wide, NUM))
 
 
 @query("st4_identical_to_drop", "SELECT 'qty_copy' AS \"column\" FROM wide HAVING count(CASE WHEN qty = qty_copy THEN NULL ELSE 1 END) = 0")

@@ -38,16 +38,16 @@ def stages(**kwargs) -> list:
     return M.feature_stages(FEATURES, **kwargs)
 
 
-def forest(trees: int = 10) -> M.Plain:
-    return M.Plain([*stages(scale=False), M.random_forest(trees, max_depth=5)])
+def forest(trees: int = 100) -> M.Plain:
+    return M.Plain([*stages(scale=False), M.random_forest(trees, max_depth=10)])
 
 
-def boosting(learning_rate: float = 0.1, trees: int = 5, max_depth: int = 3) -> M.Plain:
+def boosting(learning_rate: float = 0.1, trees: int = 50, max_depth: int = 3) -> M.Plain:
     return M.Plain([*stages(scale=False), M.gradient_boosting(learning_rate, trees, max_depth)])
 
 
 def logistic(c: float = 1.0) -> M.Plain:
-    return M.Plain([*stages(), M.logistic(c, 1000, 20)])
+    return M.Plain([*stages(), M.logistic(c)])
 
 
 def outcome(scores: DataFrame) -> DataFrame:
@@ -103,21 +103,21 @@ def _(t: Inputs) -> DataFrame:
 @query("ml7_calibrated_linear_svm")
 def _(t: Inputs) -> DataFrame:
     train, test = halves(t)
-    model = M.Calibrated([*stages(), M.linear_svm(1.0, train.count(), 10)], IDS)
+    model = M.Calibrated([*stages(), M.linear_svm(1.0)], IDS)
     return outcome(model.fit(train).score(test))
 
 
 @query("ml8_calibrated_ridge")
 def _(t: Inputs) -> DataFrame:
     train, test = halves(t)
-    model = M.Calibrated([*stages(), M.ridge(1.0, train.count())], IDS)
+    model = M.Calibrated([*stages(), M.ridge(1.0)], IDS)
     return outcome(model.fit(train).score(test))
 
 
 @query("ml9_out_of_fold_calibration")
 def _(t: Inputs) -> DataFrame:
     train, test = halves(t)
-    fitted = M.Calibrated([*stages(), M.ridge(10.0, train.count())], IDS).fit(train)
+    fitted = M.Calibrated([*stages(), M.ridge(10.0)], IDS).fit(train)
     raw = M.scored(fitted.model, test, "margin").select("seq_id", "margin")
     return raw.join(fitted.score(test).select("seq_id", "label", "score"), "seq_id")
 
@@ -161,7 +161,7 @@ def _(t: Inputs) -> DataFrame:
     )
 
 
-def splits(t: Inputs, k: int = 3) -> DataFrame:
+def splits(t: Inputs, k: int = 5) -> DataFrame:
     return FD.day_splits(days(t), "label", IDS, k=k)
 
 
@@ -170,15 +170,25 @@ def _(t: Inputs) -> DataFrame:
     return M.top_metrics_cv(M.fold_scores(splits(t), logistic), "seq_id", 0.2)
 
 
+@query("cv3_top_share_over_plain_folds")
+def _(t: Inputs) -> DataFrame:
+    return M.top_metrics_cv(M.fold_scores(M.plain_splits(days(t), "seq_id"), logistic), "seq_id", 0.2)
+
+
+@query("cv9_best_of_models")
+def _(t: Inputs) -> DataFrame:
+    return M.compare_roc(days(t), {"logistic": logistic, "forest": forest}, IDS, "seq_id")
+
+
 @query("cv5_grid_search")
 def _(t: Inputs) -> DataFrame:
-    return M.grid_search(days(t), logistic, {"c": [0.01, 1.0]}, IDS, k=3)
+    return M.grid_search(days(t), logistic, {"c": [0.01, 0.1, 1.0]}, IDS, k=5)
 
 
 @query("snk10_stored_grid_results")
 def _(t: Inputs) -> DataFrame:
     path = new_table_path(t.spark, "grid")
-    overwrite(M.grid_search(days(t), boosting, {"trees": [2, 4]}, IDS, k=2), path)
+    overwrite(M.grid_search(days(t), boosting, {"trees": [5, 10]}, IDS, k=5), path)
     return t.spark.read.parquet(path)
 
 
@@ -195,18 +205,18 @@ def _(t: Inputs) -> DataFrame:
 
 @query("cv8_weekday_study")
 def _(t: Inputs) -> DataFrame:
-    return M.weekday_study(days(t), logistic, IDS, k=2)
+    return M.weekday_study(days(t), logistic, IDS)
 
 
 @query("cv9_compared_models")
 def _(t: Inputs) -> DataFrame:
     makers = {"logistic": logistic, "forest": forest}
-    return M.compare_models(days(t), makers, IDS, [0.4, 0.5, 0.6], k=3)
+    return M.compare_models(days(t), makers, IDS, [0.4, 0.5, 0.6])
 
 
 @query("cv9_pooled_curves")
 def _(t: Inputs) -> DataFrame:
-    scores = M.fold_scores(splits(t, 2), logistic)
+    scores = M.fold_scores(splits(t), logistic)
     return precision_recall_points(scores, "score", "label", ["split"])
 
 
@@ -222,12 +232,12 @@ def _(t: Inputs) -> DataFrame:
 
 @query("cl4_inertia_by_k")
 def _(t: Inputs) -> DataFrame:
-    return M.silhouette_by_k(t.clustered.drop("cluster"), "id", "v", [2, 4], sample=1000).select("k", "sse", "silhouette")
+    return M.silhouette_by_k(t.clustered.drop("cluster"), "id", "v", [2, 4]).select("k", "sse", "silhouette")
 
 
 @query("cl5_silhouette_by_variance_share")
 def _(t: Inputs) -> DataFrame:
-    return M.silhouette_by_variance(t.clustered.drop("cluster"), "id", "v", [0.3, 0.7], [2, 3], sample=1000)
+    return M.silhouette_by_variance(t.clustered.drop("cluster"), "id", "v", [0.3, 0.7], [2, 3])
 
 
 @query("st15_mahalanobis_to_centres")

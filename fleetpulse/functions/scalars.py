@@ -143,5 +143,5 @@ def euclidean(a: Column | str, b: Column | str) -> Column:
 
 
 def cosine_distance(a: Column | str, b: Column | str) -> Column:
-    """One minus the cosine of two arrays."""
-    return F.lit(1.0) - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    """One minus the cosine of two arrays; NULL for a zero vector."""
+    return F.lit(1.0) - F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))

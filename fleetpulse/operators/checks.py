@@ -96,7 +96,7 @@ def tables_absent(spark: SparkSession, names: list[str]) -> DataFrame:
 
 
 def require(check: DataFrame, message: str) -> None:
-    """Raise when a check table has a failed row."""
-    failed = check.where("NOT ok").limit(20).collect()
+    """Raise when a check table has a failed row, with the number of failed rows."""
+    failed = check.where("NOT ok").count()
     if failed:
-        raise CheckFailed(f"{message}: {failed}")
+        raise CheckFailed(f"{message}: {failed} failed check{'s' if failed > 1 else ''}")

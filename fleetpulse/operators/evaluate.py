@@ -110,20 +110,20 @@ def _steps(df: DataFrame, score: str, label: str, by: Sequence[str]) -> DataFram
     return cumulative_hits(df, score, label, by).select(
         *by,
         (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"),
-        (F.col("tp") / F.col("pos")).alias("recall"),
+        F.try_divide("tp", "pos").alias("recall"),
         F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(F.lit(1.0)).alias("precision0"),
-        (tp0 / F.col("pos")).alias("recall0"),
+        F.try_divide(tp0, F.col("pos")).alias("recall0"),
     )
 
 
 def pr_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., auc): trapezoid area under the precision-recall curve."""
+    """(by..., auc): trapezoid area under the precision-recall curve; NULL without positives."""
     area = (F.col("recall") - F.col("recall0")) * (F.col("precision") + F.col("precision0")) / 2
     return _steps(df, score, label, by).groupBy(*by).agg(F.sum(area).alias("auc"))
 
 
 def partial_pr_auc(df: DataFrame, score: str, label: str, min_precision: float = 0.7, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., auc): area of the curve's segments whose both ends lie above a precision."""
+    """(by..., auc): area of the curve's segments whose both ends lie above a precision; 0 without positives."""
     area = (F.col("recall") - F.col("recall0")) * (F.col("precision") + F.col("precision0")) / 2
     inside = (F.col("precision") > min_precision) & (F.col("precision0") > min_precision)
     return _steps(df, score, label, by).groupBy(*by).agg(
@@ -139,10 +139,10 @@ def recall_at_precision(df: DataFrame, score: str, label: str, levels: Sequence[
     """
     by = list(by)
     points = cumulative_hits(df, score, label, by).select(
-        *by, "score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("pos")).alias("recall")
+        *by, "score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), F.try_divide("tp", "pos").alias("recall")
     )
     best = points.groupBy(*by).agg(*[
-        F.max(F.when(F.col("precision") >= level, F.struct("recall", (-F.col("score")).alias("t")))).alias(f"l{k}")
+        F.max(F.when((F.col("precision") >= level) & F.col("recall").isNotNull(), F.struct("recall", (-F.col("score")).alias("t")))).alias(f"l{k}")
         for k, level in enumerate(levels)
     ])
     rows = F.explode(F.array(*[
@@ -168,17 +168,18 @@ def auc_over_folds(df: DataFrame, score: str, label: str, fold: str) -> DataFram
 
 
 def roc_points(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., threshold, fpr, tpr): one point per distinct score (the origin is implied)."""
+    """(by..., threshold, fpr, tpr): one point per distinct score (the origin is implied). A rate of a
+    class without rows is NULL."""
     return cumulative_hits(df, score, label, by).select(
-        *by, F.col("score").alias("threshold"), (F.col("fp") / F.col("neg")).alias("fpr"), (F.col("tp") / F.col("pos")).alias("tpr")
+        *by, F.col("score").alias("threshold"), F.try_divide("fp", "neg").alias("fpr"), F.try_divide("tp", "pos").alias("tpr")
     )
 
 
 def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., auc): area under the ROC curve."""
+    """(by..., auc): area under the ROC curve; NULL if a class has no rows."""
     by = list(by)
     hits = cumulative_hits(df, score, label, by)
-    area = (F.col("n") / F.col("neg")) * ((2 * F.col("tp") - F.col("p")) / F.col("pos")) / 2
+    area = F.try_divide("n", "neg") * F.try_divide(2 * F.col("tp") - F.col("p"), F.col("pos")) / 2
     return hits.groupBy(*by).agg(F.sum(area).alias("auc"))
 
 
@@ -189,7 +190,8 @@ def mean_roc(df: DataFrame, score: str, label: str, fold: str, points: int = GRI
     ``points`` rows per fold, and no range join.
     """
     last = points - 1
-    hits = cumulative_hits(df, score, label, [fold])
+    hits = cumulative_hits(df.select(F.col(fold).alias("_fold"), F.col(score).alias("_score"), F.col(label).alias("_label")), "_score", "_label", ["_fold"])
+    hits, fold = hits.where("pos > 0 AND neg > 0"), "_fold"  # a fold without one of the classes has no curve
     n, neg, fp0 = F.col("n"), F.col("neg"), F.col("fp") - F.col("n")
     start = F.expr(f"({last} * (fp - n) + neg - 1) div neg")
     stop = F.expr(f"({last} * fp + neg - 1) div neg") - 1

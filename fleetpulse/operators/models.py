@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, Imputer, PCAModel, StandardScaler, VectorAssembler
@@ -24,11 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.scalars import stable_hash
-from fleetpulse.operators.evaluate import auc_over_folds, pr_auc, recall_at_precision, top_metrics
-from fleetpulse.operators.folds import day_splits, gap_hold_out, gap_schedule
+from fleetpulse.operators.evaluate import auc_over_folds, pr_auc, recall_at_precision, roc_auc, top_metrics
+from fleetpulse.operators.folds import contiguous_folds, day_splits, gap_hold_out, gap_schedule
 from fleetpulse.operators.pairs import silhouettes
 from fleetpulse.operators.prep import balance
-from fleetpulse.operators.ranking import hash_sample
 from fleetpulse.session import staged
 
 LABEL = "label"
@@ -73,19 +72,37 @@ def gradient_boosting(
     )
 
 
-def logistic(c: float, n_rows: int, max_iter: int = 100) -> LogisticRegression:
-    """``c`` is the inverse penalty summed over rows; Spark's penalty is per row."""
-    return LogisticRegression(labelCol=LABEL, regParam=1.0 / (c * n_rows), maxIter=max_iter)
+@dataclass(frozen=True)
+class Penalised:
+    """A linear estimator whose penalty is summed over rows; Spark's is per row, so it is set by the
+    number of training rows of each fit."""
 
+    estimator: Estimator
+    penalty: float
 
-def linear_svm(c: float, n_rows: int, max_iter: int = 100) -> LinearSVC:
+    def sized(self, n_rows: int) -> Estimator:
+        return self.estimator.copy({self.estimator.regParam: self.penalty / max(n_rows, 1)})
+
+
+def sized(stages: Sequence, df: DataFrame) -> list:
+    """The stages with penalties for the rows of ``df``, which are counted if any stage needs it."""
+    n = df.count() if any(isinstance(s, Penalised) for s in stages) else 0
+    return [s.sized(n) if isinstance(s, Penalised) else s for s in stages]
+
+
+def logistic(c: float, max_iter: int = 500) -> Penalised:
+    """``c`` is the inverse penalty summed over rows."""
+    return Penalised(LogisticRegression(labelCol=LABEL, maxIter=max_iter), 1.0 / c)
+
+
+def linear_svm(c: float, max_iter: int = 100) -> Penalised:
     """Linear support vectors with an L2 penalty; give it probabilities with ``Calibrated``."""
-    return LinearSVC(labelCol=LABEL, regParam=1.0 / (c * n_rows), maxIter=max_iter)
+    return Penalised(LinearSVC(labelCol=LABEL, maxIter=max_iter), 1.0 / c)
 
 
-def ridge(alpha: float, n_rows: int) -> LinearRegression:
+def ridge(alpha: float) -> Penalised:
     """Ridge classifier: least squares on -1/+1 targets (column ``signed``)."""
-    return LinearRegression(labelCol="signed", regParam=alpha / n_rows, elasticNetParam=0.0)
+    return Penalised(LinearRegression(labelCol="signed", elasticNetParam=0.0), alpha)
 
 
 def with_signed_label(df: DataFrame) -> DataFrame:
@@ -119,7 +136,8 @@ class Calibrated:
         marked = signed.withColumn("_cf", F.conv(F.substring(stable_hash(*self.ids), 1, 6), 16, 10).cast("long") % self.folds)
         margins = None
         for f in range(self.folds):
-            part = Pipeline(stages=self.stages).fit(marked.where(F.col("_cf") != f))
+            rest = marked.where(F.col("_cf") != f)
+            part = Pipeline(stages=sized(self.stages, rest)).fit(rest)
             one = scored(part, marked.where(F.col("_cf") == f), "margin").select(LABEL, "margin")
             margins = one if margins is None else margins.unionByName(one)
         platt = Pipeline(stages=[
@@ -127,7 +145,7 @@ class Calibrated:
             LogisticRegression(labelCol=LABEL, featuresCol="margin_vec"),
         ])
         self.sigmoid = platt.fit(margins)
-        self.model = Pipeline(stages=self.stages).fit(signed)
+        self.model = Pipeline(stages=sized(self.stages, signed)).fit(signed)
         return self
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
@@ -142,7 +160,7 @@ class Plain:
     model: PipelineModel | None = field(default=None)
 
     def fit(self, df: DataFrame) -> Plain:
-        self.model = Pipeline(stages=self.stages).fit(with_signed_label(df))
+        self.model = Pipeline(stages=sized(self.stages, df)).fit(with_signed_label(df))
         return self
 
     def score(self, df: DataFrame, name: str = "score") -> DataFrame:
@@ -196,6 +214,14 @@ def fold_scores(splits: DataFrame, make: Maker) -> DataFrame:
     return out
 
 
+def plain_splits(df: DataFrame, row_id: str, k: int = 5) -> DataFrame:
+    """``split`` and ``role`` over contiguous folds of the rows in order of ``row_id``, for ``fold_scores``."""
+    folds = contiguous_folds(df.select(row_id), row_id, k)
+    marked = df.join(folds, row_id).withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    role = F.when(F.col("split") == F.col("fold"), "test").otherwise("train")
+    return marked.withColumn("role", role).drop("fold")
+
+
 def top_metrics_cv(scores: DataFrame, row_id: str, ratio: float) -> DataFrame:
     """(precision, recall, f1): top-share metrics averaged over splits."""
     scores = staged(scores, "scores")
@@ -242,6 +268,23 @@ def compare_models(
     return recall_at_precision(out, "score", LABEL, levels, ["model"]).join(pr_auc(out, "score", LABEL, ["model"]), "model")
 
 
+def compare_roc(
+    df: DataFrame, makers: Mapping[str, Maker], ids: Sequence[str], row_id: str, ratio: float = 0.2, day: str = "day_0", k: int = 5
+) -> DataFrame:
+    """(model, auc, precision, recall, f1, best): area under the ROC curve from pooled scores and top-share
+    metrics of several classifiers on the same splits; the best has the highest F1 (first name on a tie)."""
+    splits = staged(day_splits(df, LABEL, ids, day, k), "splits")
+    out = None
+    for name, make in makers.items():
+        scores = staged(fold_scores(splits, make), "scores")
+        one = top_metrics_cv(scores, row_id, ratio).withColumn("auc", roc_auc(scores, "score", LABEL).scalar())
+        one = one.select(F.lit(name).alias("model"), "auc", "precision", "recall", "f1")
+        out = one if out is None else out.unionByName(one)
+    out = staged(out, "models")
+    top = out.agg(F.min_by("model", F.struct(-F.coalesce("f1", F.lit(-1.0)), "model")).alias("m")).scalar()
+    return out.withColumn("best", F.col("model") == top)
+
+
 def hold_out_metrics(
     df: DataFrame, make: Maker, ids: Sequence[str], hold_days: int, gap_days: int, ratio: float = 0.2
 ) -> DataFrame:
@@ -395,14 +438,12 @@ def clustered(model: KMeansModel, df: DataFrame, vec: str) -> DataFrame:
     return model.transform(prepared).withColumnRenamed("prediction", "cluster").drop("features")
 
 
-def silhouette_by_k(df: DataFrame, row_id: str, vec: str, ks: Sequence[int], sample: int | None = None, seed: int = SEED) -> DataFrame:
-    """(k, sse, silhouette): inertia and mean exact silhouette of each k, optionally on a sample."""
+def silhouette_by_k(df: DataFrame, row_id: str, vec: str, ks: Sequence[int], seed: int = SEED) -> DataFrame:
+    """(k, sse, silhouette): inertia and mean exact silhouette of each k, over all rows."""
     out = None
     for k in ks:
         model = k_means(df, vec, k, seed)
         marked = clustered(model, df, vec).select(row_id, vec, "cluster")
-        if sample is not None:
-            marked = staged(hash_sample(marked, [row_id], F.lit(sample), seed), "sample")
         mean = silhouettes(marked, row_id, vec, "cluster").agg(F.avg("silhouette").alias("silhouette"))
         one = mean.select(F.lit(k).alias("k"), F.lit(float(model.summary.trainingCost)).alias("sse"), "silhouette")
         out = one if out is None else out.unionByName(one)
@@ -410,7 +451,7 @@ def silhouette_by_k(df: DataFrame, row_id: str, vec: str, ks: Sequence[int], sam
 
 
 def silhouette_by_variance(
-    df: DataFrame, row_id: str, vec: str, shares: Sequence[float], ks: Sequence[int], sample: int | None = None
+    df: DataFrame, row_id: str, vec: str, shares: Sequence[float], ks: Sequence[int]
 ) -> DataFrame:
     """(retained, components, k, sse, silhouette) for several shares of retained variance."""
     prepared = df.withColumn("_v", array_to_vector(F.transform(vec, lambda x: x.cast("double"))))
@@ -419,7 +460,7 @@ def silhouette_by_variance(
     for share in shares:
         n = components_for(table, share)
         low = staged(project(prepared, model, "_v", n).select(row_id, "pca"), "projected")
-        one = silhouette_by_k(low, row_id, "pca", ks, sample)
+        one = silhouette_by_k(low, row_id, "pca", ks)
         one = one.select(F.lit(float(share)).alias("retained"), F.lit(n).alias("components"), "k", "sse", "silhouette")
         out = one if out is None else out.unionByName(one)
     return out

@@ -127,13 +127,13 @@ def pair_sums(points: DataFrame, row_id: str, vec: str, grp: str, block_rows: in
 
 
 def unit_variance(points: DataFrame, vec: str) -> DataFrame:
-    """Vectors divided by each dimension's sample standard deviation."""
+    """Vectors divided by each dimension's sample standard deviation; 0 in a constant dimension."""
     stds = (
         points.select(F.posexplode(vec).alias("k", "x")).groupBy("k").agg(F.stddev_samp("x").alias("s"))
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda e: e["s"]).alias("stds"))
     )
     return points.withColumn("_stds", stds.scalar()).withColumn(
-        vec, F.zip_with(vec, "_stds", lambda x, s: x / s)
+        vec, F.zip_with(vec, "_stds", lambda x, s: F.when(s > 0, x / s).otherwise(F.lit(0.0)))
     ).drop("_stds")
 
 
@@ -358,21 +358,23 @@ def energy_test(
 
 def repeated_energy_test(
     points: DataFrame, row_id: str, vec: str, grp: str, replicates: int = 99, alpha: float = 1,
-    repeats: int = 10, sample_size: int = 10000, similar: bool = False, block_rows: int = BLOCK_ROWS,
+    repeats: int = 10, sample_size: int | None = None, similar: bool = False, block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """One row per repeat: the test on fresh subsamples of each sample.
 
-    ``similar`` is the control: both subsamples come from X. A sample smaller than
-    ``sample_size`` bounds the size of both.
+    ``sample_size`` rows are drawn from each sample, all of them by default; it must not exceed a
+    sample. ``similar`` is the control: both subsamples come from X, by default two halves of it.
     """
     check_bootstrap(replicates, alpha)
     x, y = points.where(F.col(grp) == "X"), points.where(F.col(grp) == "Y")
-    nx, ny = x.agg(F.count("*").alias("n")).scalar(), y.agg(F.count("*").alias("n")).scalar()
+    nx, ny = x.count(), y.count()
+    if sample_size is not None and sample_size > (nx // 2 if similar else min(nx, ny)):
+        raise ValueError(f"sample_size {sample_size} exceeds a sample")
     out = None
     for q in range(repeats):
         seed = 1000 * (q + 1)
         if similar:
-            half = F.least(F.lit(sample_size), F.floor(nx / 2))
+            half = F.lit(sample_size or nx // 2)
             both = hash_sample(x, [row_id], 2 * half, seed)
             # a second hash splits the drawn rows into two halves of equal size
             left = hash_sample(both, [row_id], half, seed + 1).select(row_id)
@@ -380,8 +382,8 @@ def repeated_energy_test(
                 grp, F.when(F.col("_x") == 1, "X").otherwise("Y")
             ).drop("_x")
         else:
-            size = F.least(F.lit(sample_size), nx, ny)
-            sample = hash_sample(x, [row_id], size, seed).unionByName(hash_sample(y, [row_id], size, seed))
+            drawn_x, drawn_y = F.lit(sample_size or nx), F.lit(sample_size or ny)
+            sample = hash_sample(x, [row_id], drawn_x, seed).unionByName(hash_sample(y, [row_id], drawn_y, seed))
         # drawn once: the statistic reads the sample several times
         drawn = staged(sample.select(row_id, vec, grp), "sample")
         stats = energy_statistics(drawn, row_id, vec, grp, replicates, seed, block_rows)

@@ -7,6 +7,7 @@ whole hot group.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from fleetpulse.functions.scalars import hash_bucket, stable_hash
 from fleetpulse.session import staged
 
-#: the order is cut into at most CUTS_PER_LEVEL ** 2 ranges
+#: the order is cut into at least CUTS_PER_LEVEL ** 2 ranges, and into more of them as rows grow
 CUTS_PER_LEVEL = 12
+ROWS_PER_RANGE = 500_000
 
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -42,20 +44,20 @@ def running_totals(
     sums: Sequence[str],
     by: Sequence[str] = (),
     descending: bool = False,
-    per_level: int = CUTS_PER_LEVEL,
+    per_level: int | None = None,
     stage: bool = True,
 ) -> DataFrame:
     """Inclusive running totals ``cum_<s>`` along ``order`` inside each ``by`` group.
 
     ``df`` holds one row per (by, order) value, i.e. it is already aggregated; it is read
     three times and therefore written once (``stage=False`` if the caller did). The order is
-    cut at approximate quantiles into about ``per_level`` squared ranges; offsets of the
-    ranges come from a table of at most that many rows per group, so a group of any size is
+    cut at approximate quantiles into about ``per_level`` squared ranges (by default so many that
+    a range has about ``ROWS_PER_RANGE`` rows); offsets of the ranges come from a table of at most that many rows per group, so a group of any size is
     spread over many tasks. The result is exact whatever the quality of the cut points.
     """
     by = list(by)
-    m = per_level
     df = staged(df, "counts") if stage else df
+    m = per_level or max(CUTS_PER_LEVEL, math.ceil(math.sqrt(df.count() / ROWS_PER_RANGE)))
     cuts = [(i + 1) / (m * m) for i in range(m * m - 1)]
     bounds = df.groupBy(*by).agg(F.percentile_approx(order, cuts, 10 * m * m).alias("_bounds"))
     if by:
@@ -114,7 +116,7 @@ def kth_hash(df: DataFrame, ids: Sequence[str], k: Column, seed: int = 0) -> Dat
 
 
 def hash_sample(df: DataFrame, ids: Sequence[str], k: Column, seed: int = 0) -> DataFrame:
-    """Exactly min(k, n) rows, drawn without replacement in stable-hash order.
+    """Exactly min(k, n) rows, drawn without replacement in stable-hash order; ``ids`` must be unique.
 
     The wide rows are only filtered against one threshold; nothing wide is shuffled.
     """
@@ -124,13 +126,15 @@ def hash_sample(df: DataFrame, ids: Sequence[str], k: Column, seed: int = 0) ->
 
 
 def top_by_score(df: DataFrame, score: str, row_id: str, k: Column) -> DataFrame:
-    """The ``k`` best-scored rows; ties at the last place go to the smaller id.
+    """The ``k`` best-scored rows, all scored rows if there are fewer; ties at the last place go to the
+    smaller id. Rows with a NULL score are never among them.
 
     The cut score comes from counts per distinct score, the cut id from the rows tied at
     that score; the rows themselves are only filtered.
     """
-    counts = df.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
-    curve = running_totals(counts, "s", ["n"], descending=True).withColumn("k", k.cast("long"))
+    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
+    scored = df.agg(F.count(score)).scalar()
+    curve = running_totals(counts, "s", ["n"], descending=True).withColumn("k", F.least(k.cast("long"), scored))
     edge = curve.where((F.col("cum_n") >= F.col("k")) & (F.col("cum_n") - F.col("n") < F.col("k")))
     cut = edge.select("s").scalar()
     need = edge.select(F.col("k") - F.col("cum_n") + F.col("n")).scalar()

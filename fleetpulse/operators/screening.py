@@ -84,17 +84,21 @@ def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(a, b, n, corr): Pearson correlation of every column pair over rows where both are known."""
+    """(a, b, n, corr): Pearson correlation of every column pair over rows where both are known.
+
+    NULL where a column is constant there, or where no row knows both.
+    """
     m = pair_moments(df, cols)
     n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
-    vx, vy = F.col("sxx") - sx * sx / n, F.col("syy") - sy * sy / n
-    cov = F.col("sxy") - sx * sy / n
+    over = lambda x: F.try_divide(x, n)  # noqa: E731  NULL for columns that are never known together
+    vx, vy = F.col("sxx") - over(sx * sx), F.col("syy") - over(sy * sy)
+    cov = F.col("sxy") - over(sx * sy)
     # a constant column leaves only rounding noise in its variance
     flat = (vx <= 1e-12 * F.col("sxx")) | (vy <= 1e-12 * F.col("syy")) | (vx <= 0) | (vy <= 0)
     names = F.array(*[F.lit(c) for c in cols])
     return m.select(
         names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), n.cast("long").alias("n"),
-        F.when(~flat, cov / F.sqrt(vx * vy)).alias("corr"),
+        F.when(~flat, F.try_divide(cov, F.sqrt(vx * vy))).alias("corr"),
     )
 
 
@@ -125,20 +129,16 @@ def strong_pairs(df: DataFrame, cols: Sequence[str], threshold: float = 0.9) ->
     return df.sparkSession.createDataFrame(data, "a string, b string, corr double, identical boolean")
 
 
-def group_pairs(pairs: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(kind, head, member): correlated and identical pairs gathered under a head column.
+def group_pairs(pairs: DataFrame) -> DataFrame:
+    """(kind, head, member): every column of a strong pair under the head it can be replaced by.
 
-    Pairs come in column order. A pair joins the group of whichever of its columns is
-    already a head (later column first); otherwise the later column becomes a head.
+    The head of a column is the smallest name among its partners of the same kind; columns that
+    have no smaller partner are heads themselves and are not listed as members.
     """
-    position = {c: k for k, c in enumerate(cols)}
-    heads: dict[tuple[str, str], list[str]] = {}
-    for r in sorted(pairs.collect(), key=lambda r: (position[r.b], position[r.a])):
-        kind = "identical" if r.identical else "correlated"
-        head, member = (r.a, r.b) if (kind, r.a) in heads and (kind, r.b) not in heads else (r.b, r.a)
-        heads.setdefault((kind, head), []).append(member)
-    data = [(kind, head, m) for (kind, head), members in heads.items() for m in members]
-    return pairs.sparkSession.createDataFrame(data, "kind string, head string, member string")
+    kind = F.when(F.col("identical"), "identical").otherwise("correlated")
+    ends = F.explode(F.array(F.struct(F.col("a").alias("member"), F.col("b").alias("head")), F.struct(F.col("b").alias("member"), F.col("a").alias("head"))))
+    sides = pairs.select(kind.alias("kind"), ends.alias("e")).select("kind", "e.*")
+    return sides.groupBy("kind", "member").agg(F.min("head").alias("head")).where("head < member").select("kind", "head", "member")
 
 
 def identical_to_drop(pairs: DataFrame) -> DataFrame:
@@ -152,7 +152,8 @@ def identical_to_drop(pairs: DataFrame) -> DataFrame:
 def rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """(a, b, pearson, spearman) of the listed column pairs over rows where both are known.
 
-    Rows are first counted per (pair, x, y); ranks come from distributed running counts.
+    Rows are first counted per (pair, x, y); ranks come from distributed running counts. A constant
+    column has no correlation (NULL).
     """
     entries = F.array(*[
         F.struct(F.lit(k).alias("k"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
@@ -177,8 +178,19 @@ def rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
 
     def corr(a: str, b: str):
         p, q = F.col(a) - F.col(f"m_{a}"), F.col(b) - F.col(f"m_{b}")
-        return F.sum(F.col("w") * p * q) / F.sqrt(F.sum(F.col("w") * p * p) * F.sum(F.col("w") * q * q))
+        return F.try_divide(F.sum(F.col("w") * p * q), F.sqrt(F.sum(F.col("w") * p * p) * F.sum(F.col("w") * q * q)))
 
     left, right = F.array(*[F.lit(a) for a, _ in pairs]), F.array(*[F.lit(b) for _, b in pairs])
     out = both.join(mean, "k").groupBy("k").agg(corr("x", "y").alias("pearson"), corr("rx", "ry").alias("spearman"))
     return out.select(left[F.col("k")].alias("a"), right[F.col("k")].alias("b"), "pearson", "spearman")
+
+
+def key_correlations(df: DataFrame, key: str, candidates: Sequence[str], suffixes: Sequence[str]) -> DataFrame:
+    """(suffix, candidate, pearson, spearman) of a key measure with each candidate, per time suffix.
+
+    Columns are named ``<measure>_<suffix>``; measures without a column for a suffix are left out.
+    """
+    have = set(df.columns)
+    listed = [(f"{key}_{s}", f"{c}_{s}", s, c) for s in suffixes for c in candidates if c != key and {f"{key}_{s}", f"{c}_{s}"} <= have]
+    names = df.sparkSession.createDataFrame([(a, b, s, c) for a, b, s, c in listed], "a string, b string, suffix string, candidate string")
+    return rank_correlations(df, [(a, b) for a, b, _, _ in listed]).join(names, ["a", "b"]).select("suffix", "candidate", "pearson", "spearman")

@@ -157,13 +157,13 @@ def binned(df: DataFrame, col: str, n_bins: int, name: str = "bin") -> DataFrame
 
 
 def class_histogram(df: DataFrame, col: str, label: str, n_bins: int = 10) -> DataFrame:
-    """(bin, sick_pct, healthy_pct): share of each class per bin, in percent."""
+    """(bin, sick_pct, healthy_pct): share of each class per bin, in percent; NULL for a class without rows."""
     cells = binned(df, col, n_bins).where(F.col("bin").isNotNull()).groupBy("bin").agg(
         F.count_if(F.col(label) == 1).alias("s"), F.count_if(F.col(label) == 0).alias("h")
     )
     totals = cells.agg(F.struct(F.sum("s").alias("s"), F.sum("h").alias("h")).alias("t"))
     return cells.withColumn("t", totals.scalar()).select(
-        "bin", (100.0 * F.col("s") / F.col("t.s")).alias("sick_pct"), (100.0 * F.col("h") / F.col("t.h")).alias("healthy_pct")
+        "bin", F.try_divide(100.0 * F.col("s"), F.col("t.s")).alias("sick_pct"), F.try_divide(100.0 * F.col("h"), F.col("t.h")).alias("healthy_pct")
     )
 
 
@@ -211,8 +211,7 @@ def week_histogram(df: DataFrame, col: str, weekend: str, n_bins: int = 1000) ->
     slot = F.when(F.col("hi") == F.col("lo"), F.lit(1)).otherwise(
         F.least(F.floor((F.col("x") - F.col("lo")) / width) + 1, F.lit(n_bins))
     ).cast("int")
-    # two groups: the span table is two rows, whatever the data
-    cells = base.join(F.broadcast(span), "grp").groupBy("grp", slot.alias("bin"), "lo", "hi", "total").agg(F.count("*").alias("n"))
+    cells = base.join(span, "grp").groupBy("grp", slot.alias("bin"), "lo", "hi", "total").agg(F.count("*").alias("n"))
     return cells.select("grp", "bin", "n", F.when(width > 0, F.col("n") / F.col("total") / width).alias("density"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from datetime import date, timedelta
 
@@ -13,8 +14,6 @@ from pyspark.sql import types as T
 from fleetpulse import schemas as S
 from fleetpulse.operators.ranking import dense_index
 
-MAX_LOG_TEXT = 4000
-
 
 def append(df: DataFrame, path: str, partition: Sequence[str] = ("day_0",)) -> None:
     """Append a result to a table partitioned by day."""
@@ -44,19 +43,29 @@ def partition_days(spark: SparkSession, path: str, day: str = "day_0") -> DataFr
 
 
 def drain(spark: SparkSession, source: str, target: str, schema: T.StructType = S.RUN_LOG) -> None:
-    """Append everything at ``source`` to ``target``, then leave ``source`` empty."""
-    rows = spark.read.schema(schema).parquet(source)
-    rows.write.mode("append").parquet(target)
-    overwrite(spark.createDataFrame([], schema), source)
+    """Move the lines that are at ``source`` now to ``target`` (partitioned by ``batch``).
+
+    The files are listed first, and exactly those are copied and deleted, so lines that arrive
+    meanwhile stay for the next drain. The batch is named after its files: a drain that failed half
+    way and runs again replaces its own batch instead of appending twice.
+    """
+    files = sorted(spark.read.schema(schema).parquet(source).inputFiles())
+    if not files:
+        return
+    batch = hashlib.sha256("\n".join(files).encode()).hexdigest()[:16]
+    rows = spark.read.schema(schema).parquet(*files).withColumn("batch", F.lit(batch))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(target)
+    for file in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
 def log_lines(lines: DataFrame, path: str) -> None:
-    """Append (log_text, is_error, is_done) rows to the run log, stamped now; text is cut at
-    4000 characters."""
+    """Append (log_text, is_error, is_done) rows to the run log, stamped now; the text is kept whole."""
     lines.select(
         F.current_timestamp().alias("log_date"),
         F.col("is_error").cast("int").alias("is_error"),
-        F.substring("log_text", 1, MAX_LOG_TEXT).alias("log_text"),
+        "log_text",
         F.col("is_done").cast("int").alias("is_done"),
     ).write.mode("append").parquet(path)
 

@@ -152,8 +152,8 @@ def test_near_zero_variance_and_correlation(spark):
     assert corr[("x", "twice")] == pytest.approx(1.0) and corr[("flat", "x")] is None
     pairs = SC.strong_pairs(df, cols)
     assert {(r.a, r.b, r.identical) for r in pairs.collect()} == {("x", "x_copy", True), ("x", "twice", False), ("x_copy", "twice", False)}
-    groups = {(r.kind, r["head"], r.member) for r in SC.group_pairs(pairs, cols).collect()}
-    assert groups == {("identical", "x_copy", "x"), ("correlated", "twice", "x"), ("correlated", "twice", "x_copy")}
+    groups = {(r.kind, r["head"], r.member) for r in SC.group_pairs(pairs).collect()}
+    assert groups == {("identical", "x", "x_copy"), ("correlated", "twice", "x"), ("correlated", "twice", "x_copy")}
     assert [r.column for r in SC.identical_to_drop(pairs).collect()] == ["x_copy"]
 
 
