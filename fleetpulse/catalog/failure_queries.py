@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetpulse import schemas as S
 from fleetpulse.catalog.inputs import DAY, Inputs
 from fleetpulse.catalog.registry import query
+from fleetpulse.catalog.sql_views import MODEL_CASE
 from fleetpulse.functions.scalars import hash_unit, stable_hash
 from fleetpulse.functions.series import series, series_table
 from fleetpulse.operators import checks, labels as L
@@ -17,7 +18,7 @@ from fleetpulse.operators.windows import day_differences_by_pivot
 from fleetpulse.plans.failures import failing_devices, labelled_sample, random_ids
 from fleetpulse.session import new_table_path
 from fleetpulse.sources import sinks
-from fleetpulse.sources.tables import interactions_of_day, keep_labelled_days, normalise_sample
+from fleetpulse.sources.tables import interactions_of_day, keep_labelled_days, normalise_sample, read_sample
 
 D0 = f"DATE '{DAY}'"
 INTERNET = "SELECT *, CAST(calendar_date AS DATE) AS m_day FROM milestones WHERE upper(process_flow) = 'INTERNET'"
@@ -173,9 +174,10 @@ def _(t: Inputs) -> DataFrame:
     return random_ids(_draws(t), t.device_day.agg(F.max("seq_id")).scalar())
 
 
-@query("set2_distinct_drawn_ids", f"SELECT seq_id FROM ({DRAWS})")
+@query("set2_distinct_drawn_ids", f"SELECT seq_id FROM (SELECT seq_id FROM ({DRAWS}) UNION ALL SELECT seq_id FROM device_day WHERE day_0 = {D0}) GROUP BY seq_id")
 def _(t: Inputs) -> DataFrame:
-    return random_ids(_draws(t), t.device_day.agg(F.max("seq_id")).scalar()).distinct()
+    today = t.device_day.where(F.col("day_0") == F.lit(DAY)).select("seq_id")
+    return random_ids(_draws(t), t.device_day.agg(F.max("seq_id")).scalar()).unionAll(today).dropDuplicates(["seq_id"])
 
 
 @query("fn20_uniform_numbers", f"SELECT event_id, {_UNIT.format(seed=7, x='event_id')} / 4294967296.0::DOUBLE AS u FROM events", ["u"], 9)
@@ -229,14 +231,23 @@ def _raw(t: Inputs) -> DataFrame:
     )
 
 
-@query("src9_imported_sample", """SELECT CAST(isodow(day_0) - 1 AS INTEGER) AS weekday, mac, day_0,
- CASE hardware_model WHEN 'CONNECT BOX CH7465LG COMPAL' THEN 0 WHEN 'UBEE EVM3206 (ED 3.0) - CPE' THEN 1
- WHEN 'WLAN MODEM EVW3226 - CPE' THEN 3 WHEN 'WLAN MODEM TC7200 - CPE' THEN 4 END AS hardware_model, milestone_name, offline_pct
- FROM device_day WHERE day_0 IN (SELECT day_0 FROM device_day WHERE milestone_name IS NOT NULL)""", ["offline_pct"])
+_SAMPLE = f"""SELECT CAST(isodow(day_0) - 1 AS INTEGER) AS weekday, mac, day_0, {MODEL_CASE} AS hardware_model, milestone_name, offline_pct
+ FROM device_day WHERE day_0 IN (SELECT day_0 FROM device_day WHERE milestone_name IS NOT NULL)"""
+
+
+@query("src9_imported_sample", _SAMPLE, ["offline_pct"])
 def _(t: Inputs) -> DataFrame:
     return normalise_sample(_raw(t))
 
 
+@query("src9_imported_csv", _SAMPLE, ["offline_pct"])
+def _(t: Inputs) -> DataFrame:
+    path = new_table_path(t.spark, "sample-csv")
+    raw = _raw(t)
+    raw.write.option("header", True).csv(path)
+    return read_sample(t.spark, path, raw.schema)
+
+
 @query("flt9_labelled_days", "SELECT mac, day_0 FROM device_day WHERE day_0 IN (SELECT day_0 FROM device_day WHERE milestone_name IS NOT NULL)")
 def _(t: Inputs) -> DataFrame:
     return keep_labelled_days(t.device_day).select("mac", "day_0")

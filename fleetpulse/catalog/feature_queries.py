@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fleetpulse import schemas as S
 from fleetpulse.catalog.inputs import Inputs
 from fleetpulse.catalog.registry import query
+from fleetpulse.catalog.sql_views import MODEL_CASE
 from fleetpulse.functions.scalars import binary_label
 from fleetpulse.operators import prep as P
 from fleetpulse.operators import screening as SC
@@ -18,8 +19,6 @@ from fleetpulse.sources.tables import normalise_sample
 NUM = ["qty", "price", "disc", "tax", "qty_copy", "twice", "rare", "disc_known", "tax_known"]
 DAILY = list(S.DEVICE_DAILY)
 KEEP = [f for f in S.feature_columns() if f not in S.redundant_features()]
-MODEL_CASE = """CASE hardware_model WHEN 'CONNECT BOX CH7465LG COMPAL' THEN 0 WHEN 'UBEE EVM3206 (ED 3.0) - CPE' THEN 1
- WHEN 'WLAN MODEM EVW3226 - CPE' THEN 3 WHEN 'WLAN MODEM TC7200 - CPE' THEN 4 END"""
 
 
 def long_sql(cols: list[str], table: str = "wide") -> str:
@@ -288,11 +287,12 @@ def _(t: Inputs) -> DataFrame:
 _RANK_PAIRS = [("qty", "price"), ("qty", "twice"), ("disc", "tax_known"), ("disc_known", "tax_known")]
 
 
-def _rank_sql(a: str, b: str) -> str:
+def _rank_sql(a: str, b: str, table: str = "wide", head: str = "") -> str:
+    head = head or f"'{a}' AS a, '{b}' AS b"
     rank = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0::DOUBLE"
     return (
-        f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS pearson, corr(ra, rb) AS spearman FROM ("
-        f"SELECT {a}, {b}, {rank.format(a)} AS ra, {rank.format(b)} AS rb FROM wide WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+        f"SELECT {head}, corr({a}, {b}) AS pearson, corr(ra, rb) AS spearman FROM ("
+        f"SELECT {a}, {b}, {rank.format(a)} AS ra, {rank.format(b)} AS rb FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
     )
 
 
@@ -301,6 +301,16 @@ def _(t: Inputs) -> DataFrame:
     return SC.rank_correlations(t.wide, _RANK_PAIRS)
 
 
+_KEY, _CANDIDATES, _SUFFIXES = "rx_dn", ["snr_up", "snr_dn"], ["1d", "2d"]
+
+
+@query("st3_key_by_suffix", " UNION ALL ".join(
+    _rank_sql(f"{_KEY}_{s}", f"{c}_{s}", "five_day", f"'{s}' AS suffix, '{c}' AS candidate") for s in _SUFFIXES for c in _CANDIDATES
+), ["pearson", "spearman"], 4)
+def _(t: Inputs) -> DataFrame:
+    return SC.key_correlations(t.five_day, _KEY, _CANDIDATES, _SUFFIXES)
+
+
 _NULLABLE = ["cer_dn", "cer_up", "snr_dn", "rx_up", "tx_up"]
 
 

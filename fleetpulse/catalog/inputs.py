@@ -1,8 +1,9 @@
 """The tables the operators take, projected from the TPC-H-like test tables.
 
 They follow ``FIXTURES.md`` with these differences: a device is offline in an hour with an
-error of at least 200, sessions are one user's day, accounts hold several devices, node types
-come from the account balance, and hardware addresses carry a colon to be removed.
+error of at least 200, sessions are one user's day, accounts hold several devices, node types come from the
+account balance, models and problem kinds go round by key, and hardware addresses carry a
+colon to be removed.
 ``sql_views`` holds the same projections in SQL.
 """
 
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetpulse import schemas as S
+from fleetpulse.functions.scalars import FAILURE_KINDS
 from fleetpulse.plans.devices import device_vector
 from fleetpulse.plans.failures import failing_devices
 from fleetpulse.plans.interface import downstream_vector, upstream_vector
@@ -24,14 +26,10 @@ from fleetpulse.operators.windows import day_differences, day_means
 DAY = date(2024, 1, 15)
 ORDER_DAY = date(1998, 6, 15)
 
-# market segment -> device model; the last one is a model with deep sleep
-SEGMENT_MODELS = {
-    "AUTOMOBILE": "CONNECT BOX CH7465LG COMPAL",
-    "BUILDING": "UBEE EVM3206 (ED 3.0) - CPE",
-    "HOUSEHOLD": "WLAN MODEM EVW3226 - CPE",
-    "MACHINERY": "WLAN MODEM TC7200 - CPE",
-    "FURNITURE": "SLEEPING BOX",
-}
+# models of the devices in turn: the supported ones and one with deep sleep
+MODELS = [*S.MODEL_IDS, "SLEEPING BOX"]
+# problem kinds in turn: those that count as a failure and one that doesn't
+KINDS = [*FAILURE_KINDS, "internet.speedtest.start"]
 
 
 def text(x: Column | str) -> Column:
@@ -119,9 +117,7 @@ class Inputs:
 
     @cached_property
     def topo_nodes(self) -> DataFrame:
-        model = F.lit(None).cast("string")
-        for segment, name in SEGMENT_MODELS.items():
-            model = F.when(F.col("c_mktsegment") == segment, F.lit(name)).otherwise(model)
+        model = F.array(*[F.lit(m) for m in MODELS])[(F.col("c_custkey") % len(MODELS)).cast("int")]
         return self.table("customer").select(
             F.concat(F.lit("aa:"), F.lpad(text("c_custkey"), 8, "0")).alias("node_key"),
             model.alias("src_node_model"), text("c_nationkey").alias("src_node_building_id"),
@@ -231,11 +227,13 @@ class Inputs:
             (100.0 * F.avg(F.when(F.col("cm_status") != 8, 1.0).otherwise(0.0))).alias("offline_pct"),
         )
         failing = h.where("cer_up IS NOT NULL").select("mac", F.date_sub("day_0", 1).alias("day_0")).distinct()
+        turn = (F.substring("mac", 3, 8).cast("long") + F.dayofmonth("day_0")) % len(KINDS)
+        kind = F.array(*[F.lit(k) for k in KINDS])[turn.cast("int")]
         models = self.topo_nodes.select(
             F.upper(F.replace("node_key", F.lit(":"), F.lit(""))).alias("mac"), F.col("src_node_model").alias("hardware_model")
         )
         return (
-            daily.join(failing.withColumn("milestone_name", F.lit("internet.noconnection.start")), ["mac", "day_0"], "left")
+            daily.join(failing.withColumn("milestone_name", kind), ["mac", "day_0"], "left")
             .join(models, "mac")
             .withColumn("seq_id", F.substring("mac", 3, 8).cast("long") * 100 + F.dayofmonth("day_0"))
         )

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from fleetpulse import schemas as S
+from fleetpulse.functions.scalars import FAILURE_KINDS
 
+MODEL_CASE = "CASE hardware_model " + " ".join(f"WHEN '{m}' THEN {i}" for m, i in S.MODEL_IDS.items()) + " END"
 _MAC = "lpad(CAST({0} AS VARCHAR), 8, '0')"
 
 
@@ -54,9 +56,7 @@ SELECT DISTINCT 'H' || CAST(user_id % 2 AS VARCHAR), 'G' || CAST(user_id % 5 AS
 
 VIEWS["topo_nodes"] = f"""
 SELECT 'aa:' || {_MAC.format('c_custkey')} AS node_key,
- CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 'CONNECT BOX CH7465LG COMPAL' WHEN 'BUILDING' THEN 'UBEE EVM3206 (ED 3.0) - CPE'
-  WHEN 'HOUSEHOLD' THEN 'WLAN MODEM EVW3226 - CPE' WHEN 'MACHINERY' THEN 'WLAN MODEM TC7200 - CPE'
-  WHEN 'FURNITURE' THEN 'SLEEPING BOX' END AS src_node_model,
+ [{', '.join(f"'{m}'" for m in S.MODEL_IDS)}, 'SLEEPING BOX'][c_custkey % {len(S.MODEL_IDS) + 1} + 1] AS src_node_model,
  CAST(c_nationkey AS VARCHAR) AS src_node_building_id, CAST(c_custkey % 97 AS VARCHAR) AS cly_acct_number,
  CASE WHEN c_acctbal < 0 THEN 1 ELSE 55 END AS topo_node_type_id
 FROM customer"""
@@ -280,8 +280,8 @@ FROM (SELECT mac, CAST(hour_stamp AS DATE) AS day_0, """ + ", ".join(
     f"avg({m}) AS {n}" for m, n in S.DEVICE_MEASURES.items()
 ) + """, 100.0::DOUBLE * avg(CASE WHEN cm_status <> 8 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS offline_pct
  FROM health_hour GROUP BY 1, 2) d
-LEFT JOIN (SELECT DISTINCT mac, CAST(hour_stamp AS DATE) - 1 AS day_0, 'internet.noconnection.start' AS milestone_name
- FROM health_hour WHERE cer_up IS NOT NULL) f ON f.mac = d.mac AND f.day_0 = d.day_0
+LEFT JOIN (SELECT DISTINCT mac, CAST(hour_stamp AS DATE) - 1 AS day_0, [""" + ", ".join(f"'{k}'" for k in FAILURE_KINDS) + """, 'internet.speedtest.start']
+  [(CAST(substr(mac, 3, 8) AS BIGINT) + day(CAST(hour_stamp AS DATE) - 1)) % 4 + 1] AS milestone_name FROM health_hour WHERE cer_up IS NOT NULL) f ON f.mac = d.mac AND f.day_0 = d.day_0
 JOIN topo_nodes t ON upper(replace(t.node_key, ':', '')) = d.mac"""
 
 VIEWS["scored"] = """

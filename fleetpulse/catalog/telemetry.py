@@ -9,7 +9,7 @@ from pyspark.sql.types import StructType
 from fleetpulse import schemas as S
 from fleetpulse.catalog.inputs import DAY, ORDER_DAY, Inputs
 from fleetpulse.catalog.registry import query
-from fleetpulse.catalog.sql_views import DOWN_PATTERN, UP_PATTERN, WINDOW
+from fleetpulse.catalog.sql_views import DOWN_PATTERN, MODEL_CASE, UP_PATTERN, WINDOW
 from fleetpulse.functions import scalars as fn
 from fleetpulse.operators import groups as G
 from fleetpulse.operators import windows as WN
@@ -130,10 +130,13 @@ def _(t: Inputs) -> DataFrame:
     return G.valid_on(G.merged_validity(t.order_history), ORDER_DAY)
 
 
-@query("flt5_any_hour_beyond_cut", "SELECT mac FROM outlier_macs")
+@query("flt5_any_hour_beyond_cut", "SELECT DISTINCT p.mac FROM offline_population p JOIN (SELECT hardware_model, " + ", ".join(
+    f"quantile_disc(\"{h}_unavailable\", 0.8) AS c{h}" for h in range(24)) + " FROM offline_population GROUP BY hardware_model) c"
+    " ON p.hardware_model = c.hardware_model WHERE " + " OR ".join(f"\"{h}_unavailable\" > c{h}" for h in range(24)))
 def _(t: Inputs) -> DataFrame:
+    # strictly above a lower cut, so that devices fall on both sides
     static = G.device_static(t.topo_nodes, t.group_history)
-    return PD.outlier_devices(t.health_hour, static)
+    return PD.outlier_devices(t.health_hour, static, percentile=0.8, strict=True)
 
 
 @query("flt12_weekend_rows", "SELECT mac, day_0, offline_pct FROM device_day WHERE isodow(day_0) >= 6", ["offline_pct"])
@@ -190,9 +193,7 @@ def _(t: Inputs) -> DataFrame:
     return t.events.select("event_id", F.weekday("ts").alias("weekday"))
 
 
-@query("fn9_model_ids", """SELECT mac, CASE hardware_model WHEN 'CONNECT BOX CH7465LG COMPAL' THEN 0
- WHEN 'UBEE EVM3206 (ED 3.0) - CPE' THEN 1 WHEN 'WLAN MODEM EVW3226 - CPE' THEN 3 WHEN 'WLAN MODEM TC7200 - CPE' THEN 4 END AS model
- FROM hw_info""")
+@query("fn9_model_ids", f"SELECT mac, {MODEL_CASE} AS model FROM hw_info")
 def _(t: Inputs) -> DataFrame:
     return G.node_details(t.topo_nodes).select("mac", fn.mapped("hardware_model", S.MODEL_IDS).alias("model"))
 
@@ -412,9 +413,14 @@ def _(t: Inputs) -> DataFrame:
     return _six_hours(t).select("mac", "day_0", "hour_window", *_MISS)
 
 
-@query("agg10_offline_percentages", "SELECT mac, day_0, hour_window, offline_pct FROM six_hours", ["offline_pct"])
+@query("agg10_offline_percentages", f"""SELECT h.mac, CAST(h.hour_stamp AS DATE) AS day_0, {WINDOW.format("h.hour_stamp")} AS hour_window,
+ 100.0::DOUBLE * sum(CASE WHEN h.cm_status <> 8 THEN 1 ELSE 0 END) / 6 AS offline_pct
+ FROM health_hour h JOIN device_info d ON h.mac = d.mac AND CAST(h.hour_stamp AS DATE) BETWEEN CAST(d.v_from AS DATE) AND CAST(d.v_to AS DATE)
+ GROUP BY ALL""", ["offline_pct"])
 def _(t: Inputs) -> DataFrame:
-    return _six_hours(t).select("mac", "day_0", "hour_window", "offline_pct")
+    # outliers included, since they are the devices with offline hours
+    enriched = G.enrich_hours(t.health_hour, G.device_static(t.topo_nodes, t.group_history))
+    return PD.window_rows(enriched).select("mac", "day_0", "hour_window", "offline_pct")
 
 
 @query("pv4_device_by_window", f"SELECT mac, day_0, cmts, service_group, {q(DEVICE_COLS)} FROM cpe_vector", DEVICE_COLS)
