@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from fleetpulse.session import new_table_path, work_folder
 
-__all__ = ["Staged", "prefix_sums", "stage", "work_folder"]
+MARKS = 23
+
+__all__ = ["Staged", "likely", "prefix_sums", "stage", "work_folder"]
 
 
 class Staged:
@@ -59,3 +61,20 @@ def prefix_sums(
     inner = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     running = df.withColumn("__in_bucket", F.coalesce(F.sum(value).over(inner), F.lit(0)))
     return running.join(offsets, keys).withColumn(out, F.col("__bucket_offset") + F.col("__in_bucket")).drop("__bucket_offset", "__in_bucket")
+
+
+def likely(df: DataFrame, value: Column, members: DataFrame, member: Column, name: str = "likely") -> DataFrame:
+    """Add ``name``: false for rows whose long ``value`` is certainly none of the ``member`` values.
+
+    Hashes mark ``2 ** MARKS`` bits, kept in at most ``2 ** (MARKS - 6)`` rows of two longs whatever the data,
+    which is small enough to broadcast. With very many members most bits are set and the flag spares
+    nothing; it never loses a row, and an exact join follows it.
+    """
+    spot = lambda v: F.xxhash64(v).bitwiseAND(2**MARKS - 1)
+    marks = members.select(spot(member).alias("__h")).select(
+        F.expr("shiftright(__h, 6)").alias("__word"), F.expr("shiftleft(1L, cast(__h & 63 as int))").alias("__bit"))
+    marks = marks.groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    df = df.withColumn("__h", spot(value)).withColumn("__word", F.expr("shiftright(__h, 6)"))
+    joined = df.join(F.broadcast(marks), "__word", "left")
+    seen = F.expr("coalesce(shiftrightunsigned(__bits, cast(__h & 63 as int)) & 1, 0) = 1")
+    return joined.withColumn(name, seen).drop("__h", "__word", "__bits")

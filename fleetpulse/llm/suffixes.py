@@ -5,15 +5,15 @@ text, so the arrays hold a sample of the suffixes that content alone chooses: of
 inside a window of ``length`` bytes and have ``PROBE`` bytes in it, the one with the least hash, leftmost
 first. Equal windows choose the same suffix, so a repeated window shows as a repeated sampled suffix.
 Suffixes are ordered by a 64-bit hash of their first ``PROBE`` bytes, which any sorted order of equal
-prefixes serves as well as the lexicographic one, and are kept with a hash of the whole stretch that the
-windows of this suffix span.
+prefixes serves as well as the lexicographic one. A hash of the whole stretch that the windows of a suffix
+span goes along.
 
 Documents come in batches. Each batch becomes a sorted array; it is merge-scanned against every existing
 level for suffixes that both have, and becomes a level of its own; two levels of the same rank merge into
-one of the next, so n batches leave log2(n) levels and a suffix is rewritten log2(n) times. The scans say
-which suffixes repeat, and which of them repeat with their whole stretch: all windows of those are
-repeated. For the remaining repeated suffixes, where a copy ends or begins, the windows are compared one
-by one by hash among the stretches of equal suffixes.
+one of the next, so n batches leave log2(n) levels and a suffix is rewritten log2(n) times. The scans find
+the repeated suffixes. Of those, some repeat with their whole stretch, and so do all its windows. For the
+others, where a copy ends or begins, the windows are compared one by one by hash among the stretches of
+equal suffixes.
 
 Defined results: a null text is empty. Texts shorter than ``length`` keep all bytes. Matches never cross
 texts; both copies of a repeat go, overlapping or not; equal texts repeat each other. Results are per
@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 
 from fleetpulse.llm import tokens
 from fleetpulse.llm.expressions import whole
-from fleetpulse.llm.store import Staged, stage
+from fleetpulse.llm.store import Staged, likely, stage
 
-PROBE = 128
+PROBE = 64
 CROWD = 50_000  # stretches of one suffix that are compared inside one task
 _U = np.uint64
 
@@ -96,7 +96,7 @@ def suffix_table(docs: DataFrame, text: str, length: int, probe: int) -> DataFra
 
 @dataclass
 class SuffixFamily:
-    """Levels of sorted suffix arrays, and what their scans have found."""
+    """Levels of sorted suffix arrays, and the repeated suffixes that their scans have found."""
 
     spark: SparkSession
     levels: list[tuple[int, Staged]] = field(default_factory=list)  # rank and array, largest first
@@ -104,27 +104,15 @@ class SuffixFamily:
 
     @staticmethod
     def _sorted(df: DataFrame) -> Staged:
-        """An array: ``key, seg, n`` in order of the hash of the suffix, in ranges of hashes of it."""
-        return Staged(df.groupBy("key", "seg").agg(F.sum("n").alias("n")).repartition("key").sortWithinPartitions("key", "seg"), "suffix-array")
-
-    @staticmethod
-    def _repeats(array: DataFrame) -> DataFrame:
-        """Within an array: suffixes that occur twice, and how often each stretch does."""
-        keys = array.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
-        return array.where("n > 1").select("key", "seg").unionByName(keys.withColumn("seg", F.lit(None).cast("long")))
-
-    @staticmethod
-    def _scan(new: DataFrame, level: DataFrame) -> DataFrame:
-        """Merge-scan of two arrays: suffixes in both (no ``seg``), and stretches in both."""
-        both = new.select("key").distinct().join(level.select("key").distinct(), "key").withColumn("seg", F.lit(None).cast("long"))
-        return both.unionByName(new.select("key", "seg").join(level.select("key", "seg"), ["key", "seg"]))
+        """An array: each suffix and how often it occurs, in ranges of hashes, sorted."""
+        return Staged(df.groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key"), "suffix-array")
 
     def ingest(self, suffixes: DataFrame) -> None:
         """Add a batch (rows of ``suffix_table``): scan it against all levels, then make it a level."""
-        array = self._sorted(suffixes.groupBy("key", "seg").agg(F.count("*").alias("n")))
-        found = self._repeats(array.df)
-        for _, level in self.levels:
-            found = found.unionByName(self._scan(array.df, level.df))
+        array = self._sorted(suffixes.groupBy("key").agg(F.count("*").alias("n")))
+        found = array.df.where("n > 1").select("key")
+        for _, level in self.levels:  # both sides are sorted by the suffix and merged
+            found = found.unionByName(array.df.select("key").join(level.df.select("key").hint("merge"), "key"))
         self.found.append(Staged(found.distinct(), "suffix-found"))
         self.levels.append((0, array))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
@@ -133,12 +121,12 @@ class SuffixFamily:
             a.discard()
             b.discard()
 
-    def repeated(self) -> tuple[DataFrame, DataFrame]:
-        """Repeated suffixes (``key``), and repeated stretches (``key, seg``)."""
+    def repeated(self) -> DataFrame:
+        """Suffixes (``key``) that occur at least twice in all batches."""
         found = self.found[0].df
         for f in self.found[1:]:
             found = found.unionByName(f.df)
-        return found.select("key").distinct(), found.where("seg IS NOT NULL").distinct()
+        return found.distinct()
 
 
 def _stretches(docs: DataFrame, open_: DataFrame, text: str, length: int) -> DataFrame:
@@ -146,7 +134,9 @@ def _stretches(docs: DataFrame, open_: DataFrame, text: str, length: int) -> Dat
     per_text = open_.groupBy("t", "t2").agg(F.collect_list(F.struct("key", "crowd", "lo", "hi")).alias("parts"))
     texts = docs.select(whole(docs[f"`{text}`"]).alias("__text")).where(F.octet_length("__text") >= length)
     texts = texts.withColumns({"__t": F.xxhash64("__text"), "__t2": F.xxhash64(F.lit(1), "__text")})
-    joined = texts.join(per_text, (F.col("__t") == F.col("t")) & (F.col("__t2") == F.col("t2"))).select("t", "t2", F.encode("__text", "UTF-8").alias("b"), "parts")
+    per_text = stage(per_text, "suffix-parts")
+    texts = likely(texts, F.col("__t"), per_text, F.col("t")).where("likely")
+    joined = texts.join(per_text.hint("merge"), (F.col("__t") == F.col("t")) & (F.col("__t2") == F.col("t2"))).select("t", "t2", F.encode("__text", "UTF-8").alias("b"), "parts")
     cut = lambda p: F.struct(
         p["key"].alias("key"), p["crowd"].alias("crowd"), p["lo"].alias("lo"),
         F.substring(F.col("b"), p["lo"] + 1, p["hi"] - p["lo"] + length).alias("bytes"))
@@ -212,30 +202,38 @@ def repeated_spans(docs: DataFrame, length: int = 400, probe: int = PROBE, batch
     family = SuffixFamily(docs.sparkSession)
     for b in range(batches):
         family.ingest(suffixes.where(F.pmod("t", F.lit(batches)) == b))
-    keys, stretches = family.repeated()
-    keys, stretches = stage(keys, "suffix-keys"), stage(stretches, "suffix-stretches")
-    full = suffixes.join(stretches, ["key", "seg"], "left_semi").select("t", "t2", "lo", "hi").distinct()
-    part = suffixes.join(keys, "key", "left_semi").join(stretches, ["key", "seg"], "left_anti")
+    keys = stage(family.repeated(), "suffix-keys")
+    again = likely(suffixes, F.col("key"), keys, F.col("key")).where("likely").drop("likely")
+    again = stage(again.join(keys.hint("merge"), "key", "left_semi"), "suffix-again")
+    # the same stretch twice: all of its windows are repeated
+    twice = again.groupBy("key", "seg").agg(F.count("*").alias("n")).where("n > 1").select("key", "seg", F.lit(True).alias("twice"))
+    again = stage(again.join(twice.hint("merge"), ["key", "seg"], "left"), "suffix-marked")
+    full, part = again.where("twice"), again.where("twice IS NULL").drop("twice")
     crowds = part.groupBy("key").agg((F.count("*") > CROWD).alias("crowd"))
-    # a suffix whose other copies all repeat whole still needs one of each of those stretches to compare with
+    # windows of the other stretches may also equal windows inside those: one of each is compared too
     sample = (
-        suffixes.join(stretches, ["key", "seg"], "left_semi").join(part.select("key").distinct(), "key", "left_semi")
+        full.join(crowds.select("key").hint("merge"), "key", "left_semi")
         .groupBy("key", "seg").agg(F.min(F.struct("t", "t2", "lo", "hi")).alias("m")).select("key", "m.*")
     )
-    open_ = stage(part.select("key", "t", "t2", "lo", "hi").unionByName(sample).join(crowds, "key"), "suffix-open")
+    open_ = stage(part.select("key", "t", "t2", "lo", "hi").unionByName(sample).join(crowds.hint("merge"), "key"), "suffix-open")
     compared = _compared(_stretches(docs, open_, text, length), length)
-    return full.unionByName(compared).groupBy("t", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
+    whole_ones = full.select("t", "t2", "lo", "hi").distinct()
+    return whole_ones.unionByName(compared).groupBy("t", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
 
 
 def without_repeats(docs: DataFrame, length: int = 400, probe: int = PROBE, batches: int = 4, text: str = "text", keep_text: bool = True) -> DataFrame:
     """Every document (inside ``row``) with ``n_bytes``, ``spans`` (removed bytes, end exclusive),
     ``n_removed``, ``kept_sha256`` and, with ``keep_text``, ``kept``: the remaining bytes."""
-    spans = repeated_spans(docs, length, probe, batches, text)
+    spans = stage(repeated_spans(docs, length, probe, batches, text), "suffix-spans")
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if keep_text or c != text])
     df = docs.select(row.alias("row"), whole(docs[f"`{text}`"]).alias("__text"))
     df = df.withColumns({"__t": F.xxhash64("__text"), "__t2": F.xxhash64(F.lit(1), "__text")})
-    df = df.join(spans, (F.col("__t") == F.col("t")) & (F.col("__t2") == F.col("t2")), "left").select(
-        "row", F.encode("__text", "UTF-8").alias("bytes"), "starts")
+    df = likely(df, F.col("__t"), spans, F.col("t"))
+    same = (F.col("__t") == F.col("t")) & (F.col("__t2") == F.col("t2"))
+    whole_text = F.encode("__text", "UTF-8").alias("bytes")
+    # only texts that may have spans travel to them
+    df = df.where("likely").join(spans.hint("merge"), same, "left").select("row", whole_text, "starts").unionByName(
+        df.where("NOT likely").select("row", whole_text, F.lit(None).cast(spans.schema["starts"].dataType).alias("starts")))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     names = ["row", "n_bytes", "n_removed", "kept_sha256", "spans", *(["kept"] if keep_text else [])]
 

@@ -295,7 +295,7 @@ def test_sharding_prunes(spark):
     assert got[0] <= 8 and got[1] <= 3
 
 
-@pytest.mark.parametrize("length, probe", [(400, 128), (12, 4)])
+@pytest.mark.parametrize("length, probe", [(400, 64), (12, 4)])
 def test_suffixes(twice, odd, nothing, length, probe):
     texts = [r[1] for r in odd_rows()]
     for df, times in ((odd, 1), (twice, 2)):
@@ -328,8 +328,7 @@ def test_suffix_levels(spark):
     for b in range(7):
         family.ingest(table.where(f"t % 7 = {b}"))
     assert [rank for rank, _ in family.levels] == [2, 1, 0]
-    keys, stretches = family.repeated()
-    assert {r.key for r in keys.collect()} == set(range(5)) and stretches.count() == 0
+    assert {r.key for r in family.repeated().collect()} == set(range(5))
 
 
 def test_lines(odd, twice, nothing):
