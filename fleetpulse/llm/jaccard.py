@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from fleetpulse.llm import tokens
 from fleetpulse.llm.components import components
 from fleetpulse.llm.expressions import WORD, whole
-from fleetpulse.llm.store import stage
+from fleetpulse.llm.store import likely, stage
 
 COORDINATES = 64
 TILE = 512
@@ -186,12 +186,11 @@ def _leaves(classes: DataFrame, threshold: float, runs: int, small: int, depth:
     out = None
     for level in range(depth):
         stats = rows.groupBy("node").agg(
-            F.count("*").alias("n"), F.max("was").alias("was"), F.bit_xor(F.xxhash64("c")).alias("x"),
-            F.sum(F.xxhash64(F.lit(1), "c").bitwiseAND(0xFFFFFFFF)).alias("s")).where("n > 1")
-        stats = stats.groupBy("n", "x", "s").agg(F.min("node").alias("node"), F.max("was").alias("was")).drop("x", "s")
+            F.count("*").alias("n"), F.max("was").alias("was"), F.bit_xor(F.xxhash64("c")).alias("x")).where("n > 1")
+        stats = stats.groupBy("n", "x").agg(F.min("node").alias("node"), F.max("was").alias("was")).drop("x")
         done = (F.col("n") <= small) | (F.col("n") >= 0.8 * F.col("was")) | F.lit(level + 1 == depth)
         stats = stage(stats.withColumn("done", done), "jaccard-nodes")
-        leaf = rows.select("node", "c").join(stats.where("done").select("node", "n"), "node")
+        leaf = rows.select("node", "c").join(stats.where("done").select("node", "n").hint("merge"), "node")
         out = leaf if out is None else out.unionByName(leaf)
         if stats.where("NOT done").isEmpty():
             break
@@ -200,13 +199,14 @@ def _leaves(classes: DataFrame, threshold: float, runs: int, small: int, depth:
                          lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("node"), k), F.lit(1_000_000)) < int(chance * 1_000_000))
         next_node = F.transform(drawn, lambda k: F.xxhash64(F.col("node"), k, F.get(F.col("sig"), k)))
         rows = stage(more.select("c", "was", F.explode(next_node).alias("node")), "jaccard-paths")
-    return out.join(classes.select("c", "sig"), "c")
+    return out.join(classes.select("c", "sig").hint("merge"), "c")
 
 
 def _verified(docs: DataFrame, members: DataFrame, size: int, threshold: float, doc_id: str, text: str) -> DataFrame:
     """Per class and tile: linked classes weighted by their copies, and an edge of the tile's forest."""
     texts = docs.select(docs[f"`{doc_id}`"].alias("__id"), whole(docs[f"`{text}`"]).alias("__text")).withColumn("__tx", F.xxhash64("__text"))
-    found = texts.join(members, (F.col("__tx") == F.col("tx")) & F.col("__id").eqNullSafe(F.col("id"))).select(
+    texts = likely(texts, F.xxhash64("__tx", "__id"), members, F.xxhash64("tx", "id")).where("likely")
+    found = texts.join(members.hint("merge"), (F.col("__tx") == F.col("tx")) & F.col("__id").eqNullSafe(F.col("id"))).select(
         "root", "c", "n", "copies", "__text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +301,7 @@ def jaccard_links(
     firsts = result.groupBy("root").agg(F.min("at").alias("first"))
     result = stage(result.join(firsts, "root").select(
         "c", "first", F.col("at.id").alias("same_id"), "copies", F.coalesce("links", F.lit(0)).alias("links")), "jaccard-result")
-    df = sets.select("id", "tx", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(result, "c", "left")
+    df = sets.select("id", "tx", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(result.hint("merge"), "c", "left")
     alone = F.col("first").isNull()
     return df.select(
         "id", "tx", F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
