@@ -212,8 +212,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, probe: int = PROBE, batch
     crowds = part.groupBy("key").agg((F.count("*") > CROWD).alias("crowd"))
     # windows of the other stretches may also equal windows inside those: one of each is compared too
     sample = (
-        full.join(crowds.select("key").hint("merge"), "key", "left_semi")
-        .groupBy("key", "seg").agg(F.min(F.struct("t", "t2", "lo", "hi")).alias("m")).select("key", "m.*")
+        full.groupBy("key", "seg").agg(F.min(F.struct("t", "t2", "lo", "hi")).alias("m"))
+        .join(crowds.select("key").hint("merge"), "key", "left_semi").select("key", "m.*")
     )
     open_ = stage(part.select("key", "t", "t2", "lo", "hi").unionByName(sample).join(crowds.hint("merge"), "key"), "suffix-open")
     compared = _compared(_stretches(docs, open_, text, length), length)
