@@ -30,6 +30,16 @@ def overwrite_days(df: DataFrame, path: str, day: str = "day_0") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
+def drop_days_before(spark: SparkSession, path: str, day: date, name: str = "day_0") -> None:
+    """Delete the partitions of earlier days on disk; safe to repeat, and without a table there is nothing to do."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for entry in fs.listStatus(root) if fs.exists(root) else []:
+        key, _, value = entry.getPath().getName().partition("=")
+        if key == name and value < day.isoformat():
+            fs.delete(entry.getPath(), True)
+
+
 def roll(buffer: DataFrame, new: DataFrame, day_0: date, keep: int, day: str = "day_0") -> DataFrame:
     """The rolling buffer after adding day ``day_0``: only the last ``keep`` days remain."""
     floor = day_0 - timedelta(days=keep)

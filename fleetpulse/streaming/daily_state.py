@@ -3,7 +3,8 @@
 One call per day reads only that day's hours (plus the bounded buffers), so its cost does
 not depend on how much history exists. Buffers are day-partitioned Parquet tables; a day is
 replaced by dynamic partition overwrite, so a run repeated after a lost executor or driver
-leaves the same state.
+leaves the same state. ``daily_run`` is the whole run of a day: guards, log, vector and label
+branches, and retention.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.sql import functions as F
 
 from fleetpulse.operators import checks
 from fleetpulse.operators.windows import day_differences_by_pivot, day_means
+from fleetpulse.plans.failures import failing_devices
 from fleetpulse.plans.vectors import daily_vectors, five_day_vector, numbered
-from fleetpulse.sources.sinks import overwrite_days
+from fleetpulse.sources.sinks import drop_days_before, log_lines, overwrite_days
 
 # --- fixed values: days kept in each rolling buffer ------------------------------------------
 KEEP_DAYS = {"vector": 1, "daily": 2, "diffs": 5}
+LABEL_LAG_DAYS = 8  # labels of a day are complete once its sessions had a week to come back
 # ---------------------------------------------------------------------------------------------
 Inputs = Mapping[str, DataFrame]
 
@@ -30,7 +33,7 @@ def _read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # no folder, or no rows in it yet
             raise
         return None
 
@@ -65,12 +68,86 @@ def assemble_step(spark: SparkSession, root: str, day_0: date) -> None:
     done = _read_if_present(spark, target)
     if done is not None:
         checks.require(checks.day_absent(done, day_0), "the day was already assembled")
-        start = done.agg(F.max("seq_id")).first()[0] or 0
+        # ids grow with the days, so the newest partition has the highest
+        newest = done.agg(F.max("day_0")).first()[0]
+        start = done.where(F.col("day_0") == F.lit(newest)).agg(F.max("seq_id")).first()[0] or 0
     # numbering reads its input twice, so the assembled rows are written first
     staged = f"{root}/five_day_staged"
     overwrite_days(five_day_vector(buffers["vector"], buffers["daily"], buffers["diffs"], day_0), staged)
     rows = spark.read.parquet(staged).where(F.col("day_0") == F.lit(day_0))
     overwrite_days(numbered(rows, start), target)
+    drop_days_before(spark, staged, day_0 + timedelta(days=1))
+
+
+def label_step(spark: SparkSession, root: str, inputs: Inputs, day_0: date) -> int:
+    """Label the stored vectors of ``day_0 - LABEL_LAG_DAYS``; the number of labelled vectors.
+
+    Writes the failing devices of that day and their labelled vectors. Without vectors of that day
+    there is nothing to label. A day that was labelled before is replaced, not added to.
+    """
+    day = day_0 - timedelta(days=LABEL_LAG_DAYS)
+    vectors = _read_if_present(spark, f"{root}/five_day")
+    if vectors is None or vectors.where(F.col("day_0") == F.lit(day)).isEmpty():
+        return 0
+    failing = failing_devices(
+        inputs["milestones"], inputs["sessions"], inputs["cases"], inputs["interactions"], inputs["topo_nodes"],
+        day + timedelta(days=1),
+    )
+    overwrite_days(failing.where(F.col("day_0") == F.lit(day)), f"{root}/failing")
+    stored = _read_if_present(spark, f"{root}/failing")
+    if stored is None:
+        return 0
+    labels = stored.where(F.col("day_0") == F.lit(day)).select("day_0", "mac", "milestone_name").distinct()
+    overwrite_days(vectors.join(labels, ["day_0", "mac"]), f"{root}/labelled")
+    done = _read_if_present(spark, f"{root}/labelled")
+    n = 0 if done is None else done.where(F.col("day_0") == F.lit(day)).count()
+    if n == 0 and not labels.join(vectors, ["day_0", "mac"], "left_semi").isEmpty():
+        raise checks.CheckFailed(f"no vector of {day} was labelled")
+    return n
+
+
+def retain(spark: SparkSession, root: str, day_0: date) -> None:
+    """Delete the buffers' partitions that no later run reads."""
+    for name, keep in KEEP_DAYS.items():
+        drop_days_before(spark, f"{root}/{name}", day_0 - timedelta(days=keep - 1))
+
+
+def daily_run(spark: SparkSession, root: str, inputs: Inputs, day_0: date, assemble: bool = True) -> None:
+    """The whole run of one day.
+
+    Refuses to start while the newest log line is not that of a finished run, except that the same day
+    may be repeated after a failure. Then: vector, means and differences of the day; with ``assemble``
+    the five-day vector (not while a back-fill still fills the buffers) and the labels of the day whose
+    labels are due; retention on disk; and a closing log line. A failure is logged as an error and raised.
+    """
+    log_path = f"{root}/run_log"
+    log = _read_if_present(spark, log_path)
+    if log is not None:
+        last = log.orderBy(F.col("log_date").desc(), F.col("is_done").desc()).first()
+        if last is not None and last["is_done"] != 1 and not last["log_text"].startswith(f"{day_0}:"):
+            raise checks.CheckFailed(f"the last run did not finish: {last['log_text']}")
+
+    def say(text: str, is_error: int = 0, is_done: int = 0) -> None:
+        line = spark.createDataFrame([(f"{day_0}: {text}", is_error, is_done)], "log_text string, is_error int, is_done int")
+        log_lines(line, log_path)
+
+    say("run started")
+    try:
+        daily_step(spark, root, inputs, day_0)
+        say("vector, means and differences written")
+        if assemble:
+            stored = _read_if_present(spark, f"{root}/five_day")
+            if stored is not None and not stored.where(F.col("day_0") == F.lit(day_0)).isEmpty():
+                say("five-day vectors were there already")
+            else:
+                assemble_step(spark, root, day_0)
+                say("five-day vectors written")
+            say(f"{label_step(spark, root, inputs, day_0)} vectors labelled")
+        retain(spark, root, day_0)
+    except Exception as e:
+        say(f"failed: {e}", is_error=1)
+        raise
+    say("run finished", is_done=1)
 
 
 def backfill(spark: SparkSession, root: str, inputs: Inputs, days: list[date]) -> DataFrame:

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fleetpulse.functions.scalars import cosine_distance
 from fleetpulse.operators import evaluate as EV
 from fleetpulse.operators import folds as FD
 from fleetpulse.operators import pairs as PR
+from fleetpulse.operators import ranking as RK
 from fleetpulse.operators import screening as SC
 from fleetpulse.operators import stats as ST
 from fleetpulse.operators.ranking import exact_percentiles, running_totals, value_counts
@@ -172,3 +174,39 @@ def test_no_day_in_train_and_test(spark):
     assert splits.where("role = 'test'").count() == 600
     train = splits.where("role = 'train'").groupBy("split").agg(F.avg("label").alias("m")).collect()
     assert all(r.m == 0.5 for r in train)
+
+
+def test_top_by_score_of_short_and_unscored_tables(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, None), (3, 0.9), (4, 0.5)], "id long, score double")
+    top = lambda k: sorted(r.id for r in RK.top_by_score(df, "score", "id", F.lit(k)).collect())
+    assert top(2) == [1, 3] and top(4) == [1, 3, 4] and top(100) == [1, 3, 4] and top(0) == []
+
+
+def test_curves_of_a_group_without_positives(spark):
+    rows = [("a", 0.9, 1), ("a", 0.1, 0), ("b", 0.9, 0), ("b", 0.2, 0), ("c", 0.4, 1)]
+    df = spark.createDataFrame(rows, "fold string, score double, label int")
+    assert {r.fold: r.auc for r in EV.pr_auc(df, "score", "label", ["fold"]).collect()} == {"a": 1.0, "b": None, "c": 1.0}
+    assert {r.fold: r.auc for r in EV.partial_pr_auc(df, "score", "label", 0.5, ["fold"]).collect()} == {"a": 1.0, "b": 0.0, "c": 1.0}
+    assert {r.fold: r.auc for r in EV.roc_auc(df, "score", "label", ["fold"]).collect()} == {"a": 1.0, "b": None, "c": None}
+    got = {r.fold: (r.recall, r.threshold) for r in EV.recall_at_precision(df, "score", "label", [0.5], ["fold"]).collect()}
+    assert got == {"a": (1.0, 0.1), "b": (0.0, 1.0), "c": (1.0, 0.4)}
+    assert EV.roc_points(df, "score", "label", ["fold"]).count() == 5
+    named = df.withColumnsRenamed({"fold": "g", "score": "n", "label": "pos"})
+    assert EV.mean_roc(named, "n", "pos", "g").count() == EV.mean_roc(df, "score", "label", "fold").count() == 100
+
+
+def test_constant_and_never_paired_columns(spark):
+    df = spark.createDataFrame([(1.0, 5.0, None, 1.0), (2.0, 5.0, None, 2.0), (None, None, 3.0, 4.0)], "a double, b double, c double, d double")
+    got = {(r.a, r.b): (r.n, r.corr) for r in SC.pair_correlations(df, ["a", "b", "c", "d"]).collect()}
+    assert got["a", "c"] == (0, None) and got["a", "b"] == (2, None) and abs(got["a", "d"][1] - 1) < 1e-12
+    ranks = {(r.a, r.b): (r.pearson, r.spearman) for r in SC.rank_correlations(df, [("a", "b"), ("a", "d")]).collect()}
+    assert ranks["a", "b"] == (None, None) and abs(ranks["a", "d"][1] - 1) < 1e-12
+
+
+def test_flat_dimensions_zero_vectors_and_one_class(spark):
+    points = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 4.0])], "id long, v array<double>")
+    assert [r.v[0] for r in PR.unit_variance(points, "v").collect()] == [0.0, 0.0]
+    zero = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "a array<double>, b array<double>")
+    assert zero.select(cosine_distance("a", "b")).first()[0] is None
+    one = spark.createDataFrame([(1.0, 0), (2.0, 0)], "x double, y int")
+    assert {r.sick_pct for r in ST.class_histogram(one, "x", "y", 2).collect()} == {None}
