@@ -61,6 +61,18 @@ def _(t: Inputs) -> DataFrame:
     return fitted.transform(d).select("seq_id", "day_0", "features")
 
 
+@query("ml1_logistic_on_variance_share")
+def _(t: Inputs) -> DataFrame:
+    train, test = halves(t)
+    return outcome(M.Plain([*stages(components=0.7), M.logistic(1.0)]).fit(train).score(test))
+
+
+@query("ml1_logistic_on_discriminant")
+def _(t: Inputs) -> DataFrame:
+    train, test = halves(t)
+    return outcome(M.Plain([*stages(discriminant=True), M.logistic(1.0)]).fit(train).score(test))
+
+
 @query("ml2_explained_variance")
 def _(t: Inputs) -> DataFrame:
     d = days(t)
@@ -161,6 +173,70 @@ def _(t: Inputs) -> DataFrame:
     )
 
 
+# ---- what must hold whatever the fit: rows, labels, ranges and totals -----------------------
+
+_TEST_ROWS = f"""SELECT count(*) AS n, count(milestone_name) AS positives, true AS in_range
+ FROM device_day WHERE day_0 >= DATE '{DAY}'"""
+
+
+def in_range(scores: DataFrame) -> DataFrame:
+    return scores.agg(
+        F.count("*").alias("n"), F.sum("label").cast("long").alias("positives"),
+        ((F.min("score") >= 0) & (F.max("score") <= 1)).alias("in_range"),
+    )
+
+
+@query("ml2_variance_checks", f"SELECT CAST({len(FEATURES)} AS BIGINT) AS components, 1.0::DOUBLE AS total, true AS falling", ["total"])
+def _(t: Inputs) -> DataFrame:
+    d = days(t)
+    table = M.variance_table(M.Pipeline(stages=stages()).fit(d).transform(d), "features")[1]
+    following = table.select((F.col("component") - 1).alias("component"), F.col("share").alias("next"))
+    pairs = table.join(following, "component", "left")
+    return pairs.agg(
+        F.count("*").alias("components"), F.sum("share").alias("total"),
+        F.min(F.coalesce(F.col("share") >= F.col("next") - 1e-9, F.lit(True))).alias("falling"),
+    )
+
+
+@query("ml3_discriminant_checks", "SELECT count(*) AS n, 1.0::DOUBLE AS within_variance FROM clustered", ["within_variance"])
+def _(t: Inputs) -> DataFrame:
+    # the axis is scaled to a pooled within-class variance of one
+    out = M.discriminant(t.clustered, "v", "label")
+    each = out.groupBy("label").agg(F.count("*").alias("n"), F.var_samp("lda").alias("v"))
+    return each.agg(F.sum("n").alias("n"), (F.sum(F.col("v") * (F.col("n") - 1)) / (F.sum("n") - 2)).alias("within_variance"))
+
+
+@query("ml4_forest_checks", _TEST_ROWS)
+def _(t: Inputs) -> DataFrame:
+    train, test = halves(t)
+    return in_range(outcome(forest().fit(train).score(test)))
+
+
+@query("ml6_logistic_checks", _TEST_ROWS)
+def _(t: Inputs) -> DataFrame:
+    train, test = halves(t)
+    return in_range(outcome(logistic().fit(train).score(test)))
+
+
+@query("ml8_calibration_checks", _TEST_ROWS)
+def _(t: Inputs) -> DataFrame:
+    train, test = halves(t)
+    return in_range(outcome(M.Calibrated([*stages(), M.ridge(1.0)], IDS).fit(train).score(test)))
+
+
+@query("ml11_importance_checks", f"SELECT CAST({len(FEATURES)} AS BIGINT) AS features, 1.0::DOUBLE AS total, CAST(0 AS BIGINT) AS negative", ["total"])
+def _(t: Inputs) -> DataFrame:
+    d = days(t)
+    table = M.importances(forest().fit(d).model, FEATURES, d)
+    return table.agg(F.count("*").alias("features"), F.sum("importance").alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
+
+
+@query("cl1_cluster_checks", "SELECT count(*) AS n, CAST(2 AS BIGINT) AS clusters FROM clustered")
+def _(t: Inputs) -> DataFrame:
+    points = t.clustered.drop("cluster")
+    return M.clustered(M.k_means(points, "v", 2), points, "v").agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("clusters"))
+
+
 def splits(t: Inputs, k: int = 5) -> DataFrame:
     return FD.day_splits(days(t), "label", IDS, k=k)
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, Imputer, PCAModel, StandardScaler, VectorAssembler
@@ -37,24 +37,73 @@ SEED = 42
 # ---- feature stages and classifiers ---------------------------------------------------------
 
 
+class VariancePCA(Estimator):
+    """Projection on as few components as explain a share of the variance."""
+
+    def __init__(self, share: float, inputCol: str, outputCol: str) -> None:
+        super().__init__()
+        self.share, self.inputCol, self.outputCol = share, inputCol, outputCol
+
+    def _fit(self, dataset: DataFrame) -> PCAModel:
+        d = dataset.select(F.array_size(vector_to_array(self.inputCol))).first()[0]
+        explained = PCA(k=d, inputCol=self.inputCol, outputCol=self.outputCol).fit(dataset).explainedVariance.toArray()
+        k = min(int(np.searchsorted(np.cumsum(explained), self.share - 1e-12)) + 1, d)
+        return PCA(k=k, inputCol=self.inputCol, outputCol=self.outputCol).fit(dataset)
+
+
+class Discriminant(Estimator):
+    """Projection on the axis of the two-class linear discriminant, a vector of one number."""
+
+    def __init__(self, inputCol: str, outputCol: str) -> None:
+        super().__init__()
+        self.inputCol, self.outputCol = inputCol, outputCol
+
+    def _fit(self, dataset: DataFrame) -> DiscriminantModel:
+        arrays = dataset.select(vector_to_array(self.inputCol).alias("v"), F.col(LABEL).cast("int").alias("y"))
+        return DiscriminantModel(discriminant_axis(arrays, "v", "y"), self.inputCol, self.outputCol)
+
+
+class DiscriminantModel(Model):
+    """The fitted axis."""
+
+    def __init__(self, axis: np.ndarray, inputCol: str, outputCol: str) -> None:
+        super().__init__()
+        self.axis, self.inputCol, self.outputCol = axis, inputCol, outputCol
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        weights = dataset.sparkSession.createDataFrame([([float(w) for w in self.axis],)], "w array<double>").scalar()
+        product = F.aggregate(F.zip_with(vector_to_array(self.inputCol), "_w", lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
+        return dataset.withColumn("_w", weights).withColumn(self.outputCol, array_to_vector(F.array(product))).drop("_w")
+
+
 def feature_stages(
-    columns: Sequence[str], fill: str | None = "mean", scale: bool = True, components: int | None = None
+    columns: Sequence[str], fill: str | None = "mean", scale: bool = True, components: int | float | None = None,
+    discriminant: bool = False,
 ) -> list:
-    """Imputation, assembly, scaling and projection as pipeline stages ending in ``features``."""
+    """Imputation, assembly, scaling and projection as pipeline stages ending in ``features``.
+
+    ``components`` is a number of principal components, or below 1 a share of the variance;
+    ``discriminant`` projects on the discriminant axis instead.
+    """
     stages: list = []
     names = list(columns)
     if fill is not None:
         filled = [f"{c}__filled" for c in names]
         stages.append(Imputer(strategy=fill, inputCols=names, outputCols=filled))
         names = filled
-    last = "assembled" if scale or components else "features"
+    projected = bool(components) or discriminant
+    last = "assembled" if scale or projected else "features"
     stages.append(VectorAssembler(inputCols=names, outputCol=last, handleInvalid="keep"))
     if scale:
-        out = "scaled" if components else "features"
+        out = "scaled" if projected else "features"
         stages.append(StandardScaler(inputCol=last, outputCol=out, withMean=True, withStd=True))
         last = out
-    if components:
-        stages.append(PCA(k=components, inputCol=last, outputCol="features"))
+    if discriminant:
+        stages.append(Discriminant(last, "features"))
+    elif components and components < 1:
+        stages.append(VariancePCA(components, last, "features"))
+    elif components:
+        stages.append(PCA(k=int(components), inputCol=last, outputCol="features"))
     return stages
 
 
@@ -418,7 +467,8 @@ def discriminant_axis(df: DataFrame, vec: str, label: str) -> np.ndarray:
 
 def discriminant(df: DataFrame, vec: str, label: str) -> DataFrame:
     """Adds ``lda``: the projection on the discriminant direction."""
-    weights = F.array(*[F.lit(float(w)) for w in discriminant_axis(df, vec, label)])
+    axis = [float(w) for w in discriminant_axis(df, vec, label)]
+    weights = df.sparkSession.createDataFrame([(axis,)], "w array<double>").scalar()
     product = F.aggregate(F.zip_with(vec, "_w", lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
     return df.withColumn("_w", weights).withColumn("lda", product).drop("_w")
 

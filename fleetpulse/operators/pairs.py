@@ -196,7 +196,8 @@ def distances_to_centres(points: DataFrame, vec: str, centres: DataFrame, precis
         "cosine": cosine_distance(vec, "_c.centre"),
     })
     if precision is not None:
-        rows = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in precision])
+        # a one-row frame keeps the d x d numbers out of the plan
+        rows = points.sparkSession.createDataFrame([(precision.tolist(),)], "m array<array<double>>").scalar()
         diff = F.zip_with(vec, "_c.centre", lambda x, y: x - y)
         out = out.withColumn("_d", diff).withColumn("_p", rows)
         inner = F.transform("_p", lambda r: F.aggregate(F.zip_with(r, "_d", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
