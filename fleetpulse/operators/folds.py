@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.scalars import stable_hash
-from fleetpulse.operators.prep import balance_within
+from fleetpulse.functions.scalars import hash_bucket, stable_hash
 from fleetpulse.operators.ranking import running_totals
 
 
@@ -35,20 +34,46 @@ def with_day_folds(df: DataFrame, day: str = "day_0", k: int = 5, shuffle: bool
     return df.join(day_folds(df, day, k, shuffle, seed), day)
 
 
+def _balance_cuts(marked: DataFrame, label: str, k: int) -> DataFrame:
+    """One row: per split, the hash up to which negatives outside the split's fold are as many as positives.
+
+    Only counts per fold and hash prefix are spread over splits, and only the prefix that holds a cut
+    is ranked. A split without positives gets an empty cut (no negatives); with too few negatives, one
+    above every hash (all of them).
+    """
+    others = lambda t: t.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("fold <> split")
+    healthy = marked.where(F.col(label) == 0).select("fold", "_h", hash_bucket("_h").alias("_b"))
+    need = others(marked.groupBy("fold").agg(F.count_if(F.col(label) == 1).alias("n"))).groupBy("split").agg(F.sum("n").alias("need"))
+    prefixes = others(healthy.groupBy("fold", "_b").agg(F.count("*").alias("n"))).groupBy("split", "_b").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(W.partitionBy("split").orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
+    run = prefixes.withColumn("upto", upto).join(need, "split")
+    hit = run.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
+    hit = hit.select("split", "_b", (F.col("need") - F.col("upto") + F.col("n")).alias("rank"))
+    edge = healthy.join(hit, "_b").where("fold <> split")
+    edge = edge.withColumn("r", F.row_number().over(W.partitionBy("split").orderBy("_h"))).where("r = rank").select("split", F.col("_h").alias("cut"))
+    cut = F.when(F.col("need") > 0, F.coalesce("cut", F.lit("g"))).otherwise(F.lit(""))  # hashes are hexadecimal
+    table = need.join(edge, "split", "left").select("split", cut.alias("cut"))
+    return table.agg(F.map_from_entries(F.collect_list(F.struct("split", "cut"))).alias("cuts"))
+
+
 def day_splits(
     df: DataFrame, label: str, ids: Sequence[str], day: str = "day_0", k: int = 5, balanced: bool = True, seed: int = 0
 ) -> DataFrame:
     """Rows of all k splits: ``split``, ``role`` ('train' or 'test') and the row itself.
 
-    With ``balanced`` each split's training part keeps all positives and as many negatives.
+    With ``balanced`` each split's training part keeps all positives and as many negatives: a row is
+    hashed once and compared with the cut of each split, so only rows that take part are copied.
     """
     folded = with_day_folds(df, day, k, True, seed)
-    copies = folded.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    test = copies.where(F.col("split") == F.col("fold")).withColumn("role", F.lit("test"))
-    train = copies.where(F.col("split") != F.col("fold"))
+    marked = folded.withColumn("_h", stable_hash(*ids, seed=seed))
+    train = F.lit(True)
     if balanced:
-        train = balance_within(train, label, ids, ["split"], seed)
-    return train.withColumn("role", F.lit("train")).unionByName(test)
+        marked = marked.withColumn("_cuts", _balance_cuts(marked, label, k).scalar())
+        train = lambda s: (F.col(label) == 1) | ((F.col(label) == 0) & (F.col("_h") <= F.try_element_at("_cuts", s)))
+    role = lambda s: F.when(F.col("fold") == s, "test").when(train(s) if balanced else train, "train")
+    entries = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: F.struct(s.alias("split"), role(s).alias("role")))
+    used = F.explode(F.filter(entries, lambda e: e["role"].isNotNull()))
+    return marked.withColumn("_e", used).select(*folded.columns, "_e.split", "_e.role")
 
 
 def contiguous_folds(df: DataFrame, order: str, k: int = 5) -> DataFrame:

@@ -247,12 +247,13 @@ def load_model(path: str) -> PipelineModel:
 # ---- cross-validation -----------------------------------------------------------------------
 
 
-def fold_scores(splits: DataFrame, make: Maker) -> DataFrame:
+def fold_scores(splits: DataFrame, make: Maker, stage: bool = True) -> DataFrame:
     """Scored test rows of every split (columns ``split``, ``score`` and the row's own).
 
-    ``splits`` has ``split`` and ``role``; models of different splits share nothing.
+    ``splits`` has ``split`` and ``role``; models of different splits share nothing. The fits read the
+    splits repeatedly, so they are written first (``stage=False`` if the caller did).
     """
-    splits = staged(splits, "splits")
+    splits = staged(splits, "splits") if stage else splits
     numbers = sorted(r[0] for r in splits.select("split").distinct().collect())
     out = None
     for s in numbers:
@@ -296,7 +297,7 @@ def grid_search(
     splits = staged(day_splits(df, LABEL, ids, day, k, balanced), "splits")
     results = []
     for combo in grid(params):
-        scores = fold_scores(splits, lambda: make(**combo))
+        scores = fold_scores(splits, lambda: make(**combo), stage=False)
         auc = auc_over_folds(scores, "score", LABEL, "split").first()
         results.append((json.dumps(combo, sort_keys=True), auc["mean_auc"], auc["std_auc"]))
     top = max(results, key=lambda r: -1.0 if r[1] is None else r[1])[0]
@@ -311,7 +312,7 @@ def compare_models(
     splits = staged(day_splits(df, LABEL, ids, day, k), "splits")
     out = None
     for name, make in makers.items():
-        scores = fold_scores(splits, make).select(F.lit(name).alias("model"), LABEL, "score")
+        scores = fold_scores(splits, make, stage=False).select(F.lit(name).alias("model"), LABEL, "score")
         out = scores if out is None else out.unionByName(scores)
     out = staged(out, "scores")
     return recall_at_precision(out, "score", LABEL, levels, ["model"]).join(pr_auc(out, "score", LABEL, ["model"]), "model")
@@ -325,7 +326,7 @@ def compare_roc(
     splits = staged(day_splits(df, LABEL, ids, day, k), "splits")
     out = None
     for name, make in makers.items():
-        scores = staged(fold_scores(splits, make), "scores")
+        scores = staged(fold_scores(splits, make, stage=False), "scores")
         one = top_metrics_cv(scores, row_id, ratio).withColumn("auc", roc_auc(scores, "score", LABEL).scalar())
         one = one.select(F.lit(name).alias("model"), "auc", "precision", "recall", "f1")
         out = one if out is None else out.unionByName(one)
