@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from fleetpulse.operators.ranking import average_ranks, value_counts
 from fleetpulse.session import staged
 
+MOMENT_SLOTS = 256
+
 
 def near_zero_variance(
     df: DataFrame, cols: Sequence[str], freq_cut: float = 99.0, ratio_cut: float = 19.0, unique_cut: float = 10.0
@@ -45,23 +47,35 @@ def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(i, j, n, sx, sy, sxx, syy, sxy) of every column pair i < j over rows where both are known.
 
     Columns are centred on their overall mean first, so the sums do not cancel. Each task
-    multiplies its batches into d x d matrices and emits them once; what is shuffled depends
-    on the number of columns and tasks, not on rows.
+    multiplies its batches into d x d matrices and emits them once, packed as one row per matrix
+    row; those are added up over ``MOMENT_SLOTS`` groups of tasks, then over the groups, and only
+    the d * (d - 1) / 2 totals become rows of their own. What is shuffled depends on the number of
+    columns and tasks, not on rows.
     """
     cols = list(cols)
     d = len(cols)
     wide = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
     means = wide.agg(F.array(*[F.coalesce(F.avg(c), F.lit(0.0)) for c in cols]).alias("m"))
     centred = wide.withColumn("_m", means.scalar()).select(
+        (F.spark_partition_id() % MOMENT_SLOTS).alias("_slot"),
         *[(F.col(c) - F.col("_m")[k]).alias(f"c{k}") for k, c in enumerate(cols)]
     )
-    upper = np.triu_indices(d, 1)
+
+    def packed(slot: int, parts: Sequence[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(parts, axis=1)  # row i: counts, sums, squares and products of column i with each j
+        flat = pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, rows.shape[1]), pa.int32()), pa.array(rows.ravel()))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(d, slot), pa.int32()), pa.array(np.arange(d), pa.int32()), flat], names=["slot", "i", "v"])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.zeros((d, d)) for _ in range(4)]
+        slot = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            slot = batch.column(0)[0].as_py()
             x = np.column_stack([
-                np.asarray(batch.column(k).to_numpy(zero_copy_only=False), dtype=float) for k in range(d)
+                np.asarray(batch.column(k + 1).to_numpy(zero_copy_only=False), dtype=float) for k in range(d)
             ])
             known = (~np.isnan(x)).astype(float)
             x = np.nan_to_num(x)
@@ -69,18 +83,23 @@ def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             parts[1] += x.T @ known
             parts[2] += (x * x).T @ known
             parts[3] += x.T @ x
-        n, s, q, xy = parts
-        i, j = upper
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(a) for a in (
-                i.astype("int32"), j.astype("int32"), n[i, j], s[i, j], s[j, i], q[i, j], q[j, i], xy[i, j]
-            )],
-            names=["i", "j", "n", "sx", "sy", "sxx", "syy", "sxy"],
-        )
-
-    schema = "i int, j int, n double, sx double, sy double, sxx double, syy double, sxy double"
-    parts = centred.mapInArrow(sums, schema)
-    return parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ["n", "sx", "sy", "sxx", "syy", "sxy"]])
+        yield packed(slot, parts)
+
+    def added(table: pa.Table) -> pa.Table:
+        v = table.column("v").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1).sum(0)
+        return pa.table({"slot": pa.array([table.column("slot")[0].as_py()], pa.int32()),
+                         "i": pa.array([table.column("i")[0].as_py()], pa.int32()), "v": pa.array([v], pa.list_(pa.float64()))})
+
+    schema = "slot int, i int, v array<double>"
+    parts = centred.mapInArrow(sums, schema).groupBy("slot", "i").applyInArrow(added, schema)
+    rows = parts.groupBy("i").applyInArrow(added, schema).select("i", "v")
+    at = lambda block, j: F.get("v", j + block * d)
+    # (i, j) holds the sums of column i where j is known, (j, i) those of column j
+    cell = rows.select("i", F.explode(F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda j: F.struct(
+        j.alias("j"), at(0, j).alias("n"), at(1, j).alias("s"), at(2, j).alias("q"), at(3, j).alias("xy")))).alias("c")).select("i", "c.*")
+    upper = cell.where("i < j").select("i", "j", "n", F.col("s").alias("sx"), F.col("q").alias("sxx"), F.col("xy").alias("sxy"))
+    lower = cell.where("i > j").select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("sy"), F.col("q").alias("syy"))
+    return upper.join(lower, ["i", "j"]).select("i", "j", "n", "sx", "sy", "sxx", "syy", "sxy")
 
 
 def pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
