@@ -2,10 +2,10 @@
 
 Words and n-grams are hashed to 64 bits. Hashes are cut into ranges by their upper bits: a range is one
 partition of the count table and keeps 48 further bits of each hash, sorted. Documents are dealt into
-chunks by hash. A scanning task sends the distinct n-grams of each chunk to their ranges, packed in one
-row per chunk and range; a range adds up the counts of each n-gram over all its rows and answers every
-chunk with the totals of the chunk's n-grams in sorted order. A chunk then has the counts of all its
-n-grams and scores its documents.
+chunks by hash. A chunk sends its distinct n-grams to their ranges, packed in one row per range; a range
+adds up the counts of each n-gram over all its rows and answers every chunk with the totals of the
+chunk's n-grams in sorted order. A chunk then has the counts of all its n-grams and scores its
+documents. The texts are shuffled once: both steps read the same exchange.
 
 Counts leave the scored document out: its own occurrences are subtracted, so that an n-gram of no other
 document backs off. For words a b the score of b is ln(c(ab) / c(a)) if the pair occurs elsewhere, else
@@ -64,7 +64,7 @@ def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _requests(docs: DataFrame, order: int, bits: int, flush_bytes: int) -> DataFrame:
-    """Rows ``range, chunk, keys, counts``: the distinct n-grams of a chunk's documents in one task."""
+    """Rows ``range, chunk, keys, counts``: the distinct n-grams of a chunk (of each part of it, if it is large)."""
     keep = bits + _LOW
 
     def emit(held: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +110,8 @@ def _requests(docs: DataFrame, order: int, bits: int, flush_bytes: int) -> DataF
 
 
 def _answers(requests: DataFrame) -> DataFrame:
-    """Rows ``chunk, range, totals``: counts over all chunks of each n-gram of the chunk, sorted by n-gram."""
+    """Rows ``chunk, range, width, totals``: counts over all chunks of each n-gram of the chunk, sorted by
+    n-gram, as integers of 4 bytes, or 8 where those are too short."""
     rows = requests.repartition("range").sortWithinPartitions("range")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,15 +125,18 @@ def _answers(requests: DataFrame) -> DataFrame:
                 chunks = part.column("chunk").to_numpy()
                 every, place = np.unique(np.concatenate(keys), return_inverse=True)
                 totals = np.bincount(place, weights=np.concatenate(counts), minlength=len(every)).astype(np.uint64)
+                width = 4 if totals.max() < 2**32 else 8
+                totals = totals.astype(f"u{width}")
                 ends = np.cumsum([len(k) for k in keys])
                 places = [place[e - len(k) : e] for k, e in zip(keys, ends, strict=True)]
                 names = np.unique(chunks)
                 answers = [totals[np.unique(np.concatenate([places[i] for i in np.flatnonzero(chunks == c)]))].tobytes() for c in names]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int32()), pa.array(np.full(len(names), ranges[a]), pa.int32()), pa.array(answers, pa.binary())],
-                    names=["chunk", "range", "totals"])
+                    [pa.array(names, pa.int32()), pa.array(np.full(len(names), ranges[a]), pa.int32()), pa.array(np.full(len(names), width), pa.int32()),
+                     pa.array(answers, pa.binary())],
+                    names=["chunk", "range", "width", "totals"])
 
-    return rows.mapInArrow(work, "chunk int, range int, totals binary")
+    return rows.mapInArrow(work, "chunk int, range int, width int, totals binary")
 
 
 def _scores(words: np.ndarray, counts: np.ndarray, totals: np.ndarray, order: int, keep: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -181,14 +185,15 @@ def backoff_scores(
     bits = max(1, math.ceil(math.log2(max(2, total / range_bytes))))
     keep = bits + _LOW
     df = df.select(F.pmod(F.xxhash64("id", "__text"), F.lit(chunks)).cast("int").alias("chunk"), "id", "__text")
-    answers = _answers(_requests(df, order, bits, flush_bytes=24_000_000))
+    df = df.repartition(chunks, "chunk")
+    answers = _answers(_requests(df, order, bits, flush_bytes=chunk_bytes))
     kind = df.schema["id"].dataType.simpleString()
 
     def score(texts: pa.Table, ranges: pa.Table) -> pa.Table:
         texts = texts.combine_chunks()
         by_range = np.argsort(ranges.column("range").to_numpy())
-        parts = [ranges.column("totals")[int(i)].as_py() for i in by_range]
-        totals = np.frombuffer(b"".join(parts), np.uint64)
+        parts = [np.frombuffer(ranges.column("totals")[int(i)].as_py(), f"u{ranges.column('width')[int(i)]}") for i in by_range]
+        totals = np.concatenate(parts) if parts else np.zeros(0)
         column = texts.column("__text").combine_chunks()
         words, counts = _words(column)
         if not len(words):
