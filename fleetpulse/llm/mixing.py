@@ -61,7 +61,7 @@ def mixed(
     weights: Sequence[int] = (5, 2, 1),
     cap: int = 3,
     seed: int = 7,
-    rows_per_bucket: int = 20_000,
+    rows_per_bucket: int = 5_000,
     doc_id: str = "doc_id",
     text: str = "text",
     source: str = "source",
