@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-STEP = 2_000_000
+STEP = 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 _powers = [np.ones(1, _U), np.ones(1, _U)]  # of the base and of its inverse modulo 2**64
