@@ -95,6 +95,12 @@ def tables_absent(spark: SparkSession, names: list[str]) -> DataFrame:
     )
 
 
+def targets_absent(source: DataFrame, existing: DataFrame, day: str = "day_0") -> DataFrame:
+    """(day_0, ok): per day of the source, no target of that day may exist before the first initialisation."""
+    there = existing.select(day).distinct().withColumn("_there", F.lit(True))
+    return source.select(day).distinct().join(there, day, "left").select(day, F.col("_there").isNull().alias("ok"))
+
+
 def require(check: DataFrame, message: str) -> None:
     """Raise when a check table has a failed row, with the number of failed rows."""
     failed = check.where("NOT ok").count()
