@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetpulse.session import new_table_path, work_folder
+from fleetpulse.session import new_table_path
 
 MARKS = 23
 
-__all__ = ["Staged", "likely", "prefix_sums", "stage", "work_folder"]
+__all__ = ["Staged", "likely", "prefix_sums", "stage"]
 
 
 class Staged:
