@@ -1,15 +1,16 @@
 """N-gram Jaccard join of documents by chosen paths.
 
 Documents are sets of word 5-grams (A-Z in lower case). Documents with the same set are one class; all
-further work is on classes. Each class has a signature of ``COORDINATES`` min-hashes. A run splits the
-classes recursively: at a node, coordinates are drawn at random, each with a chance of
-``1 / (threshold * COORDINATES)``, and every drawn coordinate sends a class to the child of its value;
-pairs at the threshold so have one common child on average. Nodes of at most ``small`` classes are
-brute-forced on their signatures, as are nodes that splitting no longer shrinks. Runs repeat as often as
-the recall needs. Nodes with the same members, common across runs, are kept once.
+further work is on classes. Each class has a signature of ``COORDINATES`` min-hashes. Classes are split
+recursively: at first by as many coordinates as the recall needs at the full depth, all different as
+long as there are enough; below, every node draws coordinates on its own, each with a chance of
+``1 / (threshold * COORDINATES)``. Each coordinate sends a class to the child of its value; pairs at the
+threshold so have one common child on average. Nodes of at most ``small`` classes are brute-forced on
+their signatures, as are nodes that splitting no longer shrinks; of these, nodes with the same members
+are kept once. Nodes still to be split stay apart even then, since each is a chance of its own.
 
 Brute force gives a spanning forest of the pairs that may reach the threshold; its connected components
-are blocks. Each block is verified on its exact sets, all pairs, so a pair that every run missed is
+are blocks. Each block is verified on its exact sets, all pairs, so a pair that every node missed is
 still found if its block has it. Nodes and blocks of more than ``TILE`` members are cut into tiles of
 pairs of slices, each its own task group. Pairs are counted where they are found and never listed.
 
@@ -95,16 +96,43 @@ def place(name: str = "id") -> Column:
     return F.struct(F.col(name).isNull().alias("none"), F.col(name).alias("id"), F.col("tx").alias("tx"))
 
 
-def runs_for(recall: float, depth: int = 4) -> int:
-    """Runs after which a pair at the threshold is found with the wanted chance.
+def _agreeing(threshold: float) -> np.ndarray:
+    """Chance that a pair at the threshold has 0, 1, ... equal coordinates."""
+    return np.array([math.comb(COORDINATES, a) * threshold**a * (1 - threshold) ** (COORDINATES - a) for a in range(COORDINATES + 1)])
 
-    With one common child on average the chance to be together at level d follows
-    ``p(d + 1) = 1 - exp(-p(d))``, since common children are Poisson distributed.
+
+def least_equal(recall: float, threshold: float) -> int:
+    """Equal coordinates asked of a pair, so that a quarter of the pairs that may be missed fall below."""
+    below = np.cumsum(_agreeing(threshold))
+    return int(np.searchsorted(below, (1 - recall) / 4, side="right"))
+
+
+def recall_of(starts: int, threshold: float, depth: int, least: int) -> float:
+    """Chance that a pair at the threshold has ``least`` equal coordinates and a common node at the last level.
+
+    The equal coordinates of a pair are the same in all nodes, so the chance is taken for each number of
+    them. With a equal ones a common node keeps the pair together through one more split by
+    ``1 - (1 - chance * p) ** a``; the first level has each coordinate equally often, up to one.
     """
-    p = 1.0
-    for _ in range(depth):
-        p = 1 - math.exp(-p)
-    return math.ceil(math.log(1 - recall) / math.log(1 - p))
+    chance = 1 / (threshold * COORDINATES)
+    turns, rest = divmod(starts, COORDINATES)
+    found = 0.0
+    for a, weight in enumerate(_agreeing(threshold)):
+        p = 1.0
+        for _ in range(depth - 1):
+            p = 1 - (1 - chance * p) ** a
+        hits = range(max(0, rest - COORDINATES + a), min(a, rest) + 1)
+        some = sum(math.comb(a, h) * math.comb(COORDINATES - a, rest - h) * (1 - p) ** h for h in hits) / math.comb(COORDINATES, rest)
+        found += weight * (1 - (1 - p) ** (turns * a) * some) * (a >= least)
+    return found
+
+
+def starts_for(recall: float, threshold: float, depth: int) -> int:
+    """Coordinates of the first level after which a pair at the threshold is found with the wanted chance."""
+    least, starts = least_equal(recall, threshold), 1
+    while recall_of(starts, threshold, depth, least) < recall:
+        starts += 1
+    return starts
 
 
 def _tiled(df: DataFrame, group: str, member: str, size: str) -> DataFrame:
@@ -151,7 +179,8 @@ def _groups(table: pa.Table, key: str) -> Iterator[tuple[int, int]]:
 def _candidates(leaves: DataFrame, least: int) -> DataFrame:
     """Edges ``u, v`` of a spanning forest over pairs with ``least`` equal coordinates in some leaf."""
     tiles = _tiled(leaves, "node", "c", "n").select("tile", "c", "sig")
-    tiles = tiles.repartition("tile").sortWithinPartitions("tile")
+    # by member too: tiles with common members then have common edges, from the smallest member of each tree
+    tiles = tiles.repartition("tile").sortWithinPartitions("tile", "c")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tokens.grouped(batches, "tile"):
@@ -173,23 +202,23 @@ def _candidates(leaves: DataFrame, least: int) -> DataFrame:
     return tiles.mapInArrow(work, "u long, v long").where("u != v").distinct()
 
 
-def _leaves(classes: DataFrame, threshold: float, runs: int, small: int, depth: int, seed: int) -> DataFrame:
+def _leaves(classes: DataFrame, threshold: float, starts: int, small: int, depth: int, seed: int) -> DataFrame:
     """Nodes to brute-force: ``node, n, c, sig``."""
     total = classes.count()
     if total <= small:
         return classes.select(F.lit(0).cast("long").alias("node"), F.lit(total).cast("long").alias("n"), "c", "sig")
     chance = 1 / (threshold * COORDINATES)
     draw = np.random.default_rng(seed)
-    chosen = [(r, k) for r in range(runs) for k in np.flatnonzero(draw.random(COORDINATES) < chance)]
-    children = F.array(*[F.xxhash64(F.lit(int(r)), F.lit(int(k)), F.col("sig")[int(k)]) for r, k in chosen])
+    turns = [(turn, k) for turn in range(math.ceil(starts / COORDINATES)) for k in draw.permutation(COORDINATES)]
+    children = F.array(*[F.xxhash64(F.lit(turn), F.lit(int(k)), F.col("sig")[int(k)]) for turn, k in turns[:starts]])
     rows = classes.select("c", F.lit(total).cast("long").alias("was"), F.explode(children).alias("node"))
     out = None
     for level in range(depth):
         stats = rows.groupBy("node").agg(
             F.count("*").alias("n"), F.max("was").alias("was"), F.bit_xor(F.xxhash64("c")).alias("x")).where("n > 1")
-        stats = stats.groupBy("n", "x").agg(F.min("node").alias("node"), F.max("was").alias("was")).drop("x")
         done = (F.col("n") <= small) | (F.col("n") >= 0.8 * F.col("was")) | F.lit(level + 1 == depth)
-        stats = stage(stats.withColumn("done", done), "jaccard-nodes")
+        stats = stats.withColumn("done", done).withColumn("apart", F.when(~F.col("done"), F.col("node")))
+        stats = stage(stats.groupBy("n", "x", "done", "apart").agg(F.min("node").alias("node")).drop("x", "apart"), "jaccard-nodes")
         leaf = rows.select("node", "c").join(stats.where("done").select("node", "n").hint("merge"), "node")
         out = leaf if out is None else out.unionByName(leaf)
         if stats.where("NOT done").isEmpty():
@@ -285,10 +314,8 @@ def jaccard_links(
     classes = stage(
         sets.where("n > 0").groupBy("c", "c2").agg(F.min(F.struct(place().alias("at"), "sig")).alias("m"), F.count("*").alias("copies"))
         .select("c", "m.at", "m.sig", "copies"), "jaccard-classes")
-    deviation = math.sqrt(COORDINATES * threshold * (1 - threshold))
-    least = math.floor(COORDINATES * threshold - 3.6 * deviation)
-    leaves = _leaves(classes, threshold, runs_for(recall), small, depth, seed)
-    blocks = components(_candidates(leaves, least)).withColumnRenamed("node", "c")
+    leaves = _leaves(classes, threshold, starts_for(recall, threshold, depth), small, depth, seed)
+    blocks = components(_candidates(leaves, least_equal(recall, threshold))).withColumnRenamed("node", "c")
     sizes = blocks.groupBy("root").agg(F.count("*").alias("n"))
     members = stage(
         blocks.join(sizes, "root").join(classes.select("c", "at", "copies"), "c").select("root", "c", "n", "copies", "at.id", "at.tx"),

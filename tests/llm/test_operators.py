@@ -198,6 +198,20 @@ def test_jaccard_recursion_finds_what_all_pairs_find(spark):
     assert got == want
 
 
+def test_jaccard_recall_where_splitting_goes_deep(spark):
+    """Thousands of documents draw from few words, so every common node of a pair is crowded and split to the
+    last level; nearly all pairs at the threshold must still meet."""
+    r, pairs, rows = random.Random(8), 2500, []
+    for i in range(pairs):
+        both = [f"w{k}" for k in r.sample(range(200), 80)]
+        rows += [(2 * i + j, " ".join(both + [f"o{i}x{j}x{k}" for k in range(10)])) for j in (0, 1)]  # 80 of 100 words in common
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.id: (x.class_id, x.links) for x in jaccard.jaccard_links(docs, size=1, small=25).collect()}
+    found = sum(got[2 * i] == got[2 * i + 1] == (2 * i, 1) for i in range(pairs))
+    assert found >= 0.998 * pairs, found
+    assert sum(n for _, n in got.values()) == 2 * found
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 300), (7, 7), (100, 300)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
