@@ -12,10 +12,13 @@ from fleetpulse.llm.store import stage
 # Fitted keys, near-duplicate search and the Hilbert curve have no counterpart in SQL.
 ORACLE_SQL = None
 
+# The base rule ends at 300 permille of repeated words; with 50 the fence of a group without repeats is at 150.
+RULES = quality.Rules(least_spread=(("repeat_permille", 50),))
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and their group's thresholds."""
-    return quality.quality_verdicts(docs).where("kept").select("row.*")
+    return quality.quality_verdicts(docs, RULES).where("kept").select("row.*")
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,6 +48,7 @@ METRICS = (
 class Rules:
     fence: int = 3  # widths of the middle half outside the quartiles
     least_group: int = 100  # documents for a sketch of its own
+    least_spread: tuple[tuple[str, int], ...] = ()  # metrics with another least spread than in METRICS
 
 
 def _repeats(base: DataFrame) -> DataFrame:
@@ -140,9 +141,10 @@ def thresholds(sketch: DataFrame, rules: Rules = Rules()) -> DataFrame:
     used = F.when(enough(F.col("own")), F.col("own")).when(enough(F.col("of_lang")), F.col("of_lang")).otherwise(F.col("of_all"))
     df = df.select("lang", "source", "metric", used.alias("s"))
     fences = []
+    spread = {m.name: m.least_spread for m in METRICS} | dict(rules.least_spread)
     for m in METRICS:
         s = F.when(F.col("metric") == m.name, F.col("s"))
-        width = rules.fence * F.greatest(s["q3"] - s["q1"], F.lit(m.least_spread))
+        width = rules.fence * F.greatest(s["q3"] - s["q1"], F.lit(spread[m.name]))
         fences.append(F.max(s["q3"] + width).alias(f"{m.name}_high"))
         fences.append(F.max((s["q1"] - width) if m.low_side else F.lit(None).cast("long")).alias(f"{m.name}_low"))
     return df.groupBy("lang", "source").agg(*fences)

@@ -87,6 +87,17 @@ def test_quality_thresholds_follow_the_group(spark):
     assert not kept[900] and kept[901] and sum(kept[i] for i in range(150)) == 150 and sum(kept[200 + i] for i in range(150)) == 150
 
 
+def test_pipeline_rejects_repeats_below_the_base_rule(spark):
+    import corpus_pipeline
+
+    again = prose(7000, 10)
+    rows = [(i, prose(i, 80), "en", "news") for i in range(150)] + [(900, f"{prose(8000, 60)} {again} {prose(8100, 10)} {again}", "en", "news")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    r = quality.quality_verdicts(docs).where("row.doc_id = 900").first()
+    assert not r.base_failed and 150 < r.repeat_permille <= 300
+    assert {x.doc_id for x in corpus_pipeline.good_quality(spark, docs, "").collect()} == set(range(150))
+
+
 def test_sketches_merge(spark):
     rows = [(i, prose(i, 20 + i), "en", "s") for i in range(120)]
     docs = quality.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).cache()
