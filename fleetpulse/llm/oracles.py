@@ -188,6 +188,44 @@ SELECT d.doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_ite
 FROM d LEFT JOIN words ON words.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id
 """
 
+_FIM = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || doc_id::VARCHAR) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS ls, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+        ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT doc_id, t, ls, len(ls) AS n, least(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS a, greatest(h1 % (len(ls) + 1), h2 % (len(ls) + 1)) AS b,
+        CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+             WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, array_to_string(ls[1:a], '') AS pre, array_to_string(ls[a+1:b], '') AS mid, array_to_string(ls[b+1:n], '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+_PHRASES = rf"""
+WITH pieces AS (SELECT doc_id, lang, p, unnest(regexp_extract_all(list_extract(ps, p), '[^ 	]+')) AS w,
+                       generate_subscripts(regexp_extract_all(list_extract(ps, p), '[^ 	]+'), 1) AS i FROM
+  (SELECT doc_id, lang, ps, unnest(range(1, len(ps) + 1)) AS p FROM
+   (SELECT row_number() OVER () AS doc_id, coalesce(lang, 'und') AS lang,
+           regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^.,;:!?
+-]+') AS ps FROM documents))),
+g AS (SELECT lang, w AS w1, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM pieces WINDOW o AS (PARTITION BY doc_id, p ORDER BY i)),
+f AS (SELECT lang, 1 AS size, w1, NULL AS w2, NULL AS w3, count(*) AS f FROM g GROUP BY ALL
+      UNION ALL SELECT lang, 2, w1, w2, NULL, count(*) FROM g WHERE w2 IS NOT NULL GROUP BY ALL
+      UNION ALL SELECT lang, 3, w1, w2, w3, count(*) FROM g WHERE w3 IS NOT NULL GROUP BY ALL),
+often AS (SELECT lang, size, concat_ws(' ', w1, w2, w3) AS phrase, w1, w2, w3, f FROM f WHERE f >= 10),
+total AS (SELECT lang, count(*) AS n FROM pieces GROUP BY lang),
+cut AS (SELECT lang, phrase, f AS a, 1 AS k, w1 AS x, concat_ws(' ', w2, w3) AS y FROM often WHERE size > 1
+        UNION ALL SELECT lang, phrase, f, 2, w1 || ' ' || w2, w3 FROM often WHERE size = 3),
+scored AS (SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, ((1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cut c JOIN often l ON l.lang = c.lang AND l.phrase = c.x JOIN often r ON r.lang = c.lang AND r.phrase = c.y),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+around AS (SELECT lang, phrase, max(f) AS f FROM (SELECT lang, w1 || ' ' || w2 AS phrase, f FROM often WHERE size = 3
+           UNION ALL SELECT lang, w2 || ' ' || w3, f FROM often WHERE size = 3) GROUP BY ALL),
+free AS (SELECT b.* FROM best b LEFT JOIN around x USING (lang, phrase) WHERE x.f IS NULL OR 100 * x.f < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM free JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_quality_rules": _QUALITY,
     "op2_url_filters": _URLS,
@@ -197,4 +235,6 @@ ORACLES: dict[str, str] = {
     "op6_lm_scoring": _BACKOFF,
     "op9_line_dedup": _LINES,
     "op10_decontamination": _CONTAMINATION,
+    "op11_fill_in_middle": _FIM,
+    "op13_collocations": _PHRASES,
 }

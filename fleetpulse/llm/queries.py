@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetpulse.llm import backoff, decontamination, jaccard, lines, mixing, pii, quality, sharding, suffixes, urls
+from fleetpulse.llm import (
+    backoff, decontamination, fim, jaccard, lines, mixing, packing, phrases, pii, quality, sharding, suffixes, urls,
+)
 
 # The base rules of the url filter, and hosts that are nothing but spam.
 URL_RULES = [
@@ -101,6 +103,29 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         hex_sha256(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    df = fim.fill_in_middle(docs, keep_text=False)
+    return df.select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars", hex_sha256(F.col("output")).alias("output_sha256"),
+        hex_sha256(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = packing.token_files(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    read = packing.documents_of(files).select("id", "part", "nth", "at", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read.join(packing.file_starts(files), ["part", "nth"]).select(
+        F.col("id").alias("doc_id"), (F.col("start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return phrases.collocations(docs)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -110,5 +135,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_quality_rules, op2_url_filters, op3_mixing, op4_ngram_jaccard, op5_pii, op6_lm_scoring, op7_sharding,
-              op8_suffix_dedup, op9_line_dedup, op10_decontamination, pipeline)
+              op8_suffix_dedup, op9_line_dedup, op10_decontamination, op11_fill_in_middle, op12_token_files, op13_collocations,
+              pipeline)
 }

@@ -41,7 +41,7 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def runs(column: pa.Array, step: int = STEP) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first row, row after the last, bytes, offsets)`` of runs of texts without nulls."""
     values = column.cast(pa.large_binary())
     n = len(values)
@@ -51,7 +51,7 @@ def runs(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + STEP, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + step, "right")) - 1)
         to = min(to, n)
         yield at, to, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
