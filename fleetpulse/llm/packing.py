@@ -13,7 +13,7 @@ Documents are range-partitioned by id, sorted and encoded with a public tokenize
 becomes files of about ``FILE_IDS`` ids (a longer document is a file of its own), kept as rows of one table: any
 store that Spark writes will do. Numbers before a file follow from the small table of file sizes.
 
-Distinct words are tokenized once per run of texts: white space never takes part in a token, so a text's ids are
+Words are tokenized once: white space never takes part in a token, so a text's ids are
 those of its words. Words of letters go to the tokenizer many at a time and are told apart by the
 end-of-word tokens.
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,7 @@ BLOCK = 256
 PERCENT = 90
 FILE_IDS = 1_000_000
 RUN_BYTES = 8_000_000
+KNOWN = 400_000  # pieces of words whose ids a task remembers from run to run
 _HEAD = "<4sQII"
 
 
@@ -144,6 +145,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.end_id = end_id
+        self.known: dict[str, int] = {}  # pieces of words, and the number of their ids in the pool
+        self.pool: list[tuple[np.ndarray, np.ndarray]] = []
         words = self.tokenizer.get_vocab(with_added_tokens=False)
         self.closes = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         self.closes[[i for w, i in words.items() if w.endswith("</w>")]] = True
@@ -166,8 +169,21 @@ class WordEncoder:
         none = np.zeros(0, np.int64)
         return np.concatenate([none.astype(np.uint32), *[m[0] for m in made]]), np.concatenate([none, *[m[1] for m in made]])
 
+    def _known(self, pieces: pa.Array, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Numbers of these distinct pieces among the lists in ``pool``; new ones are encoded first."""
+        known = self.known
+        words = pieces.to_pylist()
+        new = [w for w in words if w not in known]
+        if new:
+            flat, counts = encode(new)
+            known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
+            self.pool.append((flat, counts))
+        return np.fromiter((known[w] for w in words), np.int64, len(words))
+
     def _distinct(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The same for distinct words; letters followed by stops are two pieces, any other word is one."""
+        if len(self.known) > KNOWN:
+            self.known, self.pool = {}, []
         plain = pc.match_substring_regex(words, r"^\p{L}+[.,;:!?]*$")
         # the one letter whose lower case ends with a mark, which is no letter and goes with the stops
         plain = pc.and_not(plain, pc.match_substring(words, "\u0130")).to_numpy(zero_copy_only=False)
@@ -175,17 +191,15 @@ class WordEncoder:
         cores = pc.ascii_lower(pc.ascii_rtrim(letters, ".,;:!?"))  # other letters are left to the tokenizer
         tails = pc.replace_substring_regex(letters, r"^\p{L}+", "")
         cores, tails = cores.dictionary_encode(), tails.dictionary_encode()
-        parts = [self._letters(cores.dictionary.to_pylist()), self._each(tails.dictionary.to_pylist()),
-                 self._each(words.filter(pa.array(~plain)).to_pylist())]
-        flat = np.concatenate([ids for ids, _ in parts])
-        counts = np.concatenate([c for _, c in parts])
-        # the pieces of every word, in order; the second one of words without stops is empty or missing
-        n_cores, n_tails = len(cores.dictionary), len(tails.dictionary)
-        one = np.empty(len(words), np.int64)
-        two = np.full(len(words), len(counts), np.int64)
-        one[plain], two[plain] = cores.indices.to_numpy(), n_cores + tails.indices.to_numpy()
-        one[~plain] = n_cores + n_tails + np.arange((~plain).sum())
-        return gathered(flat, np.append(counts, 0), np.stack([one, two], 1).reshape(-1), 2)
+        core, tail = self._known(cores.dictionary, self._letters), self._known(tails.dictionary, self._each)
+        other = self._known(words.filter(pa.array(~plain)), self._each)
+        flat = np.concatenate([ids for ids, _ in self.pool] or [np.zeros(0, np.uint32)])
+        counts = np.concatenate([*[c for _, c in self.pool], [0]])
+        pieces = np.full((len(words), 2), len(counts) - 1)  # the second one is mostly missing
+        pieces[plain, 0], pieces[plain, 1] = core[cores.indices.to_numpy()], tail[tails.indices.to_numpy()]
+        pieces[~plain, 0] = other
+        self.pool = [(flat, counts[:-1])]
+        return gathered(flat, counts, pieces.reshape(-1), 2)
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts with the end id after each, and how many each has."""

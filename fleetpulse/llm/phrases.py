@@ -37,7 +37,8 @@ from fleetpulse.llm.expressions import whole
 from fleetpulse.llm.store import likely, stage
 
 MARK_BITS = 26  # the map of frequent fingerprints has at most 2 ** 26 bits, 8 MB
-HELD = 2_000_000  # n-grams that a task counts before it hands rows on
+PARTS = 16
+HELD = 1_500_000  # n-grams that a task counts before it hands rows on
 _U = np.uint64
 _STOPS = b".,;:!?\n\x0b\x0c\r"
 _GAPS = b" \t"
@@ -333,7 +334,11 @@ def collocations(
     around = long.where("size > 2").select("lang", "a", F.explode(F.array_distinct(spans)).alias("phrase"))
     around = around.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     free = scored.join(around, ["lang", "phrase"], "left").where(F.col("longer").isNull() | (100 * F.col("longer") < inside * F.col("a")))
-    ranked = free.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("cut.score"), F.desc("a"), "phrase")))
+    best = [F.desc("cut.score"), F.desc("a"), F.asc("phrase")]
+    # the best of each of PARTS parts first, so that a language's last order has a fixed number of rows
+    part = free.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    part = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*best))).where(F.col("rank") <= top)
+    ranked = part.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)))
     totals = known.where("size = 0").select("lang", "n")  # a row a language
     return ranked.where(F.col("rank") <= top).join(totals, "lang").select(
         "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "cut.l", "cut.r", "n", "cut.score")
