@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fleetpulse.llm.store import Staged
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node of its component, for every node of ``u, v``.
 
     Every node first goes to its smallest neighbour and edges become edges of these, so that the many
@@ -21,11 +21,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     ends = ends.join(first.df.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
     between = Staged(ends.where("a != b").select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "components-between")
     both.discard()
-    merged = _settled(between.df, rounds).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    merged = _settled(between.df).select(F.col("node").alias("root"), F.col("root").alias("to"))
     return first.df.join(merged, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
 
 
-def _settled(edges: DataFrame, rounds: int) -> DataFrame:
+def _settled(edges: DataFrame) -> DataFrame:
     """The components by rounds. Each round takes the smallest label among neighbours and then the label of that label, so the
     number of rounds grows with the logarithm of a component's length. Labels are written after each
     round; the files of the round before are deleted.
@@ -33,7 +33,7 @@ def _settled(edges: DataFrame, rounds: int) -> DataFrame:
     both = Staged(edges.select("u", "v").union(edges.select("v", "u")).where("u != v").distinct(), "components-edges")
     labels = Staged(both.df.groupBy("u").agg(F.min("v").alias("v")).select(
         F.col("u").alias("node"), F.least("u", "v").alias("root")), "components-labels")
-    for _ in range(rounds):
+    while True:
         old = labels.df
         near = (
             both.df.join(old.select(F.col("node").alias("v"), F.col("root").alias("other")), "v")
@@ -50,4 +50,3 @@ def _settled(edges: DataFrame, rounds: int) -> DataFrame:
         labels = Staged.of(new, new.df.drop("was"))
         if not moved:
             return labels.df
-    raise RuntimeError(f"components did not settle in {rounds} rounds")

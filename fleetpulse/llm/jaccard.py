@@ -9,8 +9,9 @@ threshold so have one common child on average. Nodes of at most ``small`` classe
 their signatures, as are nodes that splitting no longer shrinks; of these, nodes with the same members
 are kept once. Nodes still to be split stay apart even then, since each is a chance of its own.
 
-Brute force gives a spanning forest of the pairs that may reach the threshold; its connected components
-are blocks. Each block is verified on its exact sets, all pairs, so a pair that every node missed is
+Brute force gives edges that connect the pairs that may reach the threshold; their connected components
+are blocks. A search over a few coordinates goes first and its components are contracted, so that the many
+nodes of a large group do not give its edges again and again. Each block is verified on its exact sets, all pairs, so a pair that every node missed is
 still found if its block has it. Nodes and blocks of more than ``TILE`` members are cut into tiles of
 pairs of slices, each its own task group. Pairs are counted where they are found and never listed.
 
@@ -35,6 +36,7 @@ from fleetpulse.llm.expressions import WORD, whole
 from fleetpulse.llm.store import likely, stage
 
 COORDINATES = 64
+FIRST = 4  # coordinates of the search that goes first
 TILE = 512
 SIGNATURE = pa.list_(pa.int32())
 
@@ -135,11 +137,12 @@ def starts_for(recall: float, threshold: float, depth: int) -> int:
     return starts
 
 
-def _tiled(df: DataFrame, group: str, member: str, size: str) -> DataFrame:
-    """Rows for the tiles of each group: all pairs of slices of at most about ``TILE`` members."""
+def _tiled(df: DataFrame, group: str, member: str, size: str, crossed: bool = True) -> DataFrame:
+    """Rows for the tiles of each group: all pairs of slices of at most about ``TILE`` members, or each slice
+    only with itself. Groups with common members are sliced differently."""
     slices = F.ceil(F.col(size) / F.lit(TILE)).cast("int")
-    mine = F.pmod(F.xxhash64(member), slices).cast("int")
-    other = F.explode(F.sequence(F.lit(0), slices - 1))
+    mine = F.pmod(F.xxhash64(group, member), slices).cast("int")
+    other = F.explode(F.sequence(F.lit(0), slices - 1)) if crossed else mine
     df = df.withColumns({"slices": slices, "mine": mine}).withColumn("other", other)
     tile = F.xxhash64(F.col(group), F.least("mine", "other"), F.greatest("mine", "other"))
     # the diagonal tile holds one slice, any other tile both
@@ -176,61 +179,85 @@ def _groups(table: pa.Table, key: str) -> Iterator[tuple[int, int]]:
     yield from zip(cuts[:-1], cuts[1:], strict=True)
 
 
-def _candidates(leaves: DataFrame, least: int) -> DataFrame:
-    """Edges ``u, v`` of a spanning forest over pairs with ``least`` equal coordinates in some leaf."""
-    tiles = _tiled(leaves, "node", "c", "n").select("tile", "c", "sig")
-    # by member too: tiles with common members then have common edges, from the smallest member of each tree
-    tiles = tiles.repartition("tile").sortWithinPartitions("tile", "c")
+def _candidates(leaves: DataFrame, least: int, crossed: bool) -> DataFrame:
+    """Edges ``u, v`` between the ``label`` values of members with ``least`` equal coordinates in some leaf.
+    Members of one label are together already, so a tile has an edge for each two labels that it brings together."""
+    tiles = _tiled(leaves, "node", "c", "n", crossed).select("tile", "label", "sig")
+    # by label too: the edges of a tree then start at its smallest label
+    tiles = tiles.repartition("tile").sortWithinPartitions("tile", "label")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in tokens.grouped(batches, "tile"):
-            ids = table.column("c").to_numpy()
+            labels = table.column("label").to_numpy()
             sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
             us, vs = [], []
             for a, b in _groups(table, "tile"):
+                first = np.searchsorted(labels[a:b], labels[a:b])
+                if not first[-1]:
+                    continue
                 forest = _Forest(b - a)
+                forest.up[:] = first
                 for i in range(a, b - 1):
-                    close = np.flatnonzero((sig[i + 1 : b] == sig[i]).sum(1) >= least)
+                    close = np.flatnonzero((sig[i + 1 : b] == sig[i]).sum(1) >= least) + (i + 1 - a)
+                    close = close[first[close] != first[i - a]]
                     if len(close):
-                        forest.join(i - a, close + (i + 1 - a))
+                        forest.join(i - a, close)
                 u, v = forest.edges()
-                us.append(ids[a:b][u])
-                vs.append(ids[a:b][v])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], names=["u", "v"])
+                us.append(labels[a:b][u])
+                vs.append(labels[a:b][v])
+            none = np.zeros(0, np.int64)
+            u, v = np.concatenate([none, *us]), np.concatenate([none, *vs])
+            pairs = np.unique(np.stack([u, v], 1)[u != v], axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
 
-    return tiles.mapInArrow(work, "u long, v long").where("u != v").distinct()
+    return tiles.mapInArrow(work, "u long, v long").distinct()
 
 
-def _leaves(classes: DataFrame, threshold: float, starts: int, small: int, depth: int, seed: int) -> DataFrame:
-    """Nodes to brute-force: ``node, n, c, sig``."""
+def _leaves(classes: DataFrame, coordinates: list[tuple[int, int]], threshold: float, small: int, depth: int, seed: int) -> DataFrame:
+    """Nodes to brute-force: ``node, n, c, label, sig``. ``classes`` are ``c, label, sig``; a node whose members have
+    one label is left out, and not split."""
     total = classes.count()
-    if total <= small:
-        return classes.select(F.lit(0).cast("long").alias("node"), F.lit(total).cast("long").alias("n"), "c", "sig")
     chance = 1 / (threshold * COORDINATES)
-    draw = np.random.default_rng(seed)
-    turns = [(turn, k) for turn in range(math.ceil(starts / COORDINATES)) for k in draw.permutation(COORDINATES)]
-    children = F.array(*[F.xxhash64(F.lit(turn), F.lit(int(k)), F.col("sig")[int(k)]) for turn, k in turns[:starts]])
-    rows = classes.select("c", F.lit(total).cast("long").alias("was"), F.explode(children).alias("node"))
+    children = F.array(*[F.xxhash64(F.lit(turn), F.lit(k), F.col("sig")[k]) for turn, k in coordinates])
+    rows = classes.select("c", "label", F.lit(total).cast("long").alias("was"), F.explode(children).alias("node"))
     out = None
     for level in range(depth):
         stats = rows.groupBy("node").agg(
-            F.count("*").alias("n"), F.max("was").alias("was"), F.bit_xor(F.xxhash64("c")).alias("x")).where("n > 1")
+            F.count("*").alias("n"), F.max("was").alias("was"), F.bit_xor(F.xxhash64("c")).alias("x"),
+            F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").drop("low", "high")
         done = (F.col("n") <= small) | (F.col("n") >= 0.8 * F.col("was")) | F.lit(level + 1 == depth)
         stats = stats.withColumn("done", done).withColumn("apart", F.when(~F.col("done"), F.col("node")))
         stats = stage(stats.groupBy("n", "x", "done", "apart").agg(F.min("node").alias("node")).drop("x", "apart"), "jaccard-nodes")
-        leaf = rows.select("node", "c").join(stats.where("done").select("node", "n").hint("merge"), "node")
+        leaf = rows.select("node", "c", "label").join(stats.where("done").select("node", "n").hint("merge"), "node")
         out = leaf if out is None else out.unionByName(leaf)
         if stats.where("NOT done").isEmpty():
             break
-        more = rows.select("node", "c").join(stats.where("NOT done").select("node", F.col("n").alias("was")), "node").join(classes.select("c", "sig"), "c")
+        more = rows.select("node", "c", "label").join(stats.where("NOT done").select("node", F.col("n").alias("was")), "node").join(classes.select("c", "sig"), "c")
         drawn = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
                          lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("node"), k), F.lit(1_000_000)) < int(chance * 1_000_000))
         next_node = F.transform(drawn, lambda k: F.xxhash64(F.col("node"), k, F.get(F.col("sig"), k)))
-        rows = stage(more.select("c", "was", F.explode(next_node).alias("node")), "jaccard-paths")
+        rows = stage(more.select("c", "label", "was", F.explode(next_node).alias("node")), "jaccard-paths")
     return out.join(classes.select("c", "sig").hint("merge"), "c")
 
 
+def _blocks(classes: DataFrame, threshold: float, recall: float, small: int, depth: int, seed: int) -> DataFrame:
+    """``c, root`` of the classes that may have a partner: components of the candidate edges.
+
+    First each slice of the nodes of ``FIRST`` coordinates is searched alone. That finds most of a large group,
+    which is one label from then on: nodes inside it are left out of the search over all coordinates, and other
+    tiles have an edge for each two labels in place of a tree over their members.
+    """
+    least, starts = least_equal(recall, threshold), starts_for(recall, threshold, depth)
+    draw = np.random.default_rng(seed)
+    coordinates = [(turn, int(k)) for turn in range(math.ceil(starts / COORDINATES)) for k in draw.permutation(COORDINATES)][:starts]
+    alone = classes.select("c", F.col("c").alias("label"), "sig")
+    near = stage(_candidates(_leaves(alone, coordinates[:FIRST], threshold, small, depth, seed), least, False), "jaccard-near")
+    labels = components(near).select(F.col("node").alias("c"), F.col("root").alias("label"))
+    known = stage(classes.select("c", "sig").join(labels, "c", "left").select("c", F.coalesce("label", "c").alias("label"), "sig"), "jaccard-known")
+    far = _candidates(_leaves(known, coordinates, threshold, small, depth, seed), least, True)
+    return components(near.unionByName(far)).withColumnRenamed("node", "c")
+
+
 def _verified(docs: DataFrame, members: DataFrame, size: int, threshold: float, doc_id: str, text: str) -> DataFrame:
     """Per class and tile: linked classes weighted by their copies, and an edge of the tile's forest."""
     texts = docs.select(docs[f"`{doc_id}`"].alias("__id"), whole(docs[f"`{text}`"]).alias("__text")).withColumn("__tx", F.xxhash64("__text"))
@@ -314,8 +341,7 @@ def jaccard_links(
     classes = stage(
         sets.where("n > 0").groupBy("c", "c2").agg(F.min(F.struct(place().alias("at"), "sig")).alias("m"), F.count("*").alias("copies"))
         .select("c", "m.at", "m.sig", "copies"), "jaccard-classes")
-    leaves = _leaves(classes, threshold, starts_for(recall, threshold, depth), small, depth, seed)
-    blocks = components(_candidates(leaves, least_equal(recall, threshold))).withColumnRenamed("node", "c")
+    blocks = _blocks(classes, threshold, recall, small, depth, seed)
     sizes = blocks.groupBy("root").agg(F.count("*").alias("n"))
     members = stage(
         blocks.join(sizes, "root").join(classes.select("c", "at", "copies"), "c").select("root", "c", "n", "copies", "at.id", "at.tx"),
