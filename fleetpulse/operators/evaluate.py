@@ -13,20 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.operators.ranking import running_totals, top_by_score
-from fleetpulse.session import staged
 
 GRID_POINTS = 100
 
 
-def top_metrics(df: DataFrame, score: str, label: str, row_id: str, ratio: float) -> DataFrame:
-    """(n_top, precision, recall, f1) in percent among the top share of rows by score.
+def top_metrics(df: DataFrame, score: str, label: str, row_id: str, ratio: float, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n_top, precision, recall, f1) in percent among the top share of rows by score (of each group).
 
     A row counts as predicted positive above 0.5; recall is over the positives in the top
     only. The share is rounded half to even.
     """
-    k = df.agg(F.bround(F.count("*") * F.lit(float(ratio)), 0).cast("long").alias("k")).scalar()
-    top = top_by_score(df, score, row_id, k)
-    sums = top.agg(
+    by = list(by)
+    top = top_by_score(df, score, row_id, F.bround(F.col("n_rows") * F.lit(float(ratio)), 0), by)
+    sums = top.groupBy(*by).agg(
         F.count("*").alias("n_top"),
         F.count_if((F.col(score) > 0.5) & (F.col(label) == 1)).alias("tp"),
         F.count_if(F.col(score) > 0.5).alias("predicted"),
@@ -37,7 +36,7 @@ def top_metrics(df: DataFrame, score: str, label: str, row_id: str, ratio: float
         return F.when(den > 0, 100.0 * num / den).otherwise(F.lit(0.0))
 
     return sums.select(
-        "n_top",
+        *by, "n_top",
         share(F.col("tp"), F.col("predicted")).alias("precision"),
         share(F.col("tp"), F.col("positive")).alias("recall"),
         share(2.0 * F.col("tp"), F.col("predicted") + F.col("positive")).alias("f1"),
@@ -80,14 +79,8 @@ def cumulative_hits(df: DataFrame, score: str, label: str, by: Sequence[str] = (
     """Distinct scores with true and false positives at or above them (``tp``, ``fp``),
     their own counts (``p``, ``n``) and the class totals (``pos``, ``neg``)."""
     by = list(by)
-    counts = staged(score_counts(df, score, label, by), "counts")
-    run = running_totals(counts, "score", ["p", "n"], by=by, descending=True, stage=False)
-    run = run.withColumnsRenamed({"cum_p": "tp", "cum_n": "fp"})
-    totals = counts.groupBy(*by).agg(F.sum("p").alias("pos"), F.sum("n").alias("neg"))
-    if by:
-        return run.join(totals, by)
-    packed = run.withColumn("_t", totals.select(F.struct("pos", "neg")).scalar())
-    return packed.withColumns({"pos": F.col("_t.pos"), "neg": F.col("_t.neg")}).drop("_t")
+    run = running_totals(score_counts(df, score, label, by), "score", ["p", "n"], by=by, descending=True, totals=True)
+    return run.withColumnsRenamed({"cum_p": "tp", "cum_n": "fp", "all_p": "pos", "all_n": "neg"})
 
 
 def precision_recall_points(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:

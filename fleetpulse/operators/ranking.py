@@ -7,7 +7,6 @@ whole hot group.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,10 +16,6 @@ from pyspark.sql import functions as F
 from fleetpulse.functions.scalars import hash_bucket, stable_hash
 from fleetpulse.session import staged
 
-#: the order is cut into at least CUTS_PER_LEVEL ** 2 ranges, and into more of them as rows grow
-CUTS_PER_LEVEL = 12
-ROWS_PER_RANGE = 500_000
-
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value, n): how often each non-null value occurs in each column."""
@@ -29,58 +24,33 @@ def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
-def _range_slot(order: str, per_level: int) -> Column:
-    """How many of the sorted ``_bounds`` lie below the value, searched in two levels."""
-    m = per_level
-    below = lambda b: b < F.col(order)
-    coarse = F.size(F.filter("_coarse", below))
-    fine = F.size(F.filter(F.slice("_bounds", coarse * m + 1, F.lit(m)), below))
-    return coarse * m + fine
-
-
 def running_totals(
-    df: DataFrame,
-    order: str,
-    sums: Sequence[str],
-    by: Sequence[str] = (),
-    descending: bool = False,
-    per_level: int | None = None,
-    stage: bool = True,
+    df: DataFrame, order: str, sums: Sequence[str], by: Sequence[str] = (), descending: bool = False, totals: bool = False
 ) -> DataFrame:
-    """Inclusive running totals ``cum_<s>`` along ``order`` inside each ``by`` group.
+    """Inclusive running totals ``cum_<s>`` along ``order`` inside each ``by`` group, and with ``totals`` the
+    group's sum ``all_<s>``.
 
-    ``df`` holds one row per (by, order) value, i.e. it is already aggregated; it is read
-    three times and therefore written once (``stage=False`` if the caller did). The order is
-    cut at approximate quantiles into about ``per_level`` squared ranges (by default so many that
-    a range has about ``ROWS_PER_RANGE`` rows); offsets of the ranges come from a table of at most that many rows per group, so a group of any size is
-    spread over many tasks. The result is exact whatever the quality of the cut points.
+    ``df`` holds one row per (by, order) value, i.e. it is already aggregated. It is range-partitioned by
+    group and order and written with the number of its range; Spark samples the cut points and merges small
+    ranges. A range's offset comes from the table of sums per group and range, so a group of any size is
+    spread over many tasks and no row carries more than its own columns. Exact whatever the cut points.
     """
     by = list(by)
-    df = staged(df, "counts") if stage else df
-    m = per_level or max(CUTS_PER_LEVEL, math.ceil(math.sqrt(df.count() / ROWS_PER_RANGE)))
-    cuts = [(i + 1) / (m * m) for i in range(m * m - 1)]
-    bounds = df.groupBy(*by).agg(F.percentile_approx(order, cuts, 10 * m * m).alias("_bounds"))
-    if by:
-        marked = df.join(bounds, by)
-    else:
-        marked = df.withColumn("_bounds", bounds.scalar())
-    # every m-th bound starts the next block of the fine search
-    every = F.transform(F.sequence(F.lit(m), F.lit(m * (m - 1)), F.lit(m)), lambda k: F.element_at("_bounds", k))
-    slot = _range_slot(order, m)
-    marked = marked.withColumn("_coarse", every).withColumn("_slot", -slot if descending else slot)
-    marked = marked.drop("_bounds", "_coarse")
-
-    totals = marked.groupBy(*by, "_slot").agg(*[F.sum(s).alias(f"_tot_{s}") for s in sums])
-    before = W.partitionBy(*by).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(
-        *by, "_slot", *[F.coalesce(F.sum(f"_tot_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums]
+    ranges = staged(df.repartitionByRange(*by, order).withColumn("_range", F.spark_partition_id()), "ranges")
+    group = W.partitionBy(*by)
+    nth = F.col("_range").desc() if descending else F.col("_range").asc()
+    before = group.orderBy(nth).rowsBetween(W.unboundedPreceding, -1)
+    parts = ranges.groupBy(*by, "_range").agg(*[F.sum(s).alias(s) for s in sums])
+    offsets = parts.select(
+        *by, "_range", *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
+        *([F.sum(s).over(group).alias(f"all_{s}") for s in sums] if totals else []),
     )
     key = F.col(order).desc() if descending else F.col(order).asc()
-    inside = W.partitionBy(*by, "_slot").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
+    inside = W.partitionBy(*by, "_range").orderBy(key).rowsBetween(W.unboundedPreceding, 0)
     return (
-        marked.join(offsets, [*by, "_slot"])
+        ranges.join(offsets, [*by, "_range"])
         .withColumns({f"cum_{s}": F.sum(s).over(inside) + F.col(f"_off_{s}") for s in sums})
-        .drop("_slot", *[f"_off_{s}" for s in sums])
+        .drop("_range", *[f"_off_{s}" for s in sums])
     )
 
 
@@ -125,48 +95,50 @@ def hash_sample(df: DataFrame, ids: Sequence[str], k: Column, seed: int = 0) ->
     return df.where((k > 0) & (stable_hash(*ids, seed=seed) <= cut))
 
 
-def top_by_score(df: DataFrame, score: str, row_id: str, k: Column) -> DataFrame:
-    """The ``k`` best-scored rows, all scored rows if there are fewer; ties at the last place go to the
-    smaller id. Rows with a NULL score are never among them.
+def top_by_score(df: DataFrame, score: str, row_id: str, k: Column, by: Sequence[str] = ()) -> DataFrame:
+    """The ``k`` best-scored rows (of each ``by`` group), all scored rows if there are fewer; ties at the last
+    place go to the smaller id. Rows with a NULL score are never among them. ``k`` may use ``n_rows``, the
+    number of rows of the group, with or without a score.
 
     The cut score comes from counts per distinct score, the cut id from the rows tied at
     that score; the rows themselves are only filtered.
     """
-    counts = df.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
-    scored = df.agg(F.count(score)).scalar()
-    curve = running_totals(counts, "s", ["n"], descending=True).withColumn("k", F.least(k.cast("long"), scored))
+    by = list(by)
+    counts = df.groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n"), F.count(score).alias("scored"))
+    sizes = counts.groupBy(*by).agg(F.sum("n").alias("n_rows"), F.sum("scored").alias("scored"))
+    wanted = sizes.select(*by, F.least(k.cast("long"), F.col("scored")).alias("k"))
+    curve = running_totals(counts.where(F.col("s").isNotNull()).drop("scored"), "s", ["n"], by, descending=True)
+    curve = curve.join(wanted, by) if by else curve.withColumn("k", wanted.select("k").scalar())
     edge = curve.where((F.col("cum_n") >= F.col("k")) & (F.col("cum_n") - F.col("n") < F.col("k")))
-    cut = edge.select("s").scalar()
-    need = edge.select(F.col("k") - F.col("cum_n") + F.col("n")).scalar()
-    tied = df.where(F.col(score) == cut).select(F.col(row_id).alias("i"), F.lit(1).alias("one"))
-    last = running_totals(tied, "i", ["one"]).where(F.col("cum_one") == need).select("i").scalar()
-    return df.where((F.col(score) > cut) | ((F.col(score) == cut) & (F.col(row_id) <= last)))
+    edge = edge.select(*by, F.col("s").alias("_cut"), (F.col("k") - F.col("cum_n") + F.col("n")).alias("_need"))
+    if by:
+        edge = staged(edge, "edges")  # a row a group
+        cut = df.join(edge, by)
+    else:
+        cut = df.withColumn("_e", edge.select(F.struct("_cut", "_need")).scalar()).withColumns({"_cut": F.col("_e._cut"), "_need": F.col("_e._need")}).drop("_e")
+    tied = cut.where(F.col(score) == F.col("_cut")).select(*by, F.col(row_id).alias("i"), "_need", F.lit(1).alias("one"))
+    last = running_totals(tied, "i", ["one"], by).where(F.col("cum_one") == F.col("_need")).select(*by, F.col("i").alias("_last"))
+    cut = cut.join(last, by) if by else cut.withColumn("_last", last.select("_last").scalar())
+    kept = (F.col(score) > F.col("_cut")) | ((F.col(score) == F.col("_cut")) & (F.col(row_id) <= F.col("_last")))
+    return cut.where(kept).drop("_cut", "_need", "_last")
 
 
-def exact_percentiles(
-    counts: DataFrame, points: Sequence[float], by: Sequence[str] = ("column",), stage: bool = True
-) -> DataFrame:
+def exact_percentiles(counts: DataFrame, points: Sequence[float], by: Sequence[str] = ("column",)) -> DataFrame:
     """(by..., p, percentile): exact linearly interpolated percentiles from value counts.
 
     The built-in ``percentile`` keeps every distinct value of a group in one task; this one
     finds the two order statistics around each position from running counts.
     """
     by = list(by)
-    counts = staged(counts, "counts") if stage else counts
-    run = running_totals(counts, "value", ["n"], by=by, stage=False)
-    total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
-    spots = total.withColumn("p", F.explode(F.array(*[F.lit(float(p)) for p in points])))
-    spots = spots.withColumn("pos", F.col("p") * (F.col("total") - 1))
+    run = running_totals(counts, "value", ["n"], by=by, totals=True)
     # each value covers the zero-based ranks [cum - n, cum - 1]
-    spots = spots.groupBy(*by).agg(F.collect_list(F.struct("p", "pos")).alias("spots"))
-    hits = run.join(spots, by).withColumn("s", F.explode("spots")).select(
-        *by, "value", F.col("s.p").alias("p"), F.col("s.pos").alias("pos"),
-        (F.col("cum_n") - F.col("n")).alias("lo"), (F.col("cum_n") - 1).alias("hi"),
-    )
+    lo, hi = F.col("cum_n") - F.col("n"), F.col("cum_n") - 1
+    spots = F.array(*[F.struct(F.lit(float(p)).alias("p"), (p * (F.col("all_n") - 1)).alias("pos")) for p in points])
+    inside = F.filter(spots, lambda s: (F.ceil(s["pos"]) >= lo) & (F.floor(s["pos"]) <= hi))
+    hits = run.select(*by, "value", lo.alias("lo"), hi.alias("hi"), F.explode(inside).alias("s")).select(*by, "value", "lo", "hi", "s.p", "s.pos")
     low, high = F.floor("pos"), F.ceil("pos")
     return (
-        hits.where((high >= F.col("lo")) & (low <= F.col("hi")))
-        .groupBy(*by, "p", "pos")
+        hits.groupBy(*by, "p", "pos")
         .agg(
             F.max(F.when((low >= F.col("lo")) & (low <= F.col("hi")), F.col("value"))).alias("a"),
             F.max(F.when((high >= F.col("lo")) & (high <= F.col("hi")), F.col("value"))).alias("b"),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from fleetpulse.functions.scalars import equal_width_bin
 from fleetpulse.operators.ranking import exact_percentiles, running_totals, value_counts
-from fleetpulse.session import staged
 
 KS_TERMS = 100
 
@@ -50,20 +49,18 @@ def null_shares(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 def column_summary(df: DataFrame, cols: Sequence[str], points: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
     """(column, count, mean, std, min, p<percent>..., max), with exact percentiles."""
-    stats = staged(value_counts(df, cols), "counts")
-    base = stats.groupBy("column").agg(
-        F.sum("n").alias("count"), F.min("value").alias("min"), F.max("value").alias("max"),
-    )
-    # mean and deviation straight from the rows: one pass, stable
+    # all but the percentiles straight from the rows: one pass, stable
+    number = lambda c: F.col(c).cast("double")
     wide = df.agg(F.explode_outer(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std")) for c in cols
-    ])).alias("s")).select("s.*")
-    pct = exact_percentiles(stats, points, stage=False)
+        F.struct(F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"),
+                 F.min(number(c)).alias("min"), F.max(number(c)).alias("max")) for c in cols
+    ])).alias("s")).select("s.*").where("count > 0")
+    pct = exact_percentiles(value_counts(df, cols), points)
     names = {p: f"p{round(p * 100):d}" for p in points}
     quantiles = pct.groupBy("column").agg(*[
         F.max(F.when(F.col("p") == p, F.col("percentile"))).alias(name) for p, name in names.items()
     ])
-    return base.join(wide, "column").join(quantiles, "column").select(
+    return wide.join(quantiles, "column").select(
         "column", "count", "mean", "std", "min", *names.values(), "max"
     )
 
@@ -127,10 +124,8 @@ def ks_two_sample(df: DataFrame, grp: str, first: object, measures: Sequence[str
         wide.unpivot(["_x"], measures, "measurement", "value").where(F.col("value").isNotNull())
         .groupBy("measurement", "value").agg(F.sum("_x").alias("x"), F.sum(1 - F.col("_x")).alias("y"))
     )
-    counts = staged(counts, "counts")
-    sizes = counts.groupBy("measurement").agg(F.sum("x").alias("n1"), F.sum("y").alias("n2"))
     gap = F.abs(F.col("cum_x") / F.col("n1") - F.col("cum_y") / F.col("n2"))
-    run = running_totals(counts, "value", ["x", "y"], by=["measurement"], stage=False).join(sizes, "measurement")
+    run = running_totals(counts, "value", ["x", "y"], by=["measurement"], totals=True).withColumnsRenamed({"all_x": "n1", "all_y": "n2"})
     stats = run.groupBy("measurement", "n1", "n2").agg(F.max(gap).alias("statistic"))
     return stats.select("measurement", "statistic", ks_p_value(F.col("statistic"), F.col("n1"), F.col("n2")).alias("p_value"), "n1", "n2")
 
@@ -181,9 +176,7 @@ def cumulative_distribution(df: DataFrame, col: str) -> DataFrame:
         df.select(F.col(col).cast("double").alias("value")).where(F.col("value").isNotNull())
         .groupBy("value").agg(F.count("*").alias("n"))
     )
-    counts = staged(counts, "counts")
-    total = counts.agg(F.sum("n")).scalar()
-    return running_totals(counts, "value", ["n"], stage=False).select("value", (F.col("cum_n") / total).alias("share"))
+    return running_totals(counts, "value", ["n"], totals=True).select("value", (F.col("cum_n") / F.col("all_n")).alias("share"))
 
 
 def shown_range(df: DataFrame, col: str, weekend: str, ratio: float = 0.9) -> DataFrame:

@@ -35,13 +35,38 @@ def distances(pts):
     return np.sqrt(((pts[:, None, :] - pts[None, :, :]) ** 2).sum(-1))
 
 
-def test_running_totals_with_a_hot_range(spark):
+@pytest.fixture
+def uncoalesced(spark):
+    """As many ranges as shuffle partitions."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_running_totals_over_ranges(spark, uncoalesced):
     values = [0.0] + [1e-9 * k for k in range(1, 400)] + [5.0, 7.0]
-    df = spark.createDataFrame([("a", v, k + 1) for k, v in enumerate(values)], "g string, v double, n long")
-    got = [r.cum_n for r in running_totals(df, "v", ["n"], by=["g"]).orderBy("v").collect()]
-    assert got == list(np.cumsum(np.arange(1, len(values) + 1)))
-    down = [r.cum_n for r in running_totals(df.drop("g"), "v", ["n"], descending=True).orderBy(F.desc("v")).collect()]
-    assert down == list(np.cumsum(np.arange(len(values), 0, -1)))
+    rows = [("a", v, k + 1) for k, v in enumerate(values)] + [("b", 1.0, 5), ("b", 2.0, 6)]
+    df = spark.createDataFrame(rows, "g string, v double, n long").repartition(3)
+    out = running_totals(df, "v", ["n"], by=["g"], totals=True)
+    got = {(r.g, r.v): (r.cum_n, r.all_n) for r in out.collect()}
+    up = np.cumsum(np.arange(1, len(values) + 1)).tolist()
+    assert got == {("a", v): (c, up[-1]) for v, c in zip(values, up, strict=True)} | {("b", 1.0): (5, 11), ("b", 2.0): (11, 11)}
+    one = running_totals(df.where("g = 'a'").drop("g"), "v", ["n"], descending=True)
+    assert [r.cum_n for r in one.orderBy(F.desc("v")).collect()] == list(np.cumsum(np.arange(len(values), 0, -1)))
+    assert running_totals(df.where("false"), "v", ["n"], by=["g"]).count() == 0
+
+
+def test_top_by_score_in_groups(spark, uncoalesced):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{i % 3}", int(i), float(rng.integers(0, 6)) if i % 11 else None) for i in rng.permutation(300)] + [("none", 900, None)]
+    df = spark.createDataFrame(rows, "g string, id long, s double")
+    got = {(r.g, r.id) for r in RK.top_by_score(df, "s", "id", F.bround(F.col("n_rows") * 0.3, 0), ["g"]).collect()}
+    want = set()
+    for g in ("g0", "g1", "g2"):
+        mine = [r for r in rows if r[0] == g]
+        best = sorted((r for r in mine if r[2] is not None), key=lambda r: (-r[2], r[1]))[: round(0.3 * len(mine))]
+        want |= {(g, r[1]) for r in best}
+    assert got == want
 
 
 def test_exact_percentiles(spark):
