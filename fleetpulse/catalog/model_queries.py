@@ -50,6 +50,10 @@ def logistic(c: float = 1.0) -> M.Plain:
     return M.Plain([*stages(), M.logistic(c)])
 
 
+def stacked(c: float = 1.0) -> M.Stacked:
+    return M.stacked_logistic(FEATURES, c)
+
+
 def outcome(scores: DataFrame) -> DataFrame:
     return scores.select("seq_id", "day_0", "label", "score")
 
@@ -115,7 +119,7 @@ def _(t: Inputs) -> DataFrame:
 @query("ml7_calibrated_linear_svm")
 def _(t: Inputs) -> DataFrame:
     train, test = halves(t)
-    model = M.Calibrated([*stages(), M.linear_svm(1.0)], IDS)
+    model = M.Calibrated([*stages(), M.sparse_svm(1.0)], IDS)
     return outcome(model.fit(train).score(test))
 
 
@@ -237,28 +241,37 @@ def _(t: Inputs) -> DataFrame:
     return M.clustered(M.k_means(points, "v", 2), points, "v").agg(F.count("*").alias("n"), F.countDistinct("cluster").alias("clusters"))
 
 
+MODELS = {
+    "logistic": stacked,
+    "linear_svm": lambda: M.stacked_svm(FEATURES, IDS),
+    "ridge": lambda: M.stacked_ridge(FEATURES, IDS),
+    "forest": forest,
+}
+C_GRID = [float(10.0**k) for k in range(-5, 3)]
+
+
 def splits(t: Inputs, k: int = 5) -> DataFrame:
     return FD.day_splits(days(t), "label", IDS, k=k)
 
 
 @query("cv3_top_share_over_folds")
 def _(t: Inputs) -> DataFrame:
-    return M.top_metrics_cv(M.fold_scores(splits(t), logistic), "seq_id", 0.2)
+    return M.top_metrics_cv(M.fold_scores(splits(t), stacked), "seq_id", 0.2)
 
 
 @query("cv3_top_share_over_plain_folds")
 def _(t: Inputs) -> DataFrame:
-    return M.top_metrics_cv(M.fold_scores(M.plain_splits(days(t), "seq_id"), logistic), "seq_id", 0.2)
+    return M.top_metrics_cv(M.fold_scores(M.plain_splits(days(t), "seq_id"), stacked), "seq_id", 0.2)
 
 
 @query("cv9_best_of_models")
 def _(t: Inputs) -> DataFrame:
-    return M.compare_roc(days(t), {"logistic": logistic, "forest": forest}, IDS, "seq_id")
+    return M.compare_roc(days(t), MODELS, IDS, "seq_id")
 
 
 @query("cv5_grid_search")
 def _(t: Inputs) -> DataFrame:
-    return M.grid_search(days(t), logistic, {"c": [0.01, 0.1, 1.0]}, IDS, k=5)
+    return M.grid_search(days(t), stacked, {"c": C_GRID}, IDS, k=5)
 
 
 @query("snk10_stored_grid_results")
@@ -276,23 +289,22 @@ def _(t: Inputs) -> DataFrame:
 @query("cv7_gap_study")
 def _(t: Inputs) -> DataFrame:
     # all gaps of a window are scored with its one fit
-    return M.gap_study(days(t), logistic, [0, 2, 20], ratio_testing=0.25)
+    return M.gap_study(days(t), stacked, [0, 2, 20], ratio_testing=0.25)
 
 
 @query("cv8_weekday_study")
 def _(t: Inputs) -> DataFrame:
-    return M.weekday_study(days(t), logistic, IDS)
+    return M.weekday_study(days(t), stacked, IDS)
 
 
 @query("cv9_compared_models")
 def _(t: Inputs) -> DataFrame:
-    makers = {"logistic": logistic, "forest": forest}
-    return M.compare_models(days(t), makers, IDS, [0.4, 0.5, 0.6])
+    return M.compare_models(days(t), MODELS, IDS, [0.4, 0.5, 0.6])
 
 
 @query("cv9_pooled_curves")
 def _(t: Inputs) -> DataFrame:
-    scores = M.fold_scores(splits(t), logistic)
+    scores = M.fold_scores(splits(t), stacked)
     return precision_recall_points(scores, "score", "label", ["split"])
 
 

@@ -10,24 +10,31 @@ from __future__ import annotations
 import itertools
 import json
 from collections.abc import Callable, Iterator, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import PCA, Imputer, PCAModel, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.param.shared import HasFeaturesCol, HasInputCol, HasLabelCol, HasOutputCol
 from pyspark.ml.regression import LinearRegression
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.scalars import stable_hash
-from fleetpulse.operators.evaluate import auc_over_folds, pr_auc, recall_at_precision, roc_auc, top_metrics
+from fleetpulse.operators.evaluate import pr_auc, recall_at_precision, roc_auc, top_metrics
 from fleetpulse.operators.folds import contiguous_folds, day_splits, gap_hold_out, gap_schedule
 from fleetpulse.operators.pairs import silhouettes
 from fleetpulse.operators.prep import balance
+from fleetpulse.operators.stacked import Setting, Stacked, margin_weights, sliding_ridge
 from fleetpulse.session import staged
 
 LABEL = "label"
@@ -37,43 +44,100 @@ SEED = 42
 # ---- feature stages and classifiers ---------------------------------------------------------
 
 
-class VariancePCA(Estimator):
+class _Stored(DefaultParamsReadable, DefaultParamsWritable):
+    """A stage written in Python that is saved and loaded with its parameters, inside a pipeline or alone."""
+
+    def _with(self, **values: object) -> _Stored:
+        return self._set(**{k: v for k, v in values.items() if v is not None})
+
+
+class VariancePCA(Estimator, HasInputCol, HasOutputCol, _Stored):
     """Projection on as few components as explain a share of the variance."""
 
-    def __init__(self, share: float, inputCol: str, outputCol: str) -> None:
+    share = Param(Params._dummy(), "share", "share of the variance", TypeConverters.toFloat)
+
+    def __init__(self, share: float | None = None, inputCol: str | None = None, outputCol: str | None = None) -> None:
         super().__init__()
-        self.share, self.inputCol, self.outputCol = share, inputCol, outputCol
+        self._with(share=share, inputCol=inputCol, outputCol=outputCol)
 
-    def _fit(self, dataset: DataFrame) -> PCAModel:
-        d = dataset.select(F.array_size(vector_to_array(self.inputCol))).first()[0]
-        explained = PCA(k=d, inputCol=self.inputCol, outputCol=self.outputCol).fit(dataset).explainedVariance.toArray()
-        k = min(int(np.searchsorted(np.cumsum(explained), self.share - 1e-12)) + 1, d)
-        return PCA(k=k, inputCol=self.inputCol, outputCol=self.outputCol).fit(dataset)
+    def _fit(self, dataset: DataFrame) -> ProjectionModel:
+        first = dataset.select(F.array_size(vector_to_array(self.getInputCol()))).first()
+        full = PCA(k=first[0], inputCol=self.getInputCol(), outputCol=self.getOutputCol()).fit(dataset)
+        k = int(np.searchsorted(np.cumsum(full.explainedVariance.toArray()), self.getOrDefault("share") - 1e-12)) + 1
+        return ProjectionModel(full.pc.toArray()[:, :k].T, self.getInputCol(), self.getOutputCol())
 
 
-class Discriminant(Estimator):
+class Discriminant(Estimator, HasInputCol, HasOutputCol, _Stored):
     """Projection on the axis of the two-class linear discriminant, a vector of one number."""
 
-    def __init__(self, inputCol: str, outputCol: str) -> None:
+    def __init__(self, inputCol: str | None = None, outputCol: str | None = None) -> None:
         super().__init__()
-        self.inputCol, self.outputCol = inputCol, outputCol
+        self._with(inputCol=inputCol, outputCol=outputCol)
+
+    def _fit(self, dataset: DataFrame) -> ProjectionModel:
+        arrays = dataset.select(vector_to_array(self.getInputCol()).alias("v"), F.col(LABEL).cast("int").alias("y"))
+        return ProjectionModel(discriminant_axis(arrays, "v", "y")[None], self.getInputCol(), self.getOutputCol())
 
-    def _fit(self, dataset: DataFrame) -> DiscriminantModel:
-        arrays = dataset.select(vector_to_array(self.inputCol).alias("v"), F.col(LABEL).cast("int").alias("y"))
-        return DiscriminantModel(discriminant_axis(arrays, "v", "y"), self.inputCol, self.outputCol)
 
+class ProjectionModel(Model, HasInputCol, HasOutputCol, _Stored):
+    """Inner products of a vector with fitted axes, as a vector."""
 
-class DiscriminantModel(Model):
-    """The fitted axis."""
+    axes = Param(Params._dummy(), "axes", "axes one after the other", TypeConverters.toListFloat)
+    width = Param(Params._dummy(), "width", "numbers of an axis", TypeConverters.toInt)
 
-    def __init__(self, axis: np.ndarray, inputCol: str, outputCol: str) -> None:
+    def __init__(self, axes: np.ndarray | None = None, inputCol: str | None = None, outputCol: str | None = None) -> None:
         super().__init__()
-        self.axis, self.inputCol, self.outputCol = axis, inputCol, outputCol
+        flat = None if axes is None else np.asarray(axes, float).reshape(-1).tolist()
+        self._with(axes=flat, width=None if axes is None else int(axes.shape[1]), inputCol=inputCol, outputCol=outputCol)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        weights = dataset.sparkSession.createDataFrame([([float(w) for w in self.axis],)], "w array<double>").scalar()
-        product = F.aggregate(F.zip_with(vector_to_array(self.inputCol), "_w", lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
-        return dataset.withColumn("_w", weights).withColumn(self.outputCol, array_to_vector(F.array(product))).drop("_w")
+        d, flat = self.getOrDefault("width"), self.getOrDefault("axes")
+        rows = [flat[k : k + d] for k in range(0, len(flat), d)]
+        axes = dataset.sparkSession.createDataFrame([(rows,)], "w array<array<double>>").scalar()
+        product = lambda axis: F.aggregate(F.zip_with("_v", axis, lambda x, w: x * w), F.lit(0.0), lambda a, v: a + v)
+        made = dataset.withColumn("_w", axes).withColumn("_v", vector_to_array(self.getInputCol()))
+        return made.withColumn(self.getOutputCol(), array_to_vector(F.transform("_w", product))).drop("_w", "_v")
+
+
+class SparseSVC(Estimator, HasFeaturesCol, HasLabelCol, _Stored):
+    """Linear support vectors with squared hinge loss and an L1 penalty: ``c * losses + |w|``, without the intercept."""
+
+    c = Param(Params._dummy(), "c", "inverse penalty summed over rows", TypeConverters.toFloat)
+
+    def __init__(self, c: float | None = None, featuresCol: str = "features", labelCol: str = "label") -> None:
+        super().__init__()
+        self._with(c=c, featuresCol=featuresCol, labelCol=labelCol)
+
+    def _fit(self, dataset: DataFrame) -> SparseSVCModel:
+        vector, label = vector_to_array(self.getFeaturesCol()), F.col(self.getLabelCol())
+        w = margin_weights(dataset, vector, label, Setting("hinge", l1=1.0 / self.getOrDefault("c")))
+        return SparseSVCModel(w, self.getFeaturesCol())
+
+
+class SparseSVCModel(Model, HasFeaturesCol, _Stored):
+    """Fitted weights; the margin is ``rawPrediction[1]``."""
+
+    weights = Param(Params._dummy(), "weights", "weights, intercept last", TypeConverters.toListFloat)
+
+    def __init__(self, weights: np.ndarray | None = None, featuresCol: str = "features") -> None:
+        super().__init__()
+        self._with(weights=None if weights is None else [float(w) for w in weights], featuresCol=featuresCol)
+
+    @property
+    def coefficients(self) -> np.ndarray:
+        return np.array(self.getOrDefault("weights")[:-1])
+
+    @property
+    def intercept(self) -> float:
+        return self.getOrDefault("weights")[-1]
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        *w, b = self.getOrDefault("weights")
+        weights = dataset.sparkSession.createDataFrame([(list(w),)], "w array<double>").scalar()
+        product = F.zip_with(vector_to_array(self.getFeaturesCol()), "_w", lambda x, k: x * k)
+        margin = F.aggregate(product, F.lit(float(b)), lambda a, v: a + v)
+        out = dataset.withColumn("_w", weights).withColumn("_m", margin)
+        return out.withColumns({"rawPrediction": array_to_vector(F.array(-F.col("_m"), F.col("_m"))), "prediction": (F.col("_m") > 0).cast("double")}).drop("_w", "_m")
 
 
 def feature_stages(
@@ -149,6 +213,26 @@ def linear_svm(c: float, max_iter: int = 100) -> Penalised:
     return Penalised(LinearSVC(labelCol=LABEL, maxIter=max_iter), 1.0 / c)
 
 
+def sparse_svm(c: float) -> SparseSVC:
+    """Linear support vectors with an L1 penalty, which leaves out columns; give it probabilities with ``Calibrated``."""
+    return SparseSVC(c, labelCol=LABEL)
+
+
+def stacked_logistic(columns: Sequence[str], c: float = 1.0) -> Stacked:
+    """Scaled logistic regression that is fitted for all splits, and all values of a grid, at once."""
+    return Stacked(columns, (Setting("logistic", l2=1.0 / c),))
+
+
+def stacked_svm(columns: Sequence[str], ids: Sequence[str], c: float = 1.0) -> Stacked:
+    """The same for calibrated linear support vectors with an L1 penalty."""
+    return Stacked(columns, (Setting("hinge", l1=1.0 / c),), calibrated=True, ids=tuple(ids))
+
+
+def stacked_ridge(columns: Sequence[str], ids: Sequence[str], alpha: float = 1.0) -> Stacked:
+    """The same for a calibrated ridge classifier."""
+    return Stacked(columns, (Setting("squares", l2=alpha),), calibrated=True, ids=tuple(ids))
+
+
 def ridge(alpha: float) -> Penalised:
     """Ridge classifier: least squares on -1/+1 targets (column ``signed``)."""
     return Penalised(LinearRegression(labelCol="signed", elasticNetParam=0.0), alpha)
@@ -216,7 +300,8 @@ class Plain:
         return scored(self.model, df, name)
 
 
-Maker = Callable[[], Plain | Calibrated]
+Maker = Callable[[], Plain | Calibrated | Stacked]
+PARALLEL = 4  # separate fits that share the cluster at a time
 
 
 def importances(model: PipelineModel, columns: Sequence[str], df: DataFrame) -> DataFrame:
@@ -250,18 +335,22 @@ def load_model(path: str) -> PipelineModel:
 def fold_scores(splits: DataFrame, make: Maker, stage: bool = True) -> DataFrame:
     """Scored test rows of every split (columns ``split``, ``score`` and the row's own).
 
-    ``splits`` has ``split`` and ``role``; models of different splits share nothing. The fits read the
+    ``splits`` has ``split`` and ``role``. ``Stacked`` models are fitted for all splits in the same passes;
+    other models of different splits share nothing and are fitted a few at a time. The fits read the
     splits repeatedly, so they are written first (``stage=False`` if the caller did).
     """
     splits = staged(splits, "splits") if stage else splits
+    one = make()
+    if isinstance(one, Stacked):
+        return one.fit(splits.where("role = 'train'")).score(splits.where("role = 'test'")).drop("setting")
     numbers = sorted(r[0] for r in splits.select("split").distinct().collect())
-    out = None
-    for s in numbers:
+
+    def scored_split(s: int) -> DataFrame:
         part = splits.where(F.col("split") == s)
-        fitted = make().fit(part.where("role = 'train'"))
-        one = fitted.score(part.where("role = 'test'"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        return make().fit(part.where("role = 'train'")).score(part.where("role = 'test'"))
+
+    with ThreadPool(min(PARALLEL, max(len(numbers), 1))) as pool:
+        return reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(splits.sparkSession)(scored_split), numbers))
 
 
 def plain_splits(df: DataFrame, row_id: str, k: int = 5) -> DataFrame:
@@ -272,15 +361,10 @@ def plain_splits(df: DataFrame, row_id: str, k: int = 5) -> DataFrame:
     return marked.withColumn("role", role).drop("fold")
 
 
-def top_metrics_cv(scores: DataFrame, row_id: str, ratio: float) -> DataFrame:
-    """(precision, recall, f1): top-share metrics averaged over splits."""
-    scores = staged(scores, "scores")
-    numbers = sorted(r[0] for r in scores.select("split").distinct().collect())
-    parts = [top_metrics(scores.where(F.col("split") == s), "score", LABEL, row_id, ratio) for s in numbers]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.agg(*[F.avg(c).alias(c) for c in ["precision", "recall", "f1"]])
+def top_metrics_cv(scores: DataFrame, row_id: str, ratio: float, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., precision, recall, f1): top-share metrics averaged over splits."""
+    each = top_metrics(staged(scores, "scores"), "score", LABEL, row_id, ratio, [*by, "split"])
+    return each.groupBy(*by).agg(*[F.avg(c).alias(c) for c in ["precision", "recall", "f1"]])
 
 
 def grid(params: Mapping[str, Sequence]) -> list[dict]:
@@ -295,26 +379,32 @@ def grid_search(
 ) -> DataFrame:
     """(params, mean_auc, std_auc, best): every combination on the same day-disjoint splits."""
     splits = staged(day_splits(df, LABEL, ids, day, k, balanced), "splits")
-    results = []
-    for combo in grid(params):
-        scores = fold_scores(splits, lambda: make(**combo), stage=False)
-        auc = auc_over_folds(scores, "score", LABEL, "split").first()
-        results.append((json.dumps(combo, sort_keys=True), auc["mean_auc"], auc["std_auc"]))
+    combos = [(json.dumps(combo, sort_keys=True), make(**combo)) for combo in grid(params)]
+    if all(isinstance(m, Stacked) for _, m in combos):
+        together = replace(combos[0][1], settings=tuple(c for _, m in combos for c in m.settings))
+        scores = together.fit(splits.where("role = 'train'")).score(splits.where("role = 'test'"))
+    else:
+        each = [fold_scores(splits, lambda m=model: m, stage=False).withColumn("setting", F.lit(i)) for i, (_, model) in enumerate(combos)]
+        scores = reduce(DataFrame.unionByName, each)
+    aucs = pr_auc(staged(scores.select("setting", "split", LABEL, "score"), "scores"), "score", LABEL, ["setting", "split"])
+    found = aucs.groupBy("setting").agg(F.avg("auc").alias("m"), F.stddev_pop("auc").alias("s")).collect()  # a row a combination
+    by_setting = {r.setting: (r.m, r.s) for r in found}
+    results = [(name, *by_setting.get(i, (None, None))) for i, (name, _) in enumerate(combos)]
     top = max(results, key=lambda r: -1.0 if r[1] is None else r[1])[0]
     data = [(p, m, s, p == top) for p, m, s in results]
     return df.sparkSession.createDataFrame(data, "params string, mean_auc double, std_auc double, best boolean")
 
 
+def _scores_of(splits: DataFrame, makers: Mapping[str, Maker], columns: Sequence[str]) -> DataFrame:
+    each = [fold_scores(splits, make, stage=False).select(F.lit(name).alias("model"), *columns) for name, make in makers.items()]
+    return staged(reduce(DataFrame.unionByName, each), "scores")
+
+
 def compare_models(
     df: DataFrame, makers: Mapping[str, Maker], ids: Sequence[str], levels: Sequence[float], day: str = "day_0", k: int = 5
 ) -> DataFrame:
     """(model, auc, level, recall, threshold): several classifiers on the same splits, from pooled scores."""
-    splits = staged(day_splits(df, LABEL, ids, day, k), "splits")
-    out = None
-    for name, make in makers.items():
-        scores = fold_scores(splits, make, stage=False).select(F.lit(name).alias("model"), LABEL, "score")
-        out = scores if out is None else out.unionByName(scores)
-    out = staged(out, "scores")
+    out = _scores_of(staged(day_splits(df, LABEL, ids, day, k), "splits"), makers, [LABEL, "score"])
     return recall_at_precision(out, "score", LABEL, levels, ["model"]).join(pr_auc(out, "score", LABEL, ["model"]), "model")
 
 
@@ -323,14 +413,9 @@ def compare_roc(
 ) -> DataFrame:
     """(model, auc, precision, recall, f1, best): area under the ROC curve from pooled scores and top-share
     metrics of several classifiers on the same splits; the best has the highest F1 (first name on a tie)."""
-    splits = staged(day_splits(df, LABEL, ids, day, k), "splits")
-    out = None
-    for name, make in makers.items():
-        scores = staged(fold_scores(splits, make, stage=False), "scores")
-        one = top_metrics_cv(scores, row_id, ratio).withColumn("auc", roc_auc(scores, "score", LABEL).scalar())
-        one = one.select(F.lit(name).alias("model"), "auc", "precision", "recall", "f1")
-        out = one if out is None else out.unionByName(one)
-    out = staged(out, "models")
+    scores = _scores_of(staged(day_splits(df, LABEL, ids, day, k), "splits"), makers, [row_id, "split", LABEL, "score"])
+    tops = top_metrics_cv(scores, row_id, ratio, ["model"])
+    out = staged(tops.join(roc_auc(scores, "score", LABEL, ["model"]), "model").select("model", "auc", "precision", "recall", "f1"), "models")
     top = out.agg(F.min_by("model", F.struct(-F.coalesce("f1", F.lit(-1.0)), "model")).alias("m")).scalar()
     return out.withColumn("best", F.col("model") == top)
 
@@ -356,27 +441,38 @@ def gap_study(df: DataFrame, make: Maker, gaps: Sequence[int], ratio_testing: fl
     """
     df = staged(df, "rows")
     schedule = staged(gap_schedule(df, gaps, ratio_testing), "schedule")
-    rounds = sorted(r[0] for r in schedule.select("round").distinct().collect())
+    tests = schedule.where("role = 'test'").select("round", "gap", F.col("day").alias("day_0"))
+    windows: dict[int, list[int]] = {}
+    for r in schedule.where("role = 'train'").select("round", F.unix_date("day").alias("d")).collect():  # rounds x days
+        windows.setdefault(r["round"], []).append(r.d)
+    day = F.unix_date(F.col("day_0").cast("date"))
+    one = make()
+    if isinstance(one, Stacked):
+        if not one.calibrated and len(one.settings) == 1 and one.settings[0].loss == "squares" and not one.settings[0].l1 and one.scale:
+            fitted = sliding_ridge(df, one.columns, windows, one.settings[0].l2, day)
+        else:
+            members: dict[int, list[int]] = {}
+            for number, days in windows.items():
+                for d in days:
+                    members.setdefault(d, []).append(number)
+            fitted = one.fit(df.withColumn("_day", day), "_day", members)
+        out = fitted.score(df.join(tests, "day_0"), "round").select("gap", LABEL, "score")
+        return pr_auc(staged(out, "scores"), "score", LABEL, ["gap"])
     out = None
-    for i in rounds:
-        plan = schedule.where(F.col("round") == i)
-        days = plan.where("role = 'train'").select(F.col("day").alias("day_0"))
-        tests = plan.where("role = 'test'").select("gap", F.col("day").alias("day_0"))
-        fitted = make().fit(df.join(days, "day_0", "left_semi"))
-        one = fitted.score(df.join(tests, "day_0")).select("gap", LABEL, "score")
-        out = one if out is None else out.unionByName(one)
+    for i, days in sorted(windows.items()):
+        fitted = make().fit(df.where(day.isin(days)))
+        part = fitted.score(df.join(tests.where(F.col("round") == i), "day_0")).select("gap", LABEL, "score")
+        out = part if out is None else out.unionByName(part)
     return pr_auc(staged(out, "scores"), "score", LABEL, ["gap"])
 
 
 def weekday_study(df: DataFrame, make: Maker, ids: Sequence[str], k: int = 3) -> DataFrame:
     """(weekday, auc): trained and tested on the same weekday only."""
     df = staged(df, "rows")
-    out = None
-    for w in range(7):
-        part = df.where(F.weekday("day_0") == w)
-        one = fold_scores(day_splits(part, LABEL, ids, k=k), make).select(F.lit(w).alias("weekday"), LABEL, "score")
-        out = one if out is None else out.unionByName(one)
-    return pr_auc(staged(out, "scores"), "score", LABEL, ["weekday"])
+    of = lambda w: day_splits(df.where(F.weekday("day_0") == w), LABEL, ids, k=k)
+    each = [of(w).withColumns({"weekday": F.lit(w), "split": F.col("split") + w * k}) for w in range(7)]
+    scores = fold_scores(reduce(DataFrame.unionByName, each), make)
+    return pr_auc(staged(scores.select("weekday", LABEL, "score"), "scores"), "score", LABEL, ["weekday"])
 
 
 # ---- projections ----------------------------------------------------------------------------
