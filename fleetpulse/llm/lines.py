@@ -20,6 +20,9 @@ earlier. An empty table gives an empty table. The document's own columns stay in
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +33,9 @@ COARSE, FINE = 2, 8  # blocks of a line: for all lines, and for suspects
 
 
 def normal(line: Column) -> Column:
-    return F.trim(F.lower(F.regexp_replace(line, SPACES, " ")))
+    """Lower case, white space as single spaces, trimmed. Most lines have single spaces only and need no pattern."""
+    wide = reduce(or_, [line.contains(x) for x in ("  ", "\t", "\x0b", "\x0c", "\r")])
+    return F.trim(F.lower(F.when(wide, F.regexp_replace(line, SPACES, " ")).otherwise(line)))
 
 
 def _surroundings(line: Column, blocks: int) -> Column:
@@ -139,7 +144,9 @@ def repeated_lines(docs: DataFrame, least_length: int = 20, doc_id: str = "doc_i
     firsts = stage(firsts, "lines-firsts")
     near = _partners(_suspect_lines(docs, lines, doc_id, text), firsts)
     marks = firsts.join(near, "h", "left").select("h", "first", F.col("other").isNotNull().alias("near"))
-    judged = lines.join(marks, "h", "left").withColumn("mine", place())
+    # lines without a word have no hash and take no part in the join
+    wordless = lines.where(F.col("h").isNull())
+    judged = known.join(marks, "h").unionByName(wordless, allowMissingColumns=True).withColumn("mine", place())
     equal = F.col("h").isNotNull() & (F.col("mine") != F.col("first"))
     go = lambda c: F.sort_array(F.collect_list(F.when(c, F.col("no"))))
     return judged.groupBy("rid", "id", "tx").agg(
