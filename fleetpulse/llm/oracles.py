@@ -17,7 +17,7 @@ def _share(part: str, whole: str, scale: int) -> str:
     return f"CASE WHEN {whole} > 0 THEN ({scale} * {part}) // {whole} ELSE 0 END"
 
 
-_METRICS = {"symbol_permille": 10, "upper_permille": 30, "word_length_percent": 60, "repeat_permille": 100, "dup_line_permille": 150}
+_METRICS = {"symbol_permille": 10, "upper_permille": 30, "word_length_percent": 60, "repeat_permille": 50, "dup_line_permille": 150}
 
 _QUALITY = f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t FROM documents),

@@ -39,7 +39,7 @@ METRICS = (
     Metric("symbol_permille", 10),
     Metric("upper_permille", 30),
     Metric("word_length_percent", 60, low_side=True),
-    Metric("repeat_permille", 100),
+    Metric("repeat_permille", 50),
     Metric("dup_line_permille", 150),
 )
 
