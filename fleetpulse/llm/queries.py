@@ -18,6 +18,7 @@ URL_RULES = [
     urls.host_rule("block", "example.com/de/"),
     urls.host_rule("allow", "org/fr/"),
 ]
+PASSAGE_BYTES = 240  # fewer than 51 words of usual length
 SPAM_LABELS = ["ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
@@ -84,8 +85,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffixes.without_repeats(docs, keep_text=False).select(
-        "row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+    return suffixes.without_repeats(docs, keep_text=False, passage_bytes=PASSAGE_BYTES).select(
+        "row.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256", "n_passages", "n_passage_words")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

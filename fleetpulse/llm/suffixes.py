@@ -129,12 +129,10 @@ class SuffixFamily:
         return found.distinct()
 
 
-def _stretches(docs: DataFrame, open_: DataFrame, text: str, length: int) -> DataFrame:
+def _stretches(docs: DataFrame, per_text: DataFrame, text: str, length: int) -> DataFrame:
     """Bytes of the stretches whose windows must be compared: ``key, crowd, t, t2, lo, bytes``."""
-    per_text = open_.groupBy("t", "t2").agg(F.collect_list(F.struct("key", "crowd", "lo", "hi")).alias("parts"))
     texts = docs.select(whole(docs[f"`{text}`"]).alias("__text")).where(F.octet_length("__text") >= length)
     texts = texts.withColumns({"__t": F.xxhash64("__text"), "__t2": F.xxhash64(F.lit(1), "__text")})
-    per_text = stage(per_text, "suffix-parts")
     texts = likely(texts, F.col("__t"), per_text, F.col("t")).where("likely")
     joined = texts.join(per_text.hint("merge"), (F.col("__t") == F.col("t")) & (F.col("__t2") == F.col("t2"))).select("t", "t2", F.encode("__text", "UTF-8").alias("b"), "parts")
     cut = lambda p: F.struct(
@@ -197,17 +195,26 @@ def _compared(stretches: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, probe: int = PROBE, batches: int = 4, text: str = "text") -> DataFrame:
-    """Per distinct text with a repeat (``t, t2``): ``starts``, ranges (lo, hi) of starts of repeated windows."""
-    suffixes = stage(suffix_table(docs, text, length, probe), "suffix-table")
+    """Per distinct text with a repeat (``t, t2``): ``starts``, ranges (lo, hi) of starts of repeated windows.
+    The result is written; what led to it is deleted."""
+    written: list[Staged] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        written.append(Staged(df, name))
+        return written[-1].df
+
+    suffixes = keep(suffix_table(docs, text, length, probe), "suffix-table")
     family = SuffixFamily(docs.sparkSession)
     for b in range(batches):
         family.ingest(suffixes.where(F.pmod("t", F.lit(batches)) == b))
-    keys = stage(family.repeated(), "suffix-keys")
+    keys = keep(family.repeated(), "suffix-keys")
+    written += [array for _, array in family.levels] + family.found
     again = likely(suffixes, F.col("key"), keys, F.col("key")).where("likely").drop("likely")
-    again = stage(again.join(keys.hint("merge"), "key", "left_semi"), "suffix-again")
+    again = keep(again.join(keys.hint("merge"), "key", "left_semi"), "suffix-again")
     # the same stretch twice: all of its windows are repeated
     twice = again.groupBy("key", "seg").agg(F.count("*").alias("n")).where("n > 1").select("key", "seg", F.lit(True).alias("twice"))
-    again = stage(again.join(twice.hint("merge"), ["key", "seg"], "left"), "suffix-marked")
+    twice = keep(twice, "suffix-twice")  # counted before the join, which can then deal out a crowded stretch
+    again = keep(again.join(twice.hint("merge"), ["key", "seg"], "left"), "suffix-marked")
     full, part = again.where("twice"), again.where("twice IS NULL").drop("twice")
     crowds = part.groupBy("key").agg((F.count("*") > CROWD).alias("crowd"))
     # windows of the other stretches may also equal windows inside those: one of each is compared too
@@ -215,16 +222,43 @@ def repeated_spans(docs: DataFrame, length: int = 400, probe: int = PROBE, batch
         full.groupBy("key", "seg").agg(F.min(F.struct("t", "t2", "lo", "hi")).alias("m"))
         .join(crowds.select("key").hint("merge"), "key", "left_semi").select("key", "m.*")
     )
-    open_ = stage(part.select("key", "t", "t2", "lo", "hi").unionByName(sample).join(crowds.hint("merge"), "key"), "suffix-open")
-    compared = _compared(_stretches(docs, open_, text, length), length)
+    open_ = (part.select("key", "t", "t2", "lo", "hi").unionByName(sample).join(crowds.hint("merge"), "key"))
+    per_text = keep(open_.groupBy("t", "t2").agg(F.collect_list(F.struct("key", "crowd", "lo", "hi")).alias("parts")), "suffix-parts")
+    compared = _compared(_stretches(docs, per_text, text, length), length)
     whole_ones = full.select("t", "t2", "lo", "hi").distinct()
-    return whole_ones.unionByName(compared).groupBy("t", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts"))
-
-
-def without_repeats(docs: DataFrame, length: int = 400, probe: int = PROBE, batches: int = 4, text: str = "text", keep_text: bool = True) -> DataFrame:
+    spans = stage(whole_ones.unionByName(compared).groupBy("t", "t2").agg(F.collect_list(F.struct("lo", "hi")).alias("starts")), "suffix-spans")
+    for table in written:
+        table.discard()
+    return spans
+
+
+def _merged(starts: list[dict] | None, length: int) -> list[list[int]]:
+    """Maximal runs of bytes (end exclusive) that windows cover."""
+    runs: list[list[int]] = []
+    for lo, hi in sorted((s["lo"], s["hi"] + length) for s in starts or []):
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi)
+        else:
+            runs.append([lo, hi])
+    return runs
+
+
+def without_repeats(
+    docs: DataFrame, length: int = 400, probe: int = PROBE, batches: int = 4, text: str = "text", keep_text: bool = True,
+    passage_bytes: int | None = None, passage_words: int = 50,
+) -> DataFrame:
     """Every document (inside ``row``) with ``n_bytes``, ``spans`` (removed bytes, end exclusive),
-    ``n_removed``, ``kept_sha256`` and, with ``keep_text``, ``kept``: the remaining bytes."""
-    spans = stage(repeated_spans(docs, length, probe, batches, text), "suffix-spans")
+    ``n_removed``, ``kept_sha256`` and, with ``keep_text``, ``kept``: the remaining bytes.
+
+    With ``passage_bytes`` repeats of so many bytes are searched as well, without being removed: ``n_passages``
+    counts their maximal runs of over ``passage_words`` words, and ``n_passage_words`` the words of these. A
+    passage of shorter words than ``passage_bytes`` allows for is not counted."""
+    spans = repeated_spans(docs, length, probe, batches, text)
+    if passage_bytes is not None:
+        close = repeated_spans(docs, passage_bytes, probe, batches, text).withColumnRenamed("starts", "close")
+        spans = stage(spans.join(close.hint("merge"), ["t", "t2"], "full"), "suffix-spans")
+    else:
+        spans = spans.withColumn("close", F.lit(None).cast(spans.schema["starts"].dataType))
     row = F.struct(*[docs[f"`{c}`"] for c in docs.columns if keep_text or c != text])
     df = docs.select(row.alias("row"), whole(docs[f"`{text}`"]).alias("__text"))
     df = df.withColumns({"__t": F.xxhash64("__text"), "__t2": F.xxhash64(F.lit(1), "__text")})
@@ -232,31 +266,32 @@ def without_repeats(docs: DataFrame, length: int = 400, probe: int = PROBE, batc
     same = (F.col("__t") == F.col("t")) & (F.col("__t2") == F.col("t2"))
     whole_text = F.encode("__text", "UTF-8").alias("bytes")
     # only texts that may have spans travel to them
-    df = df.where("likely").join(spans.hint("merge"), same, "left").select("row", whole_text, "starts").unionByName(
-        df.where("NOT likely").select("row", whole_text, F.lit(None).cast(spans.schema["starts"].dataType).alias("starts")))
+    none = F.lit(None).cast(spans.schema["starts"].dataType)
+    df = df.where("likely").join(spans.hint("merge"), same, "left").select("row", whole_text, "starts", "close").unionByName(
+        df.where("NOT likely").select("row", whole_text, none.alias("starts"), none.alias("close")))
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    names = ["row", "n_bytes", "n_removed", "kept_sha256", "spans", *(["kept"] if keep_text else [])]
+    extra = ["n_passages", "n_passage_words"] if passage_bytes is not None else []
+    names = ["row", "n_bytes", "n_removed", "kept_sha256", "spans", *(["kept"] if keep_text else []), *extra]
 
     def work(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            out: list[list] = [[], [], [], [], []]
-            for value, starts in zip(batch.column(1), batch.column(2), strict=True):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for value, starts, close in zip(*batch.columns[1:], strict=True):
                 data = value.as_py()
-                cut: list[list[int]] = []
-                for lo, hi in sorted((s["lo"], s["hi"] + length) for s in starts.as_py() or []):
-                    if cut and lo <= cut[-1][1]:
-                        cut[-1][1] = max(cut[-1][1], hi)
-                    else:
-                        cut.append([lo, hi])
+                cut = _merged(starts.as_py(), length)
+                counts = [len(data[a:b].split()) for a, b in _merged(close.as_py(), passage_bytes or 0)]
+                long = [n for n in counts if n > passage_words]
                 edges = [0, *[x for c in cut for x in c], len(data)]
                 kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
                 for values, v in zip(out, (len(data), len(data) - len(kept), hashlib.sha256(kept).hexdigest(),
-                                           [{"start": a, "end": b} for a, b in cut], kept), strict=True):
+                                           [{"start": a, "end": b} for a, b in cut], kept, len(long), sum(long)), strict=True):
                     values.append(v)
             arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], kind)]
             if keep_text:
                 arrays.append(pa.array(out[4], pa.binary()))
+            if extra:
+                arrays += [pa.array(out[5], pa.int64()), pa.array(out[6], pa.int64())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=names)
 
     schema = f"row {df.schema['row'].dataType.simpleString()}, n_bytes long, n_removed long, kept_sha256 string, spans array<struct<start:bigint,end:bigint>>"
-    return df.mapInArrow(work, schema + (", kept binary" if keep_text else ""))
+    return df.mapInArrow(work, schema + (", kept binary" if keep_text else "") + "".join(f", {c} long" for c in extra))

@@ -346,6 +346,18 @@ def test_suffixes_in_any_batches_and_crowds(spark):
         assert got == want
 
 
+def test_passages_of_many_words(spark):
+    """Repeats of over 50 words are counted though they are too short to be removed; shorter ones are not."""
+    texts = [prose(3000 + i, 80) + " " + passage + " " + prose(4000 + i, 80)
+             for i, passage in enumerate([prose(1, 60)] * 2 + [prose(2, 45)] * 2 + [prose(5, 100)] * 2 + [""])] + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.row.doc_id: r for r in suffixes.without_repeats(docs, passage_bytes=200).collect()}
+    assert [got[i].n_passages for i in range(9)] == [1, 1, 0, 0, 1, 1, 0, 0, 0]
+    assert got[0].n_removed == 0 < got[4].n_removed and 60 <= got[0].n_passage_words <= 62
+    want = dict(enumerate(brute.repeated_bytes(texts, 400)))
+    assert {i: (r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for i, r in got.items()} == want
+
+
 def test_suffix_levels(spark):
     """Seven batches leave levels of 4, 2 and 1."""
     table = spark.createDataFrame([(i, i, i % 5, i, 0, 0, 0) for i in range(70)], "t long, t2 long, key long, seg long, at int, lo int, hi int")
