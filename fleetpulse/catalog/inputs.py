@@ -22,6 +22,7 @@ from fleetpulse.plans.failures import failing_devices
 from fleetpulse.plans.interface import downstream_vector, upstream_vector
 from fleetpulse.plans.vectors import five_day_history, numbered, one_day_vector
 from fleetpulse.operators.windows import day_differences, day_means
+from fleetpulse.session import staged
 
 DAY = date(2024, 1, 15)
 ORDER_DAY = date(1998, 6, 15)
@@ -210,7 +211,8 @@ class Inputs:
 
     @cached_property
     def five_day(self) -> DataFrame:
-        return numbered(five_day_history(self.vector_1d))
+        # written first: numbering reads the rows more than once
+        return numbered(staged(five_day_history(self.vector_1d), "five-day"))
 
     @cached_property
     def via_macs(self) -> DataFrame:

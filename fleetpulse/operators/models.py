@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import itertools
 import json
-from collections.abc import Callable, Iterator, Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
@@ -34,7 +34,7 @@ from fleetpulse.operators.evaluate import pr_auc, recall_at_precision, roc_auc,
 from fleetpulse.operators.folds import contiguous_folds, day_splits, gap_hold_out, gap_schedule
 from fleetpulse.operators.pairs import silhouettes
 from fleetpulse.operators.prep import balance
-from fleetpulse.operators.stacked import Setting, Stacked, margin_weights, sliding_ridge
+from fleetpulse.operators.stacked import Setting, Stacked, margin_weights, packed_sums, sliding_ridge
 from fleetpulse.session import staged
 
 LABEL = "label"
@@ -504,44 +504,33 @@ def project(df: DataFrame, model: PCAModel, vec: str, k: int) -> DataFrame:
 def class_moments(df: DataFrame, vec: str, label: str) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """Per class: rows, vector sum and d x d product sum around the overall mean.
 
-    Tasks add up their own matrices; the driver receives one d x d matrix per class.
+    One pass: tasks add up a packed row per class (rows, mean, products around that mean), which are merged
+    over groups of tasks; the driver receives a fixed number of rows per class.
     """
-    d = df.select(F.array_size(vec)).first()[0]
-    mean = np.array(
-        [r[1] for r in df.select(F.posexplode(vec).alias("k", "x")).groupBy("k").agg(F.avg("x")).orderBy("k").collect()]
-    )
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[int, list] = {}
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, d) - mean
-            y = batch.column(1).to_numpy(zero_copy_only=False)
-            for c in np.unique(y):
-                part = x[y == c]
-                slot = acc.setdefault(int(c), [0.0, np.zeros(d), np.zeros((d, d))])
-                slot[0] += len(part)
-                slot[1] += part.sum(0)
-                slot[2] += part.T @ part
-        for c, (n, s, q) in acc.items():
-            flat = np.concatenate([[n], s, q.ravel()])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(flat), c, dtype="int32")), pa.array(np.arange(len(flat), dtype="int32")), pa.array(flat)],
-                names=["c", "k", "v"],
-            )
-
-    rows = (
-        df.select(vec, F.col(label).cast("int").alias("y")).mapInArrow(sums, "c int, k int, v double")
-        .groupBy("c", "k").agg(F.sum("v").alias("v")).collect()
-    )
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        d = math.isqrt(len(a) - 1)  # 1 + d + d * d numbers
+        n, step = a[0] + b[0], b[1 : d + 1] - a[1 : d + 1]
+        products = a[d + 1 :] + b[d + 1 :] + np.outer(step, step).reshape(-1) * (a[0] * b[0] / n)
+        return np.concatenate([[n], a[1 : d + 1] + step * b[0] / n, products])
+
+    def part(classes: np.ndarray, _: np.ndarray, values: np.ndarray, sums: dict[int, np.ndarray]) -> None:
+        for c in np.unique(classes).tolist():
+            x = values[classes == c]
+            centred = x - x.mean(0)
+            new = np.concatenate([[len(x)], x.mean(0), (centred.T @ centred).reshape(-1)])
+            sums[c] = merge(sums[c], new) if c in sums else new
+
+    rows = df.where(F.col(label).isNotNull()).select(
+        F.col(label).cast("long").alias("_key"), F.lit(0.0).alias("_y"), F.col(vec).cast("array<double>").alias("_v"))
+    found = packed_sums(rows, part, merge)
+    total = sum(a[0] for a in found.values())
+    d = math.isqrt(len(next(iter(found.values()))) - 1) if found else 0
+    overall = sum((a[0] * a[1 : d + 1] for a in found.values()), np.zeros(d)) / max(total, 1)
     out = {}
-    for c in {r.c for r in rows}:
-        flat = np.zeros(1 + d + d * d)
-        for r in rows:
-            if r.c == c:
-                flat[r.k] = r.v
-        out[c] = (flat[0], flat[1:1 + d], flat[1 + d:].reshape(d, d))
+    for c, a in found.items():
+        away = a[1 : d + 1] - overall
+        out[c] = (float(a[0]), a[0] * away, a[d + 1 :].reshape(d, d) + a[0] * np.outer(away, away))
     return out
 
 

@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.scalars import hash_bucket, stable_hash
+from fleetpulse.functions.scalars import stable_hash
 from fleetpulse.session import staged
 
+DIGITS = 3  # hexadecimal digits by which radix selection lengthens a prefix
+RANKED = 50_000  # rows that it leaves to one ranking
+
 
 def value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, value, n): how often each non-null value occurs in each column."""
@@ -55,34 +58,37 @@ def running_totals(
 
 
 def dense_index(df: DataFrame, ids: Sequence[str], name: str, by: Sequence[str] = (), seed: int = 0) -> DataFrame:
-    """Gap-free numbers 1..n inside each ``by`` group, in the order of a stable hash of ``ids``."""
-    by = list(by)
-    marked = df.withColumn("_h", stable_hash(*ids, seed=seed)).withColumn("_b", hash_bucket("_h"))
-    counts = marked.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    before = W.partitionBy(*by).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inside = W.partitionBy(*by, "_b").orderBy("_h")
-    return (
-        marked.join(offsets, [*by, "_b"])
-        .withColumn(name, F.col("_off") + F.row_number().over(inside))
-        .drop("_h", "_b", "_off")
-    )
+    """Gap-free numbers 1..n inside each ``by`` group, in the order of a stable hash of ``ids``.
+
+    The ranges of hashes follow the rows, so none grows with the table."""
+    marked = df.withColumn("_h", stable_hash(*ids, seed=seed)).withColumn("_one", F.lit(1).cast("long"))
+    return running_totals(marked, "_h", ["_one"], by).withColumnRenamed("cum__one", name).drop("_h", "_one")
 
 
 def kth_hash(df: DataFrame, ids: Sequence[str], k: Column, seed: int = 0) -> DataFrame:
     """One row: the k-th smallest stable hash of ``ids`` (``k`` may be a scalar subquery).
 
-    Counts per hash prefix find the prefix that holds the k-th value; only that prefix
-    (1/4096 of the rows) is ranked.
+    Radix selection: counts per prefix find the prefix that holds the k-th value, and longer prefixes are
+    counted inside it until at most ``RANKED`` rows are left, which are ranked.
     """
-    hashes = df.select(stable_hash(*ids, seed=seed).alias("h")).withColumn("b", hash_bucket("h"))
-    counts = hashes.groupBy("b").agg(F.count("*").alias("n"))
-    run = counts.withColumn("upto", F.sum("n").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, 0)))
-    run = run.withColumn("k", k.cast("long"))
-    hit = run.where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
-    hit = hit.select("b", (F.col("k") - F.col("upto") + F.col("n")).alias("need"))
-    ranked = hashes.join(hit, "b").withColumn("rn", F.row_number().over(W.partitionBy("b").orderBy("h")))
-    return ranked.where(F.col("rn") == F.col("need")).agg(F.max("h").alias("cut"))
+    spark = df.sparkSession
+    hashes = staged(df.select(stable_hash(*ids, seed=seed).alias("h")), "hashes")
+    need, prefix, n = spark.range(1).select(k.cast("long")).first()[0], "", None
+    while need is not None and (n is None or n > RANKED) and len(prefix) < 32:
+        part = hashes.where(F.startswith("h", F.lit(prefix))).groupBy(F.substring("h", 1, len(prefix) + DIGITS).alias("b"))
+        hit = None
+        for r in sorted(part.agg(F.count("*").alias("n")).collect()):  # at most 16 ** DIGITS rows
+            if 0 < need <= r.n:
+                hit = r
+                break
+            need -= r.n
+        if hit is None:
+            need = None
+        else:
+            prefix, n = hit.b, hit.n
+    left = hashes.where(F.startswith("h", F.lit(prefix))) if need is not None else hashes.where("false")
+    ranked = left.groupBy("h").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(W.orderBy("h")))  # at most RANKED rows
+    return ranked.where(F.col("upto") >= F.lit(need)).agg(F.min("h").alias("cut"))
 
 
 def hash_sample(df: DataFrame, ids: Sequence[str], k: Column, seed: int = 0) -> DataFrame:

@@ -64,7 +64,7 @@ def loss_terms(loss: str, sign: np.ndarray, margin: np.ndarray) -> tuple[np.ndar
 # ---- packed sums ----
 
 
-def _added(df: DataFrame, part: Callable[[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]], None], merge: Callable) -> dict[int, np.ndarray]:
+def packed_sums(df: DataFrame, part: Callable[[np.ndarray, np.ndarray, np.ndarray, dict[int, np.ndarray]], None], merge: Callable) -> dict[int, np.ndarray]:
     """What ``part(keys, labels, values, sums)`` adds to ``sums`` (an array per row set) over all rows of ``_key, _y, _v``."""
 
     def packed(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -139,7 +139,7 @@ def _scales(df: DataFrame, members: Members, scale: bool) -> dict[int, Scale]:
             sums[s] = _merged_moments(sums[s], new) if s in sums else new
 
     out = {}
-    for s, a in _added(df, part, _merged_moments).items():
+    for s, a in packed_sums(df, part, _merged_moments).items():
         _, mean, squares = a[1:].reshape(3, -1)
         deviation = np.sqrt(squares / max(a[0] - 1, 1))  # filled values add nothing to the squares
         out[s] = Scale(a[0], mean, np.where(deviation > 0, deviation, 1.0) if scale else np.ones(len(mean)))
@@ -233,7 +233,7 @@ def _fitted(df: DataFrame, members: Members, settings: Sequence[Setting], scales
                 flat = np.concatenate(new)
                 sums[s] = sums[s] + flat if s in sums else flat
 
-        for s, a in _added(df, part, np.add).items():
+        for s, a in packed_sums(df, part, np.add).items():
             for (k, _, w), one in zip(trials[s], a.reshape(len(trials[s]), -1), strict=True):
                 p = len(w)
                 fits[s][k].take(float(one[0]), one[1 : p + 1], one[p + 1 :].reshape(p, p))
@@ -351,7 +351,7 @@ def day_grams(df: DataFrame, columns: Sequence[str], key: Column) -> dict[int, n
             sums[k] = sums[k] + gram if k in sums else gram
 
     p = 2 * len(columns) + 2
-    return {k: a.reshape(p, p) for k, a in _added(rows, part, np.add).items()}
+    return {k: a.reshape(p, p) for k, a in packed_sums(rows, part, np.add).items()}
 
 
 def ridge_of_gram(gram: np.ndarray, alpha: float, scale: bool = True) -> tuple[np.ndarray, float, np.ndarray]:

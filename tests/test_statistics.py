@@ -69,6 +69,18 @@ def test_top_by_score_in_groups(spark, uncoalesced):
     assert got == want
 
 
+@pytest.mark.parametrize("ranked", [1, 10, 50_000])
+def test_radix_selection_finds_the_kth_hash(spark, ranked, monkeypatch):
+    monkeypatch.setattr(RK, "RANKED", ranked)
+    monkeypatch.setattr(RK, "DIGITS", 1)
+    df = spark.range(300).union(spark.range(20))  # some ids twice
+    hashes = sorted(r.h for r in df.select(RK.stable_hash("id", seed=5).alias("h")).collect())
+    for k in (1, 2, 57, 320):
+        assert RK.kth_hash(df, ["id"], F.lit(k), 5).first().cut == hashes[k - 1]
+    for k in (0, -3, 321, None):
+        assert RK.kth_hash(df, ["id"], F.lit(k), 5).first().cut is None
+
+
 def test_exact_percentiles(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=300), np.zeros(200)])
