@@ -255,7 +255,7 @@ def without_repeats(
     passage of shorter words than ``passage_bytes`` allows for is not counted."""
     spans = repeated_spans(docs, length, probe, batches, text)
     if passage_bytes is not None:
-        close = repeated_spans(docs, passage_bytes, probe, batches, text).withColumnRenamed("starts", "close")
+        close = repeated_spans(docs, passage_bytes, probe, 1, text).withColumnRenamed("starts", "close")
         spans = stage(spans.join(close.hint("merge"), ["t", "t2"], "full"), "suffix-spans")
     else:
         spans = spans.withColumn("close", F.lit(None).cast(spans.schema["starts"].dataType))
