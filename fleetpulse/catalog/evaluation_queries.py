@@ -360,6 +360,13 @@ def _(t: Inputs) -> DataFrame:
     return PR.nearest_labels(points.where("cluster = 1"), points.where("cluster = 0"), "id", "v", "label", 5, BLOCK)
 
 
+@query("ml10_nearest_rows", f"""SELECT id, CAST(r AS INTEGER) AS rank, near, distance FROM (SELECT a.id, b.id AS near, {_DIST} AS distance,
+ row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}, b.id) AS r FROM clustered a, clustered b WHERE a.cluster = 0 AND b.cluster = 1) WHERE r <= 5""", ["distance"])
+def _(t: Inputs) -> DataFrame:
+    points = t.clustered
+    return PR.nearest_rows(points.where("cluster = 1"), points.where("cluster = 0"), "id", "v", 5, block_rows=BLOCK)
+
+
 @query("win6_running_totals_by_day", """SELECT day_0, score, CAST(sum(count(*)) OVER (PARTITION BY day_0 ORDER BY score) AS BIGINT) AS cum_n FROM scored GROUP BY day_0, score""")
 def _(t: Inputs) -> DataFrame:
     counts = t.scored.groupBy("day_0", "score").agg(F.count("*").alias("n"))

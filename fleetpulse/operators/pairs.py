@@ -1,14 +1,19 @@
 """Work over all pairs of points: energy test, silhouette, neighbours, distance histograms.
 
 The results need every pair, so the work is quadratic; what is bounded is everything else.
-Points are dealt by a stable hash into blocks of about ``block_rows``; each pair of blocks
-is one tile, one task's numpy matrix of fixed size. A tile emits only sums, counts or
-per-point partials, never its pairs, and tiles are balanced whatever the data looks like.
+Points are dealt by a stable hash into super-blocks of up to ``SPAN`` blocks of ``block_rows``.
+A pair of super-blocks is one tile: a task walks over its pairs of blocks, one numpy matrix of
+fixed size at a time, so a point travels n / (``block_rows`` * ``SPAN``) times, not
+n / ``block_rows`` times. A tile emits only sums, counts or per-point partials, added up before
+they leave it, never its pairs; tiles are balanced whatever the data looks like.
+
+Neighbours don't need every pair: ``nearest_rows`` skips cells of rows that the triangle
+inequality rules out.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,6 +26,9 @@ from fleetpulse.operators.ranking import hash_sample
 from fleetpulse.session import staged
 
 BLOCK_ROWS = 1024
+SPAN = 8  # blocks on a side of a tile, once there are SPREAD super-blocks of that size
+SPREAD = 16  # super-blocks that are kept at least before tiles widen: 136 tiles for the tasks
+MAX_PIVOTS = 1024  # pivots of a neighbour search, and so the rows of its table of cells
 
 
 # ---- numpy helpers used inside tiles --------------------------------------------------------
@@ -65,13 +73,17 @@ def _matrix(column: pd.Series) -> np.ndarray:
 # ---- dealing points into tiles --------------------------------------------------------------
 
 
-def to_tiles(points: DataFrame, row_id: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def to_tiles(points: DataFrame, row_id: str, block_rows: int = BLOCK_ROWS, span: int = 1) -> DataFrame:
     """Each point once per tile it takes part in: adds ``ti`` <= ``tj`` and ``side``.
 
-    ``side`` is 0 for the tile's rows, 1 for its columns, 2 in a diagonal tile (both).
+    ``side`` is 0 for the tile's rows, 1 for its columns, 2 in a diagonal tile (both). A tile has up
+    to ``span`` blocks on a side, fewer while that would leave less than ``SPREAD`` super-blocks.
     """
     n = points.agg(F.count("*").alias("n")).scalar()
-    dealt = points.withColumn("_nb", F.greatest(F.ceil(n / block_rows), F.lit(1)).cast("int"))
+    blocks = F.ceil(n / block_rows)
+    wide = F.least(F.greatest(F.floor(F.col("_nb") / SPREAD), F.lit(1)), F.lit(span))
+    dealt = points.withColumn("_nb", F.greatest(blocks, F.lit(1)))
+    dealt = dealt.withColumn("_nb", F.ceil(F.col("_nb") / wide).cast("int"))
     dealt = dealt.withColumn("_b", (hash_number(stable_hash(row_id)) % F.col("_nb")).cast("int"))
     dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     side = F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1)
@@ -89,18 +101,39 @@ def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
 
 def tile_apply(
     points: DataFrame, row_id: str, fn: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame],
-    schema: str, block_rows: int = BLOCK_ROWS,
+    schema: str, block_rows: int = BLOCK_ROWS, span: int = SPAN,
+    combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
 ) -> DataFrame:
-    """Run ``fn(rows, columns, diagonal)`` on every tile."""
+    """Run ``fn(rows, columns, diagonal)`` on every pair of blocks of every tile.
+
+    ``combine`` adds up the results of a tile's blocks row of blocks by row of blocks. With a
+    ``span`` of 1 every tile is a single call.
+    """
     columns = [c.split()[0] for c in schema.split(",")]
+    whole = span == 1
+
+    def blocks(pdf: pd.DataFrame) -> list[pd.DataFrame]:
+        return [pdf] if whole else [pdf.iloc[k : k + block_rows] for k in range(0, len(pdf), block_rows)]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols, diagonal = _sides(pdf)
+        done = pd.DataFrame({c: [] for c in columns})
         if len(rows) == 0 or len(cols) == 0:
-            return pd.DataFrame({c: [] for c in columns})
-        return fn(rows, cols, diagonal)
+            return done
+        across = blocks(cols)
+        found: list[pd.DataFrame] = []
+        for i, left in enumerate(blocks(rows)):
+            found += [fn(left, right, diagonal and i == j) for j, right in enumerate(across) if j >= i or not diagonal]
+            if combine is not None:
+                found = [combine(pd.concat(found))]
+        return pd.concat(found)[columns]
 
-    return to_tiles(points, row_id, block_rows).groupBy("ti", "tj").applyInPandas(run, schema)
+    return to_tiles(points, row_id, block_rows, span).groupBy("ti", "tj").applyInPandas(run, schema)
+
+
+def _added(keys: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Sums of all other columns by key."""
+    return lambda parts: parts.groupby(keys, sort=False).sum().reset_index()
 
 
 # ---- pair distances -------------------------------------------------------------------------
@@ -119,7 +152,10 @@ def pair_sums(points: DataFrame, row_id: str, vec: str, grp: str, block_rows: in
         )
 
     p = points.select(F.col(row_id).alias("id"), F.col(vec).alias("v"), F.col(grp).alias("g"))
-    parts = tile_apply(p, "id", fn, "g int,h int,n long,total double,nearest double,farthest double", block_rows)
+    def combine(parts: pd.DataFrame) -> pd.DataFrame:
+        return parts.groupby(["g", "h"]).agg({"n": "sum", "total": "sum", "nearest": "min", "farthest": "max"}).reset_index()
+
+    parts = tile_apply(p, "id", fn, "g int,h int,n long,total double,nearest double,farthest double", block_rows, combine=combine)
     return parts.groupBy("g", "h").agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"),
         F.min("nearest").alias("nearest"), F.max("farthest").alias("farthest"),
@@ -180,7 +216,7 @@ def distance_histogram(points: DataFrame, row_id: str, vec: str, metric: str = "
         used = np.nonzero(counts)[0]
         return pd.DataFrame({"bin": used + 1, "n": counts[used]})
 
-    return tile_apply(p, "id", fn, "bin int,n long", block_rows).groupBy("bin").agg(F.sum("n").alias("n"))
+    return tile_apply(p, "id", fn, "bin int,n long", block_rows, combine=_added(["bin"])).groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def distances_to_centres(points: DataFrame, vec: str, centres: DataFrame, precision: np.ndarray | None = None) -> DataFrame:
@@ -288,7 +324,7 @@ def energy_statistics(
         d = _euclidean(_matrix(rows["v"]), _matrix(cols["v"]))
         return _energy_sums(d, _matrix(rows["bits"]), _matrix(cols["bits"]), diagonal)
 
-    return _statistics(tile_apply(bits, "id", fn, _SUMS, block_rows), p, "g")
+    return _statistics(tile_apply(bits, "id", fn, _SUMS, block_rows, combine=_added(["r"])), p, "g")
 
 
 def distance_tiles(points: DataFrame, row_id: str, vec: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -303,7 +339,7 @@ def distance_tiles(points: DataFrame, row_id: str, vec: str, block_rows: int = B
         })
 
     p = points.select(F.col(row_id).cast("long").alias("id"), F.col(vec).alias("v"))
-    return tile_apply(p, "id", fn, "ti int,tj int,a_ids array<long>,b_ids array<long>,dist array<double>", block_rows)
+    return tile_apply(p, "id", fn, "ti int,tj int,a_ids array<long>,b_ids array<long>,dist array<double>", block_rows, span=1)
 
 
 def energy_from_tiles(
@@ -422,7 +458,7 @@ def silhouettes(points: DataFrame, row_id: str, vec: str, cluster: str, block_ro
         return out if diagonal else pd.concat([out, towards(d.T, cols, rows)])
 
     id_type = p.schema["id"].dataType.simpleString()
-    parts = tile_apply(p, "id", fn, f"id {id_type},c int,other int,total double", block_rows)
+    parts = tile_apply(p, "id", fn, f"id {id_type},c int,other int,total double", block_rows, combine=_added(["id", "c", "other"]))
     sums = parts.groupBy("id", "c", "other").agg(F.sum("total").alias("total"))
     sizes = p.groupBy(F.col("c").alias("other")).agg(F.count("*").alias("n"))
     means = sums.join(sizes, "other")
@@ -435,46 +471,148 @@ def silhouettes(points: DataFrame, row_id: str, vec: str, cluster: str, block_ro
     return ab.select("id", F.col("c").alias("cluster"), F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(s).alias("silhouette"))
 
 
-def nearest_labels(
-    train: DataFrame, test: DataFrame, row_id: str, vec: str, label: str, k: int, block_rows: int = BLOCK_ROWS
+class PivotCells:
+    """Training rows in Voronoi cells around pivots, and for each cell what bounds the distance to its rows.
+
+    Pivots are training rows with the smallest hashes, one per ``block_rows`` rows and at most
+    ``MAX_PIVOTS``. The driver holds them and, per cell, the least and largest distance to its pivot
+    and the ``k`` smallest ones: ``MAX_PIVOTS`` * (dimensions + ``k`` + 2) numbers at most.
+    """
+
+    def __init__(self, train: DataFrame, row_id: str, vec: str, carry: Sequence[str], k: int, block_rows: int = BLOCK_ROWS) -> None:
+        n = min(max(-(-train.count() // block_rows), 1), MAX_PIVOTS)
+        drawn = hash_sample(train.select(row_id, vec), [row_id], F.lit(n)).select(vec).limit(n).collect()
+        pivots = np.unique(np.array([r[0] for r in drawn], dtype=float), axis=0) if drawn else np.zeros((0, 0))
+        self.pivots, self.k = pivots, k
+        rows = train.select(F.col(row_id).alias("id"), F.col(vec).alias("v"), *carry)
+        if not len(pivots):  # no training rows
+            self.rows, self.size = rows.withColumns({"cell": F.lit(0), "r": F.lit(0.0)}), np.zeros(0)
+            self.near, self.low, self.high = np.zeros((0, k)), np.zeros(0), np.zeros(0)
+            return
+
+        def deal(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in parts:
+                if len(pdf):
+                    d = _exact(_matrix(pdf["v"]), pivots)
+                    cell = d.argmin(1)
+                    yield pdf.assign(cell=cell.astype("int32"), r=d[np.arange(len(pdf)), cell])
+
+        shape = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        self.rows = staged(rows.mapInPandas(deal, f"{shape},cell int,r double"), "pivot-cells")
+        m = len(pivots)
+        self.low, self.high, self.size = np.full(m, np.inf), np.full(m, -np.inf), np.zeros(m, np.int64)
+        for c in self.rows.groupBy("cell").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.count("*").alias("n")).collect():
+            self.low[c.cell], self.high[c.cell], self.size[c.cell] = c.lo, c.hi, c.n
+        # Spark limits the groups of this window before the shuffle, so a crowded cell sends k rows a task
+        ranked = self.rows.select("cell", "r", F.row_number().over(W.partitionBy("cell").orderBy("r")).alias("i")).where(F.col("i") <= k)
+        self.near = np.full((m, k), np.inf)
+        for c in ranked.collect():
+            self.near[c.cell, c.i - 1] = c.r
+
+    def visits(self, test: DataFrame, row_id: str, vec: str) -> DataFrame:
+        """Test rows (id, v) with ``cells``: those that can hold one of the row's k nearest rows, written.
+
+        A training row at r from its pivot p is at most d(q, p) + r from q, so the k-th smallest such
+        sum bounds the k-th neighbour. A cell is skipped if its ring around the pivot, or the plane
+        between its pivot and the one nearest to q, is farther away than that.
+        """
+        pivots, near, low, high, k = self.pivots, self.near, self.low, self.high, self.k
+        rows = test.select(F.col(row_id).alias("id"), F.col(vec).alias("v"))
+        shape = ",".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        apart = _exact(pivots, pivots) if len(pivots) else np.zeros((0, 0))
+        step = max(1, 4_000_000 // max(near.size, 1))  # rows whose bounds are held at a time
+
+        def choose(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in parts:
+                for first in range(0, len(whole), step):
+                    pdf = whole.iloc[first : first + step]
+                    d = _exact(_matrix(pdf["v"]), pivots)
+                    sums = (d[:, :, None] + near[None]).reshape(len(pdf), -1)
+                    bound = np.partition(sums, k - 1, axis=1)[:, k - 1]
+                    own = d.argmin(1)
+                    least = d[np.arange(len(pdf)), own]
+                    gap = apart[own]
+                    plane = np.divide(d * d - (least * least)[:, None], 2 * gap, out=np.zeros_like(d), where=gap > 0)
+                    floor = np.maximum(np.maximum(d - high, low - d), plane)
+                    # rounding may not lose a cell: the margin is far above the error of a distance
+                    margin = 1e-9 * (np.where(np.isfinite(bound), bound, 0.0)[:, None] + d)
+                    seen = (floor - margin <= bound[:, None]) & np.isfinite(high)[None]
+                    yield pdf.assign(cells=[np.flatnonzero(x).astype("int32") for x in seen])
+
+        if not len(pivots):
+            return rows.withColumn("cells", F.array().cast("array<int>"))
+        return staged(rows.mapInPandas(choose, f"{shape},cells array<int>"), "pivot-visits")
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances from the differences themselves: equal pairs give equal bits in every task."""
+    out = np.empty((len(a), len(b)))
+    for j, x in enumerate(b):
+        diff = a - x
+        out[:, j] = np.sqrt((diff * diff).sum(1))
+    return out
+
+
+def nearest_rows(
+    train: DataFrame, test: DataFrame, row_id: str, vec: str, k: int, carry: Sequence[str] = (), block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """(id, proba): share of positive labels among the k nearest training rows (ties: smaller id).
+    """(id, rank, near, distance, carried columns of the training row): the exact ``k`` nearest training
+    rows of every test row, Euclidean, ties by smaller id; fewer if there are fewer, none without training rows.
 
-    Tiles pair a block of test rows with a block of training rows and keep k candidates per
-    test row, so a test row gathers k rows per training block, then the best k overall.
+    A metric join over pivot cells (see ``PivotCells``): a test row goes to the cells it can't rule
+    out. Cells and their visitors are cut by hash into blocks of ``block_rows``, so a crowded cell is
+    many tiles; a tile hands on the best ``k`` of each of its test rows.
     """
-    def blocks(df: DataFrame) -> Column:
-        n = df.agg(F.count("*").alias("n")).scalar()
-        return F.greatest(F.ceil(n / block_rows), F.lit(1)).cast("int")
-
-    n_train, n_test = blocks(train), blocks(test)
-    own = hash_number(stable_hash(row_id))
-    a = test.withColumns({"_own": n_test, "_other": n_train}).select(
-        F.col(row_id).alias("id"), F.col(vec).alias("v"), F.lit(None).cast("double").alias("y"), F.lit(0).alias("side"),
-        (own % F.col("_own")).cast("int").alias("ti"), F.explode(F.sequence(F.lit(0), F.col("_other") - 1)).alias("tj"),
-    )
-    b = train.withColumns({"_own": n_train, "_other": n_test}).select(
-        F.col(row_id).alias("id"), F.col(vec).alias("v"), F.col(label).cast("double").alias("y"), F.lit(1).alias("side"),
-        F.explode(F.sequence(F.lit(0), F.col("_other") - 1)).alias("ti"), (own % F.col("_own")).cast("int").alias("tj"),
-    )
+    carry = list(carry)
+    cells = PivotCells(train, row_id, vec, carry, k, block_rows)
+    visits = cells.visits(test, row_id, vec)
+    each = visits.select("id", "v", F.explode("cells").alias("cell"))
+    cut = lambda n: F.ceil(n / block_rows).cast("int")
+    # one row per cell, MAX_PIVOTS rows at most
+    sizes = each.groupBy("cell").agg(cut(F.count("*")).alias("_ti")).join(
+        cells.rows.groupBy("cell").agg(cut(F.count("*")).alias("_tj")), "cell")
+    own = hash_number(stable_hash("id"))
+    none = [F.lit(None).cast(cells.rows.schema[c].dataType).alias(c) for c in carry]
+    a = each.join(F.broadcast(sizes), "cell").select(
+        "id", "v", *none, F.lit(0).alias("side"), "cell",
+        (own % F.col("_ti")).cast("int").alias("ti"), F.explode(F.sequence(F.lit(0), F.col("_tj") - 1)).alias("tj"))
+    b = cells.rows.join(F.broadcast(sizes), "cell").select(
+        "id", "v", *carry, F.lit(1).alias("side"), "cell",
+        F.explode(F.sequence(F.lit(0), F.col("_ti") - 1)).alias("ti"), (own % F.col("_tj")).cast("int").alias("tj"))
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("id")
+        out = {"id": rows["id"].iloc[:0], "distance": [], "near": cols["id"].iloc[:0], **{c: cols[c].iloc[:0] for c in carry}}
         if len(rows) == 0 or len(cols) == 0:
-            return pd.DataFrame({"id": [], "d": [], "near": [], "y": []})
-        d = _euclidean(_matrix(rows["v"]), _matrix(cols["v"]))
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        width = best.shape[1]
-        return pd.DataFrame({
-            "id": np.repeat(rows["id"].to_numpy(), width),
-            "d": np.take_along_axis(d, best, axis=1).ravel(),
-            "near": cols["id"].to_numpy()[best].ravel(), "y": cols["y"].to_numpy()[best].ravel(),
-        })
+            return pd.DataFrame(out)
+        x, y = _matrix(rows["v"]), _matrix(cols["v"])
+        d = _euclidean(x, y)
+        width = min(k, len(cols))
+        last = np.partition(d, width - 1, axis=1)[:, width - 1]
+        scale = np.sqrt((x * x).sum(1)) + np.sqrt((y * y).sum(1)).max()
+        # everything within rounding of the k-th goes on and is measured by its difference
+        i, j = np.nonzero(d <= (last + 1e-9 * scale)[:, None])
+        diff = x[i] - y[j]
+        exact = np.sqrt((diff * diff).sum(1))
+        order = np.lexsort((j, exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = place < k
+        i, j = i[keep], j[keep]
+        return pd.DataFrame({"id": rows["id"].to_numpy()[i], "distance": exact[keep], "near": cols["id"].to_numpy()[j],
+                             **{c: cols[c].to_numpy()[j] for c in carry}})
+
+    of = cells.rows.schema
+    schema = f"id {visits.schema['id'].dataType.simpleString()},distance double,near {of['id'].dataType.simpleString()}"
+    schema += "".join(f",`{c}` {of[c].dataType.simpleString()}" for c in carry)
+    found = a.unionByName(b).groupBy("cell", "ti", "tj").applyInPandas(fn, schema)
+    best = W.partitionBy("id").orderBy("distance", "near")
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "rank", "near", "distance", *carry)
 
-    id_type = train.schema[row_id].dataType.simpleString()
-    found = a.unionByName(b).groupBy("ti", "tj").applyInPandas(fn, f"id {id_type},d double,near {id_type},y double")
-    best = W.partitionBy("id").orderBy("d", "near")
-    return (
-        found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
-        .groupBy("id").agg(F.avg("y").alias("proba"))
-    )
+
+def nearest_labels(
+    train: DataFrame, test: DataFrame, row_id: str, vec: str, label: str, k: int, block_rows: int = BLOCK_ROWS
+) -> DataFrame:
+    """(id, proba): share of positive labels among the k nearest training rows (ties: smaller id)."""
+    labelled = train.select(row_id, vec, F.col(label).cast("double").alias("y"))
+    return nearest_rows(labelled, test, row_id, vec, k, ["y"], block_rows).groupBy("id").agg(F.avg("y").alias("proba"))

@@ -160,6 +160,68 @@ def test_silhouettes(spark, cloud):
         assert got[i] == pytest.approx((b - a) / max(a, b))
 
 
+def test_wide_tiles_give_what_single_blocks_give(spark, cloud, monkeypatch):
+    pts, df = cloud
+    monkeypatch.setattr(PR, "SPREAD", 2)
+    dealt = PR.to_tiles(df, "id", 4, span=8)
+    copies = dealt.count() / 70
+    assert copies == dealt.select("tj").distinct().count() == 3  # 18 blocks of 4 rows: 3 super-blocks of 8
+    assert PR.to_tiles(df, "id", 4).count() / 70 == 18
+    d = distances(pts)
+    r = PR.distance_summary(df, "id", "v", "euclidean", 4).first()
+    x = d[np.triu_indices(70, 1)]
+    assert (r.n, r.mean, r.std) == (len(x), pytest.approx(x.mean()), pytest.approx(x.std()))
+    counts = {h.bin: h.n for h in PR.distance_histogram(df, "id", "v", "euclidean", 50, 4).collect()}
+    assert counts == {h.bin: h.n for h in PR.distance_histogram(df, "id", "v", "euclidean", 50, 128).collect()}
+    wide = {e.r: e.energy for e in PR.energy_statistics(df, "id", "v", "grp", 3, block_rows=4).collect()}
+    assert wide == pytest.approx({e.r: e.energy for e in PR.energy_statistics(df, "id", "v", "grp", 3, block_rows=128).collect()})
+    grouped = df.withColumn("c", (F.col("id") >= 40).cast("int"))
+    wide = {e.id: e.silhouette for e in PR.silhouettes(grouped, "id", "v", "c", 4).collect()}
+    assert wide == pytest.approx({e.id: e.silhouette for e in PR.silhouettes(grouped, "id", "v", "c", 128).collect()})
+    assert {(e.g, e.h): e.n for e in PR.pair_sums(grouped, "id", "v", "c", 4).collect()} == {(0, 0): 780, (0, 1): 1200, (1, 1): 435}
+
+
+def nearest(train, test, k):
+    """Brute force: (id, rank) -> (near, distance), ties by smaller id."""
+    out = {}
+    for i, v in test:
+        ranked = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in train)[:k]
+        out.update({(i, r + 1): (j, d) for r, (d, j) in enumerate(ranked)})
+    return out
+
+
+def test_nearest_rows_equal_brute_force(spark):
+    rng = np.random.default_rng(9)
+    spots = rng.normal(scale=50, size=(12, 3))
+    train = [(i, [float(x) for x in spots[i % 12] + rng.normal(size=3)]) for i in range(300)]
+    train += [(1000 + i, [7.0, 7.0, 7.0]) for i in range(150)]  # a third of the rows in one place
+    test = [(i, [float(x) for x in spots[i % 12] + rng.normal(size=3)]) for i in range(100)]
+    test += [(200, [7.0, 7.0, 7.0]), (201, [7.0, 7.5, 7.0]), (202, [1e4, 0.0, 0.0])]
+    a, b = (spark.createDataFrame(x, "id long, v array<double>") for x in (train, test))
+    for k in (1, 5, 460):
+        got = {(r.id, r["rank"]): (r.near, r.distance) for r in PR.nearest_rows(a, b, "id", "v", k, block_rows=16).collect()}
+        want = nearest(train, test, k)
+        assert {key: v[0] for key, v in got.items()} == {key: v[0] for key, v in want.items()}
+        assert {key: v[1] for key, v in got.items()} == pytest.approx({key: v[1] for key, v in want.items()})
+
+
+def test_pivots_spare_most_cells_of_clustered_points(spark):
+    rng = np.random.default_rng(3)
+    spots = rng.normal(scale=100, size=(20, 4))
+    df = spark.createDataFrame([(i, [float(x) for x in spots[i % 20] + rng.normal(size=4)]) for i in range(2000)], "id long, v array<double>")
+    cells = PR.PivotCells(df, "id", "v", [], 5, block_rows=20)
+    visited = cells.visits(df, "id", "v").agg(F.avg(F.size("cells"))).first()[0]
+    assert len(cells.pivots) == 100 and visited < 15
+
+
+def test_nearest_rows_of_empty_tables(spark):
+    df = spark.createDataFrame([(1, [0.0, 1.0], 1.0)], "id long, v array<double>, y double")
+    none = df.where("id < 0")
+    assert PR.nearest_rows(none, df, "id", "v", 3).count() == 0
+    assert PR.nearest_rows(df, none, "id", "v", 3, ["y"]).count() == 0
+    assert PR.nearest_labels(df, df, "id", "v", "y", 3).first().proba == 1.0
+
+
 def test_distance_summary_over_blocks(cloud):
     pts, df = cloud
     x = distances(pts)[np.triu_indices(70, 1)]
