@@ -355,6 +355,25 @@ def _(t: Inputs) -> DataFrame:
     return checks.grew(t.device_day.where(day < F.lit(DAY)), t.device_day.where(day <= F.lit(DAY)))
 
 
+@query("dq1_written_row_counts", f"""SELECT 'days' AS step, count(*) AS n_rows, count(*) > 0 AS ok FROM device_day
+ UNION ALL SELECT 'later', count(*), true FROM device_day WHERE day_0 > {D0} + 3650""")
+def _(t: Inputs) -> DataFrame:
+    # counted by the tasks that write, in place of a counting job per step; the second step may be empty
+    rows = t.device_day.select("mac", "day_0", "offline_pct")
+    later = rows.where(F.col("day_0") > F.lit(DAY + timedelta(days=3650)))
+    steps = {"days": (rows, True), "later": (later, False)}
+    written = {n: (sinks.counted(sinks.overwrite_days, df, new_table_path(t.spark, n))["n_rows"], needed) for n, (df, needed) in steps.items()}
+    return checks.written_rows(t.spark, written)
+
+
+@query("dq5_inserted_rows", f"SELECT count(*) AS inserted, count(*) > 0 AS ok FROM device_day WHERE day_0 = {D0}")
+def _(t: Inputs) -> DataFrame:
+    path = new_table_path(t.spark, "inserted")
+    rows = t.device_day.select("mac", "day_0", "offline_pct")
+    sinks.append(rows.where(F.col("day_0") < F.lit(DAY)), path)
+    return checks.inserted(t.spark, sinks.counted(sinks.append, rows.where(F.col("day_0") == F.lit(DAY)), path)["n_rows"])
+
+
 @query("dq6_log_clean", "SELECT CAST(sum(is_error) AS BIGINT) AS errors, sum(is_error) = 0 AS ok FROM run_log")
 def _(t: Inputs) -> DataFrame:
     return checks.log_clean(t.run_log)

@@ -111,11 +111,6 @@ def stable_hash(*parts: Column | str, seed: Column | int = 0) -> Column:
     return F.md5(F.concat_ws(":", s.cast("string"), *[_c(p).cast("string") for p in parts]))
 
 
-def hash_bucket(digest: Column | str, digits: int = 3) -> Column:
-    """Leading hex digits of a digest: 16**digits evenly filled buckets, in digest order."""
-    return F.substring(_c(digest), 1, digits)
-
-
 def hash_number(digest: Column | str) -> Column:
     """The first 32 bits of a digest as a whole number."""
     return F.conv(F.substring(_c(digest), 1, 8), 16, 10).cast("long")

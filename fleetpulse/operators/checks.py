@@ -27,6 +27,12 @@ def row_counts(steps: Mapping[str, tuple[DataFrame, bool]]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 
 
+def written_rows(spark: SparkSession, steps: Mapping[str, tuple[int, bool]]) -> DataFrame:
+    """``row_counts`` of finished writes, from the counts that ``sinks.counted`` gives, without another scan."""
+    data = [(name, n, n > 0 or not needed) for name, (n, needed) in steps.items()]
+    return spark.createDataFrame(data, "step string, n_rows long, ok boolean")
+
+
 def buffer_state(buffers: Mapping[str, DataFrame], expected: date) -> DataFrame:
     """(buffer, max_day, ok): each buffer's newest day must be the expected one."""
     tables = [
@@ -68,6 +74,11 @@ def grew(before: DataFrame, after: DataFrame, must_grow: bool = True) -> DataFra
     )
 
 
+def inserted(spark: SparkSession, n_rows: int, must_grow: bool = True) -> DataFrame:
+    """``grew`` for a write that was counted while it ran."""
+    return spark.createDataFrame([(n_rows, n_rows > 0 or not must_grow)], "inserted long, ok boolean")
+
+
 def log_clean(log: DataFrame, day: date | None = None) -> DataFrame:
     """(errors, ok): no error lines in the run log, optionally of one day."""
     lines = log if day is None else log.where(F.to_date("log_date") == F.lit(day))

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.scalars import hash_bucket, stable_hash
-from fleetpulse.operators.ranking import running_totals
+from fleetpulse.functions.scalars import stable_hash
+from fleetpulse.operators.ranking import kth_hashes, running_totals
+from fleetpulse.session import staged
 
 
 def longest_run(df: DataFrame, day: str = "day_0") -> DataFrame:
@@ -37,20 +38,15 @@ def with_day_folds(df: DataFrame, day: str = "day_0", k: int = 5, shuffle: bool
 def _balance_cuts(marked: DataFrame, label: str, k: int) -> DataFrame:
     """One row: per split, the hash up to which negatives outside the split's fold are as many as positives.
 
-    Only counts per fold and hash prefix are spread over splits, and only the prefix that holds a cut
-    is ranked. A split without positives gets an empty cut (no negatives); with too few negatives, one
+    Only counts per fold and hash prefix are spread over splits. A split without positives gets an empty cut (no negatives); with too few negatives, one
     above every hash (all of them).
     """
-    others = lambda t: t.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).where("fold <> split")
-    healthy = marked.where(F.col(label) == 0).select("fold", "_h", hash_bucket("_h").alias("_b"))
-    need = others(marked.groupBy("fold").agg(F.count_if(F.col(label) == 1).alias("n"))).groupBy("split").agg(F.sum("n").alias("need"))
-    prefixes = others(healthy.groupBy("fold", "_b").agg(F.count("*").alias("n"))).groupBy("split", "_b").agg(F.sum("n").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("split").orderBy("_b").rowsBetween(W.unboundedPreceding, 0))
-    run = prefixes.withColumn("upto", upto).join(need, "split")
-    hit = run.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
-    hit = hit.select("split", "_b", (F.col("need") - F.col("upto") + F.col("n")).alias("rank"))
-    edge = healthy.join(hit, "_b").where("fold <> split")
-    edge = edge.withColumn("r", F.row_number().over(W.partitionBy("split").orderBy("_h"))).where("r = rank").select("split", F.col("_h").alias("cut"))
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(k - 1)), lambda s: s != F.col("fold"))).alias("split")
+    hashes = marked.where(F.col(label) == 0).select(F.col("fold").alias("cell"), F.col("_h").alias("h"))
+    positives = marked.groupBy("fold").agg(F.count_if(F.col(label) == 1).alias("n")).select("n", others)
+    need = staged(positives.groupBy("split").agg(F.sum("n").alias("need")), "needs")
+    cells = marked.sparkSession.range(k).select(F.col("id").cast("int").alias("fold")).select(F.col("fold").alias("cell"), others.alias("grp"))
+    edge = kth_hashes(hashes, need.withColumnRenamed("split", "grp"), cells).withColumnRenamed("grp", "split")
     cut = F.when(F.col("need") > 0, F.coalesce("cut", F.lit("g"))).otherwise(F.lit(""))  # hashes are hexadecimal
     table = need.join(edge, "split", "left").select("split", cut.alias("cut"))
     return table.agg(F.map_from_entries(F.collect_list(F.struct("split", "cut"))).alias("cuts"))

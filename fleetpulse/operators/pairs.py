@@ -21,8 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetpulse.functions.scalars import cosine_distance, euclidean, hash_bucket, hash_number, stable_hash
-from fleetpulse.operators.ranking import hash_sample
+from fleetpulse.functions.scalars import cosine_distance, euclidean, hash_number, stable_hash
+from fleetpulse.operators.ranking import hash_sample, kth_hashes
 from fleetpulse.session import staged
 
 BLOCK_ROWS = 1024
@@ -261,16 +261,11 @@ def replicate_cuts(points: DataFrame, row_id: str, k: Column, replicates: int, s
     sizes, without ordering the points.
     """
     reps = F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    hashes = points.select(F.col(row_id).alias("id"), reps.alias("r"))
-    hashes = hashes.select("r", stable_hash("id", seed=F.col("r") + seed).alias("h")).withColumn("b", hash_bucket("h"))
-    counts = hashes.groupBy("r", "b").agg(F.count("*").alias("n"))
-    upto = W.partitionBy("r").orderBy("b").rowsBetween(W.unboundedPreceding, 0)
-    run = counts.withColumn("upto", F.sum("n").over(upto)).withColumn("k", k.cast("long"))
-    hit = run.where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
-    hit = hit.select("r", "b", (F.col("k") - F.col("upto") + F.col("n")).alias("need"))
-    ranked = hashes.join(hit, ["r", "b"]).withColumn("i", F.row_number().over(W.partitionBy("r", "b").orderBy("h")))
-    cuts = ranked.where(F.col("i") == F.col("need")).select("r", "h")
-    return cuts.agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "h"))), lambda e: e["h"]).alias("cuts"))
+    hashes = points.select(F.col(row_id).alias("id"), reps.alias("cell"))
+    hashes = hashes.select("cell", stable_hash("id", seed=F.col("cell") + seed).alias("h"))
+    need = points.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("grp"), k.cast("long").alias("need"))
+    cuts = kth_hashes(hashes, need)
+    return cuts.agg(F.transform(F.array_sort(F.collect_list(F.struct("grp", "cut"))), lambda e: e["cut"]).alias("cuts"))
 
 
 def with_assignments(points: DataFrame, row_id: str, grp: str, replicates: int, seed: int = 0) -> DataFrame:

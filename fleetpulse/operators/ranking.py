@@ -91,6 +91,36 @@ def kth_hash(df: DataFrame, ids: Sequence[str], k: Column, seed: int = 0) -> Dat
     return ranked.where(F.col("upto") >= F.lit(need)).agg(F.min("h").alias("cut"))
 
 
+def kth_hashes(hashes: DataFrame, need: DataFrame, cells: DataFrame | None = None) -> DataFrame:
+    """(grp, cut): in each group the ``need``-th smallest hash; groups with too few hashes, or no need, have no row.
+
+    ``hashes`` has (cell, h), ``need`` one row per group (grp, need), and ``cells`` tells which cells a group
+    consists of (cell, grp); without it each cell is a group. Radix selection for all groups at once: hashes are
+    counted per cell and prefix, only the counts are spread over groups, and prefixes get longer until each
+    group has at most ``RANKED`` hashes left, which are ranked.
+    """
+    spread = lambda t: t.withColumnRenamed("cell", "grp") if cells is None else t.join(cells, "cell")
+    spots, inside, depth = need.where("need > 0"), hashes, 0
+    while True:
+        depth += DIGITS
+        counts = inside.groupBy("cell", F.substring("h", 1, depth).alias("p")).agg(F.count("*").alias("n"))
+        sums = spread(counts).groupBy("grp", "p").agg(F.sum("n").alias("n"))
+        if depth > DIGITS:  # a cell may have been counted for another of its groups
+            sums = sums.join(spots.select("grp", F.col("p").alias("head")), "grp").where(F.startswith("p", "head")).drop("head")
+        run = sums.withColumn("upto", F.sum("n").over(W.partitionBy("grp").orderBy("p"))).join(spots.select("grp", "need"), "grp")
+        hit = run.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
+        spots = staged(hit.select("grp", "p", "n", (F.col("need") - F.col("upto") + F.col("n")).alias("need")), "prefixes")
+        members = spots.withColumnRenamed("grp", "cell") if cells is None else cells.join(spots, "grp")
+        heads = members.select("cell", F.col("p").alias("head")).distinct()
+        inside = hashes.join(heads, "cell").where(F.startswith("h", "head")).select("cell", "h")
+        if depth >= 32 or (spots.agg(F.max("n")).first()[0] or 0) <= RANKED:
+            break
+    last = spread(inside.groupBy("cell", "h").agg(F.count("*").alias("n"))).join(spots.drop("n"), "grp").where(F.startswith("h", "p"))
+    last = last.groupBy("grp", "need", "h").agg(F.sum("n").alias("n"))
+    ranked = last.withColumn("upto", F.sum("n").over(W.partitionBy("grp").orderBy("h")))  # at most RANKED rows a group
+    return ranked.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need"))).select("grp", F.col("h").alias("cut"))
+
+
 def hash_sample(df: DataFrame, ids: Sequence[str], k: Column, seed: int = 0) -> DataFrame:
     """Exactly min(k, n) rows, drawn without replacement in stable-hash order; ``ids`` must be unique.
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +30,17 @@ def overwrite_days(df: DataFrame, path: str, day: str = "day_0") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
 
 
+def counted(write: Callable[..., None], df: DataFrame, *args: object, **metrics: Column) -> dict[str, object]:
+    """Run ``write(df, *args)``; ``n_rows`` and the named aggregates of the rows it wrote.
+
+    The writing tasks gather them, so nothing is scanned again. They are observed at the write itself, after
+    every shuffle: of a task that runs twice only the attempt that is kept counts. Without rows ``n_rows`` is 0.
+    """
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("n_rows"), *[m.alias(name) for name, m in metrics.items()]), *args)
+    return {"n_rows": 0} | dict.fromkeys(metrics) | seen.get
+
+
 def drop_days_before(spark: SparkSession, path: str, day: date, name: str = "day_0") -> None:
     """Delete the partitions of earlier days on disk; safe to repeat, and without a table there is nothing to do."""
     root = spark._jvm.org.apache.hadoop.fs.Path(path)

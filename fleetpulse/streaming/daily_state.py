@@ -20,7 +20,7 @@ from fleetpulse.operators import checks
 from fleetpulse.operators.windows import day_differences_by_pivot, day_means
 from fleetpulse.plans.failures import failing_devices
 from fleetpulse.plans.vectors import daily_vectors, five_day_vector, numbered
-from fleetpulse.sources.sinks import drop_days_before, log_lines, overwrite_days
+from fleetpulse.sources.sinks import counted, drop_days_before, log_lines, overwrite_days
 
 # --- fixed values: days kept in each rolling buffer ------------------------------------------
 KEEP_DAYS = {"vector": 1, "daily": 2, "diffs": 5}
@@ -46,21 +46,28 @@ def read_buffer(spark: SparkSession, root: str, name: str, day_0: date) -> DataF
     )
 
 
-def daily_step(spark: SparkSession, root: str, inputs: Inputs, day_0: date) -> None:
-    """Vector, daily means and day differences of one day, written to the buffers."""
+def daily_step(spark: SparkSession, root: str, inputs: Inputs, day_0: date) -> dict[str, int]:
+    """Vector, daily means and day differences of one day, written to the buffers; the rows of each.
+
+    Rows are counted by the writing tasks. A day without a vector, or without means or differences of its
+    vectors, is refused.
+    """
     vector = daily_vectors(
         inputs["health_hour"], inputs["topo_nodes"], inputs["group_history"],
         inputs["ifc_up_hour"], inputs["ifc_down_hour"], inputs["ifc_to_group"], day_0,
     )
-    overwrite_days(vector, f"{root}/vector")
+    rows = {"vector": counted(overwrite_days, vector, f"{root}/vector")["n_rows"]}
+    checks.require(checks.written_rows(spark, {"vector": (rows["vector"], True)}), f"no vector of {day_0}")
     today = read_buffer(spark, root, "vector", day_0)
-    overwrite_days(day_means(today), f"{root}/daily")
+    rows["daily"] = counted(overwrite_days, day_means(today), f"{root}/daily")["n_rows"]
     daily = read_buffer(spark, root, "daily", day_0)
-    overwrite_days(day_differences_by_pivot(daily, day_0), f"{root}/diffs")
+    rows["diffs"] = counted(overwrite_days, day_differences_by_pivot(daily, day_0), f"{root}/diffs")["n_rows"]
+    checks.require(checks.written_rows(spark, {n: (k, True) for n, k in rows.items()}), f"a table of {day_0} has no rows")
+    return rows
 
 
-def assemble_step(spark: SparkSession, root: str, day_0: date) -> None:
-    """Five-day vector of one day, appended with ids after the highest so far."""
+def assemble_step(spark: SparkSession, root: str, day_0: date) -> int:
+    """Five-day vector of one day, appended with ids after the highest so far; the number of rows."""
     buffers = {n: read_buffer(spark, root, n, day_0) for n in KEEP_DAYS}
     checks.require(checks.buffer_state(buffers, day_0), "buffers are not at the processed day")
     target = f"{root}/five_day"
@@ -75,8 +82,10 @@ def assemble_step(spark: SparkSession, root: str, day_0: date) -> None:
     staged = f"{root}/five_day_staged"
     overwrite_days(five_day_vector(buffers["vector"], buffers["daily"], buffers["diffs"], day_0), staged)
     rows = spark.read.parquet(staged).where(F.col("day_0") == F.lit(day_0))
-    overwrite_days(numbered(rows, start), target)
+    n = counted(overwrite_days, numbered(rows, start), target)["n_rows"]
+    checks.require(checks.inserted(spark, n), f"no five-day vector of {day_0}")
     drop_days_before(spark, staged, day_0 + timedelta(days=1))
+    return n
 
 
 def label_step(spark: SparkSession, root: str, inputs: Inputs, day_0: date) -> int:
@@ -98,9 +107,7 @@ def label_step(spark: SparkSession, root: str, inputs: Inputs, day_0: date) -> i
     if stored is None:
         return 0
     labels = stored.where(F.col("day_0") == F.lit(day)).select("day_0", "mac", "milestone_name").distinct()
-    overwrite_days(vectors.join(labels, ["day_0", "mac"]), f"{root}/labelled")
-    done = _read_if_present(spark, f"{root}/labelled")
-    n = 0 if done is None else done.where(F.col("day_0") == F.lit(day)).count()
+    n = counted(overwrite_days, vectors.join(labels, ["day_0", "mac"]), f"{root}/labelled")["n_rows"]
     if n == 0 and not labels.join(vectors, ["day_0", "mac"], "left_semi").isEmpty():
         raise checks.CheckFailed(f"no vector of {day} was labelled")
     return n
@@ -133,15 +140,14 @@ def daily_run(spark: SparkSession, root: str, inputs: Inputs, day_0: date, assem
 
     say("run started")
     try:
-        daily_step(spark, root, inputs, day_0)
-        say("vector, means and differences written")
+        written = daily_step(spark, root, inputs, day_0)
+        say("vector, means and differences written: " + ", ".join(f"{n} {k}" for n, k in written.items()))
         if assemble:
             stored = _read_if_present(spark, f"{root}/five_day")
             if stored is not None and not stored.where(F.col("day_0") == F.lit(day_0)).isEmpty():
                 say("five-day vectors were there already")
             else:
-                assemble_step(spark, root, day_0)
-                say("five-day vectors written")
+                say(f"{assemble_step(spark, root, day_0)} five-day vectors written")
             say(f"{label_step(spark, root, inputs, day_0)} vectors labelled")
         retain(spark, root, day_0)
     except Exception as e:

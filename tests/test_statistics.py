@@ -14,6 +14,8 @@ from fleetpulse.operators import ranking as RK
 from fleetpulse.operators import screening as SC
 from fleetpulse.operators import stats as ST
 from fleetpulse.operators.ranking import exact_percentiles, running_totals, value_counts
+from fleetpulse.session import new_table_path
+from fleetpulse.sources import sinks
 
 SCORES = [(1, 0.9, 1), (2, 0.8, 0), (3, 0.8, 1), (4, 0.4, 0), (5, 0.3, 1), (6, 0.1, 0)]
 
@@ -309,3 +311,25 @@ def test_flat_dimensions_zero_vectors_and_one_class(spark):
     assert zero.select(cosine_distance("a", "b")).first()[0] is None
     one = spark.createDataFrame([(1.0, 0), (2.0, 0)], "x double, y int")
     assert {r.sick_pct for r in ST.class_histogram(one, "x", "y", 2).collect()} == {None}
+
+
+def test_kth_hashes_of_overlapping_groups_refine_until_small(spark, monkeypatch):
+    monkeypatch.setattr(RK, "RANKED", 3)
+    monkeypatch.setattr(RK, "DIGITS", 1)
+    rows = spark.range(900).select((F.col("id") % 3).cast("int").alias("cell"), F.md5(F.col("id").cast("string")).alias("h"))
+    rows = rows.unionByName(rows.where("cell = 1"))  # every hash of a cell twice
+    cells = spark.createDataFrame([(0, 7), (1, 7), (1, 8), (2, 8), (0, 9)], "cell int, grp int")
+    need = spark.createDataFrame([(7, 450), (8, 1), (9, 301), (6, 2)], "grp int, need long")
+    got = {r.grp: r.cut for r in RK.kth_hashes(rows, need, cells).collect()}
+    found = rows.collect()
+    of = lambda *c: sorted(r.h for r in found if r.cell in c)
+    assert got == {7: of(0, 1)[449], 8: of(1, 2)[0]}  # 9 has 300 hashes, 6 none
+    alone = {r.grp: r.cut for r in RK.kth_hashes(rows, need.withColumn("grp", F.col("grp") - 7)).collect()}
+    assert alone == {1: of(1)[0]}
+
+
+def test_writes_count_what_they_wrote(spark):
+    rows = spark.range(1000).select("id", F.lit("2024-01-01").cast("date").alias("day_0")).repartition(5)
+    for k, df in {"some": rows, "none": rows.where("id < 0"), "known_empty": rows.limit(0)}.items():
+        seen = sinks.counted(sinks.overwrite_days, df, new_table_path(spark, f"counted-{k}"), top=F.max("id"))
+        assert seen == ({"n_rows": 1000, "top": 999} if k == "some" else {"n_rows": 0, "top": None}), k
