@@ -46,6 +46,17 @@ def boosting(learning_rate: float = 0.1, trees: int = 50, max_depth: int = 3) ->
     return M.Plain([*stages(scale=False), M.gradient_boosting(learning_rate, trees, max_depth)])
 
 
+# --- fixed values: the tuning grid of gradient boosting ----------------------------------------
+LEARNING_RATES = [0.05, 0.1125, 0.175, 0.2375, 0.3]
+ROUNDS = [20, 28, 37, 46, 55, 64, 73, 82, 91, 100]
+# ---------------------------------------------------------------------------------------------
+
+
+def boosted(learning_rate: float) -> M.Boosted:
+    """One fit for all of ``ROUNDS``."""
+    return M.Boosted([*stages(scale=False), M.gradient_boosting(learning_rate, max(ROUNDS), 3)], ROUNDS)
+
+
 def logistic(c: float = 1.0) -> M.Plain:
     return M.Plain([*stages(), M.logistic(c)])
 
@@ -277,7 +288,7 @@ def _(t: Inputs) -> DataFrame:
 @query("snk10_stored_grid_results")
 def _(t: Inputs) -> DataFrame:
     path = new_table_path(t.spark, "grid")
-    overwrite(M.grid_search(days(t), boosting, {"trees": [5, 10]}, IDS, k=5), path)
+    overwrite(M.boosting_search(days(t), boosted, {"learning_rate": [LEARNING_RATES[0], LEARNING_RATES[-1]]}, IDS, k=5), path)
     return t.spark.read.parquet(path)
 
 
@@ -320,12 +331,12 @@ def _(t: Inputs) -> DataFrame:
 
 @query("cl4_inertia_by_k")
 def _(t: Inputs) -> DataFrame:
-    return M.silhouette_by_k(t.clustered.drop("cluster"), "id", "v", [2, 4]).select("k", "sse", "silhouette")
+    return M.silhouette_by_k(t.clustered.drop("cluster"), "id", "v", [2, 3, 4, 5, 6]).select("k", "sse", "silhouette")
 
 
 @query("cl5_silhouette_by_variance_share")
 def _(t: Inputs) -> DataFrame:
-    return M.silhouette_by_variance(t.clustered.drop("cluster"), "id", "v", [0.3, 0.7], [2, 3])
+    return M.silhouette_by_variance(t.clustered.drop("cluster"), "id", "v", [0.3, 0.7, 0.95], [2, 3, 4])
 
 
 @query("st15_mahalanobis_to_centres")

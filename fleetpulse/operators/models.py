@@ -300,6 +300,36 @@ class Plain:
         return scored(self.model, df, name)
 
 
+@dataclass
+class Boosted:
+    """Gradient boosting that is scored after several numbers of rounds.
+
+    Boosting adds its trees one after the other, so the first m trees of a long fit are the model of m rounds:
+    one fit serves every number of rounds, and each tree looks at a row once.
+    """
+
+    stages: list
+    rounds: Sequence[int]
+    model: PipelineModel | None = field(default=None)
+
+    def fit(self, df: DataFrame) -> Boosted:
+        *features, classifier = self.stages
+        longest = classifier.copy({classifier.maxIter: max(self.rounds)})
+        return replace(self, model=Pipeline(stages=[*features, longest]).fit(df))
+
+    def score(self, df: DataFrame, name: str = "score") -> DataFrame:
+        """The rows once per number of rounds, with ``rounds`` and the probability after so many."""
+        *features, boosted = self.model.stages
+        out = PipelineModel(features).transform(df)
+        for i, tree in enumerate(boosted.trees):
+            out = tree.copy().setPredictionCol(f"_t{i}").transform(out)
+        # weights and columns travel as one array; sums run over its first entries
+        votes = F.array(*[F.col(f"_t{i}") * float(w) for i, w in enumerate(boosted.treeWeights)])
+        margin = F.aggregate(F.slice("_votes", 1, F.col("rounds")), F.lit(0.0), lambda a, v: a + v)
+        each = out.select(*df.columns, votes.alias("_votes"), F.explode(F.array(*[F.lit(int(m)) for m in self.rounds])).alias("rounds"))
+        return each.select(*df.columns, "rounds", (1.0 / (1.0 + F.exp(-2.0 * margin))).alias(name))
+
+
 Maker = Callable[[], Plain | Calibrated | Stacked]
 PARALLEL = 4  # separate fits that share the cluster at a time
 
@@ -386,13 +416,45 @@ def grid_search(
     else:
         each = [fold_scores(splits, lambda m=model: m, stage=False).withColumn("setting", F.lit(i)) for i, (_, model) in enumerate(combos)]
         scores = reduce(DataFrame.unionByName, each)
+    return _grid_results(scores, [name for name, _ in combos])
+
+
+def boosting_search(
+    df: DataFrame, make: Callable[..., Boosted], params: Mapping[str, Sequence],
+    ids: Sequence[str], day: str = "day_0", k: int = 5, balanced: bool = True,
+) -> DataFrame:
+    """``grid_search`` over numbers of rounds (those of the models that ``make`` gives) and other parameters of
+    boosting; ``params`` in the result has the rounds as ``rounds``. One fit per split and combination of the
+    other parameters; fits are independent and run a few at a time."""
+    splits = staged(day_splits(df, LABEL, ids, day, k, balanced), "splits")
+    models = [(combo, make(**combo)) for combo in grid(params)]
+    names = [json.dumps({**combo, "rounds": int(m)}, sort_keys=True) for combo, model in models for m in model.rounds]
+    number = {name: i for i, name in enumerate(names)}
+
+    def scored_fit(task: tuple[int, int]) -> DataFrame:
+        (combo, model), s = models[task[0]], task[1]
+        part = splits.where(F.col("split") == s)
+        out = model.fit(part.where("role = 'train'")).score(part.where("role = 'test'"))
+        first = number[json.dumps({**combo, "rounds": int(model.rounds[0])}, sort_keys=True)]
+        place = F.array_position(F.array(*[F.lit(int(m)) for m in model.rounds]), F.col("rounds"))
+        # written by its own thread: the sum over trees is long, and many of them in one plan are slow to plan
+        return staged(out.select((place - 1 + first).cast("int").alias("setting"), "split", LABEL, "score"), "boosted")
+
+    tasks = list(itertools.product(range(len(models)), sorted(r[0] for r in splits.select("split").distinct().collect())))
+    with ThreadPool(PARALLEL) as pool:
+        scores = reduce(DataFrame.unionByName, pool.map(inheritable_thread_target(df.sparkSession)(scored_fit), tasks, chunksize=1))
+    return _grid_results(scores, names)
+
+
+def _grid_results(scores: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(params, mean_auc, std_auc, best) from scores by ``setting``, the place of its name in ``names``."""
     aucs = pr_auc(staged(scores.select("setting", "split", LABEL, "score"), "scores"), "score", LABEL, ["setting", "split"])
     found = aucs.groupBy("setting").agg(F.avg("auc").alias("m"), F.stddev_pop("auc").alias("s")).collect()  # a row a combination
     by_setting = {r.setting: (r.m, r.s) for r in found}
-    results = [(name, *by_setting.get(i, (None, None))) for i, (name, _) in enumerate(combos)]
+    results = [(name, *by_setting.get(i, (None, None))) for i, name in enumerate(names)]
     top = max(results, key=lambda r: -1.0 if r[1] is None else r[1])[0]
     data = [(p, m, s, p == top) for p, m, s in results]
-    return df.sparkSession.createDataFrame(data, "params string, mean_auc double, std_auc double, best boolean")
+    return scores.sparkSession.createDataFrame(data, "params string, mean_auc double, std_auc double, best boolean")
 
 
 def _scores_of(splits: DataFrame, makers: Mapping[str, Maker], columns: Sequence[str]) -> DataFrame:

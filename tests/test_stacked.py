@@ -147,3 +147,29 @@ def test_stored_pipelines_score_the_same(spark, rows, tmp_path, kind):
     again = M.load_model(str(tmp_path / "model"))
     scores = lambda model: {r.id: r.score for r in M.scored(model, rows).collect()}
     assert scores(again) == scores(fitted.model) and len(set(scores(again).values())) > 100
+
+
+def test_first_trees_of_a_long_boosting_fit_are_the_short_fit(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 3))
+    y = (x[:, 0] * x[:, 1] + 0.5 * x[:, 2] + rng.normal(size=400) * 0.3 > 0).astype(float)
+    df = spark.createDataFrame([(i, *map(float, r), float(t)) for i, (r, t) in enumerate(zip(x, y))], "id long, a double, b double, c double, label double")
+    stages = lambda n: [*M.feature_stages(["a", "b", "c"], scale=False), M.gradient_boosting(0.2, n, 3)]
+    many = M.Boosted(stages(1), [2, 5, 8]).fit(df).score(df)
+    got = {(r.id, r.rounds): r.score for r in many.collect()}
+    assert len(got) == 1200
+    for n in (2, 8):
+        short = M.Plain(stages(n)).fit(df).score(df)
+        assert max(abs(got[r.id, n] - r.score) for r in short.collect()) < 1e-9
+
+
+def test_boosting_search_lists_every_combination(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"2024-01-{1 + i % 6:02d}", float(rng.normal()), float(rng.random() < 0.4)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, d string, a double, label double").select("id", F.to_date("d").alias("day_0"), "a", "label")
+    make = lambda learning_rate: M.Boosted([*M.feature_stages(["a"], scale=False), M.gradient_boosting(learning_rate, 1, 2)], [1, 3])
+    table = M.boosting_search(df, make, {"learning_rate": [0.1, 0.5]}, ["id"], k=2).collect()
+    assert len(table) == 4 and sum(r.best for r in table) == 1 and all(0 < r.mean_auc <= 1 for r in table)
+    plain = lambda learning_rate, rounds: M.Plain([*M.feature_stages(["a"], scale=False), M.gradient_boosting(learning_rate, rounds, 2)])
+    want = {r.params: r.mean_auc for r in M.grid_search(df, plain, {"learning_rate": [0.5], "rounds": [3]}, ["id"], k=2).collect()}
+    assert all(abs(r.mean_auc - want[r.params]) < 1e-9 for r in table if r.params in want) and len(want) == 1
