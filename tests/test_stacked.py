@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fleetpulse.operators import models as M
 from fleetpulse.operators import stacked as ST
+from fleetpulse.sources.sinks import counted, overwrite
 
 COLUMNS = ["a", "b", "c", "d"]
 SCHEMA = "id long, day_0 date, label double, a double, b double, c double, d double"
@@ -173,3 +174,16 @@ def test_boosting_search_lists_every_combination(spark):
     plain = lambda learning_rate, rounds: M.Plain([*M.feature_stages(["a"], scale=False), M.gradient_boosting(learning_rate, rounds, 2)])
     want = {r.params: r.mean_auc for r in M.grid_search(df, plain, {"learning_rate": [0.5], "rounds": [3]}, ["id"], k=2).collect()}
     assert all(abs(r.mean_auc - want[r.params]) < 1e-9 for r in table if r.params in want) and len(want) == 1
+
+
+@pytest.mark.parametrize("kind", ["logistic", "forest", "calibrated"])
+def test_models_score_after_an_observed_write(spark, rows, tmp_path, kind):
+    """Counted writes leave an observation in the session, which can't be sent to tasks with a model."""
+    assert counted(overwrite, rows.select("id"), str(tmp_path / "written"))["n_rows"] == rows.count()
+    model = {
+        "logistic": lambda: M.Plain([*M.feature_stages(COLUMNS), M.logistic(1.0)]),
+        "forest": lambda: M.Plain([*M.feature_stages(COLUMNS, scale=False), M.random_forest(3, 3)]),
+        "calibrated": lambda: M.Calibrated([*M.feature_stages(COLUMNS), M.ridge(1.0)], ["id"]),
+    }[kind]()
+    scores = model.fit(rows).score(rows).toPandas().score
+    assert len(scores) == rows.count() and scores.between(0, 1).all()
