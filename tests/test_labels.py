@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from fleetpulse.operators import labels as L
 from fleetpulse.operators.prep import balance, balance_within
 from fleetpulse.operators.ranking import dense_index, hash_sample, top_by_score
-from fleetpulse.plans.failures import labelled_sample
+from fleetpulse.plans.failures import labelled_sample, labelled_vectors
 
 T0 = datetime(2024, 1, 2, 8)
 
@@ -86,3 +86,53 @@ def test_drawn_sick_vector_appears_twice(spark):
     out = labelled_sample(vectors, failing, draws)
     assert sorted((r.mac, r.milestone_name or "") for r in out.collect()) == [("m0", ""), ("m1", ""), ("m1", "p"), ("m2", "")]
     assert labelled_sample(vectors, failing, draws, exclude_positives=True).count() == 3
+
+
+def _account_rows(spark):
+    """Details and nodes with a busy account, equal rows, and missing accounts and names."""
+    day = datetime(2024, 1, 2).date()
+    accounts = ["hot"] * 40 + ["b", None, "c"]
+    details = [(i % 30, None if i == 7 else i, i % 3, T0, "Internet", None if i % 9 == 4 else f"p{i % 2}", a, day) for i, a in enumerate(accounts)]
+    details = spark.createDataFrame(
+        details + details[:2],
+        "case_id long, session_id long, emp_id long, case_start_t timestamp_ntz, process_flow string, milestone_name string, cly_account_number string, day_0 date")
+    nodes = [("aa:1", "hot", 55), ("aa:2", "hot", 55), ("aa:2", "hot", 55), (None, "hot", 55), ("aa:3", "b", 55), ("aa:4", "b", 1), ("aa:5", None, 55)]
+    nodes = spark.createDataFrame(nodes, "node_key string, cly_acct_number string, topo_node_type_id int")
+    return details, nodes.withColumns({"src_node_model": F.lit("m"), "src_node_building_id": F.lit("1")})
+
+
+def _plain_expansion(details, nodes):
+    macs = L.node_details(nodes).select("mac", "cly_account_number")
+    return details.join(macs, "cly_account_number")
+
+
+def _counts(df, columns):
+    return sorted(map(str, df.groupBy(*columns).count().collect()))
+
+
+def test_devices_of_accounts_are_the_plain_join_in_many_tasks(spark):
+    details, nodes = _account_rows(spark)
+    got, want = L.devices_of_accounts(details, nodes), _plain_expansion(details, nodes)
+    assert got.columns[:5] == ["case_id", "session_id", "emp_id", "cly_account_number", "mac"]
+    assert _counts(got, details.columns + ["mac"]) == _counts(want, details.columns + ["mac"])
+    # one busy account is several tasks, although adaptive execution would merge inputs of this size
+    assert got.where("cly_account_number = 'hot'").select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_confirming_before_expanding_gives_the_same_rows(spark):
+    details, nodes = _account_rows(spark)
+    success = details.select("day_0", "session_id").distinct().where("session_id % 2 = 0").withColumns({"flg_ftr_0d_flg": F.lit(0), "flg_ftr_7d_flg": F.lit(1)})
+    got = L.devices_of_accounts(L.confirmed_devices(details, success), nodes)
+    want = L.confirmed_devices(L.devices_of_accounts(details, nodes), success)
+    assert got.columns == want.columns and _counts(got, got.columns) == _counts(want, got.columns)
+
+
+def test_labelled_vectors_keep_every_match(spark):
+    details, nodes = _account_rows(spark)
+    vectors = spark.createDataFrame([("AA1", T0.date(), 1), ("AA2", T0.date(), 2), ("AA2", T0.date(), 3), ("AA9", T0.date(), 4), (None, T0.date(), 5)], "mac string, day_0 date, seq_id long")
+    got = labelled_vectors(vectors, details, nodes)
+    want = vectors.join(_plain_expansion(details, nodes).select("mac", "day_0", "milestone_name"), ["mac", "day_0"])
+    columns = ["mac", "day_0", "seq_id", "milestone_name"]
+    assert got.columns == columns and _counts(got, columns) == _counts(want, columns)
+    # counted: a row a device, day and name, however many sessions
+    assert L.device_labels(details, nodes).where("mac = 'AA1'").count() == 3
