@@ -1,10 +1,10 @@
 """Work over all pairs of points: energy test, silhouette, neighbours, distance histograms.
 
 The results need every pair, so the work is quadratic; what is bounded is everything else.
-Points are dealt by a stable hash into super-blocks of up to ``SPAN`` blocks of ``block_rows``.
-A pair of super-blocks is one tile: a task walks over its pairs of blocks, one numpy matrix of
-fixed size at a time, so a point travels n / (``block_rows`` * ``SPAN``) times, not
-n / ``block_rows`` times. A tile emits only sums, counts or per-point partials, added up before
+Points are dealt by a stable hash into ``SPREAD`` super-blocks of blocks of ``block_rows``, and into
+more only if one would exceed ``SIDE_ROWS`` points. A pair of super-blocks is one tile: a task walks
+over its pairs of blocks, one numpy matrix of fixed size at a time, so a point travels ``SPREAD``
+times, or n / ``SIDE_ROWS`` times if that is more, not n / ``block_rows`` times. A tile emits only sums, counts or per-point partials, added up before
 they leave it, never its pairs; tiles are balanced whatever the data looks like.
 
 Neighbours don't need every pair: ``nearest_rows`` skips cells of rows that the triangle
@@ -22,11 +22,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetpulse.functions.scalars import cosine_distance, euclidean, hash_number, stable_hash
-from fleetpulse.operators.ranking import hash_sample, kth_hashes
+from fleetpulse.operators.ranking import hash_sample, kth_hash, kth_hashes
 from fleetpulse.session import staged
 
 BLOCK_ROWS = 1024
-SPAN = 8  # blocks on a side of a tile, once there are SPREAD super-blocks of that size
+SIDE_ROWS = 32_768  # points on a side of a tile at most, which a task holds
 SPREAD = 16  # super-blocks that are kept at least before tiles widen: 136 tiles for the tasks
 MAX_PIVOTS = 1024  # pivots of a neighbour search, and so the rows of its table of cells
 
@@ -54,8 +54,11 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _city_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.zeros((len(a), len(b)))
+    one, across = np.empty_like(out), np.ascontiguousarray(b.T)
     for k in range(a.shape[1]):
-        out += np.abs(a[:, k][:, None] - b[:, k][None, :])
+        np.subtract(a[:, k][:, None], across[k], out=one)
+        np.abs(one, out=one)
+        out += one
     return out
 
 
@@ -101,14 +104,15 @@ def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
 
 def tile_apply(
     points: DataFrame, row_id: str, fn: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame],
-    schema: str, block_rows: int = BLOCK_ROWS, span: int = SPAN,
+    schema: str, block_rows: int = BLOCK_ROWS, span: int | None = None,
     combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
 ) -> DataFrame:
     """Run ``fn(rows, columns, diagonal)`` on every pair of blocks of every tile.
 
-    ``combine`` adds up the results of a tile's blocks row of blocks by row of blocks. With a
-    ``span`` of 1 every tile is a single call.
+    ``combine`` adds up the results of a tile's blocks row of blocks by row of blocks. ``span`` is the
+    most blocks on a side, by default ``SIDE_ROWS`` points; with 1 every tile is a single call.
     """
+    span = max(1, SIDE_ROWS // block_rows) if span is None else span
     columns = [c.split()[0] for c in schema.split(",")]
     whole = span == 1
 
@@ -143,15 +147,28 @@ def pair_sums(points: DataFrame, row_id: str, vec: str, grp: str, block_rows: in
     """(g, h, n, total, nearest, farthest) over unordered pairs, by the pair of group values g <= h."""
 
     def fn(rows: pd.DataFrame, cols: pd.DataFrame, diagonal: bool) -> pd.DataFrame:
+        rows, cols = rows.sort_values("g"), cols.sort_values("g")  # a group is a run of rows and of columns
+        if diagonal:
+            cols = rows
         d = _euclidean(_matrix(rows["v"]), _matrix(cols["v"]))
-        use = np.triu(np.ones_like(d, dtype=bool), 1) if diagonal else np.ones_like(d, dtype=bool)
-        g, h = np.meshgrid(rows["g"].to_numpy(), cols["g"].to_numpy(), indexing="ij")
-        flat = pd.DataFrame({"g": np.minimum(g[use], h[use]), "h": np.maximum(g[use], h[use]), "d": d[use]})
-        return flat.groupby(["g", "h"])["d"].agg(["size", "sum", "min", "max"]).reset_index().set_axis(
-            ["g", "h", "n", "total", "nearest", "farthest"], axis=1
-        )
+        (g, i), (h, j) = np.unique(rows["g"].to_numpy(), return_index=True), np.unique(cols["g"].to_numpy(), return_index=True)
+        use = np.triu(np.ones(d.shape, dtype=bool), 1) if diagonal else np.ones(d.shape, dtype=bool)
+
+        def reduced(of: np.ufunc, x: np.ndarray) -> np.ndarray:
+            return of.reduceat(of.reduceat(x, i, axis=0), j, axis=1)
+
+        n = reduced(np.add, use.astype(np.int64))
+        total = reduced(np.add, np.where(use, d, 0.0) if diagonal else d)
+        nearest = reduced(np.minimum, np.where(use, d, np.inf) if diagonal else d)
+        farthest = reduced(np.maximum, np.where(use, d, -np.inf) if diagonal else d)
+        k, m = np.nonzero(n)
+        return combine(pd.DataFrame({
+            "g": np.minimum(g[k], h[m]), "h": np.maximum(g[k], h[m]), "n": n[k, m], "total": total[k, m],
+            "nearest": nearest[k, m], "farthest": farthest[k, m],
+        }))
 
     p = points.select(F.col(row_id).alias("id"), F.col(vec).alias("v"), F.col(grp).alias("g"))
+
     def combine(parts: pd.DataFrame) -> pd.DataFrame:
         return parts.groupby(["g", "h"]).agg({"n": "sum", "total": "sum", "nearest": "min", "farthest": "max"}).reset_index()
 
@@ -283,9 +300,8 @@ def with_assignments(points: DataFrame, row_id: str, grp: str, replicates: int,
 _SUMS = "r int,sxx double,sxy double,syy double"
 
 
-def _energy_sums(d: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, diagonal: bool) -> pd.DataFrame:
-    ax, bx = bits_a.astype(float), bits_b.astype(float)
-    ay, by = 1.0 - ax, 1.0 - bx
+def _energy_sums(d: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray, diagonal: bool) -> pd.DataFrame:
+    """Sums of distances inside and across the samples; a column of weights per replicate and sample."""
     dx, dy = d @ bx, d @ by
     # ordered pairs inside a sample, each cross pair once
     twice = 1.0 if diagonal else 2.0
@@ -295,14 +311,23 @@ def _energy_sums(d: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray, diagonal
     return pd.DataFrame({"r": np.arange(len(xx)), "sxx": xx, "sxy": xy, "syy": yy})
 
 
+def _samples(bits: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Weights in the first and the second sample of points that are in one of them."""
+    x = _matrix(bits)
+    return x, 1.0 - x
+
+
 def _statistics(parts: DataFrame, points: DataFrame, grp: str) -> DataFrame:
     sizes = points.agg(F.struct(
         F.count_if(F.col(grp) == "X").cast("double").alias("x"), F.count_if(F.col(grp) == "Y").cast("double").alias("y")
     ).alias("n"))
-    n1, n2 = F.col("n.x"), F.col("n.y")
     sums = parts.groupBy("r").agg(*[F.sum(c).alias(c) for c in ["sxx", "sxy", "syy"]]).withColumn("n", sizes.scalar())
+    return sums.select("r", _energy(F.col("n.x"), F.col("n.y")).alias("energy"))
+
+
+def _energy(n1: Column, n2: Column) -> Column:
     inner = 2 * F.col("sxy") / (n1 * n2) - F.col("sxx") / (n1 * n1) - F.col("syy") / (n2 * n2)
-    return sums.select("r", (n1 * n2 / (n1 + n2) * inner).alias("energy"))
+    return n1 * n2 / (n1 + n2) * inner
 
 
 def energy_statistics(
@@ -317,7 +342,7 @@ def energy_statistics(
 
     def fn(rows: pd.DataFrame, cols: pd.DataFrame, diagonal: bool) -> pd.DataFrame:
         d = _euclidean(_matrix(rows["v"]), _matrix(cols["v"]))
-        return _energy_sums(d, _matrix(rows["bits"]), _matrix(cols["bits"]), diagonal)
+        return _energy_sums(d, *_samples(rows["bits"]), *_samples(cols["bits"]), diagonal)
 
     return _statistics(tile_apply(bits, "id", fn, _SUMS, block_rows, combine=_added(["r"])), p, "g")
 
@@ -350,7 +375,7 @@ def energy_from_tiles(
         t, by_id = tile.iloc[0], marks.set_index("id")["bits"]
         a, b = np.asarray(t["a_ids"]), np.asarray(t["b_ids"])
         d = np.asarray(t["dist"], dtype=float).reshape(len(a), len(b))
-        return _energy_sums(d, _matrix(by_id.loc[a]), _matrix(by_id.loc[b]), bool(t["ti"] == t["tj"]))
+        return _energy_sums(d, *_samples(by_id.loc[a]), *_samples(by_id.loc[b]), bool(t["ti"] == t["tj"]))
 
     joined = tiles.groupBy("ti", "tj").cogroup(bits.groupBy("ti", "tj")).applyInPandas(fn, _SUMS)
     return _statistics(joined, p, "g")
@@ -396,32 +421,85 @@ def repeated_energy_test(
 
     ``sample_size`` rows are drawn from each sample, all of them by default; it must not exceed a
     sample. ``similar`` is the control: both subsamples come from X, by default two halves of it.
+    A point is sent to its tiles once for all repeats, and a distance serves all of them.
     """
     check_bootstrap(replicates, alpha)
     x, y = points.where(F.col(grp) == "X"), points.where(F.col(grp) == "Y")
     nx, ny = x.count(), y.count()
     if sample_size is not None and sample_size > (nx // 2 if similar else min(nx, ny)):
         raise ValueError(f"sample_size {sample_size} exceeds a sample")
-    out = None
+    drawn = _drawn_repeats(points, row_id, vec, grp, repeats, sample_size, similar, nx, ny)
+    sizes = drawn.agg(*[
+        F.coalesce(F.sum(F.greatest(w, F.lit(0)) if s == "x" else F.greatest(-w, F.lit(0))), F.lit(0)).alias(f"{s}{q}")
+        for q in range(repeats) for w in [F.col("w")[q]] for s in "xy"
+    ]).first()
+    bits = []
+    for q in range(repeats):
+        seed, w = 1000 * (q + 1), F.col("w")[q]
+        # a row counts as often as it was drawn
+        ids = drawn.where(w != 0).select("id", F.explode(F.sequence(F.lit(1), F.abs(w)))).select("id")
+        cuts = replicate_cuts(ids, "id", F.lit(sizes[f"x{q}"]), replicates, seed)
+        bits.append((w > 0, cuts, seed))
+    marked = drawn.withColumns({f"_c{q}": cuts.scalar() for q, (_, cuts, _) in enumerate(bits)}) if replicates else drawn
+
+    def assigned(q: int, first: Column, seed: int) -> Column:
+        drawn_by = F.transform(f"_c{q}", lambda cut, i: stable_hash("id", seed=i + 1 + seed) <= cut)
+        return F.concat(F.array(first), drawn_by) if replicates else F.array(first)
+
+    columns = [assigned(q, first, seed) for q, (first, _, seed) in enumerate(bits)]
+    sent = marked.select("id", "v", F.transform("w", lambda e: F.abs(e)).alias("w"), F.concat(*columns).alias("bits"))
+
+    def weights(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        w = np.repeat(_matrix(part["w"]), replicates + 1, axis=1)
+        x = w * _matrix(part["bits"])
+        return x, w - x
+
+    def fn(rows: pd.DataFrame, cols: pd.DataFrame, diagonal: bool) -> pd.DataFrame:
+        d = _euclidean(_matrix(rows["v"]), _matrix(cols["v"]))
+        return _energy_sums(d, *weights(rows), *weights(cols), diagonal)
+
+    sums = tile_apply(sent, "id", fn, _SUMS, block_rows, combine=_added(["r"]))
+    sums = sums.withColumns({"repeat": F.floor(F.col("r") / (replicates + 1)).cast("int"), "r": F.col("r") % (replicates + 1)})
+    totals = points.sparkSession.createDataFrame(
+        [(q, float(sizes[f"x{q}"]), float(sizes[f"y{q}"])) for q in range(repeats)], "repeat int, x double, y double")
+    sums = sums.groupBy("repeat", "r").agg(*[F.sum(c).alias(c) for c in ["sxx", "sxy", "syy"]]).join(F.broadcast(totals), "repeat")
+    statistics = sums.select("repeat", "r", _energy(F.col("x"), F.col("y")).alias("energy"))
+    each = permutation_outcome(statistics, alpha, ["repeat"])
+    return totals.select("repeat").join(each, "repeat", "left").select("observed", "limit", "p_value", "reject", "repeat")
+
+
+def _drawn_repeats(
+    points: DataFrame, row_id: str, vec: str, grp: str, repeats: int, sample_size: int | None, similar: bool, nx: int, ny: int
+) -> DataFrame:
+    """(id, v, w), written: ``w`` has for each repeat how often the point is in its sample, below 0 if in the second."""
+    p = points.select(F.col(row_id).alias("id"), F.col(vec).alias("v"), F.col(grp).alias("g"))
+    half = sample_size or nx // 2
+    wanted = {"X": 2 * half if similar else sample_size or nx, "Y": 0 if similar else sample_size or ny}
+    have = {"X": nx, "Y": ny}
+
+    def drawn(rows: DataFrame, n: int, k: int, seed: int) -> Column:
+        """The ``k`` of ``n`` rows with the smallest hashes."""
+        if k >= n or k == 0:
+            return F.lit(k > 0)
+        cut = kth_hash(rows, ["id"], F.lit(k), seed).first()[0]
+        return stable_hash("id", seed=seed) <= cut
+
+    marks = []
     for q in range(repeats):
         seed = 1000 * (q + 1)
+        inside = {g: drawn(p.where(F.col("g") == g), have[g], k, seed) for g, k in wanted.items()}
         if similar:
-            half = F.lit(sample_size or nx // 2)
-            both = hash_sample(x, [row_id], 2 * half, seed)
             # a second hash splits the drawn rows into two halves of equal size
-            left = hash_sample(both, [row_id], half, seed + 1).select(row_id)
-            sample = both.join(left.withColumn("_x", F.lit(1)), row_id, "left").withColumn(
-                grp, F.when(F.col("_x") == 1, "X").otherwise("Y")
-            ).drop("_x")
+            rows = p.where((F.col("g") == "X") & inside["X"])
+            left = drawn(rows, wanted["X"], half, seed + 1) & F.col("id").isNotNull()
+            marks.append(F.when((F.col("g") == "X") & inside["X"], F.when(left, F.col("_n")).otherwise(-1)).otherwise(0))
         else:
-            drawn_x, drawn_y = F.lit(sample_size or nx), F.lit(sample_size or ny)
-            sample = hash_sample(x, [row_id], drawn_x, seed).unionByName(hash_sample(y, [row_id], drawn_y, seed))
-        # drawn once: the statistic reads the sample several times
-        drawn = staged(sample.select(row_id, vec, grp), "sample")
-        stats = energy_statistics(drawn, row_id, vec, grp, replicates, seed, block_rows)
-        one = permutation_outcome(stats, alpha).withColumn("repeat", F.lit(q))
-        out = one if out is None else out.unionByName(one)
-    return out
+            marks.append(F.when((F.col("g") == "X") & inside["X"], 1).when((F.col("g") == "Y") & inside["Y"], -1).otherwise(0))
+    p = p.where(F.col("g").isin("X") if similar else F.col("g").isin("X", "Y"))
+    if similar:  # rows of one id count for each other in the first half
+        again = p.groupBy("id").agg(F.count("*").cast("int").alias("_n")).where("_n > 1")
+        p = p.join(again, "id", "left").withColumn("_n", F.coalesce("_n", F.lit(1)))
+    return staged(p.select("id", "v", F.array(*[m.cast("int") for m in marks]).alias("w")), "sample")
 
 
 def repeated_summary(tests: DataFrame, alpha: float) -> DataFrame:

@@ -333,3 +333,49 @@ def test_writes_count_what_they_wrote(spark):
     for k, df in {"some": rows, "none": rows.where("id < 0"), "known_empty": rows.limit(0)}.items():
         seen = sinks.counted(sinks.overwrite_days, df, new_table_path(spark, f"counted-{k}"), top=F.max("id"))
         assert seen == ({"n_rows": 1000, "top": 999} if k == "some" else {"n_rows": 0, "top": None}), k
+
+
+def test_points_travel_no_oftener_in_larger_tables(spark):
+    points = spark.range(40_000)
+    assert PR.SIDE_ROWS >= 32_768
+    copies = lambda n: PR.to_tiles(points.limit(n), "id", 16, PR.SIDE_ROWS // 16).count() / n
+    assert copies(40_000) <= 17 and copies(20_000) <= 17
+
+
+def test_pair_sums_of_any_groups(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.choice([-3, 0, 5])), rng.normal(size=3).tolist()) for i in range(50)] + [(7, 0, [0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, c int, v array<double>")
+    want = {}
+    for i, (_, g, x) in enumerate(rows):
+        for _, h, y in rows[i + 1 :]:
+            want.setdefault((min(g, h), max(g, h)), []).append(float(np.linalg.norm(np.array(x) - np.array(y))))
+    got = {(r.g, r.h): r for r in PR.pair_sums(df, "id", "v", "c", 8).collect()}
+    assert got.keys() == want.keys()
+    for k, d in want.items():
+        assert got[k].n == len(d) and [got[k].total, got[k].nearest, got[k].farthest] == pytest.approx([sum(d), min(d), max(d)])
+
+
+@pytest.mark.parametrize("similar", [False, True])
+@pytest.mark.parametrize("size", [None, 9])
+def test_repeats_in_one_pass_equal_separate_tests(spark, monkeypatch, similar, size):
+    rng = np.random.default_rng(9)
+    rows = [(i, "X" if i % 5 < 3 else "Y", rng.normal(size=2).tolist()) for i in range(55)]
+    df = spark.createDataFrame(rows, "id long, g string, v array<double>")
+    passes = []
+    apply = PR.tile_apply
+    monkeypatch.setattr(PR, "tile_apply", lambda *a, **k: passes.append(1) or apply(*a, **k))
+    got = {r.repeat: r for r in PR.repeated_energy_test(df, "id", "v", "g", 19, 5, 2, size, similar, 8).collect()}
+    assert len(passes) == 1 and sorted(got) == [0, 1]
+    for q, r in got.items():
+        seed = 1000 * (q + 1)
+        x, y = df.where("g = 'X'"), df.where("g = 'Y'")
+        if similar:
+            half = size or 16
+            both = PR.hash_sample(x, ["id"], F.lit(2 * half), seed)
+            left = [i.id for i in PR.hash_sample(both, ["id"], F.lit(half), seed + 1).collect()]
+            one = both.withColumn("g", F.when(F.col("id").isin(left), "X").otherwise("Y"))
+        else:
+            one = PR.hash_sample(x, ["id"], F.lit(size or 33), seed).unionByName(PR.hash_sample(y, ["id"], F.lit(size or 22), seed))
+        want = PR.energy_test(one, "id", "v", "g", 19, 5, seed, 8).first()
+        assert [r.observed, r.limit, r.p_value] == pytest.approx([want.observed, want.limit, want.p_value]) and r.reject == want.reject
