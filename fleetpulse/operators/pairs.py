@@ -1,10 +1,10 @@
 """Work over all pairs of points: energy test, silhouette, neighbours, distance histograms.
 
 The results need every pair, so the work is quadratic; what is bounded is everything else.
-Points are dealt by a stable hash into ``SPREAD`` super-blocks of blocks of ``block_rows``, and into
-more only if one would exceed ``SIDE_ROWS`` points. A pair of super-blocks is one tile: a task walks
-over its pairs of blocks, one numpy matrix of fixed size at a time, so a point travels ``SPREAD``
-times, or n / ``SIDE_ROWS`` times if that is more, not n / ``block_rows`` times. A tile emits only sums, counts or per-point partials, added up before
+Points are dealt by a stable hash into super-blocks of blocks of ``block_rows``: up to twice ``SPREAD``
+of them, and more only if one would exceed ``SIDE_ROWS`` points. A pair of super-blocks is one tile: a task walks
+over its pairs of blocks, one numpy matrix of fixed size at a time, so a point travels once per
+super-block, not n / ``block_rows`` times. A tile emits only sums, counts or per-point partials, added up before
 they leave it, never its pairs; tiles are balanced whatever the data looks like.
 
 Neighbours don't need every pair: ``nearest_rows`` skips cells of rows that the triangle
