@@ -38,8 +38,8 @@ def normal(line: Column) -> Column:
     return F.trim(F.lower(F.when(wide, F.regexp_replace(line, SPACES, " ")).otherwise(line)))
 
 
-def _surroundings(line: Column, blocks: int) -> Column:
-    """One key for each block of the longer line (``longest`` characters) a partner may share.
+def _surroundings(line: Column, blocks: int) -> list[tuple[Column, Column, int]]:
+    """``(key, longest, block)`` for each block of the longer line (``longest`` characters) a partner may share.
 
     A line of n characters is the longer of the two (longest = n) or one shorter (longest = n + 1).
     """
@@ -49,10 +49,9 @@ def _surroundings(line: Column, blocks: int) -> Column:
         longest = n + more
         for j in range(blocks):
             head, tail = F.floor(longest * j / blocks).cast("int"), longest - F.floor(longest * (j + 1) / blocks).cast("int")
-            keys.append(F.struct(
-                F.xxhash64(longest, F.lit(j), F.substring(line, F.lit(1), head), F.substring(line, n - tail + 1, tail)).alias("key"),
-                longest.alias("longest"), F.lit(j).alias("block")))
-    return F.array(*keys)
+            key = F.xxhash64(longest, F.lit(j), F.substring(line, F.lit(1), head), F.substring(line, n - tail + 1, tail))
+            keys.append((key, longest, j))
+    return keys
 
 
 def _occurrences(docs: DataFrame, doc_id: str, text: str, least_length: int) -> DataFrame:
@@ -62,7 +61,9 @@ def _occurrences(docs: DataFrame, doc_id: str, text: str, least_length: int) ->
     df = df.select("rid", "id", F.xxhash64("__text").alias("tx"), F.posexplode(F.split("__text", "\n", -1)).alias("no", "line"))
     df = df.withColumn("line", normal(F.col("line"))).withColumn("n", F.length("line"))
     long = F.col("n") >= least_length
-    keys = F.when(long, F.transform(_surroundings(F.col("line"), COARSE), lambda k: k["key"])).otherwise(F.array().cast("array<bigint>"))
+    # no higher-order function here: Spark interprets them row by row, with all they are given
+    coarse = F.array(*[key for key, _, _ in _surroundings(F.col("line"), COARSE)])
+    keys = F.when(long, coarse).otherwise(F.array().cast("array<bigint>"))
     return df.select(
         "rid", "id", "tx", "no", F.when(F.col("n") > 0, F.xxhash64("line", "n")).alias("h"), keys.alias("keys"))
 
@@ -97,7 +98,8 @@ def _suspect_lines(docs: DataFrame, lines: DataFrame, doc_id: str, text: str) ->
 def _partners(suspects: DataFrame, firsts: DataFrame) -> DataFrame:
     """``h`` and ``other``: for every line, the earliest lines that the variants bring up."""
     df = stage(suspects.join(firsts, "h"), "lines-suspects")
-    fine = df.select("h", F.explode(_surroundings(F.col("line"), FINE)).alias("k")).select("h", "k.*")
+    around = [F.struct(key.alias("key"), longest.alias("longest"), F.lit(j).alias("block")) for key, longest, j in _surroundings(F.col("line"), FINE)]
+    fine = df.select("h", F.explode(F.array(*around)).alias("k")).select("h", "k.*")
     shared = (
         fine.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high"))
         .where(F.col("low") != F.col("high")).select("key")

@@ -418,3 +418,11 @@ def test_queries_without_sql(spark):
     shards = QUERIES["op7_sharding"](spark, SF).toPandas()
     assert len(shards) == len(docs) and shards.shard.value_counts().max() - shards.shard.value_counts().min() <= 1
     assert dict(zip(shards.doc_id, shards.text_crc32, strict=True)) == {i: brute.crc(t) for i, t in zip(docs.doc_id, docs.text, strict=True)}
+
+
+def test_line_keys_are_compiled(spark):
+    """Spark interprets higher-order functions, and all that is inside them, row by row."""
+    docs = spark.createDataFrame([(1, "a line of some words that is long enough\nshort")], "doc_id long, text string")
+    found = lines._occurrences(docs, "doc_id", "text", 20)
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [len(r.keys) for r in found.orderBy("no").collect()] == [2 * lines.COARSE, 0]
