@@ -616,6 +616,28 @@ class PivotCells:
             return rows.withColumn("cells", F.array().cast("array<int>"))
         return staged(rows.mapInPandas(choose, f"{shape},cells array<int>"), "pivot-visits")
 
+    def parts(self, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """First part of each cell, and the number of parts it is cut into.
+
+        A part holds neighbouring cells of ``SIDE_ROWS`` rows together, or of a ``SPREAD``-th of all rows if
+        that is less, but at least ``block_rows``; a cell of more rows is cut into parts of its own.
+        """
+        limit = max(min(SIDE_ROWS, -(-int(self.size.sum()) // SPREAD)), block_rows)
+        pieces = np.maximum(-(-self.size // limit), 1).astype(int)
+        first, part, filled, left = np.zeros(len(pieces), int), 0, 0, set(range(len(pieces)))
+        now = 0
+        while left:  # from each cell to the nearest one that has no part yet
+            left.remove(now)
+            if filled and (pieces[now] > 1 or filled + self.size[now] > limit):
+                part, filled = part + 1, 0
+            first[now], filled = part, filled + self.size[now]
+            if pieces[now] > 1:
+                part, filled = part + pieces[now], 0
+            if left:
+                rest = np.array(sorted(left))
+                now = int(rest[_exact(self.pivots[rest], self.pivots[now][None])[:, 0].argmin()])
+        return first, pieces
+
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Euclidean distances from the differences themselves: equal pairs give equal bits in every task."""
@@ -632,26 +654,62 @@ def nearest_rows(
     """(id, rank, near, distance, carried columns of the training row): the exact ``k`` nearest training
     rows of every test row, Euclidean, ties by smaller id; fewer if there are fewer, none without training rows.
 
-    A metric join over pivot cells (see ``PivotCells``): a test row goes to the cells it can't rule
-    out. Cells and their visitors are cut by hash into blocks of ``block_rows``, so a crowded cell is
-    many tiles; a tile hands on the best ``k`` of each of its test rows.
+    A metric join over pivot cells (see ``PivotCells``): a test row is compared with the cells it can't rule
+    out. Cells travel in parts of up to ``SIDE_ROWS`` rows, so a test row is sent once per part that has one of
+    its cells, not once per cell; a crowded cell is cut by hash into parts of its own, and visitors of a part into
+    tiles. A tile hands on the best ``k`` of each of its test rows.
     """
     carry = list(carry)
     cells = PivotCells(train, row_id, vec, carry, k, block_rows)
     visits = cells.visits(test, row_id, vec)
-    each = visits.select("id", "v", F.explode("cells").alias("cell"))
-    cut = lambda n: F.ceil(n / block_rows).cast("int")
-    # one row per cell, MAX_PIVOTS rows at most
-    sizes = each.groupBy("cell").agg(cut(F.count("*")).alias("_ti")).join(
-        cells.rows.groupBy("cell").agg(cut(F.count("*")).alias("_tj")), "cell")
+    first, pieces = cells.parts(block_rows)
+
+    def sent(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Row, part and visited cells of the part, once per row and part."""
+        n = np.array([len(c) for c in pdf["cells"]], dtype=int)
+        row, cell = np.repeat(np.arange(len(pdf)), n), np.concatenate([np.zeros(0, int), *pdf["cells"]]).astype(int)
+        m = pieces[cell]
+        row, cell, part = np.repeat(row, m), np.repeat(cell, m), np.repeat(first[cell], m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+        order = np.lexsort((cell, part, row))
+        row, cell, part = row[order], cell[order].astype("int32"), part[order]
+        start = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])])[: len(row)])
+        return row[start], part[start], np.split(cell, start[1:]) if len(start) else []
+
+    def visited(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"part": sent(pdf)[1].astype("int32")})
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            row, part, some = sent(pdf)
+            out = pdf[["id", "v"]].iloc[row]
+            yield out.assign(part=part.astype("int32"), cells=pd.Series(some, index=out.index, dtype=object))
+
+    # one row per part; a few tiles at least for the tasks
+    counts = visits.select("cells").mapInPandas(visited, "part int").groupBy("part").agg(F.count("*").alias("n"))
+    tiles = counts.select("part", F.greatest(
+        F.ceil(F.col("n") / SIDE_ROWS), F.least(F.ceil(F.col("n") / block_rows), F.lit(SPREAD // 4))).cast("int").alias("_ti"))
+    homes = train.sparkSession.createDataFrame(
+        [(c, int(p), int(m)) for c, (p, m) in enumerate(zip(first, pieces, strict=True))], "cell int, _p int, _m int")
     own = hash_number(stable_hash("id"))
-    none = [F.lit(None).cast(cells.rows.schema[c].dataType).alias(c) for c in carry]
-    a = each.join(F.broadcast(sizes), "cell").select(
-        "id", "v", *none, F.lit(0).alias("side"), "cell",
-        (own % F.col("_ti")).cast("int").alias("ti"), F.explode(F.sequence(F.lit(0), F.col("_tj") - 1)).alias("tj"))
-    b = cells.rows.join(F.broadcast(sizes), "cell").select(
-        "id", "v", *carry, F.lit(1).alias("side"), "cell",
-        F.explode(F.sequence(F.lit(0), F.col("_ti") - 1)).alias("ti"), (own % F.col("_tj")).cast("int").alias("tj"))
+    kinds = {f.name: f.dataType for f in cells.rows.schema}
+    types = {f.name: f.dataType.simpleString() for f in visits.schema}
+    each = visits.mapInPandas(send, f"id {types['id']},v {types['v']},part int,cells array<int>")
+    a = each.join(F.broadcast(tiles), "part").select(
+        "id", "v", *[F.lit(None).cast(kinds[c]).alias(c) for c in carry], F.lit(0).alias("side"), "part",
+        (own % F.col("_ti")).cast("int").alias("ti"), "cells", F.lit(None).cast("int").alias("cell"))
+    b = cells.rows.join(F.broadcast(homes), "cell").withColumn("part", (F.col("_p") + own % F.col("_m")).cast("int"))
+    b = b.join(F.broadcast(tiles), "part").select(
+        "id", "v", *carry, F.lit(1).alias("side"), "part", F.explode(F.sequence(F.lit(0), F.col("_ti") - 1)).alias("ti"),
+        F.lit(None).cast("array<int>").alias("cells"), "cell")
+
+    def best_of(i: np.ndarray, j: np.ndarray, exact: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The ``k`` nearest columns of each row, ties in order of the columns, and their places."""
+        order = np.lexsort((j, exact, i))
+        i, j, exact = i[order], j[order], exact[order]
+        place = np.arange(len(i)) - np.searchsorted(i, i)
+        keep = place < k
+        return i[keep], j[keep], exact[keep], place[keep]
 
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, cols = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("id")
@@ -659,26 +717,38 @@ def nearest_rows(
         if len(rows) == 0 or len(cols) == 0:
             return pd.DataFrame(out)
         x, y = _matrix(rows["v"]), _matrix(cols["v"])
-        d = _euclidean(x, y)
-        width = min(k, len(cols))
-        last = np.partition(d, width - 1, axis=1)[:, width - 1]
-        scale = np.sqrt((x * x).sum(1)) + np.sqrt((y * y).sum(1)).max()
-        # everything within rounding of the k-th goes on and is measured by its difference
-        i, j = np.nonzero(d <= (last + 1e-9 * scale)[:, None])
-        diff = x[i] - y[j]
-        exact = np.sqrt((diff * diff).sum(1))
-        order = np.lexsort((j, exact, i))
-        i, j, exact = i[order], j[order], exact[order]
-        place = np.arange(len(i)) - np.searchsorted(i, i)
-        keep = place < k
-        i, j = i[keep], j[keep]
-        return pd.DataFrame({"id": rows["id"].to_numpy()[i], "distance": exact[keep], "near": cols["id"].to_numpy()[j],
+        long, far = np.sqrt((x * x).sum(1)), np.sqrt((y * y).sum(1)).max()
+        who, cell = np.repeat(np.arange(len(rows)), [len(c) for c in rows["cells"]]), np.concatenate(list(rows["cells"]))
+        order = np.argsort(cell, kind="stable")
+        who, cell = who[order], cell[order]
+        of = cols["cell"].to_numpy().astype(int)
+        limit = np.full(len(rows), np.inf)  # of the k nearest so far
+        best = (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for c in np.unique(of):
+            visitors, there = who[slice(*np.searchsorted(cell, [c, c + 1]))], np.flatnonzero(of == c)
+            for at in range(0, len(visitors), BLOCK_ROWS):
+                mine = visitors[at : at + BLOCK_ROWS]
+                for to in range(0, len(there), BLOCK_ROWS):
+                    theirs = there[to : to + BLOCK_ROWS]
+                    d = _euclidean(x[mine], y[theirs])
+                    width = min(k, len(theirs))
+                    last = np.minimum(np.partition(d, width - 1, axis=1)[:, width - 1], limit[mine])
+                    # everything within rounding of the k-th goes on and is measured by its difference
+                    i, j = np.nonzero(d <= (last + 1e-9 * (long[mine] + far))[:, None])
+                    diff = x[mine[i]] - y[theirs[j]]
+                    held.append((mine[i], theirs[j], np.sqrt((diff * diff).sum(1))))
+            if sum(len(h[0]) for h in held) > 4 * k * len(rows):
+                *best, place = best_of(*[np.concatenate(z) for z in zip(best, *held, strict=True)])
+                limit[best[0][place == k - 1]] = best[2][place == k - 1]
+                held = []
+        i, j, exact, _ = best_of(*[np.concatenate(z) for z in zip(best, *held, strict=True)])
+        return pd.DataFrame({"id": rows["id"].to_numpy()[i], "distance": exact, "near": cols["id"].to_numpy()[j],
                              **{c: cols[c].to_numpy()[j] for c in carry}})
 
-    of = cells.rows.schema
-    schema = f"id {visits.schema['id'].dataType.simpleString()},distance double,near {of['id'].dataType.simpleString()}"
-    schema += "".join(f",`{c}` {of[c].dataType.simpleString()}" for c in carry)
-    found = a.unionByName(b).groupBy("cell", "ti", "tj").applyInPandas(fn, schema)
+    schema = f"id {types['id']},distance double,near {kinds['id'].simpleString()}"
+    schema += "".join(f",`{c}` {kinds[c].simpleString()}" for c in carry)
+    found = a.unionByName(b).groupBy("part", "ti").applyInPandas(fn, schema)
     best = W.partitionBy("id").orderBy("distance", "near")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "rank", "near", "distance", *carry)
 

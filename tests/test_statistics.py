@@ -216,6 +216,29 @@ def test_pivots_spare_most_cells_of_clustered_points(spark):
     assert len(cells.pivots) == 100 and visited < 15
 
 
+def test_cells_travel_in_parts(spark, monkeypatch):
+    """However many cells a row visits, it is sent once per part; a crowded cell is cut into parts."""
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(600, 12))
+    v[:200] = v[0] + rng.normal(size=(200, 12)) * 1e-3  # a crowd
+    df = spark.createDataFrame([(i, list(map(float, x))) for i, x in enumerate(v)], "id long, v array<double>")
+    monkeypatch.setattr(PR, "SPREAD", 4)
+    monkeypatch.setattr(PR, "SIDE_ROWS", 64)
+    cells = PR.PivotCells(df, "id", "v", [], 3, block_rows=8)
+    first, pieces = cells.parts(8)
+    assert len(cells.pivots) == 75 and len(set(first)) <= 20 and first.max() + pieces.max() <= 24
+    load = np.bincount(first, cells.size / pieces)
+    assert load.max() <= 64 and load.sum() > 300
+    test = df.where("id % 3 = 0")
+    got = {(r.id, r["rank"]): (r.near, r.distance) for r in PR.nearest_rows(df, test, "id", "v", 3, block_rows=8).collect()}
+    assert len(got) == 600
+    for i in range(0, 600, 3):
+        d = np.sqrt(((v - v[i]) ** 2).sum(1))
+        want = sorted(zip(d, range(600)))[:3]
+        assert [got[i, r][0] for r in (1, 2, 3)] == [j for _, j in want]
+        assert [got[i, r][1] for r in (1, 2, 3)] == pytest.approx([x for x, _ in want], abs=1e-12)
+
+
 def test_nearest_rows_of_empty_tables(spark):
     df = spark.createDataFrame([(1, [0.0, 1.0], 1.0)], "id long, v array<double>, y double")
     none = df.where("id < 0")
