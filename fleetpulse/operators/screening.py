@@ -190,17 +190,20 @@ def rank_correlations(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFr
 
     both = cells.join(ranks("x"), ["k", "x"]).join(ranks("y"), ["k", "y"])
 
-    # weighted centring first, then the correlation of the centred values
-    mean = both.groupBy("k").agg(*[
-        (F.sum(F.col("w") * F.col(v)) / F.sum("w")).alias(f"m_{v}") for v in ["x", "y", "rx", "ry"]
-    ])
+    # weighted centring first, then the correlation of the centred values; mean ranks of n rows average (n + 1) / 2
+    n = F.sum("w")
+    mean = cells.groupBy("k").agg(
+        *[(F.sum(F.col("w") * F.col(v)) / n).alias(f"m_{v}") for v in ["x", "y"]],
+        *[((n + 1) / 2).alias(f"m_{v}") for v in ["rx", "ry"]],
+    )
 
     def corr(a: str, b: str):
         p, q = F.col(a) - F.col(f"m_{a}"), F.col(b) - F.col(f"m_{b}")
         return F.try_divide(F.sum(F.col("w") * p * q), F.sqrt(F.sum(F.col("w") * p * p) * F.sum(F.col("w") * q * q)))
 
     left, right = F.array(*[F.lit(a) for a, _ in pairs]), F.array(*[F.lit(b) for _, b in pairs])
-    out = both.join(mean, "k").groupBy("k").agg(corr("x", "y").alias("pearson"), corr("rx", "ry").alias("spearman"))
+    # a row a pair, broadcast: a join by pair would send all cells of a pair to one task
+    out = both.join(F.broadcast(mean), "k").groupBy("k").agg(corr("x", "y").alias("pearson"), corr("rx", "ry").alias("spearman"))
     return out.select(left[F.col("k")].alias("a"), right[F.col("k")].alias("b"), "pearson", "spearman")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -327,6 +329,29 @@ def test_constant_and_never_paired_columns(spark):
     assert ranks["a", "b"] == (None, None) and abs(ranks["a", "d"][1] - 1) < 1e-12
 
 
+def test_rank_correlations_add_up_before_pairs_meet_in_a_task(spark):
+    data = [(float(i % 7), float(i * i % 31), None if i % 5 == 0 else float(i % 3)) for i in range(200)]
+    df = spark.createDataFrame(data, "a double, b double, c double")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = SC.rank_correlations(df, [("a", "b"), ("a", "c")])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.a, r.b): (r.pearson, r.spearman) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    # no join deals cells by their pair alone
+    assert not re.search(r"SortMergeJoin \[k#\d+L?\],", plan) and "BroadcastHashJoin [k#" in plan
+
+    def mean_ranks(v):
+        return np.array([(v < x).sum() + ((v == x).sum() + 1) / 2 for x in v])
+
+    for k, name in ((1, "b"), (2, "c")):
+        x, y = np.array([(r[0], r[k]) for r in data if r[k] is not None]).T
+        want = np.corrcoef(x, y)[0, 1], np.corrcoef(mean_ranks(x), mean_ranks(y))[0, 1]
+        assert np.allclose(got["a", name], want)
+
+
 def test_flat_dimensions_zero_vectors_and_one_class(spark):
     points = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 4.0])], "id long, v array<double>")
     assert [r.v[0] for r in PR.unit_variance(points, "v").collect()] == [0.0, 0.0]
