@@ -38,13 +38,16 @@ def _euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     centre = a.mean(axis=0)
     a, b = a - centre, b - centre
     na, nb = (a * a).sum(1)[:, None], (b * b).sum(1)[None, :]
-    sq = np.maximum(na + nb - 2.0 * (a @ b.T), 0.0)
-    # where the expansion cancels, take the difference itself
-    close = np.nonzero(sq <= 1e-6 * (na + nb))
-    if close[0].size:
-        diff = a[close[0]] - b[close[1]]
-        sq[close] = (diff * diff).sum(1)
-    return np.sqrt(sq)
+    sq = a @ b.T
+    sq *= 2.0
+    np.subtract(na + nb, sq, out=sq)
+    # where the expansion cancels, take the difference itself; most blocks have no such pair
+    if not (sq.size and sq.min() > 1e-6 * (na.max() + nb.max())):
+        close = np.nonzero(~(sq > 1e-6 * (na + nb)))
+        if close[0].size:
+            diff = a[close[0]] - b[close[1]]
+            sq[close] = (diff * diff).sum(1)
+    return np.sqrt(sq, out=sq)
 
 
 def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -103,13 +106,14 @@ def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
 
 
 def tile_apply(
-    points: DataFrame, row_id: str, fn: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame],
+    points: DataFrame, row_id: str, fn: Callable[..., pd.DataFrame],
     schema: str, block_rows: int = BLOCK_ROWS, span: int | None = None,
-    combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None,
+    combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None, vec: str | None = None,
 ) -> DataFrame:
     """Run ``fn(rows, columns, diagonal)`` on every pair of blocks of every tile.
 
-    ``combine`` adds up the results of a tile's blocks row of blocks by row of blocks. ``span`` is the
+    With ``vec`` the vectors of rows and columns follow as matrices, made once per block, not per pair of
+    blocks. ``combine`` adds up the results of a tile's blocks row of blocks by row of blocks. ``span`` is the
     most blocks on a side, by default ``SIDE_ROWS`` points; with 1 every tile is a single call.
     """
     span = max(1, SIDE_ROWS // block_rows) if span is None else span
@@ -125,9 +129,11 @@ def tile_apply(
         if len(rows) == 0 or len(cols) == 0:
             return done
         across = blocks(cols)
+        vectors = [] if vec is None else [_matrix(b[vec]) for b in across]
         found: list[pd.DataFrame] = []
         for i, left in enumerate(blocks(rows)):
-            found += [fn(left, right, diagonal and i == j) for j, right in enumerate(across) if j >= i or not diagonal]
+            mine = [] if vec is None else [_matrix(left[vec])]
+            found += [fn(left, right, diagonal and i == j, *mine, *vectors[j : j + 1]) for j, right in enumerate(across) if j >= i or not diagonal]
             if combine is not None:
                 found = [combine(pd.concat(found))]
         return pd.concat(found)[columns]
@@ -218,22 +224,34 @@ def distance_summary(points: DataFrame, row_id: str, vec: str, metric: str = "eu
 
 def distance_histogram(points: DataFrame, row_id: str, vec: str, metric: str = "euclidean", n_bins: int = 500, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(bin, n): counts of pair distances in ``n_bins`` equal bins from the smallest to the largest."""
-    span = distance_summary(points, row_id, vec, metric, block_rows).select(F.struct("lo", "hi").alias("s"))
     p = points.select(F.col(row_id).alias("id"), F.transform(vec, lambda x: x.cast("double")).alias("v"))
     if metric == "seuclidean":
         p, metric = unit_variance(p, "v"), "euclidean"
     measure = METRICS[metric]
+
+    def ends(_: pd.DataFrame, __: pd.DataFrame, diagonal: bool, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        d = measure(a, b)
+        x = d[np.triu_indices(len(d), 1)] if diagonal else d
+        return pd.DataFrame({"lo": [x.min()], "hi": [x.max()]} if x.size else {"lo": [], "hi": []})
+
+    span = tile_apply(p, "id", ends, "lo double,hi double", block_rows, vec="v").agg(F.struct(F.min("lo").alias("lo"), F.max("hi").alias("hi")).alias("s"))
     p = p.withColumn("s", span.scalar()).select("id", "v", "s.lo", "s.hi")
 
-    def fn(rows: pd.DataFrame, cols: pd.DataFrame, diagonal: bool) -> pd.DataFrame:
-        d = measure(_matrix(rows["v"]), _matrix(cols["v"]))
+    def fn(rows: pd.DataFrame, _: pd.DataFrame, diagonal: bool, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        d = measure(a, b)
         x = d[np.triu_indices(len(d), 1)] if diagonal else d.ravel()
         lo, hi = rows["lo"].iat[0], rows["hi"].iat[0]
-        counts, _ = np.histogram(x, bins=n_bins, range=(lo, hi))
+        if pd.notna(lo) and np.isfinite(hi) and lo < hi:
+            x -= lo
+            x /= (hi - lo) / n_bins
+            # a distance may be off the ends by rounding, as blocks are not cut alike in both passes
+            counts = np.bincount(np.clip(x.astype(np.intp), 0, n_bins - 1), minlength=n_bins)
+        else:
+            counts, _ = np.histogram(x, bins=n_bins, range=(lo, hi))
         used = np.nonzero(counts)[0]
         return pd.DataFrame({"bin": used + 1, "n": counts[used]})
 
-    return tile_apply(p, "id", fn, "bin int,n long", block_rows, combine=_added(["bin"])).groupBy("bin").agg(F.sum("n").alias("n"))
+    return tile_apply(p, "id", fn, "bin int,n long", block_rows, combine=_added(["bin"]), vec="v").groupBy("bin").agg(F.sum("n").alias("n"))
 
 
 def distances_to_centres(points: DataFrame, vec: str, centres: DataFrame, precision: np.ndarray | None = None) -> DataFrame:

@@ -352,6 +352,18 @@ def test_rank_correlations_add_up_before_pairs_meet_in_a_task(spark):
         assert np.allclose(got["a", name], want)
 
 
+def test_distance_histogram_needs_only_the_ends_of_the_first_pass(spark, cloud, monkeypatch):
+    pts, df = cloud
+    monkeypatch.setattr(PR, "distance_summary", None)
+    x = distances(pts)[np.triu_indices(len(pts), 1)]
+    want = np.bincount(np.minimum(((x - x.min()) / ((x.max() - x.min()) / 20)).astype(int), 19), minlength=20)
+    got = {h.bin: h.n for h in PR.distance_histogram(df, "id", "v", "euclidean", 20, 16).collect()}
+    assert got == {k + 1: n for k, n in enumerate(want) if n}
+    # equal points and points whose squares cancel
+    near = spark.createDataFrame([(1, [1e6, 1.0]), (2, [1e6, 1.0]), (3, [1e6, 1.5]), (4, [1e6, 2.0])], "id long, v array<double>")
+    assert {h.bin: h.n for h in PR.distance_histogram(near, "id", "v", "euclidean", 4, 2).collect()} == {1: 1, 3: 3, 4: 2}
+
+
 def test_flat_dimensions_zero_vectors_and_one_class(spark):
     points = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 4.0])], "id long, v array<double>")
     assert [r.v[0] for r in PR.unit_variance(points, "v").collect()] == [0.0, 0.0]
