@@ -532,34 +532,46 @@ def repeated_summary(tests: DataFrame, alpha: float) -> DataFrame:
 
 def silhouettes(points: DataFrame, row_id: str, vec: str, cluster: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(id, cluster, silhouette): exact Euclidean silhouette of every point; 0 in a cluster of one."""
-    p = points.select(F.col(row_id).alias("id"), F.col(vec).alias("v"), F.col(cluster).cast("int").alias("c"))
+    return silhouettes_of(points, row_id, vec, [cluster], block_rows).drop("nth")
 
-    def fn(rows: pd.DataFrame, cols: pd.DataFrame, diagonal: bool) -> pd.DataFrame:
-        d = _euclidean(_matrix(rows["v"]), _matrix(cols["v"]))
+
+def silhouettes_of(points: DataFrame, row_id: str, vec: str, clusters: Sequence[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(nth, id, cluster, silhouette): ``silhouettes`` by each of several cluster columns, ``nth`` among them.
+
+    A distance serves all of them: the sums towards the clusters of every column are one matrix product.
+    """
+    names = [f"c{q}" for q in range(len(clusters))]
+    p = points.select(F.col(row_id).alias("id"), F.col(vec).alias("v"), *[F.col(c).cast("int").alias(n) for n, c in zip(names, clusters, strict=True)])
+
+    def fn(rows: pd.DataFrame, cols: pd.DataFrame, diagonal: bool, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        d = _euclidean(a, b)
 
         def towards(d: np.ndarray, me: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-            names, codes = np.unique(other["c"].to_numpy(), return_inverse=True)
-            sums = d @ np.eye(len(names))[codes]
-            return pd.DataFrame({
-                "id": np.repeat(me["id"].to_numpy(), len(names)), "c": np.repeat(me["c"].to_numpy(), len(names)),
-                "other": np.tile(names, len(me)), "total": sums.ravel(),
-            })
+            found = [np.unique(other[c].to_numpy(), return_inverse=True) for c in names]
+            sums = d @ np.hstack([np.eye(len(of))[codes] for of, codes in found])
+            ends = np.cumsum([len(of) for of, _ in found])
+            return pd.concat([pd.DataFrame({
+                "nth": q, "id": np.repeat(me["id"].to_numpy(), len(of)), "c": np.repeat(me[names[q]].to_numpy(), len(of)),
+                "other": np.tile(of, len(me)), "total": sums[:, end - len(of) : end].ravel(),
+            }) for q, ((of, _), end) in enumerate(zip(found, ends, strict=True))])
 
         out = towards(d, rows, cols)
         return out if diagonal else pd.concat([out, towards(d.T, cols, rows)])
 
     id_type = p.schema["id"].dataType.simpleString()
-    parts = tile_apply(p, "id", fn, f"id {id_type},c int,other int,total double", block_rows, combine=_added(["id", "c", "other"]))
-    sums = parts.groupBy("id", "c", "other").agg(F.sum("total").alias("total"))
-    sizes = p.groupBy(F.col("c").alias("other")).agg(F.count("*").alias("n"))
-    means = sums.join(sizes, "other")
+    keys = ["nth", "id", "c", "other"]
+    parts = tile_apply(p, "id", fn, f"nth int,id {id_type},c int,other int,total double", block_rows, combine=_added(keys), vec="v")
+    sums = parts.groupBy(*keys).agg(F.sum("total").alias("total"))
+    each = F.explode(F.array(*[F.struct(F.lit(q).alias("nth"), F.col(c).alias("other")) for q, c in enumerate(names)]))
+    sizes = p.select(each.alias("e")).select("e.*").groupBy("nth", "other").agg(F.count("*").alias("n"))
+    means = sums.join(sizes, ["nth", "other"])
     own = F.col("c") == F.col("other")
-    ab = means.groupBy("id", "c").agg(
+    ab = means.groupBy("nth", "id", "c").agg(
         F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("a"),
         F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"),
     )
     s = F.when(F.greatest("a", "b") > 0, (F.col("b") - F.col("a")) / F.greatest("a", "b")).otherwise(F.lit(0.0))
-    return ab.select("id", F.col("c").alias("cluster"), F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(s).alias("silhouette"))
+    return ab.select("nth", "id", F.col("c").alias("cluster"), F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(s).alias("silhouette"))
 
 
 class PivotCells:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fleetpulse.functions.scalars import cosine_distance
 from fleetpulse.operators import evaluate as EV
 from fleetpulse.operators import folds as FD
+from fleetpulse.operators import models as M
 from fleetpulse.operators import pairs as PR
 from fleetpulse.operators import ranking as RK
 from fleetpulse.operators import screening as SC
@@ -364,6 +365,22 @@ def test_distance_histogram_needs_only_the_ends_of_the_first_pass(spark, cloud,
     assert {h.bin: h.n for h in PR.distance_histogram(near, "id", "v", "euclidean", 4, 2).collect()} == {1: 1, 3: 3, 4: 2}
 
 
+def test_silhouettes_of_several_clusterings_share_one_pass(spark, cloud, monkeypatch):
+    pts, df = cloud
+    alone = {k: M.clustered(M.k_means(df, "v", k), df, "v") for k in (2, 3)}
+    want = {k: PR.silhouettes(rows, "id", "v", "cluster", 16).agg(F.avg("silhouette")).first()[0] for k, rows in alone.items()}
+    passes, tiles = [], PR.tile_apply
+    monkeypatch.setattr(PR, "tile_apply", lambda *a, **kw: passes.append(1) or tiles(*a, **kw))
+    got = {r.k: r.silhouette for r in M.silhouette_by_k(df, "id", "v", [2, 3]).collect()}
+    assert got == pytest.approx(want) and len(passes) == 1
+    # missing clusters and repeated ids, by each column as alone
+    odd = spark.createDataFrame([(i % 9, [float(i), float(i * i % 5)], None if i == 4 else i % 2, i % 3) for i in range(12)], "id long, v array<double>, a int, b int")
+    both = PR.silhouettes_of(odd, "id", "v", ["a", "b"], 4).collect()
+    for q, c in enumerate("ab"):
+        one = {(r.id, r.cluster): r.silhouette for r in PR.silhouettes(odd, "id", "v", c, 4).collect()}
+        assert {(r.id, r.cluster): r.silhouette for r in both if r.nth == q} == pytest.approx(one)
+
+
 def test_flat_dimensions_zero_vectors_and_one_class(spark):
     points = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 4.0])], "id long, v array<double>")
     assert [r.v[0] for r in PR.unit_variance(points, "v").collect()] == [0.0, 0.0]
