@@ -7,7 +7,8 @@ long as there are enough; below, every node draws coordinates on its own, each w
 ``1 / (threshold * COORDINATES)``. Each coordinate sends a class to the child of its value; pairs at the
 threshold so have one common child on average. Nodes of at most ``small`` classes are brute-forced on
 their signatures, as are nodes that splitting no longer shrinks; of these, nodes with the same members
-are kept once. Nodes still to be split stay apart even then, since each is a chance of its own.
+are kept once. Nodes still to be split stay apart even then, since each is a chance of its own. A class goes on
+only by coordinates whose first node is split as well, or that have none: others are brute-forced already.
 
 Brute force gives edges that connect the pairs that may reach the threshold; their connected components
 are blocks. A search over a few coordinates goes first and its components are contracted, so that the many
@@ -213,12 +214,30 @@ def _candidates(leaves: DataFrame, least: int, crossed: bool) -> DataFrame:
     return tiles.mapInArrow(work, "u long, v long").distinct()
 
 
-def _leaves(classes: DataFrame, coordinates: list[tuple[int, int]], threshold: float, small: int, depth: int, seed: int) -> DataFrame:
+def _open(nodes: DataFrame, coordinates: list[tuple[int, int]]) -> DataFrame:
+    """``c, ks`` for the members ``node, c`` of the first nodes that are split: bit k is set where the first node of
+    coordinate k is one of them, or where there is none."""
+    missing = sum(1 << k for k in set(range(COORDINATES)) - {k for _, k in coordinates})
+    signed = missing - (1 << 64) if missing >> 63 else missing
+    bit = F.expr(f"shiftleft(1L, CAST(node & {COORDINATES - 1} AS INT))")
+    return nodes.groupBy("c").agg(F.bit_or(bit).bitwiseOR(F.lit(signed)).alias("ks"))
+
+
+def _leaves(
+    classes: DataFrame, coordinates: list[tuple[int, int]], threshold: float, small: int, depth: int, seed: int, crossed: bool
+) -> DataFrame:
     """Nodes to brute-force: ``node, n, c, label, sig``. ``classes`` are ``c, label, sig``; a node whose members have
-    one label is left out, and not split."""
+    one label is left out, and not split.
+
+    If nodes are brute-forced as a whole (``crossed``), a member is not sent on by a coordinate whose first node is
+    not split: all that it could meet there is in that node, which is brute-forced or has one label.
+    """
     total = classes.count()
     chance = 1 / (threshold * COORDINATES)
-    children = F.array(*[F.xxhash64(F.lit(turn), F.lit(k), F.col("sig")[k]) for turn, k in coordinates])
+    # the last bits of a first node are its coordinate
+    first = [F.xxhash64(F.lit(turn), F.lit(k), F.col("sig")[k]).bitwiseAND(F.lit(-COORDINATES)).bitwiseOR(F.lit(k)) for turn, k in coordinates]
+    children = F.array(*first)
+    held = classes.select("c", "sig", F.lit(-1).cast("long").alias("ks"))
     rows = classes.select("c", "label", F.lit(total).cast("long").alias("was"), F.explode(children).alias("node"))
     out = None
     for level in range(depth):
@@ -232,9 +251,12 @@ def _leaves(classes: DataFrame, coordinates: list[tuple[int, int]], threshold: f
         out = leaf if out is None else out.unionByName(leaf)
         if stats.where("NOT done").isEmpty():
             break
-        more = rows.select("node", "c", "label").join(stats.where("NOT done").select("node", F.col("n").alias("was")), "node").join(classes.select("c", "sig"), "c")
-        drawn = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)),
-                         lambda k: F.pmod(F.xxhash64(F.lit(seed), F.col("node"), k), F.lit(1_000_000)) < int(chance * 1_000_000))
+        more = rows.select("node", "c", "label").join(stats.where("NOT done").select("node", F.col("n").alias("was")), "node")
+        if crossed and level == 0:
+            held = stage(classes.select("c", "sig").join(_open(more, coordinates), "c"), "jaccard-open")
+        more = more.join(held, "c")
+        drawn = F.filter(F.sequence(F.lit(0), F.lit(COORDINATES - 1)), lambda k: (
+            F.pmod(F.xxhash64(F.lit(seed), F.col("node"), k), F.lit(1_000_000)) < int(chance * 1_000_000)) & (F.getbit("ks", k) == 1))
         next_node = F.transform(drawn, lambda k: F.xxhash64(F.col("node"), k, F.get(F.col("sig"), k)))
         rows = stage(more.select("c", "label", "was", F.explode(next_node).alias("node")), "jaccard-paths")
     return out.join(classes.select("c", "sig").hint("merge"), "c")
@@ -251,10 +273,10 @@ def _blocks(classes: DataFrame, threshold: float, recall: float, small: int, dep
     draw = np.random.default_rng(seed)
     coordinates = [(turn, int(k)) for turn in range(math.ceil(starts / COORDINATES)) for k in draw.permutation(COORDINATES)][:starts]
     alone = classes.select("c", F.col("c").alias("label"), "sig")
-    near = stage(_candidates(_leaves(alone, coordinates[:FIRST], threshold, small, depth, seed), least, False), "jaccard-near")
+    near = stage(_candidates(_leaves(alone, coordinates[:FIRST], threshold, small, depth, seed, False), least, False), "jaccard-near")
     labels = components(near).select(F.col("node").alias("c"), F.col("root").alias("label"))
     known = stage(classes.select("c", "sig").join(labels, "c", "left").select("c", F.coalesce("label", "c").alias("label"), "sig"), "jaccard-known")
-    far = _candidates(_leaves(known, coordinates, threshold, small, depth, seed), least, True)
+    far = _candidates(_leaves(known, coordinates, threshold, small, depth, seed, True), least, True)
     return components(near.unionByName(far)).withColumnRenamed("node", "c")
 
 

@@ -209,6 +209,19 @@ def test_jaccard_recursion_finds_what_all_pairs_find(spark):
     assert got == want
 
 
+def test_jaccard_sends_no_class_where_its_first_node_was_brute_forced(spark, monkeypatch):
+    n, staged, keep = 60, [], jaccard.stage
+    # the first n classes agree in every other coordinate, all else differs
+    rows = [(c, c, [7 if c < n and k % 2 else 100 + c for k in range(jaccard.COORDINATES)]) for c in range(2 * n)]
+    classes = spark.createDataFrame(rows, "c long, label long, sig array<int>")
+    monkeypatch.setattr(jaccard, "stage", lambda df, name: staged.append((name, keep(df, name))) or staged[-1][1])
+    every = [(0, k) for k in range(jaccard.COORDINATES)]
+    leaves = jaccard._leaves(classes, every, 0.8, 20, 3, 5, True).groupBy("node").count().collect()
+    paths = [df for name, df in staged if name == "jaccard-paths"]
+    assert paths and {r["count"] for df in paths for r in df.groupBy("node").count().collect()} == {n}
+    assert leaves and {r["count"] for r in leaves} == {n}
+
+
 def test_jaccard_recall_where_splitting_goes_deep(spark):
     """Thousands of documents draw from few words, so every common node of a pair is crowded and split to the
     last level; nearly all pairs at the threshold must still meet."""
