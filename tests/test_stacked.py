@@ -187,3 +187,59 @@ def test_models_score_after_an_observed_write(spark, rows, tmp_path, kind):
     }[kind]()
     scores = model.fit(rows).score(rows).toPandas().score
     assert len(scores) == rows.count() and scores.between(0, 1).all()
+
+
+def test_packed_blocks_hold_every_row(spark, rows, monkeypatch):
+    """Blocks are of one key and give the sums of plain rows, also if many blocks are open in a task."""
+    plain = ST._values(rows.withColumn("k", F.col("id") % 7), COLUMNS, F.col("k"))
+
+    def part(key, y, values, sums):
+        new = np.concatenate([[len(y), y.sum()], np.nansum(values, 0), np.isnan(values).sum(0)])
+        sums[key] = sums[key] + new if key in sums else new
+
+    want = ST.packed_sums(plain, part, np.add)
+    for block_bytes, held in ((1 << 18, 64), (8 * 4 * 5, 64), (8 * 4 * 50, 1)):
+        monkeypatch.setattr(ST, "BLOCK_BYTES", block_bytes)
+        monkeypatch.setattr(ST, "HELD_BLOCKS", held)
+        packed = ST.packed_rows(plain).cache()
+        got = ST.packed_sums(packed, part, np.add)
+        assert got.keys() == want.keys() == set(range(7)) and all(np.allclose(got[k], want[k]) for k in want)
+        assert packed.count() < rows.count() / 2
+    none = ST.packed_rows(plain.where("false"))
+    assert none.count() == 0 and ST.packed_sums(none, part, np.add) == {}
+
+
+def test_passes_of_a_fit_read_packed_rows(rows, monkeypatch):
+    read, sums = [], ST.packed_sums
+    monkeypatch.setattr(ST, "packed_sums", lambda df, *args: read.append(df.count()) or sums(df, *args))
+    M.stacked_svm(COLUMNS, ["id"]).fit(rows.withColumn("split", (F.col("id") % 2).cast("int")))
+    assert len(read) > 5 and max(read) <= 2 * 3 * 3  # splits x parts x tasks, of 600 rows
+
+
+@pytest.mark.parametrize(("held", "most"), [(1, 1), (10**9, M.PARALLEL)])
+def test_fits_of_many_rows_are_not_held_at_a_time(rows, monkeypatch, held, most):
+    running, seen = [], []
+
+    class Slow(M.Plain):
+        def fit(self, df):
+            running.append(1)
+            seen.append(len(running))
+            try:
+                return super().fit(df)
+            finally:
+                running.pop()
+
+    monkeypatch.setattr(M, "FIT_ROWS", held, raising=False)
+    splits = M.day_splits(rows, "label", ["id"], k=4)
+    scores = M.fold_scores(splits, lambda: Slow([*M.feature_stages(COLUMNS, scale=False), M.random_forest(5, 3)]))
+    assert scores.count() == rows.count() and max(seen) <= most
+    assert held == 1 or max(seen) > 1
+
+
+def test_forests_keep_the_nodes_of_rows(rows):
+    """The same trees as without, and no files in a checkpoint folder."""
+    kept = M.random_forest(8, 6)
+    assert kept.getCacheNodeIds() and kept.getCheckpointInterval() == -1
+    stages = M.feature_stages(COLUMNS, scale=False)
+    trees = [M.Plain([*stages, f]).fit(rows).model.stages[-1].toDebugString.split("\n", 1)[1] for f in (kept, kept.copy().setCacheNodeIds(False))]
+    assert trees[0] == trees[1]
