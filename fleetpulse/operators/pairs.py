@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -79,18 +80,23 @@ def _matrix(column: pd.Series) -> np.ndarray:
 # ---- dealing points into tiles --------------------------------------------------------------
 
 
+def _dealt(points: DataFrame, row_id: str, block_rows: int, span: int = 1) -> DataFrame:
+    """Adds ``_b``, the (super-)block of each point, and ``_nb``, how many there are."""
+    n = points.agg(F.count("*").alias("n")).scalar()
+    blocks = F.ceil(n / block_rows)
+    wide = F.least(F.greatest(F.floor(F.col("_nb") / SPREAD), F.lit(1)), F.lit(span))
+    dealt = points.withColumn("_nb", F.greatest(blocks, F.lit(1)))
+    dealt = dealt.withColumn("_nb", F.ceil(F.col("_nb") / wide).cast("int"))
+    return dealt.withColumn("_b", (hash_number(stable_hash(row_id)) % F.col("_nb")).cast("int"))
+
+
 def to_tiles(points: DataFrame, row_id: str, block_rows: int = BLOCK_ROWS, span: int = 1) -> DataFrame:
     """Each point once per tile it takes part in: adds ``ti`` <= ``tj`` and ``side``.
 
     ``side`` is 0 for the tile's rows, 1 for its columns, 2 in a diagonal tile (both). A tile has up
     to ``span`` blocks on a side, fewer while that would leave less than ``SPREAD`` super-blocks.
     """
-    n = points.agg(F.count("*").alias("n")).scalar()
-    blocks = F.ceil(n / block_rows)
-    wide = F.least(F.greatest(F.floor(F.col("_nb") / SPREAD), F.lit(1)), F.lit(span))
-    dealt = points.withColumn("_nb", F.greatest(blocks, F.lit(1)))
-    dealt = dealt.withColumn("_nb", F.ceil(F.col("_nb") / wide).cast("int"))
-    dealt = dealt.withColumn("_b", (hash_number(stable_hash(row_id)) % F.col("_nb")).cast("int"))
+    dealt = _dealt(points, row_id, block_rows, span)
     dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
     side = F.when(F.col("_b") == F.col("_o"), 2).when(F.col("_b") < F.col("_o"), 0).otherwise(1)
     return dealt.withColumns(
@@ -383,19 +389,52 @@ def distance_tiles(points: DataFrame, row_id: str, vec: str, block_rows: int = B
 def energy_from_tiles(
     tiles: DataFrame, points: DataFrame, row_id: str, grp: str, replicates: int, seed: int = 0, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
-    """``energy_statistics`` from stored distance blocks (made with the same ``block_rows``)."""
-    p = points.select(F.col(row_id).cast("long").alias("id"), F.col(grp).alias("g"))
-    bits = to_tiles(with_assignments(p, "id", "g", replicates, seed).select("id", "bits"), "id", block_rows)
-
-    def fn(tile: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-        if len(tile) == 0:
-            return pd.DataFrame({"r": [], "sxx": [], "sxy": [], "syy": []})
-        t, by_id = tile.iloc[0], marks.set_index("id")["bits"]
-        a, b = np.asarray(t["a_ids"]), np.asarray(t["b_ids"])
-        d = np.asarray(t["dist"], dtype=float).reshape(len(a), len(b))
-        return _energy_sums(d, *_samples(by_id.loc[a]), *_samples(by_id.loc[b]), bool(t["ti"] == t["tj"]))
+    """``energy_statistics`` from stored distance blocks (made with the same ``block_rows``).
 
-    joined = tiles.groupBy("ti", "tj").cogroup(bits.groupBy("ti", "tj")).applyInPandas(fn, _SUMS)
+    The distances are read where they are stored and never shuffled. What goes to them are the samples of the
+    points of each block, two bits per replicate: with the ids some 33 bytes a point for 99 replicates.
+    """
+    p = points.select(F.col(row_id).cast("long").alias("id"), F.col(grp).alias("g"))
+    bits = _dealt(with_assignments(p, "id", "g", replicates, seed).select("id", "bits"), "id", block_rows)
+
+    def pack(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("id")
+        x = _matrix(block["bits"])
+        packed = np.packbits(np.hstack([x == 1, np.isnan(x)]), axis=1)
+        ids = block["id"].to_numpy()
+        if ((ids[1:] == ids[:-1]) & (packed[1:] != packed[:-1]).any(axis=1)).any():
+            raise ValueError("points of one id are in different samples")
+        return pd.DataFrame({"b": [block["_b"].iat[0]], "ids": [ids], "marks": [packed.tobytes()]})
+
+    blocks = bits.select("_b", "id", "bits").groupBy("_b").applyInPandas(pack, "b int,ids array<long>,marks binary")
+
+    def side(name: str, key: str) -> DataFrame:
+        return F.broadcast(blocks.select(F.col("b").alias(key), F.col("ids").alias(f"{name}_of"), F.col("marks").alias(f"{name}_marks")))
+
+    def weights(ids: pa.Array, of: pa.Array, marks: bytes) -> tuple[np.ndarray, np.ndarray]:
+        known = of.to_numpy(zero_copy_only=False)
+        bits = np.unpackbits(np.frombuffer(marks, np.uint8).reshape(len(known), -1), axis=1)
+        x = np.where(bits[:, replicates + 1 : 2 * replicates + 2], np.nan, bits[:, : replicates + 1])
+        wanted = ids.to_numpy(zero_copy_only=False)
+        if len(wanted) != len(known) or (wanted != known).any():
+            raise ValueError("the stored distances are not of these points")
+        return x, 1.0 - x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: pd.DataFrame | None = None
+        for batch in batches:
+            c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for k in range(batch.num_rows):
+                a, b = c["a_ids"][k].values, c["b_ids"][k].values
+                ax, ay = weights(a, c["a_of"][k].values, c["a_marks"][k].as_py())
+                bx, by = weights(b, c["b_of"][k].values, c["b_marks"][k].as_py())
+                d = c["dist"][k].values.to_numpy(zero_copy_only=False).reshape(len(a), len(b))
+                one = _energy_sums(d, ax, ay, bx, by, c["ti"][k].as_py() == c["tj"][k].as_py())
+                total = one if total is None else _added(["r"])(pd.concat([total, one]))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(total["r"], pa.int32()), *[pa.array(total[x], pa.float64()) for x in ("sxx", "sxy", "syy")]], names=["r", "sxx", "sxy", "syy"])
+
+    joined = tiles.join(side("a", "ti"), "ti").join(side("b", "tj"), "tj").mapInArrow(run, _SUMS)
     return _statistics(joined, p, "g")
 
 

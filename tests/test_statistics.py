@@ -147,6 +147,28 @@ def test_energy_statistic_and_stored_tiles(spark, cloud):
     assert outcome.reject and outcome.p_value == 0 and outcome.observed > outcome.limit
 
 
+def test_stored_distances_are_not_shuffled(spark, tmp_path):
+    """Their blocks are read where they lie; copies of a point count as often as they come."""
+    rng = np.random.default_rng(9)
+    rows = [(i, "X" if i % 3 else "Y", rng.normal(size=3).tolist()) for i in range(60)]
+    for points in (rows, rows + rows[:20]):
+        df = spark.createDataFrame(points, "id long, grp string, v array<double>")
+        path = str(tmp_path / str(len(points)))
+        PR.distance_tiles(df, "id", "v", 16).write.parquet(path)
+        made = PR.energy_from_tiles(spark.read.parquet(path), df, "id", "grp", 0, block_rows=16)
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Sort" in line and "ti#" in line] and "CoGroup" not in plan
+        x = np.array([p[2] for p in points])
+        first = np.array([p[1] == "X" for p in points])
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+        n1, n2 = first.sum(), (~first).sum()
+        want = n1 * n2 / (n1 + n2) * (2 * d[first][:, ~first].mean() - d[first][:, first].mean() - d[~first][:, ~first].mean())
+        assert made.first().energy == pytest.approx(want)
+    other = spark.createDataFrame([(r[0] + 1, *r[1:]) for r in rows], "id long, grp string, v array<double>")
+    with pytest.raises(Exception, match="not of these points"):
+        PR.energy_from_tiles(spark.read.parquet(str(tmp_path / "60")), other, "id", "grp", 0, block_rows=16).collect()
+
+
 def test_energy_of_identical_samples_is_zero(spark):
     rows = [(i, "X" if i < 10 else "Y", [float(i % 10), 1.0]) for i in range(20)]
     df = spark.createDataFrame(rows, "id long, grp string, v array<double>")
