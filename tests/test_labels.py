@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 from datetime import datetime, timedelta
+from itertools import groupby
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from fleetpulse.operators import labels as L
@@ -119,6 +121,28 @@ def test_devices_of_accounts_are_the_plain_join_in_many_tasks(spark):
     assert got.where("cly_account_number = 'hot'").select(F.spark_partition_id()).distinct().count() > 1
 
 
+def test_devices_of_accounts_are_written_as_runs(spark, tmp_path):
+    # the sessions and devices of an account are more than a packed block of either
+    details = spark.range(1500).select(
+        (F.col("id") * 7919).alias("case_id"), (F.col("id") * 104729).alias("session_id"), (F.col("id") % 3).alias("emp_id"), F.lit(T0).alias("case_start_t"),
+        F.lit("Internet").alias("process_flow"), F.lit("p").alias("milestone_name"), (F.col("id") % 2).cast("string").alias("cly_account_number"), F.lit(T0.date()).alias("day_0"))
+    nodes = spark.range(3000).select(
+        F.concat(F.lit("aa:"), F.lpad(F.col("id").cast("string"), 8, "0")).alias("node_key"), (F.col("id") % 2).cast("string").alias("cly_acct_number"),
+        F.lit(55).alias("topo_node_type_id"), F.lit("m").alias("src_node_model"), F.lit("1").alias("src_node_building_id"))
+    L.devices_of_accounts(details, nodes).write.parquet(str(tmp_path / "got"))
+    got = spark.read.parquet(str(tmp_path / "got"))
+    assert got.count() == got.distinct().count() == 2 * 750 * 1500
+    assert got.join(details, details.columns, "left_anti").isEmpty()
+    # a detail comes with a block of devices, the next one with the same block
+    runs, again = [], 0
+    for file in (tmp_path / "got").glob("*.parquet"):
+        for _, rows in groupby(pq.read_table(file, columns=["case_id", "mac"]).to_pylist(), lambda r: r["case_id"]):
+            runs.append([r["mac"] for r in rows])
+            again += len(runs) > 1 and runs[-1] == runs[-2]
+    assert max(map(len, runs)) <= 504
+    assert len(runs) < 2 * 750 * 1500 / 100 and again > 0.9 * len(runs)
+
+
 def test_confirming_before_expanding_gives_the_same_rows(spark):
     details, nodes = _account_rows(spark)
     success = details.select("day_0", "session_id").distinct().where("session_id % 2 = 0").withColumns({"flg_ftr_0d_flg": F.lit(0), "flg_ftr_7d_flg": F.lit(1)})
