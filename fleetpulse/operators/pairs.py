@@ -57,12 +57,22 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _city_block(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    out = np.zeros((len(a), len(b)))
-    one, across = np.empty_like(out), np.ascontiguousarray(b.T)
-    for k in range(a.shape[1]):
-        np.subtract(a[:, k][:, None], across[k], out=one)
-        np.abs(one, out=one)
-        out += one
+    """Sums of ``|x - y|`` as ``2 max(x, y) - x - y``: one pass per pair and dimension, and a product that adds them up."""
+    centre = a.mean(axis=0)
+    left, right = a - centre, np.ascontiguousarray((b - centre).T)
+    out, larger, ones = np.empty((len(a), len(b))), np.empty_like(right), np.ones(len(right))
+    for i, x in enumerate(left[:, :, None]):
+        np.maximum(x, right, out=larger)
+        np.matmul(ones, larger, out=out[i])
+    out *= 2.0
+    out -= left.sum(1)[:, None]
+    out -= right.sum(0)
+    # where this cancels, take the differences themselves; most blocks have no such pair
+    na, nb = np.abs(left).sum(1)[:, None], np.abs(right).sum(0)[None, :]
+    if not (out.size and out.min() > 1e-6 * (na.max() + nb.max())):
+        close = np.nonzero(~(out > 1e-6 * (na + nb)))
+        if close[0].size:
+            out[close] = np.abs(a[close[0]] - b[close[1]]).sum(1)
     return out
 
 
@@ -114,17 +124,18 @@ def _sides(pdf: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
 def tile_apply(
     points: DataFrame, row_id: str, fn: Callable[..., pd.DataFrame],
     schema: str, block_rows: int = BLOCK_ROWS, span: int | None = None,
-    combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None, vec: str | None = None,
+    combine: Callable[[pd.DataFrame], pd.DataFrame] | None = None, vec: str | None = None, whole: bool = False,
 ) -> DataFrame:
     """Run ``fn(rows, columns, diagonal)`` on every pair of blocks of every tile.
 
     With ``vec`` the vectors of rows and columns follow as matrices, made once per block, not per pair of
     blocks. ``combine`` adds up the results of a tile's blocks row of blocks by row of blocks. ``span`` is the
-    most blocks on a side, by default ``SIDE_ROWS`` points; with 1 every tile is a single call.
+    most blocks on a side, by default ``SIDE_ROWS`` points; with 1, or ``whole``, every tile is a single call. A
+    ``whole`` call walks over the blocks itself (``_walk``) and keeps what it needs per block.
     """
     span = max(1, SIDE_ROWS // block_rows) if span is None else span
     columns = [c.split()[0] for c in schema.split(",")]
-    whole = span == 1
+    whole = whole or span == 1
 
     def blocks(pdf: pd.DataFrame) -> list[pd.DataFrame]:
         return [pdf] if whole else [pdf.iloc[k : k + block_rows] for k in range(0, len(pdf), block_rows)]
@@ -147,6 +158,13 @@ def tile_apply(
     return to_tiles(points, row_id, block_rows, span).groupBy("ti", "tj").applyInPandas(run, schema)
 
 
+def _walk(rows: int, cols: int, diagonal: bool, step: int) -> Iterator[tuple[slice, slice, bool]]:
+    """Blocks of a tile, row of blocks by row of blocks, and whether one is on the diagonal."""
+    for i in range(0, rows, step):
+        for j in range(i if diagonal else 0, cols, step):
+            yield slice(i, i + step), slice(j, j + step), diagonal and i == j
+
+
 def _added(keys: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Sums of all other columns by key."""
     return lambda parts: parts.groupby(keys, sort=False).sum().reset_index()
@@ -158,33 +176,47 @@ def _added(keys: list[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def pair_sums(points: DataFrame, row_id: str, vec: str, grp: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(g, h, n, total, nearest, farthest) over unordered pairs, by the pair of group values g <= h."""
 
-    def fn(rows: pd.DataFrame, cols: pd.DataFrame, diagonal: bool) -> pd.DataFrame:
-        rows, cols = rows.sort_values("g"), cols.sort_values("g")  # a group is a run of rows and of columns
-        if diagonal:
-            cols = rows
-        d = _euclidean(_matrix(rows["v"]), _matrix(cols["v"]))
-        (g, i), (h, j) = np.unique(rows["g"].to_numpy(), return_index=True), np.unique(cols["g"].to_numpy(), return_index=True)
-        use = np.triu(np.ones(d.shape, dtype=bool), 1) if diagonal else np.ones(d.shape, dtype=bool)
-
-        def reduced(of: np.ufunc, x: np.ndarray) -> np.ndarray:
-            return of.reduceat(of.reduceat(x, i, axis=0), j, axis=1)
-
-        n = reduced(np.add, use.astype(np.int64))
-        total = reduced(np.add, np.where(use, d, 0.0) if diagonal else d)
-        nearest = reduced(np.minimum, np.where(use, d, np.inf) if diagonal else d)
-        farthest = reduced(np.maximum, np.where(use, d, -np.inf) if diagonal else d)
-        k, m = np.nonzero(n)
-        return combine(pd.DataFrame({
-            "g": np.minimum(g[k], h[m]), "h": np.maximum(g[k], h[m]), "n": n[k, m], "total": total[k, m],
-            "nearest": nearest[k, m], "farthest": farthest[k, m],
-        }))
+    def fn(rows: pd.DataFrame, cols: pd.DataFrame, diagonal: bool, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        def ordered(part: pd.DataFrame, x: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+            """Vectors in order of their groups, a group being a run; groups, first rows and sizes of each block."""
+            order = np.argsort(part["g"].to_numpy(), kind="stable")
+            g = part["g"].to_numpy()[order]
+            return x[order], [np.unique(g[k : k + block_rows], return_index=True, return_counts=True) for k in range(0, len(g), block_rows)]
+
+        a, across = ordered(rows, a)
+        b, down = (a, across) if diagonal else ordered(cols, b)
+        found: list[pd.DataFrame] = []
+        held: list[tuple[np.ndarray, ...]] = []
+        last = 0
+        for left, right, same in _walk(len(a), len(b), diagonal, block_rows):
+            if left.start != last:  # a row of blocks is done
+                found, held, last = [added([*found, framed(held)])], [], left.start
+            (g, i, ni), (h, j, nj) = across[left.start // block_rows], down[right.start // block_rows]
+            d = _euclidean(a[left], b[right])
+            if same:
+                use = np.triu(np.ones(d.shape, dtype=bool), 1)
+                n = np.triu(np.outer(ni, nj), 1) + np.diag(ni * (ni - 1) // 2)
+                lists = [np.where(use, d, x) for x in (0.0, np.inf, -np.inf)]
+            else:
+                n, lists = np.outer(ni, nj), [d, d, d]
+            if n.size == 1:
+                sums = [of.reduce(x, axis=None, keepdims=True) for of, x in zip((np.add, np.minimum, np.maximum), lists, strict=True)]
+            else:
+                sums = [of.reduceat(of.reduceat(x, i, axis=0), j, axis=1) for of, x in zip((np.add, np.minimum, np.maximum), lists, strict=True)]
+            k, m = np.nonzero(n)
+            held.append((np.minimum(g[k], h[m]), np.maximum(g[k], h[m]), n[k, m], *[x[k, m] for x in sums]))
+        return added([*found, framed(held)])
+
+    names = ["g", "h", "n", "total", "nearest", "farthest"]
+
+    def framed(held: list[tuple[np.ndarray, ...]]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*held, strict=True)), strict=True)))
+
+    def added(parts: list[pd.DataFrame]) -> pd.DataFrame:
+        return pd.concat(parts).groupby(["g", "h"]).agg({"n": "sum", "total": "sum", "nearest": "min", "farthest": "max"}).reset_index()
 
     p = points.select(F.col(row_id).alias("id"), F.col(vec).alias("v"), F.col(grp).alias("g"))
-
-    def combine(parts: pd.DataFrame) -> pd.DataFrame:
-        return parts.groupby(["g", "h"]).agg({"n": "sum", "total": "sum", "nearest": "min", "farthest": "max"}).reset_index()
-
-    parts = tile_apply(p, "id", fn, "g int,h int,n long,total double,nearest double,farthest double", block_rows, combine=combine)
+    parts = tile_apply(p, "id", fn, "g int,h int,n long,total double,nearest double,farthest double", block_rows, vec="v", whole=True)
     return parts.groupBy("g", "h").agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"),
         F.min("nearest").alias("nearest"), F.max("farthest").alias("farthest"),
@@ -209,16 +241,19 @@ def distance_summary(points: DataFrame, row_id: str, vec: str, metric: str = "eu
         p, metric = unit_variance(p, "v"), "euclidean"
     measure = METRICS[metric]
 
-    def fn(rows: pd.DataFrame, cols: pd.DataFrame, diagonal: bool) -> pd.DataFrame:
-        d = measure(_matrix(rows["v"]), _matrix(cols["v"]))
-        x = d[np.triu_indices(len(d), 1)] if diagonal else d.ravel()
-        if x.size == 0:
-            return pd.DataFrame({"n": [], "m": [], "q": [], "lo": [], "hi": []})
-        m = x.mean()
-        return pd.DataFrame({"n": [x.size], "m": [m], "q": [((x - m) ** 2).sum()], "lo": [x.min()], "hi": [x.max()]})
-
-    parts = tile_apply(p, "id", fn, "n long,m double,q double,lo double,hi double", block_rows)
-    # tiles carry their own mean, so their spread adds without cancellation
+    def fn(_: pd.DataFrame, __: pd.DataFrame, diagonal: bool, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        found = []
+        for left, right, same in _walk(len(a), len(b), diagonal, block_rows):
+            d = measure(a[left], b[right])
+            x = d[np.triu_indices(len(d), 1)] if same else d.ravel()
+            if x.size:
+                m, lo, hi = x.mean(), x.min(), x.max()
+                x -= m
+                found.append((x.size, m, np.dot(x, x), lo, hi))
+        return pd.DataFrame(found, columns=["n", "m", "q", "lo", "hi"])
+
+    parts = tile_apply(p, "id", fn, "n long,m double,q double,lo double,hi double", block_rows, vec="v", whole=True)
+    # blocks carry their own mean, so their spread adds without cancellation
     whole = parts.agg(
         F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mean"),
         F.sum("q").alias("within"), F.sum(F.col("n") * F.col("m") * F.col("m")).alias("raw"),
@@ -506,16 +541,52 @@ def repeated_energy_test(
     columns = [assigned(q, first, seed) for q, (first, _, seed) in enumerate(bits)]
     sent = marked.select("id", "v", F.transform("w", lambda e: F.abs(e)).alias("w"), F.concat(*columns).alias("bits"))
 
-    def weights(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        w = np.repeat(_matrix(part["w"]), replicates + 1, axis=1)
-        x = w * _matrix(part["bits"])
-        return x, w - x
+    width = repeats * (replicates + 1)
+    types = {f.name: f.dataType.simpleString() for f in sent.schema}
 
-    def fn(rows: pd.DataFrame, cols: pd.DataFrame, diagonal: bool) -> pd.DataFrame:
-        d = _euclidean(_matrix(rows["v"]), _matrix(cols["v"]))
-        return _energy_sums(d, *weights(rows), *weights(cols), diagonal)
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if len(part):
+                yield part.assign(bits=[row.tobytes() for row in np.packbits(np.stack(part["bits"].to_numpy()).astype(bool), axis=1)])
 
-    sums = tile_apply(sent, "id", fn, _SUMS, block_rows, combine=_added(["r"]))
+    packed = sent.mapInPandas(pack, f"id {types['id']},v {types['v']},w array<int>,bits binary")
+    # of each repeat the smaller sample is summed up, the other one is the rest
+    turned = np.array([sizes[f"x{q}"] > sizes[f"y{q}"] for q in range(repeats)])
+    of = np.repeat(np.arange(repeats), replicates + 1)
+    held = 8 * block_rows  # rows whose products are held at a time
+
+    def fn(rows: pd.DataFrame, cols: pd.DataFrame, diagonal: bool, a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+        def drawn_in(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            bits = np.frombuffer(b"".join(part["bits"]), np.uint8).reshape(len(part), -1)
+            return np.unpackbits(bits, axis=1, count=width) ^ turned[of].astype(np.uint8), _matrix(part["w"])
+
+        def weights(marks: np.ndarray, w: np.ndarray) -> np.ndarray:
+            """A column per repeat and replicate, and one per repeat for both samples."""
+            return np.hstack([marks * w[:, of], w])
+
+        mine, theirs = drawn_in(rows), drawn_in(cols)
+        inside, across, either = np.zeros(width), np.zeros(width), np.zeros(repeats)
+        for first in range(0, len(a), held):
+            some = slice(first, first + held)
+            x, sums = a[some], np.zeros((len(a[some]), width + repeats))
+            for j in range(first if diagonal else 0, len(b), block_rows):
+                y = weights(*[t[j : j + block_rows] for t in theirs])
+                for i in range(0, len(x), block_rows):
+                    if diagonal and first + i > j:
+                        continue
+                    d = _euclidean(x[i : i + block_rows], b[j : j + block_rows])
+                    if diagonal and first + i == j:
+                        d *= 0.5  # holds each of its pairs twice
+                    sums[i : i + block_rows] += d @ y
+            w = weights(*[t[some] for t in mine])
+            inside += np.einsum("ij,ij->j", w[:, :width], sums[:, :width])
+            across += np.einsum("ij,ij->j", w[:, :width], sums[:, width + of]) + np.einsum("ij,ij->j", w[:, width + of], sums[:, :width])
+            either += np.einsum("ij,ij->j", w[:, width:], sums[:, width:])
+        # ordered pairs inside a sample, each cross pair once
+        xx, xy, yy = 2.0 * inside, across - 2.0 * inside, 2.0 * (either[of] - across + inside)
+        return pd.DataFrame({"r": np.arange(width), "sxx": np.where(turned[of], yy, xx), "sxy": xy, "syy": np.where(turned[of], xx, yy)})
+
+    sums = tile_apply(packed, "id", fn, _SUMS, block_rows, vec="v", whole=True)
     sums = sums.withColumns({"repeat": F.floor(F.col("r") / (replicates + 1)).cast("int"), "r": F.col("r") % (replicates + 1)})
     totals = points.sparkSession.createDataFrame(
         [(q, float(sizes[f"x{q}"]), float(sizes[f"y{q}"])) for q in range(repeats)], "repeat int, x double, y double")

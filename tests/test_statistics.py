@@ -477,3 +477,46 @@ def test_repeats_in_one_pass_equal_separate_tests(spark, monkeypatch, similar, s
             one = PR.hash_sample(x, ["id"], F.lit(size or 33), seed).unionByName(PR.hash_sample(y, ["id"], F.lit(size or 22), seed))
         want = PR.energy_test(one, "id", "v", "g", 19, 5, seed, 8).first()
         assert [r.observed, r.limit, r.p_value] == pytest.approx([want.observed, want.limit, want.p_value]) and r.reject == want.reject
+
+
+def test_blocks_of_a_tile_meet_once():
+    for rows, cols, diagonal in [(7, 5, False), (9, 9, True), (4, 4, True), (1, 1, True)]:
+        met = np.zeros((rows, cols), int)
+        for left, right, same in PR._walk(rows, cols, diagonal, 4):
+            met[left, right] += np.triu(np.ones_like(met[left, right]), 1) if same else 1
+        assert (met == (np.triu(np.ones_like(met), 1) if diagonal else 1)).all()
+
+
+def test_city_block_of_any_vectors():
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(size=(9, 5)), rng.normal(size=(7, 5))
+    b[0], b[1], a[1, 2], b[2, 3] = a[0], a[2] + 1e-13, np.inf, np.nan
+    with np.errstate(invalid="ignore"):
+        for shift in (0.0, 1e6):
+            want = np.abs((a + shift)[:, None] - (b + shift)[None]).sum(2)
+            got = PR._city_block(a + shift, b + shift)
+            assert got == pytest.approx(want, rel=1e-9, nan_ok=True) and got[0, 0] == 0
+
+
+def test_vectors_of_a_tile_are_made_once(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    df = spark.createDataFrame([(i, "X" if i < 30 else "Y", i % 2, rng.normal(size=3).tolist()) for i in range(40)], "id long, g string, c int, v array<double>")
+    calls = []
+    apply = PR.tile_apply
+    monkeypatch.setattr(PR, "tile_apply", lambda *a, **k: calls.append((k.get("vec"), k.get("whole"))) or apply(*a, **k))
+    assert PR.pair_sums(df, "id", "v", "c", 4).agg(F.sum("n")).first()[0] == 780
+    assert PR.distance_summary(df, "id", "v", "cityblock", 4).first().n == 780
+    assert PR.repeated_energy_test(df, "id", "v", "g", 0, 100, 1, block_rows=4).count() == 1
+    assert calls == [("v", True)] * 3
+
+
+@pytest.mark.parametrize("first", [1, 38])
+def test_repeated_energy_of_samples_of_unlike_size(spark, first):
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(40, 3))
+    df = spark.createDataFrame([(i, "X" if i < first else "Y", v[i].tolist()) for i in range(40)], "id long, g string, v array<double>")
+    d, x = np.linalg.norm(v[:, None] - v[None], axis=2), np.arange(40) < first
+    n, m = first, 40 - first
+    want = n * m / 40 * (2 * d[x][:, ~x].sum() / (n * m) - d[x][:, x].sum() / n**2 - d[~x][:, ~x].sum() / m**2)
+    got = PR.repeated_energy_test(df, "id", "v", "g", 1, 50, 2, block_rows=8).collect()
+    assert [r.observed for r in got] == pytest.approx([want, want])
