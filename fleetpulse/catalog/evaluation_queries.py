@@ -299,8 +299,13 @@ def _(t: Inputs) -> DataFrame:
 @query("snk9_energy_from_stored_distances", f"{_REPS} SELECT r, energy FROM e", ["energy"])
 def _(t: Inputs) -> DataFrame:
     path = new_table_path(t.spark, "distances")
-    overwrite(PR.distance_tiles(t.samples, "id", "v", BLOCK), path)
-    return PR.energy_from_tiles(t.spark.read.parquet(path), t.samples, "id", "grp", REPLICATES, block_rows=BLOCK)
+
+    def stored(stripe: tuple[int, int]) -> DataFrame:
+        overwrite(PR.distance_tiles(t.samples, "id", "v", BLOCK, stripe), path)
+        return t.spark.read.parquet(path)
+
+    # a matrix of more than STORED_BYTES is stored and used stripe by stripe, each in place of the one before
+    return PR.energy_from_tiles(map(stored, PR.stripes(t.samples, BLOCK)), t.samples, "id", "grp", REPLICATES, block_rows=BLOCK)
 
 
 @query("st8_repeated_energy_test")

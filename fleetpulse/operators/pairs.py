@@ -13,7 +13,7 @@ inequality rules out.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,6 +29,8 @@ from fleetpulse.session import staged
 BLOCK_ROWS = 1024
 SIDE_ROWS = 32_768  # points on a side of a tile at most, which a task holds
 SPREAD = 16  # super-blocks that are kept at least before tiles widen: 136 tiles for the tasks
+STORED_BYTES = 1_000_000_000  # of stored distances that lie on disk at a time
+TASK_BYTES = 64_000_000  # of distances that a task hands on to be stored
 MAX_PIVOTS = 1024  # pivots of a neighbour search, and so the rows of its table of cells
 
 
@@ -406,30 +408,72 @@ def energy_statistics(
     return _statistics(tile_apply(bits, "id", fn, _SUMS, block_rows, combine=_added(["r"])), p, "g")
 
 
-def distance_tiles(points: DataFrame, row_id: str, vec: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The pair-distance matrix as blocks (ti, tj, a_ids, b_ids, dist), to be written and reused."""
+def stripes(points: DataFrame, block_rows: int = BLOCK_ROWS, limit: int = STORED_BYTES) -> list[tuple[int, int]]:
+    """Ranges of blocks of rows whose distances to the blocks from theirs on take ``limit`` bytes or one block of rows."""
+    n = points.count()
+    blocks, found, first = max(-(-n // block_rows), 1), [], 0
+    while first < blocks:
+        width = max(n - first * block_rows, 1)
+        last = min(first + max(limit // (8 * width * block_rows), 1), blocks)
+        # rows of a stripe have fewer columns the later they come
+        while last < blocks and 4 * (width + n - last * block_rows) * (last + 1 - first) * block_rows <= limit:
+            last += 1
+        found.append((first, last))
+        first = last
+    return found
 
-    def fn(rows: pd.DataFrame, cols: pd.DataFrame, diagonal: bool) -> pd.DataFrame:
-        rows, cols = rows.sort_values("id"), cols.sort_values("id")
-        d = _euclidean(_matrix(rows["v"]), _matrix(cols["v"]))
-        return pd.DataFrame({
-            "ti": [rows["ti"].iat[0]], "tj": [rows["tj"].iat[0]],
-            "a_ids": [rows["id"].to_numpy()], "b_ids": [cols["id"].to_numpy()], "dist": [d.ravel()],
-        })
 
-    p = points.select(F.col(row_id).cast("long").alias("id"), F.col(vec).alias("v"))
-    return tile_apply(p, "id", fn, "ti int,tj int,a_ids array<long>,b_ids array<long>,dist array<double>", block_rows, span=1)
+def distance_tiles(points: DataFrame, row_id: str, vec: str, block_rows: int = BLOCK_ROWS, stripe: tuple[int, int] | None = None) -> DataFrame:
+    """The pair-distance matrix as blocks (ti, tj, a_ids, b_ids, dist), to be written and reused.
+
+    With ``stripe`` only the blocks ti of that range, with every tj from ti on. A task has the rows of the stripe
+    and some blocks of columns, as many as ``TASK_BYTES`` allow and fewer while there are less than ``SPREAD`` tasks, so
+    a point is sent once as a column and, in a stripe, once per task as a row.
+    """
+    p = _dealt(points.select(F.col(row_id).cast("long").alias("id"), F.col(vec).alias("v")), "id", block_rows)
+    low, high = (F.lit(x) for x in stripe) if stripe else (F.lit(0), F.col("_nb"))
+    size = (F.least(high, "_nb") - low) * F.col("_nb") * F.lit(8.0 * block_rows * block_rows)
+    p = p.withColumn("_tasks", F.least("_nb", F.greatest(F.lit(SPREAD), F.ceil(size / TASK_BYTES))).cast("long"))
+    own = F.floor(F.col("_b") * F.col("_tasks") / F.col("_nb")).cast("int")
+    columns = p.where(F.col("_b") >= low).select("id", "v", "_b", F.lit(1).alias("side"), own.alias("task"))
+    rows = p.where((F.col("_b") >= low) & (F.col("_b") < high)).select(
+        "id", "v", "_b", F.lit(0).alias("side"), F.explode(F.sequence(own, F.col("_tasks").cast("int") - 1)).alias("task"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        def blocks(side: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+            part = pdf[pdf["side"] == side].sort_values(["_b", "id"])
+            return [(b, block["id"].to_numpy(), _matrix(block["v"])) for b, block in part.groupby("_b")]
+
+        across = blocks(1)
+        return pd.DataFrame(
+            [(ti, tj, a_ids, b_ids, _euclidean(a, b).ravel()) for ti, a_ids, a in blocks(0) for tj, b_ids, b in across if ti <= tj],
+            columns=["ti", "tj", "a_ids", "b_ids", "dist"])
+
+    return rows.unionByName(columns).groupBy("task").applyInPandas(run, "ti int,tj int,a_ids array<long>,b_ids array<long>,dist array<double>")
 
 
 def energy_from_tiles(
-    tiles: DataFrame, points: DataFrame, row_id: str, grp: str, replicates: int, seed: int = 0, block_rows: int = BLOCK_ROWS
+    tiles: DataFrame | Iterable[DataFrame], points: DataFrame, row_id: str, grp: str, replicates: int, seed: int = 0, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """``energy_statistics`` from stored distance blocks (made with the same ``block_rows``).
 
     The distances are read where they are stored and never shuffled. What goes to them are the samples of the
     points of each block, two bits per replicate: with the ids some 33 bytes a point for 99 replicates.
+    Stripes of the matrix can be given one after the other: the sums of one are written before the next is asked for, which
+    may then take its place.
     """
     p = points.select(F.col(row_id).cast("long").alias("id"), F.col(grp).alias("g"))
+    blocks = _sample_blocks(p, replicates, seed, block_rows)
+    if isinstance(tiles, DataFrame):
+        return _statistics(_sums_of_tiles(tiles, blocks, replicates), p, "g")
+    blocks = staged(blocks, "samples")
+    sums = [staged(_sums_of_tiles(stripe, blocks, replicates).groupBy("r").agg(*[F.sum(c).alias(c) for c in ["sxx", "sxy", "syy"]]), "stripe-sums") for stripe in tiles]
+    whole = sums[0].sparkSession.read.schema(sums[0].schema).parquet(*[f for part in sums for f in part.inputFiles()]) if len(sums) > 1 else sums[0]
+    return _statistics(whole, p, "g")
+
+
+def _sample_blocks(p: DataFrame, replicates: int, seed: int, block_rows: int) -> DataFrame:
+    """(b, ids, marks): for each block of points (id, g) the ids and, two bits each, whether a replicate draws them or can't tell."""
     bits = _dealt(with_assignments(p, "id", "g", replicates, seed).select("id", "bits"), "id", block_rows)
 
     def pack(block: pd.DataFrame) -> pd.DataFrame:
@@ -441,7 +485,11 @@ def energy_from_tiles(
             raise ValueError("points of one id are in different samples")
         return pd.DataFrame({"b": [block["_b"].iat[0]], "ids": [ids], "marks": [packed.tobytes()]})
 
-    blocks = bits.select("_b", "id", "bits").groupBy("_b").applyInPandas(pack, "b int,ids array<long>,marks binary")
+    return bits.select("_b", "id", "bits").groupBy("_b").applyInPandas(pack, "b int,ids array<long>,marks binary")
+
+
+def _sums_of_tiles(tiles: DataFrame, blocks: DataFrame, replicates: int) -> DataFrame:
+    """``_SUMS`` of stored distance blocks by the samples of ``_sample_blocks``."""
 
     def side(name: str, key: str) -> DataFrame:
         return F.broadcast(blocks.select(F.col("b").alias(key), F.col("ids").alias(f"{name}_of"), F.col("marks").alias(f"{name}_marks")))
@@ -469,8 +517,7 @@ def energy_from_tiles(
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(total["r"], pa.int32()), *[pa.array(total[x], pa.float64()) for x in ("sxx", "sxy", "syy")]], names=["r", "sxx", "sxy", "syy"])
 
-    joined = tiles.join(side("a", "ti"), "ti").join(side("b", "tj"), "tj").mapInArrow(run, _SUMS)
-    return _statistics(joined, p, "g")
+    return tiles.join(side("a", "ti"), "ti").join(side("b", "tj"), "tj").mapInArrow(run, _SUMS)
 
 
 def check_bootstrap(replicates: int, alpha: float) -> None:

@@ -520,3 +520,26 @@ def test_repeated_energy_of_samples_of_unlike_size(spark, first):
     want = n * m / 40 * (2 * d[x][:, ~x].sum() / (n * m) - d[x][:, x].sum() / n**2 - d[~x][:, ~x].sum() / m**2)
     got = PR.repeated_energy_test(df, "id", "v", "g", 1, 50, 2, block_rows=8).collect()
     assert [r.observed for r in got] == pytest.approx([want, want])
+
+
+def test_stored_distances_take_bounded_space(spark, tmp_path):
+    rng = np.random.default_rng(14)
+    df = spark.createDataFrame([(i, "X" if i % 3 else "Y", rng.normal(size=3).tolist()) for i in range(90)], "id long, grp string, v array<double>")
+    parts = PR.stripes(df, 8, 8 * 8 * 100)
+    assert [a for a, _ in parts] == [0, *[b for _, b in parts[:-1]]] and parts[-1][1] == 12 and len(parts) > 4
+    assert PR.stripes(df, 8) == [(0, 12)] and PR.stripes(df.limit(0), 8) == [(0, 1)]
+    path, cells, pairs = str(tmp_path / "stored"), [], []
+
+    def stored(stripe):
+        PR.distance_tiles(df, "id", "v", 8, stripe).write.mode("overwrite").parquet(path)
+        rows = spark.read.parquet(path).select("ti", "tj", F.size("dist").alias("n")).collect()
+        cells.append(sum(r.n for r in rows))
+        pairs.extend((r.ti, r.tj) for r in rows)
+        return spark.read.parquet(path)
+
+    got = {r.r: r.energy for r in PR.energy_from_tiles(map(stored, parts), df, "id", "grp", 9, block_rows=8).collect()}
+    assert got == pytest.approx({r.r: r.energy for r in PR.energy_statistics(df, "id", "v", "grp", 9, block_rows=8).collect()})
+    # every pair of blocks is stored once, and never many of them at a time
+    whole = PR.distance_tiles(df, "id", "v", 8).select("ti", "tj", F.size("dist").alias("n")).collect()
+    assert sorted(pairs) == sorted((r.ti, r.tj) for r in whole) and len(set(pairs)) == len(pairs)
+    assert sum(cells) == sum(r.n for r in whole) and max(cells) < sum(cells) / 3
